@@ -40,108 +40,140 @@ def _heading(cur_lng, cur_lat, prev_lng, prev_lat, mode: str) -> Column:
     raise ValueError(f"unknown heading mode {mode!r}")
 
 
-def _motion_columns(df: DataFrame, w, heading: str,
-                    prev_lng: Column, prev_lat: Column, prev_s: Column,
-                    has_prev: Column) -> DataFrame:
-    dt = F.col("seconds") - prev_s
-    speed = (F.when(~has_prev, F.lit(0.0))
-             .when(dt > 0, clip(haversine("lng", "lat", prev_lng, prev_lat) / dt, MIN_SPEED, MAX_SPEED))
-             .otherwise(F.lit(0.0)))
-    head = F.when(has_prev, _heading(F.col("lng"), F.col("lat"), prev_lng, prev_lat, heading))
-    return (df.withColumn("_dt", dt).withColumn("speed", speed)
-            .withColumn("_h", head))
+def _neighbour_features(df: DataFrame, heading: str) -> DataFrame:
+    """Speed, acceleration and heading from the point and its neighbours.
 
-
-def motion_features(points: DataFrame, heading: str = "reference") -> DataFrame:
-    """K01 (W01-W04) with one window: speed, acceleration, heading_angle.
-
-    ``points`` needs trip, time, seq_i, seconds, lng, lat. Rows keep all columns.
-    Speed = haversine / dt when dt > 0 else 0, clamped to +-33.33 (NULL stays NULL);
-    acceleration = (speed - previous clamped speed) / dt, clamped to +-3;
-    heading at every point after the first, the first takes the second's,
-    a one-point trip gets 0.
+    Needs p1_* (previous point), p2_* (the one before), n1_* (next point) and
+    has_p1 / has_p2 / has_n1 flags. The previous point's clamped speed is
+    recomputed from (p1, p2), so one ordered pass is enough.
     """
-    w = trip_window()
-    has_prev = F.lag(F.lit(True), 1).over(w).isNotNull()
-    df = _motion_columns(points, w, heading,
-                         F.lag("lng", 1).over(w), F.lag("lat", 1).over(w),
-                         F.lag("seconds", 1).over(w), has_prev)
-    prev_speed = F.lag("speed", 1).over(w)
-    acc = (F.when(~has_prev, F.lit(0.0))
-           .when(F.col("_dt") > 0, clip((F.col("speed") - prev_speed) / F.col("_dt"),
-                                        MIN_ACCELERATION, MAX_ACCELERATION))
+    def speed_of(lng, lat, s, plng, plat, ps, has_prev):
+        dt = s - ps
+        return (F.when(~has_prev, F.lit(0.0))
+                .when(dt > 0, clip(haversine(lng, lat, plng, plat) / dt, MIN_SPEED, MAX_SPEED))
+                .otherwise(F.lit(0.0)))
+
+    has_p1, has_p2, has_n1 = F.col("has_p1"), F.col("has_p2"), F.col("has_n1")
+    speed = speed_of(F.col("lng"), F.col("lat"), F.col("seconds"),
+                     F.col("p1_lng"), F.col("p1_lat"), F.col("p1_s"), has_p1)
+    prev_speed = speed_of(F.col("p1_lng"), F.col("p1_lat"), F.col("p1_s"),
+                          F.col("p2_lng"), F.col("p2_lat"), F.col("p2_s"), has_p2)
+    dt = F.col("seconds") - F.col("p1_s")
+    acc = (F.when(~has_p1, F.lit(0.0))
+           .when(dt > 0, clip((F.col("speed") - prev_speed) / dt, MIN_ACCELERATION, MAX_ACCELERATION))
            .otherwise(F.lit(0.0)))
-    has_next = F.lead(F.lit(True), 1).over(w).isNotNull()
-    head = (F.when(has_prev, F.col("_h"))
-            .when(has_next, F.lead("_h", 1).over(w))
+    head = (F.when(has_p1, _heading(F.col("lng"), F.col("lat"), F.col("p1_lng"), F.col("p1_lat"), heading))
+            # the first point takes the second point's heading (second -> first)
+            .when(has_n1, _heading(F.col("n1_lng"), F.col("n1_lat"), F.col("lng"), F.col("lat"), heading))
             .otherwise(F.lit(0.0)))
-    return (df.withColumn("acceleration", acc)
-            .withColumn("heading_angle", head)
-            .drop("_dt", "_h"))
+    return df.withColumn("speed", speed).withColumn("acceleration", acc).withColumn("heading_angle", head)
+
+
+_NB = ["p1_lng", "p1_lat", "p1_s", "p2_lng", "p2_lat", "p2_s", "n1_lng", "n1_lat",
+       "has_p1", "has_p2", "has_n1"]
+
+
+def _window_neighbours(df: DataFrame, w) -> DataFrame:
+    return df.select(
+        "*",
+        F.lag("lng", 1).over(w).alias("p1_lng"), F.lag("lat", 1).over(w).alias("p1_lat"),
+        F.lag("seconds", 1).over(w).alias("p1_s"),
+        F.lag("lng", 2).over(w).alias("p2_lng"), F.lag("lat", 2).over(w).alias("p2_lat"),
+        F.lag("seconds", 2).over(w).alias("p2_s"),
+        F.lead("lng", 1).over(w).alias("n1_lng"), F.lead("lat", 1).over(w).alias("n1_lat"),
+        F.lag(F.lit(True), 1).over(w).isNotNull().alias("has_p1"),
+        F.lag(F.lit(True), 2).over(w).isNotNull().alias("has_p2"),
+        F.lead(F.lit(True), 1).over(w).isNotNull().alias("has_n1"))
+
+
+def motion_features(points: DataFrame, heading: str = "reference") -> DataFrame:
+    """K01 (W01-W04) in one ordered pass: speed, acceleration, heading_angle.
+
+    ``points`` needs trip, time, seq_i, seconds, lng, lat; rows keep all columns.
+    Speed = haversine / dt when dt > 0 else 0, clamped to +-33.33 (NULL stays
+    NULL); acceleration = (speed - previous clamped speed) / dt, clamped to +-3;
+    heading at every point after the first, the first takes the second's, a
+    one-point trip gets 0. Use on length-bounded trips (after the validity
+    filter); ``motion_features_all`` for trips of any length.
+    """
+    nb = _window_neighbours(points, trip_window())
+    return _neighbour_features(nb, heading).drop(*_NB)
 
 
 def motion_features_all(points: DataFrame, heading: str = "reference",
-                        chunk_rows: int = 200_000) -> DataFrame:
-    """K01 over trips of any length, safe for a trip holding most of the rows.
-
-    A trip longer than ``chunk_rows`` is cut into time chunks of about that
-    many points (width from its own span), so no window partition grows with
-    the data. The first point of a chunk takes its predecessor from the last
-    point of the previous non-empty chunk, found on a small per-chunk table.
-    Results equal ``motion_features``.
+                        chunk_rows: int = 200_000, long_trip_limit: int = 1_000_000) -> DataFrame:
+    """K01 over trips of any length, safe when one trip holds most of the rows.
+
+    Trips longer than ``chunk_rows`` (found by a grouped count, map-side
+    combined) are cut into time chunks of about ``chunk_rows`` points; every
+    other trip is one chunk. One window pass over (trip, chunk) gives each
+    point its neighbours; only the first two rows of a later chunk (and the
+    first row of a trip whose first chunk has one row) miss a neighbour, and
+    they take it from a small per-chunk table. The long-trip table is broadcast
+    after a size check (there are at most rows / chunk_rows such trips).
     """
-    stats = points.groupBy("trip").agg(F.count(F.lit(1)).alias("_n"),
-                                       F.min("seconds").alias("_s0"),
-                                       F.max("seconds").alias("_s1"))
+    stats = (points.groupBy("trip").agg(F.count(F.lit(1)).alias("_n"),
+                                        F.min("seconds").alias("_s0"),
+                                        F.max("seconds").alias("_s1"))
+             .where(F.col("_n") > chunk_rows))
+    n_long = stats.limit(long_trip_limit + 1).count()
+    if n_long == 0:
+        return motion_features(points, heading)
+    lt = F.broadcast(stats) if n_long <= long_trip_limit else stats
     width = F.greatest(F.lit(1.0), (F.col("_s1") - F.col("_s0")) * F.lit(float(chunk_rows)) / F.col("_n"))
-    chunk = (F.when(F.col("_n") <= chunk_rows, F.lit(0))
-             .otherwise(F.floor((F.col("seconds") - F.col("_s0")) / width))).cast("long")
-    df = points.join(stats, "trip").withColumn("_chunk", chunk).drop("_n", "_s0", "_s1")
+    chunk = F.when(F.col("_n").isNull(), F.lit(0)).otherwise(
+        F.floor((F.col("seconds") - F.col("_s0")) / width)).cast("long")
+    df = (points.join(lt, "trip", "left").withColumn("_chunk", chunk)
+          .withColumn("_long", F.col("_n").isNotNull()).drop("_n", "_s0", "_s1"))
 
     w = trip_window(("trip", "_chunk"))
-    # Last point (and its speed input) of every chunk, on a per-chunk table.
-    last = (df.groupBy("trip", "_chunk")
-            .agg(F.max_by(F.struct("lng", "lat", "seconds", "time", "seq_i"),
-                          F.struct(*ORDER)).alias("_last"),
-                 F.min_by(F.struct("lng", "lat", "seconds"), F.struct(*ORDER)).alias("_first"),
-                 F.count(F.lit(1)).alias("_cnt")))
+    nb = _window_neighbours(df, w).withColumn("_rn", F.row_number().over(w))
+    # Per-chunk table of long trips: first point, last point and the last
+    # point's predecessor inside the chunk. Grouping on the window's own
+    # partition keys needs no exchange.
+    order = F.struct("time", "seq_i")
+    pt = F.struct("lng", "lat", "seconds")
+    summ = (nb.where("_long").groupBy("trip", "_chunk")
+            .agg(F.min_by(pt, order).alias("_first"),
+                 F.max_by(pt, order).alias("_last"),
+                 F.max_by(F.struct(F.col("p1_lng").alias("lng"), F.col("p1_lat").alias("lat"),
+                                   F.col("p1_s").alias("seconds"), F.col("has_p1").alias("ok")),
+                          order).alias("_last_p1")))
     cw = Window.partitionBy("trip").orderBy("_chunk")
-    links = (last.withColumn("_prev", F.lag("_last", 1).over(cw))
-             .withColumn("_prev_chunk", F.lag("_chunk", 1).over(cw))
-             .withColumn("_next_first", F.lead("_first", 1).over(cw)))
-    df = df.join(links.select("trip", "_chunk", "_prev", "_prev_chunk", "_next_first", "_cnt"),
-                 ["trip", "_chunk"])
-
-    lag_lng, lag_lat, lag_s = (F.lag(c, 1).over(w) for c in ("lng", "lat", "seconds"))
-    in_chunk = F.lag(F.lit(True), 1).over(w).isNotNull()
-    prev_lng = F.when(in_chunk, lag_lng).otherwise(F.col("_prev.lng"))
-    prev_lat = F.when(in_chunk, lag_lat).otherwise(F.col("_prev.lat"))
-    prev_s = F.when(in_chunk, lag_s).otherwise(F.col("_prev.seconds"))
-    has_prev = in_chunk | F.col("_prev").isNotNull()
-    df = _motion_columns(df, w, heading, prev_lng, prev_lat, prev_s, has_prev)
-
-    # Previous clamped speed: inside the chunk by lag, else the last speed of
-    # the previous chunk (one more small per-chunk table).
-    last_speed = (df.groupBy("trip", "_chunk")
-                  .agg(F.max_by("speed", F.struct(*ORDER)).alias("_prev_speed"))
-                  .withColumnRenamed("_chunk", "_prev_chunk"))
-    df = df.join(last_speed, ["trip", "_prev_chunk"], "left")
-    prev_speed = F.when(in_chunk, F.lag("speed", 1).over(w)).otherwise(F.col("_prev_speed"))
-    acc = (F.when(~has_prev, F.lit(0.0))
-           .when(F.col("_dt") > 0, clip((F.col("speed") - prev_speed) / F.col("_dt"),
-                                        MIN_ACCELERATION, MAX_ACCELERATION))
-           .otherwise(F.lit(0.0)))
-    # The first point of a trip copies the heading of the second point, which
-    # is in the same chunk unless the chunk has one point.
-    next_in_chunk = F.lead(F.lit(True), 1).over(w).isNotNull()
-    nf = F.col("_next_first")
-    second_heading = F.when(next_in_chunk, F.lead("_h", 1).over(w)).when(
-        nf.isNotNull(), _heading(nf.lng, nf.lat, F.col("lng"), F.col("lat"), heading))
-    head = (F.when(has_prev, F.col("_h"))
-            .when(next_in_chunk | nf.isNotNull(), second_heading)
-            .otherwise(F.lit(0.0)))
-    return (df.withColumn("acceleration", acc).withColumn("heading_angle", head)
-            .drop("_dt", "_h", "_chunk", "_prev", "_prev_chunk", "_next_first", "_cnt", "_prev_speed"))
+    links = summ.select("trip", "_chunk",
+                        F.lag("_last", 1).over(cw).alias("_pl"),
+                        F.lag("_last_p1", 1).over(cw).alias("_plp"),
+                        F.lag("_last", 2).over(cw).alias("_pll"),
+                        F.lead("_first", 1).over(cw).alias("_nf"))
+    rn = F.col("_rn")
+    needs = F.col("_long") & (((F.col("_chunk") > 0) & (rn <= 2))
+                              | ((F.col("_chunk") == 0) & (rn == 1) & ~F.col("has_n1")))
+    inner = nb.where(~needs)
+    edge = nb.where(needs).join(links, ["trip", "_chunk"], "left")
+    r1 = (rn == 1) & F.col("_pl").isNotNull()          # first row of a later chunk
+    r2 = (rn == 2) & F.col("_pl").isNotNull()          # second row of a later chunk
+    # predecessor of the previous chunk's last point: inside that chunk, or
+    # the last point of the chunk before it
+    pp = lambda f: F.when(F.col("_plp.ok"), F.col(f"_plp.{f}")).otherwise(F.col(f"_pll.{f}"))
+    fix = {
+        "p1_lng": F.when(r1, F.col("_pl.lng")).otherwise(F.col("p1_lng")),
+        "p1_lat": F.when(r1, F.col("_pl.lat")).otherwise(F.col("p1_lat")),
+        "p1_s": F.when(r1, F.col("_pl.seconds")).otherwise(F.col("p1_s")),
+        "has_p1": F.col("has_p1") | r1,
+        "p2_lng": F.when(r1, pp("lng")).when(r2, F.col("_pl.lng")).otherwise(F.col("p2_lng")),
+        "p2_lat": F.when(r1, pp("lat")).when(r2, F.col("_pl.lat")).otherwise(F.col("p2_lat")),
+        "p2_s": F.when(r1, pp("seconds")).when(r2, F.col("_pl.seconds")).otherwise(F.col("p2_s")),
+        "has_p2": F.when(r1, F.col("_plp.ok") | F.col("_pll").isNotNull())
+                   .when(r2, F.lit(True)).otherwise(F.col("has_p2")),
+        "n1_lng": F.when(~F.col("has_n1") & F.col("_nf").isNotNull(), F.col("_nf.lng")).otherwise(F.col("n1_lng")),
+        "n1_lat": F.when(~F.col("has_n1") & F.col("_nf").isNotNull(), F.col("_nf.lat")).otherwise(F.col("n1_lat")),
+        "has_n1": F.col("has_n1") | F.col("_nf").isNotNull(),
+    }
+    for c, e in fix.items():
+        edge = edge.withColumn(c, e)
+    edge = edge.drop("_pl", "_plp", "_pll", "_nf")
+    out = inner.unionByName(edge)
+    return _neighbour_features(out, heading).drop(*_NB, "_chunk", "_rn", "_long")
 
 
 def with_positions(points: DataFrame) -> DataFrame:

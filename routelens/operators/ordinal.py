@@ -7,10 +7,16 @@ upper bits, in-partition index in the lower 33 bits), count rows per partition
 partitions. Nothing ever sits in one partition; with a ``group`` key the
 ordinal restarts per group and only (partition, group) counts are combined.
 Order keys should be unique for a reproducible ordinal.
+
+The tagged frame is persisted before it is used twice (counts and rows):
+Spark seeds the range-bound sample with the RDD id, so two independent
+evaluations could cut different ranges. A lost cached block is rebuilt from
+the same shuffle dependency (same bounds, same in-partition order).
 """
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,7 +31,8 @@ def row_ordinal(df: DataFrame, order: list[str], name: str = "ordinal",
     tagged = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
               .withColumn("_mid", F.monotonically_increasing_id())
               .withColumn("_pid", F.shiftright("_mid", 33))
-              .withColumn("_idx", F.col("_mid").bitwiseAND(F.lit(_LOW))))
+              .withColumn("_idx", F.col("_mid").bitwiseAND(F.lit(_LOW)))
+              .persist(StorageLevel.MEMORY_AND_DISK))
     gcols = ["_pid"] + ([group] if group else [])
     counts = tagged.groupBy(*gcols).agg(F.count(F.lit(1)).alias("_cnt"),
                                         F.min("_idx").alias("_first"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,7 +40,9 @@ def describe(df: DataFrame, cols: list[str], quantiles: str = "exact") -> DataFr
     sort (G06, no single-partition step; a hash tie-break spreads repeated
     values); ``"approx"`` uses ``percentile_approx`` (no interpolation).
     """
-    long = _stack(df, cols)
+    # The stacked table feeds four aggregates and the ranking; keep it (spills
+    # to executor disk, recomputed from lineage if an executor is lost).
+    long = _stack(df, cols).persist(StorageLevel.MEMORY_AND_DISK)
     first = long.groupBy("column").agg(
         F.count("value").alias("count"), F.avg("value").alias("mean"),
         F.min("value").alias("min"), F.max("value").alias("max"))
