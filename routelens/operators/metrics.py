@@ -64,6 +64,7 @@ def classification_metrics(scores: DataFrame, labels: DataFrame,
     with no true or no predicted example scores 0 (zero_division=0).
     ``group`` columns (e.g. split) must be part of ``keys``.
     """
+    ns = tuple(n for n in ns if n != 1)       # acc@1 comes from the arg-max
     pred = argmax_class(scores, keys)
     rk = truth_rank(scores, labels, keys)
     per = labels.join(pred, list(keys)).join(rk, list(keys))
