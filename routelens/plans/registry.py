@@ -670,3 +670,56 @@ def q_meta_roundtrip(spark, d):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     k[2:]: v for k, v in sorted(globals().items()) if k.startswith("q_") and callable(v)
 }
+
+
+# ---- keys checked by rows and by their own tests (no SQL oracle) -----------
+def q_destination_model(spark, d):
+    """M01 + M07: destination road from the cut trip (LogisticRegression)."""
+    from .tasks import classification_task
+    ds = datasets(spark, d)
+    return finish(classification_task(ds, ds.destination_labels(), "destination", pre_length=PRE_LENGTH))
+
+
+def q_driver_model(spark, d):
+    """M04 + M07: driver class of a trip."""
+    from .tasks import classification_task
+    ds = datasets(spark, d)
+    return finish(classification_task(ds, ds.driver_labels(), "driver"))
+
+
+def q_tte_model(spark, d):
+    """M02 + M07: travel time (GBTRegressor)."""
+    from .tasks import regression_task
+    return finish(regression_task(datasets(spark, d), "gbt"))
+
+
+def q_encode_trips(spark, d):
+    """A caller's batch encoder over whole trips (mapInPandas)."""
+    from ..operators.vectors import encode_trips, summary_encoder
+    tf = datasets(spark, d).trip_features
+    return finish(encode_trips(tf, ["lng", "lat", "speed"], summary_encoder, 12)
+                  .select("trip", F.posexplode("vec").alias("i", "value")))
+
+
+def q_ann_search(spark, d):
+    """Approximate 10 nearest embeddings of every label centroid (LSH)."""
+    from ..operators.vectors import ann_topk
+    items = _emb(spark, d).select(F.col("vec_id").alias("item"), "vec")
+    qs = _centroids(spark, d).select(F.col("cls").alias("qid"), F.col("cvec").alias("vec"))
+    return finish(ann_topk(qs, items, 10, bucket_length=0.5, num_tables=6))
+
+
+def q_metrics_table(spark, d):
+    """Metrics of two tasks appended to one long table and read back."""
+    import uuid
+
+    from ..sources.io import append_metrics, default_root
+    ds = datasets(spark, d)
+    path = f"{default_root(spark)}/metrics-{uuid.uuid4().hex[:8]}"
+    append_metrics(ds.similar_search(HOP_N, NEG_M, mode="farthest"), "search", path)
+    append_metrics(metrics.regression_metrics(_tte_baseline(ds), keys=("split",)), "tte_baseline", path)
+    return finish(spark.read.parquet(path))
+
+
+QUERIES.update({k[2:]: v for k, v in list(globals().items())
+                if k.startswith("q_") and callable(v) and k[2:] not in QUERIES})
