@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,18 +33,51 @@ def _topk(cands: DataFrame, k: int) -> DataFrame:
 
 
 def knn_broadcast(queries: DataFrame, pois: DataFrame, k: int) -> DataFrame:
-    """J03 for a POI table of checked small size: broadcast it to every task.
+    """J03 for a POI table of checked small size: every task gets the table.
 
-    Queries are hash-partitioned by ``qid`` first; the nested-loop join keeps
-    that partitioning, so the per-query top-k needs no second shuffle.
+    Each task scores its own query rows against all places with numpy
+    (squared degrees, ties by ``poi_id``) and emits k rows per query; no query
+    x place pair is shuffled or sorted by Spark. The table is collected once
+    after the size check, like a broadcast.
     """
     n = pois.limit(BROADCAST_POI_LIMIT + 1).count()
     if n > BROADCAST_POI_LIMIT:
         raise ValueError("POI table too large for the broadcast plan; use knn_grid")
-    p = pois.select("poi_id", "name", "address", F.col("lng").alias("plng"), F.col("lat").alias("plat"))
-    q = queries.where(F.col("lng").isNotNull() & F.col("lat").isNotNull()).repartition("qid")
-    c = q.crossJoin(F.broadcast(p)).withColumn("dist2", _dist2("lng", "lat", "plng", "plat"))
-    return _topk(c, k).select("qid", "rank", "poi_id", "name", "address", "dist2")
+    rows = (pois.where(F.col("lng").isNotNull() & F.col("lat").isNotNull())
+            .select("poi_id", "name", "address", "lng", "lat").collect())
+    ids = np.array([r["poi_id"] for r in rows], dtype=np.int64)
+    names = np.array([r["name"] for r in rows], dtype=object)
+    addrs = np.array([r["address"] for r in rows], dtype=object)
+    px = np.array([r["lng"] for r in rows], dtype=np.float64)
+    py = np.array([r["lat"] for r in rows], dtype=np.float64)
+    kk = min(k, len(ids))
+    schema = "qid long, rank int, poi_id long, name string, address string, dist2 double"
+    if kk == 0:
+        return queries.sparkSession.createDataFrame([], schema)
+
+    def score(batches):
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            qx = pdf["lng"].to_numpy(dtype=np.float64)[:, None]
+            qy = pdf["lat"].to_numpy(dtype=np.float64)[:, None]
+            dx = px[None, :] - qx
+            dy = py[None, :] - qy
+            d2 = dx * dx + dy * dy                                   # (B, P)
+            order = np.lexsort((np.broadcast_to(ids, d2.shape), d2), axis=1)[:, :kk]
+            sel_d = np.take_along_axis(d2, order, axis=1)
+            b = len(pdf)
+            yield pd.DataFrame({
+                "qid": np.repeat(pdf["qid"].to_numpy(dtype=np.int64), kk),
+                "rank": np.tile(np.arange(kk, dtype=np.int32), b),
+                "poi_id": ids[order].reshape(-1),
+                "name": names[order].reshape(-1),
+                "address": addrs[order].reshape(-1),
+                "dist2": sel_d.reshape(-1),
+            })
+
+    q = queries.where(F.col("lng").isNotNull() & F.col("lat").isNotNull()).select("qid", "lng", "lat")
+    return q.mapInPandas(score, schema)
 
 
 def knn_grid(queries: DataFrame, pois: DataFrame, k: int, cell: float | None = None,

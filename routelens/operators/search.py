@@ -21,27 +21,32 @@ QUERY_LIMIT = 100_000      # largest query set shipped to every task
 _MASK63 = 0x7FFFFFFFFFFFFFFF
 
 
-def _query_matrix(queries: DataFrame, vec: str):
+def _query_matrix(queries: DataFrame, vec: str, group: str | None):
     n = queries.limit(QUERY_LIMIT + 1).count()
     if n > QUERY_LIMIT:
         raise ValueError(f"more than {QUERY_LIMIT} queries; split the query set")
-    rows = queries.select("qid", vec).collect()
+    cols = ["qid", vec] + ([group] if group else [])
+    rows = queries.select(*cols).collect()
     qids = np.array([r["qid"] for r in rows], dtype=np.int64)
+    groups = np.array([r[group] if group else 0 for r in rows], dtype=np.int64)
     if not rows:
-        return qids, np.zeros((0, 0))
+        return qids, groups, np.zeros((0, 0))
     mat = np.array([[np.nan if v is None else v for v in r[vec]] for r in rows], dtype=np.float64)
-    return qids, mat
+    return qids, groups, mat
 
 
 def vector_topk(queries: DataFrame, items: DataFrame, k: int, largest: bool = False,
-                qvec: str = "vec", ivec: str = "vec", item: str = "item") -> DataFrame:
+                qvec: str = "vec", ivec: str = "vec", item: str = "item",
+                group: str | None = None) -> DataFrame:
     """Exact k nearest (or farthest) items per query by Euclidean distance.
 
     Distances sum squared differences dimension by dimension (the same order
     as a SQL fold), ties by item id. Items with a NULL component are skipped.
+    With ``group``, a query only meets items of its own group (e.g. split),
+    so all groups go through one pass over the items.
     Output: qid, item, dist, rank (0-based).
     """
-    qids, Q = _query_matrix(queries, qvec)
+    qids, qgroups, Q = _query_matrix(queries, qvec, group)
     spark = items.sparkSession
     schema = "qid long, item long, dist double"
     if len(qids) == 0 or k <= 0:
@@ -49,21 +54,20 @@ def vector_topk(queries: DataFrame, items: DataFrame, k: int, largest: bool = Fa
     sign = -1.0 if largest else 1.0
 
     def part_topk(batches):
-        best_d = None
-        best_i = None
+        best_k = best_d = best_i = None
         for pdf in batches:
             if pdf.empty:
                 continue
-            vecs = pdf[ivec].to_list()
             ids = pdf[item].to_numpy(dtype=np.int64)
             try:
-                X = np.array([np.asarray(v, dtype=np.float64) for v in vecs])
+                X = np.array([np.asarray(v, dtype=np.float64) for v in pdf[ivec].to_list()])
             except ValueError:
                 continue
             if X.ndim != 2 or X.shape[1] != Q.shape[1]:
                 continue
+            g = pdf["_g"].to_numpy(dtype=np.int64)
             keep = ~np.isnan(X).any(axis=1)
-            X, ids = X[keep], ids[keep]
+            X, ids, g = X[keep], ids[keep], g[keep]
             if len(ids) == 0:
                 continue
             acc = np.zeros((Q.shape[0], X.shape[0]))
@@ -71,27 +75,34 @@ def vector_topk(queries: DataFrame, items: DataFrame, k: int, largest: bool = Fa
                 d = X[None, :, j] - Q[:, None, j]
                 acc = acc + d * d
             D = np.sqrt(acc)                                   # (nq, nb)
+            key = sign * D
+            key[qgroups[:, None] != g[None, :]] = np.inf       # other groups never match
             I = np.broadcast_to(ids[None, :], D.shape)
             if best_d is not None:
+                key = np.concatenate([best_k, key], axis=1)
                 D = np.concatenate([best_d, D], axis=1)
                 I = np.concatenate([best_i, I], axis=1)
-            order = np.lexsort((I, sign * D), axis=1)[:, :k]   # by (sign*dist, item)
+            order = np.lexsort((I, key), axis=1)[:, :k]        # by (sign*dist, item)
+            best_k = np.take_along_axis(key, order, axis=1)
             best_d = np.take_along_axis(D, order, axis=1)
             best_i = np.take_along_axis(I, order, axis=1)
         if best_d is not None:
-            nq, kk = best_d.shape
-            yield pd.DataFrame({"qid": np.repeat(qids, kk), "item": best_i.reshape(-1),
-                                "dist": best_d.reshape(-1)})
+            ok = np.isfinite(best_k).reshape(-1)
+            kk = best_d.shape[1]
+            yield pd.DataFrame({"qid": np.repeat(qids, kk)[ok], "item": best_i.reshape(-1)[ok],
+                                "dist": best_d.reshape(-1)[ok]})
 
-    partial = items.select(F.col(item).cast("long").alias(item), ivec).mapInPandas(part_topk, schema)
+    g = F.col(group).cast("long") if group else F.lit(0).cast("long")
+    partial = items.select(F.col(item).cast("long").alias(item), ivec, g.alias("_g")).mapInPandas(part_topk, schema)
     w = Window.partitionBy("qid").orderBy((F.col("dist") * sign).asc(), F.col("item").asc())
     return (partial.withColumn("rank", (F.row_number().over(w) - 1).cast("int"))
             .where(F.col("rank") < k))
 
 
-def nearest_set(queries: DataFrame, items: DataFrame, near: int = NEAR_EXCLUSION) -> DataFrame:
+def nearest_set(queries: DataFrame, items: DataFrame, near: int = NEAR_EXCLUSION,
+                group: str | None = None) -> DataFrame:
     """The ``near`` nearest items of each query (itself included)."""
-    return vector_topk(queries, items, near).select("qid", "item")
+    return vector_topk(queries, items, near, group=group).select("qid", "item")
 
 
 def hash_unit(seed: int, *cols) -> F.Column:
@@ -101,7 +112,8 @@ def hash_unit(seed: int, *cols) -> F.Column:
 
 
 def sample_negatives(queries: DataFrame, items: DataFrame, m: int, seed: int = 0,
-                     near: int = NEAR_EXCLUSION, mode: str = "uniform") -> DataFrame:
+                     near: int = NEAR_EXCLUSION, mode: str = "uniform",
+                     group: str | None = None) -> DataFrame:
     """G03 + R08: M negatives per query, never one of its ``near`` nearest.
 
     ``mode="uniform"`` (the reference's meaning, seeded): the M items with the
@@ -109,49 +121,74 @@ def sample_negatives(queries: DataFrame, items: DataFrame, m: int, seed: int = 0
     hash threshold giving about twice the needed rows inside the join, and a
     query left with fewer than M is redone without the threshold, so the
     result is exact. ``mode="farthest"``: the M farthest (ties by item id).
-    With at most ``near`` items the M farthest are used, in hash order.
+    A group with at most ``near`` items uses its M farthest, in hash order.
+    M is capped per group at (items - queries). With ``group`` (e.g. split)
+    queries only draw from their own group; every group is one pass.
     Output: qid, item, neg_idx (1..M), in the order the negatives are listed.
     """
-    n_items = items.count()
-    n_q = queries.count()
-    m_eff = max(0, min(n_items - n_q, m))
     spark = items.sparkSession
-    if m_eff == 0:
+    gq = F.col(group).cast("long") if group else F.lit(0).cast("long")
+    q = queries.select("qid", "vec", gq.alias("_g"))
+    it = items.select(F.col("item").cast("long").alias("item"), "vec", gq.alias("_g"))
+    # Per-group sizes: one tiny row per group.
+    sizes = (it.groupBy("_g").agg(F.count(F.lit(1)).alias("_t"))
+             .join(q.groupBy("_g").agg(F.count(F.lit(1)).alias("_nq")), "_g")
+             .withColumn("_m", F.greatest(F.lit(0), F.least(F.col("_t") - F.col("_nq"), F.lit(m))))
+             .withColumn("_p", F.least(F.lit(1.0), (F.lit(2.0) * (F.col("_m") + near) + 64.0) / F.col("_t")))
+             .collect())
+    info = {r["_g"]: r for r in sizes}
+    if not info or all(r["_m"] == 0 for r in info.values()):
         return spark.createDataFrame([], "qid long, item long, neg_idx int")
-    if n_items <= near or mode == "farthest":
-        k = m_eff if n_items <= near else m_eff + near
-        far = vector_topk(queries, items, k, largest=True)
-        if n_items > near:
-            far = far.join(F.broadcast(nearest_set(queries, items, near)), ["qid", "item"], "left_anti")
-        by_dist = Window.partitionBy("qid").orderBy(F.col("dist").desc(), "item")
-        far = far.withColumn("_r", F.row_number().over(by_dist)).where(F.col("_r") <= m_eff)
-        order = by_dist if mode == "farthest" else \
-            Window.partitionBy("qid").orderBy(hash_unit(seed, "qid", "item"), "item")
-        return far.withColumn("neg_idx", F.row_number().over(order).cast("int")).select("qid", "item", "neg_idx")
-
-    excl = F.broadcast(nearest_set(queries, items, near))
-    qs = F.broadcast(queries.select("qid"))
-    ids = items.select(F.col("item").cast("long").alias("item"))
-    frac = min(1.0, 2.0 * (m_eff + near) / n_items + 64.0 / n_items)
-
-    def pick(p: float, qsel: DataFrame) -> DataFrame:
-        pairs = ids.crossJoin(qsel).withColumn("_u", hash_unit(seed, "qid", "item"))
-        if p < 1.0:
-            pairs = pairs.where(F.col("_u") < F.lit(p))
-        pairs = pairs.join(excl, ["qid", "item"], "left_anti")
-        w = Window.partitionBy("qid").orderBy("_u", "item")
-        return (pairs.withColumn("neg_idx", F.row_number().over(w).cast("int"))
-                .where(F.col("neg_idx") <= m_eff).select("qid", "item", "neg_idx"))
-
-    first = pick(frac, qs)
-    if frac >= 1.0:
-        return first
-    got = first.groupBy("qid").agg(F.count(F.lit(1)).alias("_c"))
-    short = queries.select("qid").join(got.where(F.col("_c") >= m_eff), "qid", "left_anti")
-    if short.limit(1).count() == 0:
-        return first
-    redo = pick(1.0, F.broadcast(short))
-    return first.join(short, "qid", "left_anti").unionByName(redo)
+    m_map = F.create_map(*[x for g0, r in info.items() for x in (F.lit(g0), F.lit(int(r["_m"])))])
+    p_map = F.create_map(*[x for g0, r in info.items() for x in (F.lit(g0), F.lit(float(r["_p"])))])
+    small = [g0 for g0, r in info.items() if r["_t"] <= near]
+    big = [g0 for g0, r in info.items() if r["_t"] > near]
+    parts = []
+    by_dist = Window.partitionBy("qid").orderBy(F.col("dist").desc(), "item")
+    by_hash = Window.partitionBy("qid").orderBy(hash_unit(seed, "qid", "item"), "item")
+    far_groups = small + (big if mode == "farthest" else [])
+    if far_groups:
+        k = max(int(info[g0]["_m"]) + (near if g0 in big else 0) for g0 in far_groups)
+        fq = q.where(F.col("_g").isin(far_groups))
+        far = vector_topk(fq, it, k, largest=True, group="_g")
+        far = far.join(F.broadcast(fq.select("qid", "_g")), "qid")
+        if any(g0 in big for g0 in far_groups):
+            near_set = nearest_set(fq, it, near, group="_g")
+            far = far.join(F.broadcast(near_set.join(F.broadcast(fq.select("qid", "_g")), "qid")
+                                       .where(F.col("_g").isin(big)).select("qid", "item")),
+                           ["qid", "item"], "left_anti")
+        far = far.withColumn("_r", F.row_number().over(by_dist)).where(F.col("_r") <= m_map[F.col("_g")])
+        order = by_dist if mode == "farthest" else by_hash
+        parts.append(far.withColumn("neg_idx", F.row_number().over(order).cast("int")).select("qid", "item", "neg_idx"))
+    hash_groups = [] if mode == "farthest" else big
+    if hash_groups:
+        hq = q.where(F.col("_g").isin(hash_groups))
+        excl = F.broadcast(nearest_set(hq, it, near, group="_g"))
+        qs = F.broadcast(hq.select("qid", "_g"))
+        ids = it.where(F.col("_g").isin(hash_groups)).select("item", "_g")
+
+        def pick(limit_p: bool, qsel) -> DataFrame:
+            pairs = ids.join(qsel, "_g").withColumn("_u", hash_unit(seed, "qid", "item"))
+            if limit_p:
+                pairs = pairs.where(F.col("_u") < p_map[F.col("_g")])
+            pairs = pairs.join(excl, ["qid", "item"], "left_anti")
+            w = Window.partitionBy("qid").orderBy("_u", "item")
+            return (pairs.withColumn("neg_idx", F.row_number().over(w).cast("int"))
+                    .where(F.col("neg_idx") <= m_map[F.col("_g")]).select("qid", "item", "neg_idx"))
+
+        first = pick(True, qs)
+        got = first.groupBy("qid").agg(F.count(F.lit(1)).alias("_c"))
+        full = hq.select("qid", "_g").join(got, "qid").where(F.col("_c") >= m_map[F.col("_g")])
+        short = hq.select("qid", "_g").join(full.select("qid"), "qid", "left_anti")
+        if short.limit(1).count() == 0:
+            parts.append(first)
+        else:
+            redo = pick(False, F.broadcast(short))
+            parts.append(first.join(short.select("qid"), "qid", "left_anti").unionByName(redo))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def search_scores(qry_vec: DataFrame, tgt_vec: DataFrame, negatives: DataFrame,

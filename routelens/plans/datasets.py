@@ -187,22 +187,17 @@ class TripDatasets:
 
     def negatives(self, n: int = 1000, m: int = 10000, seed: int = 0,
                   mode: str = "uniform") -> DataFrame:
-        """G03 'hopnegindex-n-m': split, qry trip, neg trip, neg_idx."""
+        """G03 'hopnegindex-n-m': split, qry trip, neg trip, neg_idx.
+
+        All splits in one pass: queries draw only from their own split.
+        """
         vecs = self.kseg_vectors()
         ht = self.hop_trips(n)
-        out = None
-        splits = [r["split"] for r in ht.select("split").distinct().collect()]
-        for s in sorted(splits):
-            items = vecs.where(F.col("split") == s).select(F.col("trip").alias("item"), "vec")
-            qs = (ht.where(F.col("split") == s).join(vecs.where(F.col("split") == s), ["split", "trip"])
-                  .select(F.col("trip").alias("qid"), "vec"))
-            neg = search.sample_negatives(qs, items, m, seed, NEAR_EXCLUSION, mode)
-            neg = neg.select(F.lit(s).cast("int").alias("split"), F.col("qid").alias("trip"),
-                             F.col("item").alias("neg_trip"), "neg_idx")
-            out = neg if out is None else out.unionByName(neg)
-        if out is None:
-            return self.spark.createDataFrame([], "split int, trip long, neg_trip long, neg_idx int")
-        return out
+        items = vecs.select("split", F.col("trip").alias("item"), "vec")
+        qs = ht.join(vecs, ["split", "trip"]).select("split", F.col("trip").alias("qid"), "vec")
+        neg = search.sample_negatives(qs, items, m, seed, NEAR_EXCLUSION, mode, group="split")
+        return (neg.join(F.broadcast(ht.select(F.col("trip").alias("qid"), "split")), "qid")
+                .select("split", F.col("qid").alias("trip"), F.col("item").alias("neg_trip"), "neg_idx"))
 
     def trip_vectors(self, k: int = EMBED_KSEG) -> DataFrame:
         """M06 default trip vector: k-segment means of scaled lng/lat."""
@@ -231,6 +226,8 @@ class TripDatasets:
     def similar_search(self, n: int = 1000, m: int = 10000, seed: int = 0,
                        mode: str = "uniform") -> DataFrame:
         """M03 metrics per split: mean_rank, macro_f1, macro_rec, acc@1/5/10."""
-        sc = self.search_scores(n, m, seed, mode)
+        # queries x (m + 1) rows, read by several metric branches: keep once
+        from pyspark import StorageLevel
+        sc = self.search_scores(n, m, seed, mode).persist(StorageLevel.MEMORY_AND_DISK)
         labels = sc.select("split", "qid").distinct().withColumn("label", F.lit(0))
         return classification_metrics(sc, labels, keys=("split", "qid"), group=("split",))

@@ -458,13 +458,11 @@ def _per_split_queries(ds, n):
 def q_near_set(spark, d):
     ds = datasets(spark, d)
     vecs, ht = _per_split_queries(ds, HOP_N)
-    out = None
-    for s in (0, 1, 2):
-        items = vecs.where(F.col("split") == s).select(F.col("trip").alias("item"), "vec")
-        qs = ht.where(F.col("split") == s).join(vecs, ["split", "trip"]).select(F.col("trip").alias("qid"), "vec")
-        r = search.vector_topk(qs, items, 10).select(F.lit(s).alias("split"), "qid", "item", "rank", "dist")
-        out = r if out is None else out.unionByName(r)
-    return finish(out)
+    items = vecs.select("split", F.col("trip").alias("item"), "vec")
+    qs = ht.join(vecs, ["split", "trip"]).select("split", F.col("trip").alias("qid"), "vec")
+    r = search.vector_topk(qs, items, 10, group="split")
+    return finish(r.join(F.broadcast(ht.select(F.col("trip").alias("qid"), "split")), "qid")
+                  .select("split", "qid", "item", "rank", "dist"))
 
 
 def q_farthest_negatives(spark, d):
