@@ -46,9 +46,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder (never local)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
+    """Write ``df`` as a Parquet table under the shared checkpoint folder and
+    read it back: one job (an eager RDD checkpoint computes its input twice),
+    lineage cut, and later scans get column pruning and filter pushdown.
+    Never a machine-local folder: the folder is ``spark.checkpoint.dir``.
+    """
+    import uuid
+    spark = df.sparkSession
+    root = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{root}/routelens-tables/{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 def bounded_broadcast(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT,
