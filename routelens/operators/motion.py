@@ -45,28 +45,33 @@ def _neighbour_features(df: DataFrame, heading: str) -> DataFrame:
 
     Needs p1_* (previous point), p2_* (the one before), n1_* (next point) and
     has_p1 / has_p2 / has_n1 flags. The previous point's clamped speed is
-    recomputed from (p1, p2), so one ordered pass is enough.
+    recomputed from (p1, p2), so one ordered pass is enough. Distances are
+    their own columns first, so each trigonometric expression is evaluated
+    once per row (Catalyst does not inline an expensive column it would
+    have to repeat).
     """
-    def speed_of(lng, lat, s, plng, plat, ps, has_prev):
-        dt = s - ps
+    def speed_of(dist, dt, has_prev):
         return (F.when(~has_prev, F.lit(0.0))
-                .when(dt > 0, clip(haversine(lng, lat, plng, plat) / dt, MIN_SPEED, MAX_SPEED))
+                .when(dt > 0, clip(dist / dt, MIN_SPEED, MAX_SPEED))
                 .otherwise(F.lit(0.0)))
 
     has_p1, has_p2, has_n1 = F.col("has_p1"), F.col("has_p2"), F.col("has_n1")
-    speed = speed_of(F.col("lng"), F.col("lat"), F.col("seconds"),
-                     F.col("p1_lng"), F.col("p1_lat"), F.col("p1_s"), has_p1)
-    prev_speed = speed_of(F.col("p1_lng"), F.col("p1_lat"), F.col("p1_s"),
-                          F.col("p2_lng"), F.col("p2_lat"), F.col("p2_s"), has_p2)
-    dt = F.col("seconds") - F.col("p1_s")
+    df = (df.withColumn("_dt1", F.col("seconds") - F.col("p1_s"))
+          .withColumn("_dt2", F.col("p1_s") - F.col("p2_s"))
+          .withColumn("_d1", haversine("lng", "lat", "p1_lng", "p1_lat"))
+          .withColumn("_d2", haversine("p1_lng", "p1_lat", "p2_lng", "p2_lat")))
+    df = (df.withColumn("speed", speed_of(F.col("_d1"), F.col("_dt1"), has_p1))
+          .withColumn("_ps", speed_of(F.col("_d2"), F.col("_dt2"), has_p2))
+          .withColumn("_da", F.try_divide(F.col("speed") - F.col("_ps"), F.col("_dt1"))))
     acc = (F.when(~has_p1, F.lit(0.0))
-           .when(dt > 0, clip((F.col("speed") - prev_speed) / dt, MIN_ACCELERATION, MAX_ACCELERATION))
+           .when(F.col("_dt1") > 0, clip(F.col("_da"), MIN_ACCELERATION, MAX_ACCELERATION))
            .otherwise(F.lit(0.0)))
     head = (F.when(has_p1, _heading(F.col("lng"), F.col("lat"), F.col("p1_lng"), F.col("p1_lat"), heading))
             # the first point takes the second point's heading (second -> first)
             .when(has_n1, _heading(F.col("n1_lng"), F.col("n1_lat"), F.col("lng"), F.col("lat"), heading))
             .otherwise(F.lit(0.0)))
-    return df.withColumn("speed", speed).withColumn("acceleration", acc).withColumn("heading_angle", head)
+    return (df.withColumn("acceleration", acc).withColumn("heading_angle", head)
+            .drop("_dt1", "_dt2", "_d1", "_d2", "_ps", "_da"))
 
 
 _NB = ["p1_lng", "p1_lat", "p1_s", "p2_lng", "p2_lat", "p2_s", "n1_lng", "n1_lat",

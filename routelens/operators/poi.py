@@ -26,12 +26,35 @@ def _dist2(qlng, qlat, plng, plat):
     return dx * dx + dy * dy
 
 
-def _topk(cands: DataFrame, k: int) -> DataFrame:
+SALT = 16
+
+
+def _topk(cands: DataFrame, k: int, salted: bool = False) -> DataFrame:
+    """k best (dist2, poi_id) per query. ``salted`` first keeps k per
+    (query, hash(poi) % SALT), so a query facing a crowded cell never sorts
+    all of that cell's places in one window group."""
+    if salted:
+        w0 = Window.partitionBy("qid", "_salt").orderBy("dist2", "poi_id")
+        cands = (cands.withColumn("_salt", F.pmod(F.xxhash64("poi_id"), F.lit(SALT)))
+                 .withColumn("_r0", F.row_number().over(w0)).where(F.col("_r0") <= k)
+                 .drop("_salt", "_r0"))
     w = Window.partitionBy("qid").orderBy("dist2", "poi_id")
     return (cands.withColumn("rank", (F.row_number().over(w) - 1).cast("int"))
             .where(F.col("rank") < k))
 
 
+def dedupe_locations(pois: DataFrame, k: int) -> DataFrame:
+    """Places at one identical location tie for every query, and ties go to
+    the lower id, so only the k lowest ids of a location can ever be chosen.
+    Two-level (salted) so a location holding many copies is never one group."""
+    w0 = Window.partitionBy("lng", "lat", "_salt").orderBy("poi_id")
+    w1 = Window.partitionBy("lng", "lat").orderBy("poi_id")
+    return (pois.withColumn("_salt", F.pmod(F.xxhash64("poi_id"), F.lit(SALT)))
+            .withColumn("_r", F.row_number().over(w0)).where(F.col("_r") <= k)
+            .withColumn("_r", F.row_number().over(w1)).where(F.col("_r") <= k)
+            .drop("_salt", "_r"))
+
+
 def knn_broadcast(queries: DataFrame, pois: DataFrame, k: int) -> DataFrame:
     """J03 for a POI table of checked small size: every task gets the table.
 
@@ -90,7 +113,7 @@ def knn_grid(queries: DataFrame, pois: DataFrame, k: int, cell: float | None = N
     than the edge of the searched square, or the square covers every place;
     the rest retry with R doubled. Each round is an equi-join on cell ids.
     """
-    p = pois.where(F.col("lng").isNotNull() & F.col("lat").isNotNull())
+    p = dedupe_locations(pois.where(F.col("lng").isNotNull() & F.col("lat").isNotNull()), k)
     bb = p.agg(F.count(F.lit(1)).alias("n"), F.min("lng").alias("x0"), F.max("lng").alias("x1"),
                F.min("lat").alias("y0"), F.max("lat").alias("y1")).first()
     npois = bb["n"]
@@ -121,7 +144,7 @@ def knn_grid(queries: DataFrame, pois: DataFrame, k: int, cell: float | None = N
                  .select("qid", "lng", "lat", F.explode(xs).alias("cx"), "qy")
                  .select("qid", "lng", "lat", "cx", F.explode(ys).alias("cy")))
         cand = cells.join(pc, ["cx", "cy"]).withColumn("dist2", _dist2("lng", "lat", "plng", "plat"))
-        top = _topk(cand, k_eff)
+        top = _topk(cand, k_eff, salted=True)
         summ = top.groupBy("qid").agg(F.count(F.lit(1)).alias("cnt"), F.max("dist2").alias("kth"))
         edge = F.least(F.col("lng") - (F.col("qx") - R) * cell, (F.col("qx") + R + 1) * cell - F.col("lng"),
                        F.col("lat") - (F.col("qy") - R) * cell, (F.col("qy") + R + 1) * cell - F.col("lat"))

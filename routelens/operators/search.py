@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..constants import NEAR_EXCLUSION
 from ..functions.arrays import l2_distance
+from ..session import cut_lineage
 
 QUERY_LIMIT = 100_000      # largest query set shipped to every task
 _MASK63 = 0x7FFFFFFFFFFFFFFF
@@ -167,24 +168,32 @@ def sample_negatives(queries: DataFrame, items: DataFrame, m: int, seed: int = 0
         qs = F.broadcast(hq.select("qid", "_g"))
         ids = it.where(F.col("_g").isin(hash_groups)).select("item", "_g")
 
-        def pick(limit_p: bool, qsel) -> DataFrame:
+        def pick(scale: float, qsel) -> DataFrame:
             pairs = ids.join(qsel, "_g").withColumn("_u", hash_unit(seed, "qid", "item"))
-            if limit_p:
-                pairs = pairs.where(F.col("_u") < p_map[F.col("_g")])
+            if scale < float("inf"):
+                pairs = pairs.where(F.col("_u") < p_map[F.col("_g")] * F.lit(scale))
             pairs = pairs.join(excl, ["qid", "item"], "left_anti")
             w = Window.partitionBy("qid").orderBy("_u", "item")
             return (pairs.withColumn("neg_idx", F.row_number().over(w).cast("int"))
                     .where(F.col("neg_idx") <= m_map[F.col("_g")]).select("qid", "item", "neg_idx"))
 
-        first = pick(True, qs)
-        got = first.groupBy("qid").agg(F.count(F.lit(1)).alias("_c"))
-        full = hq.select("qid", "_g").join(got, "qid").where(F.col("_c") >= m_map[F.col("_g")])
-        short = hq.select("qid", "_g").join(full.select("qid"), "qid", "left_anti")
-        if short.limit(1).count() == 0:
-            parts.append(first)
-        else:
-            redo = pick(False, F.broadcast(short))
-            parts.append(first.join(short.select("qid"), "qid", "left_anti").unionByName(redo))
+        # Exact: the M smallest hashes are all below the threshold whenever at
+        # least M items pass it; a short query retries with a 4x threshold
+        # (never the whole split at once), the last round has no threshold.
+        pending = hq.select("qid", "_g")
+        scale = 1.0
+        while True:
+            cur = pick(scale, F.broadcast(pending))
+            got = cur.groupBy("qid").agg(F.count(F.lit(1)).alias("_c"))
+            full = pending.join(got, "qid").where(F.col("_c") >= m_map[F.col("_g")]).select("qid")
+            if scale == float("inf"):
+                parts.append(cur)
+                break
+            parts.append(cur.join(full, "qid", "left_semi"))
+            pending = cut_lineage(pending.join(full, "qid", "left_anti"))
+            if pending.limit(1).count() == 0:
+                break
+            scale = scale * 4 if max(float(r["_p"]) for r in info.values()) * scale * 4 < 1.0 else float("inf")
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -20,7 +20,7 @@ from ..constants import (FEATURE_COLS, KSEG, MAX_TRIP_LEN, MIN_TRIP_LEN, NEAR_EX
                          NORMALIZED_COLS, TRIP_COLS)
 from ..operators import motion, poi, search, sequence, split, stats
 from ..operators.metrics import classification_metrics
-from ..session import cut_lineage
+from ..session import cut_lineage, fits_broadcast
 
 RAW_COLS = ["time", "road", "road_prop", "lng", "lat", "seq_i"]
 NUMERIC_POINT_COLS = ["trip", "road", "road_prop", "lng", "lat", "seq_i", "seconds", "tod",
@@ -61,14 +61,32 @@ class TripDatasets:
         """trip, driver, split."""
         return self._keep(split.assign_split(self.trip_info))
 
+    @cached_property
+    def validity(self) -> DataFrame:
+        """Per trip: length, NULL rows, verdict (a map-side combined count)."""
+        return self._keep(split.trip_validity(self.trips.select("trip", *RAW_COLS), RAW_COLS,
+                                              self.min_len, self.max_len))
+
     @cached_property
     def valid(self) -> DataFrame:
         """trip, length, split of valid trips (F02 per split)."""
-        v = split.trip_validity(self.trips.select("trip", *RAW_COLS), RAW_COLS,
-                                self.min_len, self.max_len).where("valid")
+        v = self.validity.where("valid")
         return self._keep(v.join(self.split_info.select("trip", "split"), "trip")
                           .select("trip", "split", "length"))
 
+    def _drop_long_trips(self, pts: DataFrame) -> DataFrame:
+        """Remove trips over the length bound before any shuffle on ``trip``.
+
+        Only those trips can make a hot key; there are at most rows / max_len
+        of them, and the list is broadcast after a size check (else an
+        anti-join that AQE can split).
+        """
+        long = self.validity.where(F.col("length") > self.max_len).select("trip")
+        if long.limit(1).count() == 0:
+            return pts
+        lb = F.broadcast(long) if fits_broadcast(long, 5_000_000) else long
+        return pts.join(lb, "trip", "left_anti")
+
     @cached_property
     def motion_all(self) -> DataFrame:
         """K01 over every trip (for the statistics), skew-safe plan."""
@@ -86,7 +104,7 @@ class TripDatasets:
     @cached_property
     def valid_points(self) -> DataFrame:
         """Points of valid trips with split, K01, pos, n (one window sort)."""
-        pts = self.points.join(self.valid.select("trip", "split"), "trip")
+        pts = self._drop_long_trips(self.points).join(self.valid.select("trip", "split"), "trip")
         pts = motion.motion_features(pts, self.heading)
         return motion.with_positions(pts)
 
