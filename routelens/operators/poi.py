@@ -104,14 +104,20 @@ def knn_broadcast(queries: DataFrame, pois: DataFrame, k: int) -> DataFrame:
 
 
 def knn_grid(queries: DataFrame, pois: DataFrame, k: int, cell: float | None = None,
-             max_rounds: int = 64) -> DataFrame:
-    """Exact k nearest places by grid cells and growing squares.
-
-    Places go to square cells; each query first looks at the cells within
-    Chebyshev radius R of its own cell (clipped to the cells that hold places).
-    A query is done when it has k candidates and the k-th is strictly closer
-    than the edge of the searched square, or the square covers every place;
-    the rest retry with R doubled. Each round is an equi-join on cell ids.
+             max_rounds: int = 64, levels: int = 10) -> DataFrame:
+    """Exact k nearest places with multi-level grid cells and growing squares.
+
+    Places are bucketed at ``levels + 1`` cell sizes (the base size gives
+    about k places per cell on average; each level halves the side). A query
+    searches at the finest level whose cell around it still holds at least k
+    places, so dense clusters get small cells and sparse areas large ones.
+    At its level a query looks at the cells within Chebyshev radius R of its
+    own cell (clipped to the cells that hold places). It is done when it has
+    k candidates and the k-th is strictly closer than the edge of the searched
+    square, or the square covers every place; the rest retry with R doubled.
+    Each round is an equi-join on (level, cell); the per-query top-k is salted
+    so a crowded cell is never one window group; places at one identical
+    location are cut to the k lowest ids first.
     """
     p = dedupe_locations(pois.where(F.col("lng").isNotNull() & F.col("lat").isNotNull()), k)
     bb = p.agg(F.count(F.lit(1)).alias("n"), F.min("lng").alias("x0"), F.max("lng").alias("x1"),
@@ -124,36 +130,55 @@ def knn_grid(queries: DataFrame, pois: DataFrame, k: int, cell: float | None = N
     if cell is None:
         area = max((bb["x1"] - bb["x0"]) * (bb["y1"] - bb["y0"]), 1e-12)
         cell = max(math.sqrt(area * max(k_eff, 1) / npois), 1e-9)
-    pc = p.select("poi_id", "name", "address", F.col("lng").alias("plng"), F.col("lat").alias("plat"),
-                  F.floor(F.col("lng") / cell).cast("long").alias("cx"),
-                  F.floor(F.col("lat") / cell).cast("long").alias("cy"))
-    cb = pc.agg(F.min("cx"), F.max("cx"), F.min("cy"), F.max("cy")).first()
-    cx0, cx1, cy0, cy1 = cb
-    pending = (queries.where(F.col("lng").isNotNull() & F.col("lat").isNotNull())
-               .select("qid", "lng", "lat",
-                       F.floor(F.col("lng") / cell).cast("long").alias("qx"),
-                       F.floor(F.col("lat") / cell).cast("long").alias("qy")))
+    spark = queries.sparkSession
+    lv = spark.range(levels + 1).select(F.col("id").cast("int").alias("level"),
+                                        (F.lit(cell) / F.pow(F.lit(2.0), F.col("id"))).alias("cl"))
+    x0, x1, y0, y1 = bb["x0"], bb["x1"], bb["y0"], bb["y1"]
+    # every place at every level (place tables are dimension-sized)
+    pcl = p.crossJoin(F.broadcast(lv)).select(
+        "level", "poi_id", "name", "address", F.col("lng").alias("plng"), F.col("lat").alias("plat"),
+        F.floor(F.col("lng") / F.col("cl")).cast("long").alias("cx"),
+        F.floor(F.col("lat") / F.col("cl")).cast("long").alias("cy"))
+    pcl = cut_lineage(pcl)
+    occ = pcl.groupBy("level", "cx", "cy").agg(F.count(F.lit(1)).alias("cnt"))
+    q = queries.where(F.col("lng").isNotNull() & F.col("lat").isNotNull()).select("qid", "lng", "lat")
+    ql = (q.crossJoin(F.broadcast(lv))
+          .withColumn("cx", F.floor(F.col("lng") / F.col("cl")).cast("long"))
+          .withColumn("cy", F.floor(F.col("lat") / F.col("cl")).cast("long"))
+          .join(occ, ["level", "cx", "cy"], "left")
+          .where(F.col("cnt") >= k_eff)
+          .groupBy("qid").agg(F.max("level").alias("level")))
+    pending = (q.join(ql, "qid", "left").withColumn("level", F.coalesce("level", F.lit(0)))
+               .withColumn("cl", F.lit(cell) / F.pow(F.lit(2.0), F.col("level")))
+               .withColumn("qx", F.floor(F.col("lng") / F.col("cl")).cast("long"))
+               .withColumn("qy", F.floor(F.col("lat") / F.col("cl")).cast("long"))
+               .withColumn("cx0", F.floor(F.lit(x0) / F.col("cl")).cast("long"))
+               .withColumn("cx1", F.floor(F.lit(x1) / F.col("cl")).cast("long"))
+               .withColumn("cy0", F.floor(F.lit(y0) / F.col("cl")).cast("long"))
+               .withColumn("cy1", F.floor(F.lit(y1) / F.col("cl")).cast("long")))
+    pending = cut_lineage(pending)
     done: list[DataFrame] = []
     R = 1
     for _ in range(max_rounds):
-        xs = F.sequence(F.greatest(F.col("qx") - R, F.lit(cx0)), F.least(F.col("qx") + R, F.lit(cx1)))
-        ys = F.sequence(F.greatest(F.col("qy") - R, F.lit(cy0)), F.least(F.col("qy") + R, F.lit(cy1)))
-        overlap = ((F.col("qx") + R >= cx0) & (F.col("qx") - R <= cx1)
-                   & (F.col("qy") + R >= cy0) & (F.col("qy") - R <= cy1))
+        xs = F.sequence(F.greatest(F.col("qx") - R, F.col("cx0")), F.least(F.col("qx") + R, F.col("cx1")))
+        ys = F.sequence(F.greatest(F.col("qy") - R, F.col("cy0")), F.least(F.col("qy") + R, F.col("cy1")))
+        overlap = ((F.col("qx") + R >= F.col("cx0")) & (F.col("qx") - R <= F.col("cx1"))
+                   & (F.col("qy") + R >= F.col("cy0")) & (F.col("qy") - R <= F.col("cy1")))
         cells = (pending.where(overlap)
-                 .select("qid", "lng", "lat", F.explode(xs).alias("cx"), "qy")
-                 .select("qid", "lng", "lat", "cx", F.explode(ys).alias("cy")))
-        cand = cells.join(pc, ["cx", "cy"]).withColumn("dist2", _dist2("lng", "lat", "plng", "plat"))
+                 .select("qid", "level", "lng", "lat", F.explode(xs).alias("cx"), "qy", "cy0", "cy1", "qx")
+                 .select("qid", "level", "lng", "lat", "cx", F.explode(ys).alias("cy")))
+        cand = cells.join(pcl, ["level", "cx", "cy"]).withColumn("dist2", _dist2("lng", "lat", "plng", "plat"))
         top = _topk(cand, k_eff, salted=True)
         summ = top.groupBy("qid").agg(F.count(F.lit(1)).alias("cnt"), F.max("dist2").alias("kth"))
-        edge = F.least(F.col("lng") - (F.col("qx") - R) * cell, (F.col("qx") + R + 1) * cell - F.col("lng"),
-                       F.col("lat") - (F.col("qy") - R) * cell, (F.col("qy") + R + 1) * cell - F.col("lat"))
-        covers = ((F.col("qx") - R <= cx0) & (F.col("qx") + R >= cx1)
-                  & (F.col("qy") - R <= cy0) & (F.col("qy") + R >= cy1))
+        cl = F.col("cl")
+        edge = F.least(F.col("lng") - (F.col("qx") - R) * cl, (F.col("qx") + R + 1) * cl - F.col("lng"),
+                       F.col("lat") - (F.col("qy") - R) * cl, (F.col("qy") + R + 1) * cl - F.col("lat"))
+        covers = ((F.col("qx") - R <= F.col("cx0")) & (F.col("qx") + R >= F.col("cx1"))
+                  & (F.col("qy") - R <= F.col("cy0")) & (F.col("qy") + R >= F.col("cy1")))
         status = (pending.join(summ, "qid", "left")
                   .withColumn("ok", covers | ((F.coalesce("cnt", F.lit(0)) == k_eff)
                                               & (F.sqrt("kth") < edge - F.lit(1e-12))))
-                  .select("qid", "lng", "lat", "qx", "qy", "ok"))
+                  .drop("cnt", "kth"))
         status = cut_lineage(status)
         done.append(top.join(status.where("ok").select("qid"), "qid", "left_semi")
                     .select("qid", "rank", "poi_id", "name", "address", "dist2"))

@@ -73,3 +73,27 @@ def test_negatives_capped_and_small_sets(spark):
     q2 = few.where("item < 2").select(F.col("item").alias("qid"), "vec")
     far = search.sample_negatives(q2, few, 4, seed=1).collect()  # <= 10 trips: the 4 farthest
     assert len(far) == 8
+
+
+def test_grid_exact_with_hot_cluster_and_copies(spark):
+    import random
+    rnd = random.Random(5)
+    pois = []
+    pid = 0
+    for _ in range(3000):        # a hot cluster: most places in a tiny square
+        pois.append((pid, f"c{pid}", "A", 104.0 + rnd.random() * 1e-4, 30.6 + rnd.random() * 1e-4)); pid += 1
+    for _ in range(300):         # many copies of one location
+        pois.append((pid, f"d{pid}", "B", 104.01, 30.61)); pid += 1
+    for _ in range(200):         # sparse places around
+        pois.append((pid, f"s{pid}", "C", 104.0 + rnd.random() * 0.05, 30.6 + rnd.random() * 0.05)); pid += 1
+    P = spark.createDataFrame(pois, "poi_id long, name string, address string, lng double, lat double")
+    qs = [(i, 104.0 + rnd.random() * 0.05, 30.6 + rnd.random() * 0.05) for i in range(60)]
+    qs += [(100 + i, 104.0 + rnd.random() * 1e-4, 30.6 + rnd.random() * 1e-4) for i in range(20)]
+    qs += [(200, 104.01, 30.61), (201, 104.0102, 30.6101)]
+    Q = spark.createDataFrame(qs, "qid long, lng double, lat double")
+    got = sorted((r.qid, r.rank, r.poi_id) for r in poi.knn_grid(Q, P, 5).collect())
+    want = []
+    for qid, x, y in qs:
+        d = sorted((((px - x) * (px - x) + (py - y) * (py - y)), i) for i, _, _, px, py in pois)[:5]
+        want += [(qid, r, i) for r, (_, i) in enumerate(d)]
+    assert got == sorted(want)
