@@ -198,18 +198,3 @@ def sample_negatives(queries: DataFrame, items: DataFrame, m: int, seed: int = 0
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
-
-
-def search_scores(qry_vec: DataFrame, tgt_vec: DataFrame, negatives: DataFrame,
-                  item_vec: DataFrame) -> DataFrame:
-    """score = -L2 distance; class 0 = own target, j = j-th negative.
-
-    qry_vec/tgt_vec: (qid, vec); negatives: (qid, item, neg_idx); item_vec: (item, vec).
-    Only the diagonal query-target pairs are formed (equi-join on qid).
-    """
-    t = (qry_vec.join(tgt_vec.withColumnRenamed("vec", "_t"), "qid")
-         .select("qid", F.lit(0).alias("cls"), (-l2_distance("vec", "_t")).alias("score")))
-    n = (negatives.join(item_vec.withColumnRenamed("vec", "_n"), "item")
-         .join(qry_vec, "qid")
-         .select("qid", F.col("neg_idx").alias("cls"), (-l2_distance("vec", "_n")).alias("score")))
-    return t.unionByName(n)

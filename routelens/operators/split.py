@@ -18,11 +18,11 @@ def assign_split(trip_info: DataFrame, order: str = "trip",
                  train: float = 0.8, val: float = 0.9) -> DataFrame:
     """0/1/2 by row order of trip_info (ascending ``order``).
 
-    The bounds need the trip count; it is one aggregate read back as a number.
+    The bounds need the trip count: the sum of the ordinal's per-partition
+    counts, read back with them.
     """
-    n = trip_info.count()
+    ranked, n = row_ordinal(trip_info, [order], name="_ord", with_total=True)
     b1, b2 = split_bounds(n, train, val)
-    ranked = row_ordinal(trip_info, [order], name="_ord")
     split = (F.when(F.col("_ord") < b1, F.lit(0))
              .when(F.col("_ord") < b2, F.lit(1)).otherwise(F.lit(2)))
     return ranked.withColumn("split", split.cast("int")).drop("_ord")

@@ -58,7 +58,7 @@ def describe(df: DataFrame, cols: list[str], quantiles: str = "exact") -> DataFr
         q = q.select("column", *[F.col("_q")[i].alias(n) for i, n in enumerate(["p25", "p50", "p75"])])
         return base.join(q, "column")
     # Exact: positions h = (n-1) q; value = v[floor h] + (v[ceil h]-v[floor h]) * frac.
-    ranked = row_ordinal(long, ["value", "_tie"], name="_rank", group="column")
+    ranked = row_ordinal(long, ["value", "_tie"], name="_rank", group="column", few_groups=True)
     wanted = []
     for name, q in (("p25", 0.25), ("p50", 0.5), ("p75", 0.75)):
         h = (F.col("count") - 1) * F.lit(q)

@@ -557,3 +557,19 @@ _add("new_vocabulary", _sql(
     "SELECT word FROM (VALUES " + ", ".join(f"('{w}')" for w in _ANCHORS) + ") AS a(word) "
     "WHERE word NOT IN (SELECT t FROM (SELECT unnest(regexp_split_to_array(lower(concat_ws(' ', name, address)), "
     "'[^a-z0-9#-]+')) AS t FROM pois) WHERE length(t) > 0)"))
+
+_add("pairwise", _sql(
+    f"SELECT trip, pos, {R('lng')} AS lng, {R('lat')} AS lat, {R('next_lng')} AS next_lng, {R('next_lat')} AS next_lat "
+    f"FROM {_pairs} WHERE np IS NOT NULL"))
+_add("od_poi_text", _sql(
+    "SELECT qid AS trip, concat(max(CASE WHEN rank = 0 THEN address END), string_agg(name, '、' ORDER BY rank)) AS text "
+    "FROM nb GROUP BY qid",
+    ",\n" + _knn_cte("nb", "SELECT trip AS qid, lng, lat FROM vp WHERE pos = 0", "pois", 3)))
+_add("negative_candidates", _sql(
+    "SELECT h.split, h.trip, s.t - 10 AS n_candidates FROM hop h JOIN ssize s USING (split)", _search_ctes()))
+_add("prompt_suffix", _sql(
+    "SELECT v.trip, s.task, s.lang, s.suffix FROM valid v CROSS JOIN (VALUES "
+    "('destination', 'zh', '目的地所在路段为'), ('destination', 'en', 'The destination is'), "
+    "('tte', 'zh', '旅行时间为'), ('tte', 'en', 'The total travel time is'), "
+    "('classification', 'zh', '该轨迹所属的司机可以被归纳为'), ('classification', 'en', '该轨迹所属的司机可以被归纳为')) "
+    "AS s(task, lang, suffix)"))

@@ -45,10 +45,13 @@ class TripDatasets:
         self.spark = trips.sparkSession
         self._memo: dict = {}
 
-    def _keep(self, df: DataFrame) -> DataFrame:
+    def _keep(self, df: DataFrame, by_split: bool = False) -> DataFrame:
         """Write a table reused by several datasets to the checkpoint folder
-        (shared storage on a cluster), cutting its lineage."""
-        return cut_lineage(df) if self.materialize else df
+        (shared storage on a cluster), cutting its lineage; per-split tables
+        are partitioned by split so reading one split prunes partitions."""
+        if not self.materialize:
+            return df
+        return cut_lineage(df, partition_by="split" if by_split else None)
 
     # ---- base tables -------------------------------------------------------
     @cached_property
@@ -121,7 +124,7 @@ class TripDatasets:
         s0, s1 = F.min("seconds").over(w), F.max("seconds").over(w)
         df = df.withColumn("offset", F.try_divide(F.col("seconds") - s0, s1 - s0) * 2 - 1)
         df = stats.normalize_minmax(df, self.norm_stats, NORMALIZED_COLS)
-        return self._keep(df.select("split", "trip", "pos", "n", *FEATURE_COLS))
+        return self._keep(df.select("split", "trip", "pos", "n", *FEATURE_COLS), by_split=True)
 
     def trip_sequences(self) -> DataFrame:
         """One row per trip, its 12-feature points in order."""

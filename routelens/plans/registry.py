@@ -487,6 +487,38 @@ def q_similar_search_sampled(spark, d):
     return finish(datasets(spark, d).similar_search(HOP_N, NEG_M, seed=7, mode="uniform"))
 
 
+def q_pairwise(spark, d):
+    """Consecutive point pairs of every valid trip."""
+    vp = datasets(spark, d).valid_points
+    return finish(motion.pairwise(vp, ["lng", "lat"]).select("trip", "pos", "lng", "lat", "next_lng", "next_lat"))
+
+
+def q_od_poi_text(spark, d):
+    """The place text of every valid trip origin (k = 3)."""
+    ds = datasets(spark, d)
+    nb = poi.knn_poi(_origins(ds), ds.fixture["pois"], POI_K)
+    return poi.poi_text(nb).select(F.col("qid").alias("trip"), "text")
+
+
+def q_negative_candidates(spark, d):
+    """How many negative candidates each hop query has (all but its 10 nearest)."""
+    ds = datasets(spark, d)
+    vecs, ht = _per_split_queries(ds, HOP_N)
+    items = vecs.select("split", F.col("trip").alias("item"), "vec")
+    qs = ht.join(vecs, ["split", "trip"]).select("split", F.col("trip").alias("qid"), "vec")
+    near = search.nearest_set(qs, items, 10, group="split").groupBy("qid").agg(F.count(F.lit(1)).alias("n_near"))
+    sizes = vecs.groupBy("split").agg(F.count(F.lit(1)).alias("n_items"))
+    return (ht.join(sizes, "split").join(near, ht["trip"] == near["qid"])
+            .select("split", "trip", (F.col("n_items") - F.col("n_near")).alias("n_candidates")))
+
+
+def q_prompt_suffix(spark, d):
+    """The task suffix of every valid trip, per task and language."""
+    rows = [(t, l, v) for (t, l), v in TASK_SUFFIXES.items()]
+    suf = spark.createDataFrame(rows, "task string, lang string, suffix string")
+    return datasets(spark, d).valid.select("trip").crossJoin(F.broadcast(suf))
+
+
 def q_seeded_shuffle(spark, d):
     v = datasets(spark, d).valid.where("split = 0").select("trip")
     return v.withColumn("shuffle_key", split.seeded_shuffle_key(42, "trip"))
@@ -721,5 +753,11 @@ def q_metrics_table(spark, d):
     return finish(spark.read.parquet(path))
 
 
+def q_select_model(spark, d):
+    """Pick the best of a small LinearRegression grid on the validation split."""
+    from .tasks import regression_task
+    return finish(regression_task(datasets(spark, d), "linear"))
+
+
 QUERIES.update({k[2:]: v for k, v in list(globals().items())
                 if k.startswith("q_") and callable(v) and k[2:] not in QUERIES})

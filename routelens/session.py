@@ -45,7 +45,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
-def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
+def cut_lineage(df: DataFrame, eager: bool = True, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` as a Parquet table under the shared checkpoint folder and
     read it back: one job (an eager RDD checkpoint computes its input twice),
     lineage cut, and later scans get column pruning and filter pushdown.
@@ -55,8 +55,12 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     spark = df.sparkSession
     root = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{root}/routelens-tables/{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    w = df.write.mode("overwrite")
+    if partition_by:
+        w = w.partitionBy(partition_by)
+    w.parquet(path)
+    out = spark.read.parquet(path)
+    return out.select(*df.columns)       # partition column back in its place
 
 
 def bounded_broadcast(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT,
