@@ -463,8 +463,7 @@ _add("near_set", _sql(
 _add("farthest_negatives", _sql("SELECT split, trip, neg_trip, neg_idx FROM negs", _search_ctes()))
 _add("search_candidates", _sql(f"SELECT split, qid, CAST(cls AS INTEGER) AS cls, {R('score')} AS score FROM scores",
                                _search_ctes()))
-_add("similar_search", _sql(
-    f"""SELECT split, {R('avg(rank)')} AS mean_rank, {R('avg(f1)')} AS macro_f1, {R('avg(rec)')} AS macro_rec,
+_SS_FINAL = f"""SELECT split, {R('avg(rank)')} AS mean_rank, {R('avg(f1)')} AS macro_f1, {R('avg(rec)')} AS macro_rec,
        {R('max(acc1)')} AS "acc@1", {R('max(acc5)')} AS "acc@5", {R('max(acc10)')} AS "acc@10"
 FROM (
   SELECT pc.split, pc.f1, pc.rec, h.rank, h.acc1, h.acc5, h.acc10 FROM
@@ -473,8 +472,8 @@ FROM (
   JOIN (SELECT split, avg(rank) AS rank, avg(CASE WHEN pred = 0 THEN 1.0 ELSE 0.0 END) AS acc1,
                avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0.0 END) AS acc5,
                avg(CASE WHEN rank <= 10 THEN 1.0 ELSE 0.0 END) AS acc10 FROM sper GROUP BY split) h USING (split))
-GROUP BY split""",
-    _search_ctes() + """,
+GROUP BY split"""
+_SS_EXTRA = """,
 smax AS (SELECT split, qid, max(score) AS ms FROM scores GROUP BY split, qid),
 spred AS (SELECT s.split, s.qid, min(s.cls) AS pred FROM scores s JOIN smax m USING (split, qid)
           WHERE s.score = m.ms GROUP BY s.split, s.qid),
@@ -483,7 +482,8 @@ srank AS (SELECT s.split, s.qid, 1 + sum(CASE WHEN s.score > t.score OR (s.score
 sper AS (SELECT p.split, p.qid, p.pred, r.rank FROM spred p JOIN srank r USING (split, qid)),
 spc AS (SELECT split, c, sum(n_true) AS n_true, sum(tp) AS tp, sum(n_pred) AS n_pred FROM (
           SELECT split, 0 AS c, 1 AS n_true, CASE WHEN pred = 0 THEN 1 ELSE 0 END AS tp, 0 AS n_pred FROM sper
-          UNION ALL SELECT split, pred AS c, 0, 0, 1 FROM sper) GROUP BY split, c)"""))
+          UNION ALL SELECT split, pred AS c, 0, 0, 1 FROM sper) GROUP BY split, c)"""
+_add("similar_search", _sql(_SS_FINAL, _search_ctes() + _SS_EXTRA))
 _add("mean_pool", _sql(f"SELECT label, CAST(i AS INTEGER) AS i, {R('c')} AS value FROM (SELECT cls AS label, i, c FROM cent)", EMB))
 _add("l2_similarity", _sql(
     f"SELECT e.vec_id, {R('-sqrt(sum((e.v - c.c) * (e.v - c.c)))')} AS similarity FROM emb e "
@@ -519,8 +519,9 @@ base AS (SELECT t.*, m.pred FROM tte t CROSS JOIN (SELECT avg(label) AS pred FRO
 reg AS (SELECT split, sqrt(avg((pred - label) * (pred - label))) AS rmse, avg(abs(pred - label)) AS mae,
                avg(abs(CASE WHEN label <> 0 THEN (pred - label) / label END)) AS mape,
                sum(CASE WHEN label = 0 THEN 1 ELSE 0 END) AS mape_skipped FROM base GROUP BY split)"""
-_add("regression_metrics", _sql(
-    f"SELECT split, {R('rmse')} AS rmse, {R('mae')} AS mae, {R('mape')} AS mape, CAST(mape_skipped AS BIGINT) AS mape_skipped FROM reg", _TTE))
+_REG_FINAL = (f"SELECT split, {R('rmse')} AS rmse, {R('mae')} AS mae, {R('mape')} AS mape, "
+              "CAST(mape_skipped AS BIGINT) AS mape_skipped FROM reg")
+_add("regression_metrics", _sql(_REG_FINAL, _TTE))
 _add("selection_score", _sql(f"SELECT split, {R('mape')} AS mape, {R('1.0 / (mape + 1e-6)')} AS score FROM reg", _TTE))
 _add("set_intersection", _sql("SELECT DISTINCT road FROM vp WHERE split = 0 INTERSECT SELECT DISTINCT road FROM vp WHERE split = 2"))
 _PREFIX_ZH = ("concat('这条轨迹发生于', ['周一','周二','周三','周四','周五','周六','周日'][start_weekday + 1], "
@@ -573,3 +574,19 @@ _add("prompt_suffix", _sql(
     "('tte', 'zh', '旅行时间为'), ('tte', 'en', 'The total travel time is'), "
     "('classification', 'zh', '该轨迹所属的司机可以被归纳为'), ('classification', 'en', '该轨迹所属的司机可以被归纳为')) "
     "AS s(task, lang, suffix)"))
+
+
+def _metrics_table_sql() -> str:
+    metrics = ["mean_rank", "macro_f1", "macro_rec", "acc@1", "acc@5", "acc@10"]
+    rm = ["rmse", "mae", "mape", "mape_skipped"]
+    u1 = " UNION ALL ".join(
+        f"SELECT 'search' AS task, split, '{m}' AS metric, CAST(\"{m}\" AS DOUBLE) AS value FROM ss" for m in metrics)
+    u2 = " UNION ALL ".join(
+        f"SELECT 'tte_baseline' AS task, split, '{m}' AS metric, CAST({m} AS DOUBLE) AS value FROM rg" for m in rm)
+    extra = _search_ctes() + _SS_EXTRA + _TTE + f""",
+ss AS ({_SS_FINAL}),
+rg AS ({_REG_FINAL})"""
+    return _sql(f"SELECT task, split, metric, {R('value')} AS value FROM ({u1} UNION ALL {u2})", extra)
+
+
+_add("metrics_table", _metrics_table_sql())
