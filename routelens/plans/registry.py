@@ -22,6 +22,7 @@ from ..functions.arrays import concat_valid, l2_distance, pad_to, valid_mask
 from ..functions.temporal import hour
 from ..operators import metrics, motion, poi, search, sequence, split, stats
 from ..operators.ordinal import row_ordinal
+from ..session import bounded_broadcast
 from ..sources.fixture import fixture_tables
 from .datasets import NUMERIC_POINT_COLS, TripDatasets
 
@@ -79,7 +80,7 @@ def _emb_scores(spark, sf_dir) -> DataFrame:
     The centroid table has one row per label (10), broadcast by size.
     """
     e = _emb(spark, sf_dir)
-    c = F.broadcast(_centroids(spark, sf_dir))
+    c = bounded_broadcast(_centroids(spark, sf_dir), 10_000, "label centroids")
     return e.crossJoin(c).select(F.col("vec_id").alias("id"), "cls", (-l2_distance("vec", "cvec")).alias("score"))
 
 
@@ -530,7 +531,7 @@ def q_mean_pool(spark, d):
 
 def q_l2_similarity(spark, d):
     e = _emb(spark, d)
-    c = F.broadcast(_centroids(spark, d))
+    c = bounded_broadcast(_centroids(spark, d), 10_000, "label centroids")
     j = e.join(c, e["label"] == c["cls"])
     return finish(j.select("vec_id", (-l2_distance("vec", "cvec")).alias("similarity")))
 
@@ -671,7 +672,7 @@ def q_embedding_lookup(spark, d):
     """Road embedding (its lng/lat) + weekday position encoding, summed."""
     ds = datasets(spark, d)
     ri = ds.fixture["road_info"].select("road", F.array("lng", "lat").alias("road_vec"))
-    vp = ds.valid_points.where("split = 2").join(F.broadcast(ri), "road")
+    vp = ds.valid_points.where("split = 2").join(ri, "road")   # Spark sizes the road table
     e = vp.select("trip", "pos", F.zip_with("road_vec", encodings.position_encoding(F.col("weekday").cast("double"), 2),
                                              lambda a, b: a + b).alias("e"))
     return finish(e.select("trip", "pos", F.col("e")[0].alias("e0"), F.col("e")[1].alias("e1")))
@@ -680,7 +681,7 @@ def q_embedding_lookup(spark, d):
 def q_anchor_attention(spark, d):
     """Each embedding attends over the label centroids (anchors)."""
     e = _emb(spark, d)
-    c = F.broadcast(_centroids(spark, d))
+    c = bounded_broadcast(_centroids(spark, d), 10_000, "label centroids")
     dim = 64
     j = e.crossJoin(c).withColumn(
         "s", F.aggregate(F.zip_with("vec", "cvec", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
