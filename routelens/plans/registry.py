@@ -53,6 +53,8 @@ def finish(df: DataFrame) -> DataFrame:
 def datasets(spark: SparkSession, sf_dir: str) -> TripDatasets:
     key = (id(spark), sf_dir)
     if key not in _CACHE:
+        from ..session import ship_package
+        ship_package(spark)
         fx = fixture_tables(spark, sf_dir)
         ds = TripDatasets(fx["trips"], fx["trip_info"], fx["road_info"], fx["pois"])
         ds.fixture = fx
@@ -728,8 +730,13 @@ def q_tte_model(spark, d):
 
 def q_encode_trips(spark, d):
     """A caller's batch encoder over whole trips (mapInPandas)."""
-    from ..operators.vectors import encode_trips, summary_encoder
+    from ..operators.vectors import encode_trips
     tf = datasets(spark, d).trip_features
+
+    def summary_encoder(arrs):      # the caller's encoder: mean, std, first, last per column
+        import numpy as np
+        return np.stack([np.concatenate([a.mean(0), a.std(0), a[0], a[-1]]) for a in arrs])
+
     return finish(encode_trips(tf, ["lng", "lat", "speed"], summary_encoder, 12)
                   .select("trip", F.posexplode("vec").alias("i", "value")))
 

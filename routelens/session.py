@@ -84,3 +84,30 @@ def env_int(name: str, default: int) -> int:
         return int(os.environ.get(name, default))
     except ValueError:
         return default
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``routelens`` importable in Python workers (pandas UDF closures
+    may refer to it) by adding a zip of the package to the session once."""
+    import io
+    import zipfile
+    key = id(spark.sparkContext)
+    if key in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg)
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
+        for d, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(d, f)
+                    z.write(full, os.path.relpath(full, root))
+    target = os.path.join(tempfile.mkdtemp(prefix="routelens-pkg-"), "routelens.zip")
+    with open(target, "wb") as fh:
+        fh.write(buf.getvalue())
+    spark.sparkContext.addPyFile(target)
+    _SHIPPED.add(key)
