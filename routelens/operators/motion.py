@@ -106,7 +106,8 @@ def motion_features(points: DataFrame, heading: str = "reference") -> DataFrame:
 
 
 def motion_features_all(points: DataFrame, heading: str = "reference",
-                        chunk_rows: int = 200_000, long_trip_limit: int = 1_000_000) -> DataFrame:
+                        chunk_rows: int = 200_000, long_trip_limit: int = 1_000_000,
+                        trip_stats: DataFrame | None = None) -> DataFrame:
     """K01 over trips of any length, safe when one trip holds most of the rows.
 
     Trips longer than ``chunk_rows`` (found by a grouped count, map-side
@@ -116,10 +117,15 @@ def motion_features_all(points: DataFrame, heading: str = "reference",
     first row of a trip whose first chunk has one row) miss a neighbour, and
     they take it from a small per-chunk table. The long-trip table is broadcast
     after a size check (there are at most rows / chunk_rows such trips).
+    ``trip_stats`` (trip, length, s0, s1) can be passed in when the caller
+    already aggregated per trip, saving a pass over the points.
     """
-    stats = (points.groupBy("trip").agg(F.count(F.lit(1)).alias("_n"),
-                                        F.min("seconds").alias("_s0"),
-                                        F.max("seconds").alias("_s1"))
+    if trip_stats is None:
+        trip_stats = points.groupBy("trip").agg(F.count(F.lit(1)).alias("length"),
+                                                F.min("seconds").alias("s0"),
+                                                F.max("seconds").alias("s1"))
+    stats = (trip_stats.select("trip", F.col("length").alias("_n"), F.col("s0").alias("_s0"),
+                               F.col("s1").alias("_s1"))
              .where(F.col("_n") > chunk_rows))
     n_long = stats.limit(long_trip_limit + 1).count()
     if n_long == 0:

@@ -20,7 +20,7 @@ from ..constants import (FEATURE_COLS, KSEG, MAX_TRIP_LEN, MIN_TRIP_LEN, NEAR_EX
                          NORMALIZED_COLS, TRIP_COLS)
 from ..operators import motion, poi, search, sequence, split, stats
 from ..operators.metrics import classification_metrics
-from ..session import cut_lineage, fits_broadcast
+from ..session import cut_lineage
 
 RAW_COLS = ["time", "road", "road_prop", "lng", "lat", "seq_i"]
 NUMERIC_POINT_COLS = ["trip", "road", "road_prop", "lng", "lat", "seq_i", "seconds", "tod",
@@ -66,9 +66,17 @@ class TripDatasets:
 
     @cached_property
     def validity(self) -> DataFrame:
-        """Per trip: length, NULL rows, verdict (a map-side combined count)."""
-        return self._keep(split.trip_validity(self.trips.select("trip", *RAW_COLS), RAW_COLS,
-                                              self.min_len, self.max_len))
+        """Per trip: length, NULL rows, first/last second and the verdict, in
+        one map-side combined aggregate (shared by the validity filter and the
+        long-trip detection of K01)."""
+        any_null = F.lit(False)
+        for c in RAW_COLS:
+            any_null = any_null | F.col(c).isNull()
+        agg = self.points.groupBy("trip").agg(
+            F.count(F.lit(1)).alias("length"), F.count_if(any_null).alias("null_rows"),
+            F.min("seconds").alias("s0"), F.max("seconds").alias("s1"))
+        ok = (F.col("null_rows") == 0) & F.col("length").between(self.min_len, self.max_len)
+        return self._keep(agg.withColumn("valid", ok))
 
     @cached_property
     def valid(self) -> DataFrame:
@@ -85,15 +93,16 @@ class TripDatasets:
         anti-join that AQE can split).
         """
         long = self.validity.where(F.col("length") > self.max_len).select("trip")
-        if long.limit(1).count() == 0:
+        limit = 5_000_000
+        n = long.limit(limit + 1).count()
+        if n == 0:
             return pts
-        lb = F.broadcast(long) if fits_broadcast(long, 5_000_000) else long
-        return pts.join(lb, "trip", "left_anti")
+        return pts.join(F.broadcast(long) if n <= limit else long, "trip", "left_anti")
 
     @cached_property
     def motion_all(self) -> DataFrame:
         """K01 over every trip (for the statistics), skew-safe plan."""
-        return motion.motion_features_all(self.points, self.heading)
+        return motion.motion_features_all(self.points, self.heading, trip_stats=self.validity)
 
     @cached_property
     def norm_stats(self) -> DataFrame:
