@@ -235,7 +235,7 @@ FROM (SELECT avg(rank) AS mean_rank, avg(CASE WHEN pred = label THEN 1.0 ELSE 0.
              avg(CASE WHEN n_true > 0 THEN 1.0 * tp / n_true ELSE 0.0 END) AS macro_rec FROM pc) m"""
 
 
-def _search_ctes(mode_farthest: bool = True, n: int = 5, m: int = 5) -> str:
+def _search_ctes(mode_farthest: bool = True, n: int = 5, m: int = 5) -> str:  # n: hop CTE
     """Farthest-negatives search over kseg(6) selection and kseg(3) vectors."""
     return _kseg(6) + _kvec("kv", "kseg") + f""",
 hopq AS (SELECT split, trip AS qid FROM hop),
@@ -313,18 +313,18 @@ _add("bounding_box", _sql(f"SELECT {R('min(lng)')} AS min_lng, {R('max(lng)')} A
 _add("train_val_test_split", _sql("SELECT trip, driver, split FROM split_info"))
 _add("row_ordinal", _sql("SELECT trip, ord AS ordinal FROM trip_info"))
 _add("valid_trips", _sql("SELECT trip, split, length FROM valid"))
-_add("trips_in_split", _sql("SELECT t.trip, t.seq_i FROM trips t JOIN split_info s USING (trip) WHERE s.split = 2"))
+_add("trips_in_split", _sql("SELECT t.trip, t.seq_i, s.split FROM trips t JOIN split_info s USING (trip)"))
 _add("known_trips", _sql("SELECT trip, split FROM valid WHERE split IN (0, 1)"))
 _add("prefix_sample", _sql(
-    "SELECT trip FROM (SELECT trip, row_number() OVER (ORDER BY trip) - 1 AS o, count(*) OVER () AS c "
-    "FROM valid WHERE split = 2) WHERE o < CAST(floor(CAST(c AS DOUBLE) * 0.5) AS BIGINT)"))
+    "SELECT trip, split FROM (SELECT trip, split, row_number() OVER (PARTITION BY split ORDER BY trip) - 1 AS o, "
+    "count(*) OVER (PARTITION BY split) AS c FROM valid) WHERE o < floor(CAST(c AS DOUBLE) * 0.5)"))
 _add("truncate_trip", _sql("SELECT trip, pos FROM vp WHERE pos < n - 5"))
 _add("valid_mask", _sql(
-    "SELECT trip, CAST(length AS INTEGER) AS n_true, CAST((SELECT max(length) FROM valid WHERE split = 2) - length AS INTEGER) AS n_false "
-    "FROM valid WHERE split = 2"))
+    "SELECT trip, CAST(length AS INTEGER) AS n_true, CAST(max(length) OVER (PARTITION BY split) - length AS INTEGER) AS n_false "
+    "FROM valid"))
 _add("batch_assign", _sql(
-    "SELECT trip, batch_id FROM (SELECT trip, b AS batch_id, count(*) OVER (PARTITION BY b) AS bs FROM "
-    "(SELECT trip, (row_number() OVER (ORDER BY trip) - 1) // 16 AS b FROM valid WHERE split = 2)) WHERE bs > 1"))
+    "SELECT trip, split, batch_id FROM (SELECT trip, split, b AS batch_id, count(*) OVER (PARTITION BY split, b) AS bs FROM "
+    "(SELECT trip, split, (row_number() OVER (PARTITION BY split ORDER BY trip) - 1) // 16 AS b FROM valid)) WHERE bs > 1"))
 _add("trip_features", _sql(
     "SELECT split, trip, pos, n, " + ", ".join(f'{R(c if c != "offset" else chr(34) + "offset" + chr(34))} AS "{c}"'
                                                for c in FEATURES) + " FROM tf"))
@@ -342,16 +342,16 @@ _add("normalize_zscore", _sql(
     "SELECT trip, pos, " + ", ".join(
         f"{R(f'CASE WHEN sd_{c} = 0 THEN NULL ELSE ({c} - av_{c}) / sd_{c} END')} AS {c}" for c in NORM)
     + " FROM vp CROSS JOIN (SELECT " + ", ".join(f"avg({c}) AS av_{c}, stddev_samp({c}) AS sd_{c}" for c in NORM)
-    + " FROM motion) WHERE split = 2"))
+    + " FROM motion)"))
 _add("denormalize", _sql(
     f"SELECT trip, pos, {R('(lng + 1) / 2 * (mx_lng - mn_lng) + mn_lng')} AS lng, "
-    f"{R('(lat + 1) / 2 * (mx_lat - mn_lat) + mn_lat')} AS lat FROM tf CROSS JOIN nstat WHERE split = 2"))
+    f"{R('(lat + 1) / 2 * (mx_lat - mn_lat) + mn_lat')} AS lat FROM tf CROSS JOIN nstat"))
 _add("normalize_minmax", _sql("SELECT " + ", ".join(f"{R(f'mn_{c}')} AS min_{c}, {R(f'mx_{c}')} AS max_{c}" for c in NORM)
                               + " FROM nstat"))
 _add("scale_unit", _sql(
     f"""SELECT trip, pos, {R('(speed - lo) / (hi - lo)')} AS speed, {R('(acceleration - lo) / (hi - lo)')} AS acceleration
 FROM vp CROSS JOIN (SELECT least(min(speed), min(acceleration)) AS lo, greatest(max(speed), max(acceleration)) AS hi
-                    FROM vp WHERE split = 2) WHERE split = 2"""))
+                    FROM vp)"""))
 _pairs = ("(SELECT trip, pos, lng, lat, lead(lng) OVER w AS next_lng, lead(lat) OVER w AS next_lat, "
           "lead(pos) OVER w AS np FROM vp WINDOW w AS (PARTITION BY trip ORDER BY pos))")
 _add("haversine", _sql(f"SELECT trip, pos, {R(_hav('lng', 'lat', 'next_lng', 'next_lat'))} AS dist_m FROM {_pairs} WHERE np IS NOT NULL"))
@@ -377,11 +377,11 @@ _add("grid_cells", _sql(
 _add("model_features", _sql(
     "SELECT trip, pos, " + R("road") + " AS road, " + R("weekday") + " AS weekday, "
     "CAST((CAST(seconds AS BIGINT) % 86400) // 3600 AS INTEGER) AS hour, "
-    + ", ".join(f"{R(c)} AS {c}" for c in NORM) + " FROM tf WHERE split = 2"))
+    + ", ".join(f"{R(c)} AS {c}" for c in NORM) + " FROM tf"))
 _D = 8
 _add("cosine_encoding", _sql(
     f"SELECT trip, CAST(i AS INTEGER) AS i, {R(f'sqrt(1.0 / {_D}) * cos(tod * pow(10.0, -i * {9.0 / (_D - 1)!r}))')} AS value "
-    f"FROM tf CROSS JOIN (SELECT unnest(generate_series(0, {_D - 1})) AS i) WHERE split = 2 AND pos = 0"))
+    f"FROM tf CROSS JOIN (SELECT unnest(generate_series(0, {_D - 1})) AS i) WHERE pos = 0"))
 _add("position_encoding", _sql(
     f"SELECT CAST(p AS INTEGER) AS pos, CAST(i AS INTEGER) AS i, "
     f"{R(f'CASE WHEN i % 2 = 0 THEN sin(p * exp(-(i - i % 2) * {__import__('math').log(10000.0) / _D!r})) ELSE cos(p * exp(-(i - i % 2) * {__import__('math').log(10000.0) / _D!r})) END')} AS value "
@@ -392,7 +392,7 @@ _kt = __import__("math").log(10000.0) / (_half - 1)
 _add("time_encoding", _sql(
     f"SELECT trip, CAST(i AS INTEGER) AS i, "
     f"{R(f'CASE WHEN i < {_half} THEN sin(tod * 100 * exp(-i * {_kt!r})) ELSE cos(tod * 100 * exp(-(i - {_half}) * {_kt!r})) END')} AS value "
-    f"FROM tf CROSS JOIN (SELECT unnest(generate_series(0, {_D - 1})) AS i) WHERE split = 2 AND pos = 0"))
+    f"FROM tf CROSS JOIN (SELECT unnest(generate_series(0, {_D - 1})) AS i) WHERE pos = 0"))
 _add("attach_road_coords", _sql(
     f"SELECT t.trip, t.seq_i, {R('r.lng')} AS road_lng, {R('r.lat')} AS road_lat FROM trips t LEFT JOIN road_info r USING (road)"))
 _add("knn_poi", _sql(f"SELECT qid AS trip, rank, poi_id, {R('sqrt(dist2)')} AS dist FROM nb",
@@ -431,10 +431,10 @@ _add("trip_vectors", _sql(f"SELECT split, trip, CAST(d AS INTEGER) AS i, {R('v')
 _add("next_point_pairs", _sql(
     f"SELECT trip, pos, {R('lng')} AS lng, {R('next_lng')} AS next_lng, next_road FROM "
     "(SELECT trip, pos, lng, lead(lng) OVER w AS next_lng, lead(road) OVER w AS next_road, lead(pos) OVER w AS np "
-    "FROM vp WHERE split = 2 WINDOW w AS (PARTITION BY trip ORDER BY pos)) WHERE np IS NOT NULL"))
+    "FROM vp WINDOW w AS (PARTITION BY trip ORDER BY pos)) WHERE np IS NOT NULL"))
 _add("sequence_conv", _sql(
     f"SELECT trip, pos, {R('0.25 * COALESCE(lag(speed) OVER w, 0.0) + 0.5 * COALESCE(speed, 0.0) + 0.25 * COALESCE(lead(speed) OVER w, 0.0)')} AS conv "
-    "FROM vp WHERE split = 2 WINDOW w AS (PARTITION BY trip ORDER BY pos)"))
+    "FROM vp WINDOW w AS (PARTITION BY trip ORDER BY pos)"))
 _add("first_n_trips", _sql("SELECT trip, split, idx FROM hop", hop_n=1000))
 _add("hop_query_target", _sql(
     f"SELECT split, idx, trip, role, sub_pos, {R('lng')} AS lng, {R('lat')} AS lat, {R('speed')} AS speed FROM hq", hop_n=1000))
@@ -448,10 +448,11 @@ _add("concat_sequences", _sql(
 FROM (SELECT *, count(*) FILTER (WHERE role = 'qry') OVER (PARTITION BY trip) AS nq FROM hq)"""))
 _add("pad_trips", _sql(
     f"""SELECT g.trip, CAST(g.i AS INTEGER) AS i, {R('COALESCE(p.lng, l.lng)')} AS lng
-FROM (SELECT trip, unnest(generate_series(0, (SELECT max(length) - 1 FROM valid WHERE split = 2))) AS i FROM valid WHERE split = 2) g
+FROM (SELECT trip, unnest(generate_series(0, L - 1)) AS i
+      FROM (SELECT trip, max(length) OVER (PARTITION BY split) AS L FROM valid)) g
 LEFT JOIN tf p ON p.trip = g.trip AND p.pos = g.i
 JOIN tf l ON l.trip = g.trip AND l.pos = l.n - 1"""))
-_add("flatten_valid", _sql(f"SELECT trip, pos, {R('speed')} AS speed FROM tf WHERE split = 2"))
+_add("flatten_valid", _sql(f"SELECT trip, pos, {R('speed')} AS speed FROM tf"))
 _add("pairwise_distance", _sql(
     f"""SELECT q.split, q.trip AS qid, i.trip AS item, {R('sqrt(sum((i.v - qv.v) * (i.v - qv.v)))')} AS dist
 FROM hop q JOIN kv qv ON qv.split = q.split AND qv.trip = q.trip
@@ -508,7 +509,7 @@ _MSE = """,
 mse AS (
   SELECT sum((lng - next_lng) * (lng - next_lng) + (lat - next_lat) * (lat - next_lat)) / (count(*) * 2) AS mse FROM (
     SELECT lng, lat, lead(lng) OVER w AS next_lng, lead(lat) OVER w AS next_lat, lead(pos) OVER w AS np
-    FROM tf WHERE split = 2 WINDOW w AS (PARTITION BY trip ORDER BY pos)) WHERE np IS NOT NULL)"""
+    FROM tf WINDOW w AS (PARTITION BY trip ORDER BY pos)) WHERE np IS NOT NULL)"""
 _add("multi_mse", _sql(f"SELECT {R('mse')} AS mse FROM mse", _MSE))
 _add("recovery_loss", _sql(
     f"SELECT {R('cross_entropy')} AS cross_entropy, {R('mse')} AS mse, {R('0.5 * cross_entropy + 0.5 * mse')} AS loss FROM ce, mse",
@@ -541,7 +542,7 @@ UNION ALL SELECT trip, 'poi', concat({_PREFIX_ZH}, '途径：', '<traj>', '起
 _add("embedding_lookup", _sql(
     f"""SELECT v.trip, v.pos, {R('r.lng + sin(CAST(v.weekday AS DOUBLE) * exp(0.0))')} AS e0,
        {R('r.lat + cos(CAST(v.weekday AS DOUBLE) * exp(0.0))')} AS e1
-FROM vp v JOIN road_info r USING (road) WHERE v.split = 2"""))
+FROM vp v JOIN road_info r USING (road)"""))
 _add("anchor_attention", _sql(
     f"""SELECT a.vec_id, CAST(c.i AS INTEGER) AS i, {R('sum(c.c * a.wt)')} AS value FROM (
   SELECT vec_id, cls, ex / sum(ex) OVER (PARTITION BY vec_id) AS wt FROM (
@@ -590,3 +591,7 @@ rg AS ({_REG_FINAL})"""
 
 
 _add("metrics_table", _metrics_table_sql())
+
+_add("farthest_negatives_default", _sql("SELECT split, trip, neg_trip, neg_idx FROM negs",
+                                        _search_ctes(m=10000), hop_n=1000))
+_add("similar_search_default", _sql(_SS_FINAL, _search_ctes(m=10000) + _SS_EXTRA, hop_n=1000))

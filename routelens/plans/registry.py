@@ -160,7 +160,8 @@ def q_valid_trips(spark, d):
 
 def q_trips_in_split(spark, d):
     ds = datasets(spark, d)
-    return split.trips_in(ds.trips, ds.split_info.where("split = 2")).select("trip", "seq_i")
+    return split.trips_in(ds.trips, ds.split_info).join(ds.split_info.select("trip", "split"), "trip") \
+        .select("trip", "seq_i", "split")
 
 
 def q_known_trips(spark, d):
@@ -169,9 +170,12 @@ def q_known_trips(spark, d):
 
 def q_prefix_sample(spark, d):
     ds = datasets(spark, d)
-    test = ds.valid.where("split = 2").select("trip")
-    n = test.count()
-    return split.prefix_sample(row_ordinal(test, ["trip"]), 0.5, n).select("trip")
+    # F04 per split: the first int(len * 0.5) trips of each split by row order
+    v = ds.valid.select("trip", "split")
+    o = row_ordinal(v, ["trip"], group="split", few_groups=True)
+    sizes = v.groupBy("split").agg(F.count(F.lit(1)).alias("cnt"))
+    return (o.join(F.broadcast(sizes), "split")
+            .where(F.col("ordinal") < F.floor(F.col("cnt") * 0.5)).select("trip", "split"))
 
 
 def q_truncate_trip(spark, d):
@@ -180,16 +184,21 @@ def q_truncate_trip(spark, d):
 
 
 def q_valid_mask(spark, d):
-    vp = datasets(spark, d).valid.where("split = 2")
-    L = vp.agg(F.max("length")).first()[0]
-    m = vp.select("trip", valid_mask(L, F.col("length")).alias("m"))
+    # each trip's mask over its split's longest trip (the batch length)
+    v = datasets(spark, d).valid
+    L = v.groupBy("split").agg(F.max("length").cast("int").alias("L"))
+    m = v.join(F.broadcast(L), "split").select("trip", valid_mask(F.col("L"), F.col("length")).alias("m"))
     return m.select("trip", F.size(F.filter("m", lambda x: x)).alias("n_true"),
                     F.size(F.filter("m", lambda x: ~x)).alias("n_false"))
 
 
 def q_batch_assign(spark, d):
-    test = datasets(spark, d).valid.where("split = 2").select("trip")
-    return split.batch_assign(row_ordinal(test, ["trip"]), 16).select("trip", "batch_id")
+    # R07 per split: batches of 16 consecutive trips, a trailing single dropped
+    v = datasets(spark, d).valid.select("trip", "split")
+    o = row_ordinal(v, ["trip"], group="split", few_groups=True)
+    b = o.withColumn("batch_id", F.floor(F.col("ordinal") / 16).cast("long"))
+    sizes = b.groupBy("split", "batch_id").agg(F.count(F.lit(1)).alias("bs"))
+    return b.join(sizes.where("bs > 1"), ["split", "batch_id"]).select("trip", "split", "batch_id")
 
 
 def q_trip_features(spark, d):
@@ -227,14 +236,14 @@ def _zstats(ds):
 
 def q_normalize_zscore(spark, d):
     ds = datasets(spark, d)
-    vp = ds.valid_points.where("split = 2")
+    vp = ds.valid_points
     z = stats.normalize_zscore(vp, _zstats(ds), NORMALIZED_COLS)
     return finish(z.select("trip", "pos", *NORMALIZED_COLS))
 
 
 def q_denormalize(spark, d):
     ds = datasets(spark, d)
-    tf = ds.trip_features.where("split = 2")
+    tf = ds.trip_features
     back = stats.denormalize(tf, ds.norm_stats, ["lng", "lat"])
     return finish(back.select("trip", "pos", "lng", "lat"))
 
@@ -245,7 +254,7 @@ def q_normalize_minmax(spark, d):
 
 
 def q_scale_unit(spark, d):
-    vp = datasets(spark, d).valid_points.where("split = 2").select("trip", "pos", "speed", "acceleration")
+    vp = datasets(spark, d).valid_points.select("trip", "pos", "speed", "acceleration")
     return finish(stats.scale_unit(vp, ["speed", "acceleration"]))
 
 
@@ -291,12 +300,12 @@ def q_grid_cells(spark, d):
 
 
 def q_model_features(spark, d):
-    tf = datasets(spark, d).trip_features.where("split = 2")
+    tf = datasets(spark, d).trip_features
     return finish(tf.select("trip", "pos", "road", "weekday", hour("seconds").alias("hour"), *CONTINUOUS_COLS))
 
 
 def q_cosine_encoding(spark, d):
-    tf = datasets(spark, d).trip_features.where("split = 2 AND pos = 0")
+    tf = datasets(spark, d).trip_features.where("pos = 0")
     e = tf.select("trip", F.posexplode(encodings.cosine_encoding("tod", ENC_D)).alias("i", "value"))
     return finish(e)
 
@@ -310,7 +319,7 @@ def q_position_encoding(spark, d):
 
 
 def q_time_encoding(spark, d):
-    tf = datasets(spark, d).trip_features.where("split = 2 AND pos = 0")
+    tf = datasets(spark, d).trip_features.where("pos = 0")
     e = tf.select("trip", F.posexplode(encodings.time_encoding(F.col("tod") * 100, ENC_D)).alias("i", "value"))
     return finish(e)
 
@@ -390,12 +399,12 @@ def q_trip_vectors(spark, d):
 
 
 def q_next_point_pairs(spark, d):
-    vp = datasets(spark, d).valid_points.where("split = 2")
+    vp = datasets(spark, d).valid_points
     return finish(motion.next_point_pairs(vp, ["lng", "road"]).select("trip", "pos", "lng", "next_lng", "next_road"))
 
 
 def q_sequence_conv(spark, d):
-    vp = datasets(spark, d).valid_points.where("split = 2")
+    vp = datasets(spark, d).valid_points
     return finish(motion.sequence_conv(vp, "speed", [0.25, 0.5, 0.25]).select("trip", "pos", "conv"))
 
 
@@ -432,15 +441,17 @@ def q_concat_sequences(spark, d):
 
 def q_pad_trips(spark, d):
     ds = datasets(spark, d)
-    s = ds.trip_sequences().where("split = 2")
-    L = s.agg(F.max("length")).first()[0]
-    p = s.select("trip", pad_to(F.transform("points", lambda r: r["lng"]), L).alias("arr"))
+    # Pad every trip to its split's longest by repeating its last point
+    s = ds.trip_sequences()
+    L = s.groupBy("split").agg(F.max("length").alias("L"))
+    p = s.join(F.broadcast(L), "split").select(
+        "trip", pad_to(F.transform("points", lambda r: r["lng"]), F.col("L")).alias("arr"))
     return finish(p.select("trip", F.posexplode("arr").alias("i", "lng")))
 
 
 def q_flatten_valid(spark, d):
     ds = datasets(spark, d)
-    s = ds.trip_sequences().where("split = 2").select("trip", "length",
+    s = ds.trip_sequences().select("trip", "length",
                                                         F.transform("points", lambda r: r["speed"]).alias("arr"))
     return finish(sequence.flatten_valid(s, "arr", "length", ["trip"]).withColumnRenamed("value", "speed"))
 
@@ -522,6 +533,16 @@ def q_prompt_suffix(spark, d):
     return datasets(spark, d).valid.select("trip").crossJoin(F.broadcast(suf))
 
 
+def q_farthest_negatives_default(spark, d):
+    """'hopnegindex' with the reference defaults (N = 1000, M = 10000)."""
+    return datasets(spark, d).negatives(1000, 10000, mode="farthest")
+
+
+def q_similar_search_default(spark, d):
+    """Search metrics with the reference defaults (N = 1000, M = 10000)."""
+    return finish(datasets(spark, d).similar_search(1000, 10000, mode="farthest"))
+
+
 def q_seeded_shuffle(spark, d):
     v = datasets(spark, d).valid.where("split = 0").select("trip")
     return v.withColumn("shuffle_key", split.seeded_shuffle_key(42, "trip"))
@@ -570,7 +591,7 @@ def q_cross_entropy(spark, d):
 
 
 def _persistence(ds):
-    tf = ds.trip_features.where("split = 2")
+    tf = ds.trip_features
     nxt = motion.next_point_pairs(tf.withColumn("time", F.col("seconds")).withColumn("seq_i", F.col("pos")),
                                   ["lng", "lat"])
     return nxt
@@ -674,7 +695,7 @@ def q_embedding_lookup(spark, d):
     """Road embedding (its lng/lat) + weekday position encoding, summed."""
     ds = datasets(spark, d)
     ri = ds.fixture["road_info"].select("road", F.array("lng", "lat").alias("road_vec"))
-    vp = ds.valid_points.where("split = 2").join(ri, "road")   # Spark sizes the road table
+    vp = ds.valid_points.join(ri, "road")   # Spark sizes the road table
     e = vp.select("trip", "pos", F.zip_with("road_vec", encodings.position_encoding(F.col("weekday").cast("double"), 2),
                                              lambda a, b: a + b).alias("e"))
     return finish(e.select("trip", "pos", F.col("e")[0].alias("e0"), F.col("e")[1].alias("e1")))
