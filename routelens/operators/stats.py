@@ -7,6 +7,7 @@ number of columns, never by the data.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark import StorageLevel
@@ -33,15 +34,77 @@ def _stack(df: DataFrame, cols: list[str]) -> DataFrame:
             .where(F.col("value").isNotNull()))
 
 
+def exact_order_stats(long: DataFrame, targets: dict[tuple[str, int], tuple[float, float]],
+                      buckets: int = 1024, window: int = 100_000, max_passes: int = 40) -> dict:
+    """Exact k-th smallest values of (column, value) rows by iterative selection.
+
+    ``targets`` maps (column, rank) to the column's (min, max). Each pass is
+    one scan with a map-side-combined histogram of ``buckets`` bins over the
+    current value window of every target (a few thousand tiny rows are read
+    back); the window shrinks to the bin holding the rank. A window of at most
+    ``window`` values (or of one repeated value) is read back and the value
+    picked. No data is shuffled or sorted, nothing grows with the table.
+    """
+    spark = long.sparkSession
+    state = {t: (lo, hi, 0) for t, (lo, hi) in targets.items()}   # lo, hi, rows below lo
+    result: dict = {}
+    for _ in range(max_passes):
+        open_t = {t: v for t, v in state.items() if t not in result}
+        if not open_t:
+            break
+        small, wide = {}, {}
+        for t, (lo, hi, below) in open_t.items():
+            (small if lo == hi else wide)[t] = (lo, hi, below)
+        for t, (lo, _, _) in small.items():
+            result[t] = lo
+        if not wide:
+            break
+        win = spark.createDataFrame([(c, r, lo, hi, below) for (c, r), (lo, hi, below) in wide.items()],
+                                    "column string, _k long, _lo double, _hi double, _below long")
+        inwin = (long.join(F.broadcast(win), "column")
+                 .where((F.col("value") >= F.col("_lo")) & (F.col("value") <= F.col("_hi"))))
+        b = F.least(F.floor((F.col("value") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * buckets),
+                    F.lit(buckets - 1))
+        hist = (inwin.groupBy("column", "_k", b.alias("_b"))
+                .agg(F.count(F.lit(1)).alias("_n"), F.min("value").alias("_mn"), F.max("value").alias("_mx"))
+                .collect())
+        per: dict = {}
+        for r in hist:
+            per.setdefault((r["column"], r["_k"]), []).append((r["_b"], r["_n"], r["_mn"], r["_mx"]))
+        fetch = {}
+        for t, (lo, hi, below) in wide.items():
+            cum = below
+            for _b, n, mn, mx in sorted(per.get(t, [])):
+                if cum + n > t[1]:
+                    if n <= window and mn != mx:
+                        fetch[t] = (mn, mx, cum)
+                    state[t] = (mn, mx, cum)
+                    break
+                cum += n
+        if fetch:
+            win = spark.createDataFrame([(c, r, lo, hi) for (c, r), (lo, hi, _) in fetch.items()],
+                                        "column string, _k long, _lo double, _hi double")
+            vals = (long.join(F.broadcast(win), "column")
+                    .where((F.col("value") >= F.col("_lo")) & (F.col("value") <= F.col("_hi")))
+                    .select("column", "_k", "value").collect())
+            got: dict = {}
+            for r in vals:
+                got.setdefault((r["column"], r["_k"]), []).append(r["value"])
+            for t, (_, _, below) in fetch.items():
+                result[t] = sorted(got[t])[t[1] - below]
+    return result
+
+
 def describe(df: DataFrame, cols: list[str], quantiles: str = "exact") -> DataFrame:
     """Count, mean, sample std, min, 25/50/75 % (linear), max per column.
 
-    One row per column. ``quantiles="exact"`` ranks values with a distributed
-    sort (G06, no single-partition step; a hash tie-break spreads repeated
-    values); ``"approx"`` uses ``percentile_approx`` (no interpolation).
+    One row per column. ``quantiles="exact"`` finds the needed order
+    statistics by iterative selection (``exact_order_stats``: scans and tiny
+    histograms, no sort); ``"sort"`` ranks all values with a distributed sort
+    (G06); ``"approx"`` uses ``percentile_approx`` (no interpolation).
     """
-    # The stacked table feeds four aggregates and the ranking; keep it (spills
-    # to executor disk, recomputed from lineage if an executor is lost).
+    # The stacked table feeds the aggregates and the selection passes; keep it
+    # (spills to executor disk, rebuilt from lineage if an executor is lost).
     long = _stack(df, cols).persist(StorageLevel.MEMORY_AND_DISK)
     first = long.groupBy("column").agg(
         F.count("value").alias("count"), F.avg("value").alias("mean"),
@@ -52,15 +115,38 @@ def describe(df: DataFrame, cols: list[str], quantiles: str = "exact") -> DataFr
     ss = dev.groupBy("column").agg(F.sum((F.col("value") - F.col("_mu")) * (F.col("value") - F.col("_mu"))).alias("_ss"))
     base = first.join(ss, "column").withColumn(
         "std", F.sqrt(F.try_divide(F.col("_ss"), (F.col("count") - 1).cast("double")))).drop("_ss")
+    qs = (("p25", 0.25), ("p50", 0.5), ("p75", 0.75))
     if quantiles == "approx":
         q = long.groupBy("column").agg(
             F.percentile_approx("value", [0.25, 0.5, 0.75], 10000).alias("_q"))
         q = q.select("column", *[F.col("_q")[i].alias(n) for i, n in enumerate(["p25", "p50", "p75"])])
         return base.join(q, "column")
-    # Exact: positions h = (n-1) q; value = v[floor h] + (v[ceil h]-v[floor h]) * frac.
+    if quantiles == "exact":
+        rows = first.collect()                    # one row per column
+        targets, plan = {}, []
+        for r in rows:
+            n = r["count"]
+            if not n:
+                continue
+            for name, q in qs:
+                h = (n - 1) * q
+                lo_r, hi_r = int(math.floor(h)), int(math.ceil(h))
+                targets[(r["column"], lo_r)] = (r["min"], r["max"])
+                targets[(r["column"], hi_r)] = (r["min"], r["max"])
+                plan.append((r["column"], name, lo_r, hi_r, h - math.floor(h)))
+        vals = exact_order_stats(long.select("column", "value"), targets)
+        qrows = {}
+        for c, name, lo_r, hi_r, frac in plan:
+            v_lo, v_hi = vals[(c, lo_r)], vals[(c, hi_r)]
+            qrows.setdefault(c, {})[name] = v_lo + (v_hi - v_lo) * frac
+        qdf = df.sparkSession.createDataFrame(
+            [(c, d.get("p25"), d.get("p50"), d.get("p75")) for c, d in qrows.items()],
+            "column string, p25 double, p50 double, p75 double")
+        return base.join(F.broadcast(qdf), "column", "left")
+    # "sort": rank every value (range-partitioned sort, no single partition).
     ranked = row_ordinal(long, ["value", "_tie"], name="_rank", group="column", few_groups=True)
     wanted = []
-    for name, q in (("p25", 0.25), ("p50", 0.5), ("p75", 0.75)):
+    for name, q in qs:
         h = (F.col("count") - 1) * F.lit(q)
         wanted.append(base.select("column", F.lit(name).alias("_q"), F.floor(h).alias("_lo"),
                                   F.ceil(h).alias("_hi"), (h - F.floor(h)).alias("_frac")))

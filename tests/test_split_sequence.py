@@ -87,3 +87,20 @@ def test_extrapolation(spark):
     # cut n - 1 - pre = 2 points: a = pos 1, b = pos 0; 0.01 degrees per 10 s
     e = sequence.extrapolate_trip(pts, 1).collect()[0]
     assert abs(e.lng - (104.01 + 0.001)) < 1e-12 and e.seconds == 20.0
+
+
+def test_exact_order_stats_multipass(spark):
+    from routelens.operators.stats import describe, exact_order_stats
+    rows = [("a", float(v)) for v in [5, 1, 1, 1, 9, 3, 3, 7, 2, 8, 1e9, -4]] + \
+           [("b", float((i * 7919) % 101) / 7) for i in range(400)] + [("c", 2.5)] * 50
+    long = spark.createDataFrame(rows, "column string, value double")
+    vals = {}
+    for c, v in rows:
+        vals.setdefault(c, []).append(v)
+    targets = {(c, k): (min(v), max(v)) for c, v in vals.items() for k in {0, len(v) // 3, len(v) // 2, len(v) - 1}}
+    got = exact_order_stats(long, targets, buckets=3, window=2)
+    assert all(got[(c, k)] == sorted(vals[c])[k] for (c, k) in targets)
+    wide = spark.createDataFrame([(float(v),) for v in vals["b"]], "b double")
+    a = describe(wide, ["b"], "exact").first()
+    s = describe(wide, ["b"], "sort").first()
+    assert (a.p25, a.p50, a.p75) == (s.p25, s.p50, s.p75)
