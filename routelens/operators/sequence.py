@@ -52,28 +52,36 @@ def first_n_trips(valid: DataFrame, n: int, key: str = "trip") -> DataFrame:
     return out.withColumn("idx", (F.row_number().over(Window.partitionBy("split").orderBy(key)) - 1).cast("int"))
 
 
+def _kseg_table(points: DataFrame, cols: list[str], k: int, keys: tuple[str, ...]) -> DataFrame:
+    """keys + ``_s``: per-trip array of k structs (seg, means), NULL means for
+    empty segments. Means are a grouped aggregate on (trip, seg) (map-side
+    combined); the second grouping holds at most k rows per trip."""
+    seg_len = F.floor(F.col("n") / k)
+    seg = F.when(seg_len == 0, F.lit(k - 1)).otherwise(
+        F.least(F.floor(F.col("pos") / seg_len), F.lit(k - 1))).cast("int")
+    g = points.withColumn("seg", seg).groupBy(*keys, "seg").agg(*[F.avg(c).alias(c) for c in cols])
+    per = g.groupBy(*keys).agg(F.collect_list(F.struct("seg", *cols)).alias("_segs"))
+    full = F.transform(
+        F.sequence(F.lit(0), F.lit(k - 1)),
+        lambda i: F.struct(i.alias("seg"), *[
+            F.try_element_at(F.filter("_segs", lambda x: x["seg"] == i), F.lit(1))[c].alias(c) for c in cols]))
+    return per.select(*keys, full.alias("_s"))
+
+
 def kseg_long(points: DataFrame, cols: list[str], k: int = KSEG, keys: tuple[str, ...] = ("trip",)) -> DataFrame:
     """A07 in long form: mean of each column over k segments of each trip.
 
     seg = n div k; segment i < k-1 covers [i seg, (i+1) seg); the last one takes
     the rest. A trip shorter than k leaves the first segments empty (NULL).
     """
-    seg_len = F.floor(F.col("n") / k)
-    seg = F.when(seg_len == 0, F.lit(k - 1)).otherwise(
-        F.least(F.floor(F.col("pos") / seg_len), F.lit(k - 1))).cast("int")
-    g = points.withColumn("seg", seg).groupBy(*keys, "seg").agg(*[F.avg(c).alias(c) for c in cols])
-    # Empty leading segments of short trips: fill the grid of (trip, seg).
-    full = (points.select(*keys).distinct()
-            .crossJoin(F.broadcast(points.sparkSession.range(k).select(F.col("id").cast("int").alias("seg")))))
-    return full.join(g, [*keys, "seg"], "left")
+    t = _kseg_table(points, cols, k, keys)
+    return t.select(*keys, F.inline("_s"))
 
 
 def kseg_vectors(points: DataFrame, cols: list[str], k: int = KSEG, keys: tuple[str, ...] = ("trip",)) -> DataFrame:
     """The k-segment vector (segment-major, k * len(cols) values)."""
-    lg = kseg_long(points, cols, k, keys)
-    s = F.array_sort(F.collect_list(F.struct("seg", *cols)))
-    return (lg.groupBy(*keys).agg(s.alias("_s"))
-            .select(*keys, F.flatten(F.transform("_s", lambda r: F.array(*[r[c] for c in cols]))).alias("vec")))
+    t = _kseg_table(points, cols, k, keys)
+    return t.select(*keys, F.flatten(F.transform("_s", lambda r: F.array(*[r[c] for c in cols]))).alias("vec"))
 
 
 def extrapolate_trip(points: DataFrame, pre_length: int, step_unit: str = "second") -> DataFrame:

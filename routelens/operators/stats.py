@@ -121,8 +121,11 @@ def describe(df: DataFrame, cols: list[str], quantiles: str = "exact") -> DataFr
             F.percentile_approx("value", [0.25, 0.5, 0.75], 10000).alias("_q"))
         q = q.select("column", *[F.col("_q")[i].alias(n) for i, n in enumerate(["p25", "p50", "p75"])])
         return base.join(q, "column")
+    rows = first.collect() if quantiles == "exact" else []   # one row per column
+    if quantiles == "exact" and any(r["min"] is not None and not (math.isfinite(r["min"]) and math.isfinite(r["max"]))
+                                    for r in rows):
+        quantiles = "sort"                        # bins need finite bounds
     if quantiles == "exact":
-        rows = first.collect()                    # one row per column
         targets, plan = {}, []
         for r in rows:
             n = r["count"]
