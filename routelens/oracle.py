@@ -525,19 +525,43 @@ _REG_FINAL = (f"SELECT split, {R('rmse')} AS rmse, {R('mae')} AS mae, {R('mape')
 _add("regression_metrics", _sql(_REG_FINAL, _TTE))
 _add("selection_score", _sql(f"SELECT split, {R('mape')} AS mape, {R('1.0 / (mape + 1e-6)')} AS score FROM reg", _TTE))
 _add("set_intersection", _sql("SELECT DISTINCT road FROM vp WHERE split = 0 INTERSECT SELECT DISTINCT road FROM vp WHERE split = 2"))
-_PREFIX_ZH = ("concat('这条轨迹发生于', ['周一','周二','周三','周四','周五','周六','周日'][start_weekday + 1], "
-              "'的', CAST(start_hour AS VARCHAR), '点，')")
-_PREFIX_EN = ("concat('This trajectory happened at ', CAST(start_hour AS VARCHAR), ' o''clock on ', "
-              "['Monday','Tuesday','Wednesday','Thursday','Friday','Saturday','Sunday'][start_weekday + 1], ', ')")
+from .constants import PREFIX_EN as _PEN, PREFIX_ZH as _PZH, PROMPT_PARTS as _PP  # noqa: E402
+from .constants import TASK_SUFFIXES as _TS, WEEKDAYS_EN as _WEN, WEEKDAYS_ZH as _WZH  # noqa: E402
+
+
+def _lit(v: str) -> str:
+    return "'" + v.replace("'", "''") + "'"
+
+
+def _list(vs) -> str:
+    return "[" + ", ".join(_lit(v) for v in vs) + "]"
+
+
+def _prefix_sql(template: str, names) -> str:
+    import re as _re
+    out = []
+    for x in [p for p in _re.split(r"(\{weekday\}|\{hour\})", template) if p]:
+        if x == "{weekday}":
+            out.append(f"{_list(names)}[start_weekday + 1]")
+        elif x == "{hour}":
+            out.append("CAST(start_hour AS VARCHAR)")
+        else:
+            out.append(_lit(x))
+    return "concat(" + ", ".join(out) + ")"
+
+
+_PREFIX_ZH = _prefix_sql(_PZH, _WZH)
+_PREFIX_EN = _prefix_sql(_PEN, _WEN)
+_Z = {k: _lit(v) for k, v in _PP["zh"].items()}
 _add("prompt_prefix", _sql(f"SELECT trip, {_PREFIX_ZH} AS prefix_zh, {_PREFIX_EN} AS prefix_en FROM tv", _TV))
 _add("prompt_eval", _sql(
-    f"""SELECT trip, 'destination' AS task, concat({_PREFIX_ZH}, '起点位于如下地点附近：', o_text, '途径：', '<traj>', '目的地所在路段为') AS prompt FROM tv
-UNION ALL SELECT trip, 'tte', concat({_PREFIX_ZH}, '起点位于如下地点附近：', o_text, '终点位于如下地点附近：', d_text, '途径：', '<traj>', '旅行时间为') FROM tv
-UNION ALL SELECT trip, 'classification', concat({_PREFIX_ZH}, '起点位于如下地点附近：', o_text, '终点位于如下地点附近：', d_text, '途径：', '<traj>', '该轨迹所属的司机可以被归纳为') FROM tv""",
+    f"""SELECT trip, 'destination' AS task, concat({_PREFIX_ZH}, {_Z['start']}, o_text, {_Z['traj']}, '<traj>', {_lit(_TS[('destination', 'zh')])}) AS prompt FROM tv
+UNION ALL SELECT trip, 'tte', concat({_PREFIX_ZH}, {_Z['start']}, o_text, {_Z['end']}, d_text, {_Z['traj']}, '<traj>', {_lit(_TS[('tte', 'zh')])}) FROM tv
+UNION ALL SELECT trip, 'classification', concat({_PREFIX_ZH}, {_Z['start']}, o_text, {_Z['end']}, d_text, {_Z['traj']}, '<traj>', {_lit(_TS[('classification', 'zh')])}) FROM tv""",
     _TV))
 _add("prompt_pretrain", _sql(
-    f"""SELECT trip, 'trip' AS recover_type, concat({_PREFIX_ZH}, '起点位于如下地点附近：', o_text, '终点位于如下地点附近：', d_text, '途径：', '<traj>', '这条轨迹总结成一个字为') AS prompt FROM tv
-UNION ALL SELECT trip, 'poi', concat({_PREFIX_ZH}, '途径：', '<traj>', '起点位于如下地点附近：', o_text, '终点位于如下地点附近：', d_text, '这条轨迹总结成一个字为') FROM tv""",
+    f"""SELECT trip, 'trip' AS recover_type, concat({_PREFIX_ZH}, {_Z['start']}, o_text, {_Z['end']}, d_text, {_Z['traj']}, '<traj>', {_Z['suffix']}) AS prompt FROM tv
+UNION ALL SELECT trip, 'poi', concat({_PREFIX_ZH}, {_Z['traj']}, '<traj>', {_Z['start']}, o_text, {_Z['end']}, d_text, {_Z['suffix']}) FROM tv""",
     _TV))
 _add("embedding_lookup", _sql(
     f"""SELECT v.trip, v.pos, {R('r.lng + sin(CAST(v.weekday AS DOUBLE) * exp(0.0))')} AS e0,
@@ -571,10 +595,8 @@ _add("negative_candidates", _sql(
     "SELECT h.split, h.trip, s.t - 10 AS n_candidates FROM hop h JOIN ssize s USING (split)", _search_ctes()))
 _add("prompt_suffix", _sql(
     "SELECT v.trip, s.task, s.lang, s.suffix FROM valid v CROSS JOIN (VALUES "
-    "('destination', 'zh', '目的地所在路段为'), ('destination', 'en', 'The destination is'), "
-    "('tte', 'zh', '旅行时间为'), ('tte', 'en', 'The total travel time is'), "
-    "('classification', 'zh', '该轨迹所属的司机可以被归纳为'), ('classification', 'en', '该轨迹所属的司机可以被归纳为')) "
-    "AS s(task, lang, suffix)"))
+    + ", ".join(f"({_lit(t)}, {_lit(lang)}, {_lit(v)})" for (t, lang), v in _TS.items())
+    + ") AS s(task, lang, suffix)"))
 
 
 def _metrics_table_sql() -> str:

@@ -9,14 +9,15 @@ oracle can compare values across engines.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..constants import (ANCHOR_WORDS, CONTINUOUS_COLS, GRID_STEP_DEGREE, NORMALIZED_COLS,
-                         PROMPT_PARTS, TASK_SUFFIXES, WEEKDAYS_EN, WEEKDAYS_ZH)
+from ..constants import (ANCHOR_WORDS, CONTINUOUS_COLS, GRID_STEP_DEGREE, NORMALIZED_COLS, PREFIX_EN,
+                         PREFIX_ZH, PROMPT_PARTS, TASK_SUFFIXES, WEEKDAYS_EN, WEEKDAYS_ZH)
 from ..functions import encodings, geo
 from ..functions.arrays import concat_valid, l2_distance, pad_to, valid_mask
 from ..functions.temporal import hour
@@ -640,14 +641,23 @@ def q_new_vocabulary(spark, d):
     return split.set_difference(words, vocab, "word")
 
 
+def template_parts(template: str) -> list[str]:
+    """Split a '{weekday}'/'{hour}' template into text and placeholder parts."""
+    return [x for x in re.split(r"(\{weekday\}|\{hour\})", template) if x]
+
+
 def _prefix(weekday_col, hour_col, lang):
-    if lang == "zh":
-        names = F.array(*[F.lit(w) for w in WEEKDAYS_ZH])
-        return F.concat(F.lit("这条轨迹发生于"), F.element_at(names, weekday_col + 1), F.lit("的"),
-                        hour_col.cast("string"), F.lit("点，"))
-    names = F.array(*[F.lit(w) for w in WEEKDAYS_EN])
-    return F.concat(F.lit("This trajectory happened at "), hour_col.cast("string"), F.lit(" o'clock on "),
-                    F.element_at(names, weekday_col + 1), F.lit(", "))
+    """The prefix template of the language filled per row."""
+    names = F.array(*[F.lit(w) for w in (WEEKDAYS_ZH if lang == "zh" else WEEKDAYS_EN)])
+    parts = []
+    for x in template_parts(PREFIX_ZH if lang == "zh" else PREFIX_EN):
+        if x == "{weekday}":
+            parts.append(F.element_at(names, weekday_col + 1))
+        elif x == "{hour}":
+            parts.append(hour_col.cast("string"))
+        else:
+            parts.append(F.lit(x))
+    return F.concat(*parts)
 
 
 def q_prompt_prefix(spark, d):
