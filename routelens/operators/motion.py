@@ -188,11 +188,14 @@ def motion_features_all(points: DataFrame, heading: str = "reference",
 
 
 def with_positions(points: DataFrame) -> DataFrame:
-    """pos (0-based) and trip length n over the trip window (same sort as K01)."""
+    """pos (0-based), trip length n and the trip's first/last second (s0, s1)
+    over the trip window: same partitioning and sort as K01, no new exchange."""
     w = trip_window()
     wall = Window.partitionBy("trip")
     return (points.withColumn("pos", (F.row_number().over(w) - 1).cast("int"))
-            .withColumn("n", F.count(F.lit(1)).over(wall).cast("int")))
+            .withColumn("n", F.count(F.lit(1)).over(wall).cast("int"))
+            .withColumn("s0", F.min("seconds").over(wall))
+            .withColumn("s1", F.max("seconds").over(wall)))
 
 
 def next_point_pairs(points: DataFrame, cols: list[str]) -> DataFrame:

@@ -115,10 +115,12 @@ class TripDatasets:
 
     @cached_property
     def valid_points(self) -> DataFrame:
-        """Points of valid trips with split, K01, pos, n (one window sort)."""
+        """Points of valid trips with split, K01, pos, n, s0, s1 (one window
+        sort), written once partitioned by split: every trip-level dataset
+        (features, OD places, labels, pairs) reads this table."""
         pts = self._drop_long_trips(self.points).join(self.valid.select("trip", "split"), "trip")
         pts = motion.motion_features(pts, self.heading)
-        return motion.with_positions(pts)
+        return self._keep(motion.with_positions(pts), by_split=True)
 
     # ---- trip meta ---------------------------------------------------------
     @cached_property
@@ -128,12 +130,11 @@ class TripDatasets:
         TRIP_COLS with missing values as 0, offset = (t - t0)/(tN - t0)*2 - 1
         (NULL for a zero span), then min-max scaling of the six columns.
         """
-        w = Window.partitionBy("trip")
         df = stats.fill_missing(self.valid_points, TRIP_COLS)
-        s0, s1 = F.min("seconds").over(w), F.max("seconds").over(w)
+        s0, s1 = F.col("s0"), F.col("s1")         # trip span from the window pass
         df = df.withColumn("offset", F.try_divide(F.col("seconds") - s0, s1 - s0) * 2 - 1)
         df = stats.normalize_minmax(df, self.norm_stats, NORMALIZED_COLS)
-        return self._keep(df.select("split", "trip", "pos", "n", *FEATURE_COLS), by_split=True)
+        return df.select("split", "trip", "pos", "n", *FEATURE_COLS)
 
     def trip_sequences(self) -> DataFrame:
         """One row per trip, its 12-feature points in order."""
