@@ -55,6 +55,20 @@ def truth_rank(scores: DataFrame, labels: DataFrame, keys: tuple[str, ...] = ("i
     return j.groupBy(*keys).agg((F.lit(1) + F.count_if(ahead)).cast("long").alias("rank"))
 
 
+def per_example(scores: DataFrame, labels: DataFrame, keys: tuple[str, ...] = ("id",)) -> DataFrame:
+    """keys, label, pred (arg-max, ties to the lowest class) and rank of the
+    truth (G04 tie rule) from one shuffle: the join by example id; the window
+    and the aggregate reuse its partitioning."""
+    j = scores.join(labels, list(keys))
+    w = Window.partitionBy(*keys)
+    j = j.withColumn("_ts", F.max(F.when(F.col("cls") == F.col("label"), F.col("score"))).over(w))
+    ahead = (F.col("score") > F.col("_ts")) | ((F.col("score") == F.col("_ts")) & (F.col("cls") > F.col("label")))
+    return j.groupBy(*keys, "label").agg(
+        F.max_by("cls", F.struct(F.col("score"), -F.col("cls"))).alias("pred"),
+        F.when(F.max("_ts").isNull(), F.lit(None))
+         .otherwise(F.lit(1) + F.count_if(ahead)).cast("long").alias("rank"))
+
+
 def classification_metrics(scores: DataFrame, labels: DataFrame,
                            keys: tuple[str, ...] = ("id",), ns: tuple[int, ...] = (5, 10),
                            group: tuple[str, ...] = ()) -> DataFrame:
@@ -62,12 +76,12 @@ def classification_metrics(scores: DataFrame, labels: DataFrame,
 
     Macro averages run over the classes seen in truth or prediction; a class
     with no true or no predicted example scores 0 (zero_division=0).
-    ``group`` columns (e.g. split) must be part of ``keys``.
+    ``group`` columns (e.g. split) must be part of ``keys``. The per-example
+    table (one row per example) is kept for the three small aggregates.
     """
+    from pyspark import StorageLevel
     ns = tuple(n for n in ns if n != 1)       # acc@1 comes from the arg-max
-    pred = argmax_class(scores, keys)
-    rk = truth_rank(scores, labels, keys)
-    per = labels.join(pred, list(keys)).join(rk, list(keys))
+    per = per_example(scores, labels, keys).persist(StorageLevel.MEMORY_AND_DISK)
     aggs = [F.avg("rank").alias("mean_rank"),
             F.avg((F.col("pred") == F.col("label")).cast("double")).alias("acc@1")]
     aggs += [F.avg((F.col("rank") <= n).cast("double")).alias(f"acc@{n}") for n in ns]

@@ -11,6 +11,15 @@ from pyspark.sql import functions as F
 from .constants import BROADCAST_ROW_LIMIT
 
 
+def _driver_gb() -> int:
+    """Local driver heap: 60% of physical memory, at most 16 GB."""
+    try:
+        total = os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES")
+        return max(1, min(16, int(total * 0.6 / 2**30)))
+    except (ValueError, OSError, AttributeError):
+        return 4
+
+
 def get_session(master: str | None = None, shuffle_partitions: int = 8,
                 app: str = "routelens") -> SparkSession:
     """Local/test session. On a cluster the caller's session is used as is."""
@@ -23,7 +32,7 @@ def get_session(master: str | None = None, shuffle_partitions: int = 8,
          .config("spark.sql.adaptive.skewJoin.enabled", "true")
          .config("spark.sql.session.timeZone", "UTC")
          .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-         .config("spark.driver.memory", "16g"))
+         .config("spark.driver.memory", f"{_driver_gb()}g"))
     if master:
         b = b.master(master)
     spark = b.getOrCreate()
@@ -75,10 +84,6 @@ def bounded_broadcast(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT,
     return F.broadcast(df)
 
 
-def fits_broadcast(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> bool:
-    return df.limit(limit + 1).count() <= limit
-
-
 def env_int(name: str, default: int) -> int:
     try:
         return int(os.environ.get(name, default))
