@@ -376,13 +376,16 @@ def q_driver_labels(spark, d):
 
 
 def _training_view(ds):
+    """One per-trip aggregate (start context, destination, travel time)
+    joined with the OD place texts."""
     tf = ds.trip_features
-    first = tf.where("pos = 0").select("trip", F.col("weekday").cast("int").alias("start_weekday"),
-                                       hour("seconds").alias("start_hour"))
-    return (ds.valid.select("split", "trip", "length")
-            .join(first, "trip").join(ds.od_pois(POI_K).drop("split"), "trip")
-            .join(ds.destination_labels().drop("split"), "trip")
-            .join(ds.tte_labels().drop("split"), "trip"))
+    per = tf.groupBy("split", "trip").agg(
+        F.count(F.lit(1)).alias("length"),
+        F.min_by(F.col("weekday").cast("int"), "pos").alias("start_weekday"),
+        F.min_by(hour("seconds"), "pos").alias("start_hour"),
+        F.max_by("road", "pos").cast("long").alias("destination"),
+        (F.max_by("seconds", "pos") - F.min_by("seconds", "pos")).alias("tte"))
+    return per.join(ds.od_pois(POI_K).drop("split"), "trip")
 
 
 def q_training_view(spark, d):
