@@ -63,11 +63,10 @@ def knn_broadcast(queries: DataFrame, pois: DataFrame, k: int) -> DataFrame:
     x place pair is shuffled or sorted by Spark. The table is collected once
     after the size check, like a broadcast.
     """
-    n = pois.limit(BROADCAST_POI_LIMIT + 1).count()
-    if n > BROADCAST_POI_LIMIT:
-        raise ValueError("POI table too large for the broadcast plan; use knn_grid")
     rows = (pois.where(F.col("lng").isNotNull() & F.col("lat").isNotNull())
-            .select("poi_id", "name", "address", "lng", "lat").collect())
+            .select("poi_id", "name", "address", "lng", "lat").limit(BROADCAST_POI_LIMIT + 1).collect())
+    if len(rows) > BROADCAST_POI_LIMIT:                   # size check and read in one job
+        raise ValueError("POI table too large for the broadcast plan; use knn_grid")
     ids = np.array([r["poi_id"] for r in rows], dtype=np.int64)
     names = np.array([r["name"] for r in rows], dtype=object)
     addrs = np.array([r["address"] for r in rows], dtype=object)

@@ -23,11 +23,10 @@ _MASK63 = 0x7FFFFFFFFFFFFFFF
 
 
 def _query_matrix(queries: DataFrame, vec: str, group: str | None):
-    n = queries.limit(QUERY_LIMIT + 1).count()
-    if n > QUERY_LIMIT:
-        raise ValueError(f"more than {QUERY_LIMIT} queries; split the query set")
     cols = ["qid", vec] + ([group] if group else [])
-    rows = queries.select(*cols).collect()
+    rows = queries.select(*cols).limit(QUERY_LIMIT + 1).collect()   # size check and read in one job
+    if len(rows) > QUERY_LIMIT:
+        raise ValueError(f"more than {QUERY_LIMIT} queries; split the query set")
     qids = np.array([r["qid"] for r in rows], dtype=np.int64)
     groups = np.array([r[group] if group else 0 for r in rows], dtype=np.int64)
     if not rows:
