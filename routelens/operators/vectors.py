@@ -67,6 +67,10 @@ def ann_topk(queries: DataFrame, items: DataFrame, k: int, bucket_length: float,
     ib = buckets(items, "item").withColumnRenamed("vec", "ivec")
     cand = qb.join(ib, ["tbl", "bkt"]).select("qid", "item", "vec", "ivec").dropDuplicates(["qid", "item"])
     cand = cand.withColumn("dist", l2_distance("vec", "ivec"))
+    # Two-level top-k (salted by item) so a crowded bucket is never one group.
+    w0 = Window.partitionBy("qid", "_salt").orderBy("dist", "item")
+    cand = (cand.withColumn("_salt", F.pmod(F.xxhash64("item"), F.lit(16)))
+            .withColumn("_r0", F.row_number().over(w0)).where(F.col("_r0") <= k))
     w = Window.partitionBy("qid").orderBy("dist", "item")
     return (cand.withColumn("rank", (F.row_number().over(w) - 1).cast("int")).where(F.col("rank") < k)
             .select("qid", "item", "rank", "dist"))
