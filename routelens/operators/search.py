@@ -9,6 +9,8 @@ query x item pair is ever shuffled.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -48,12 +50,15 @@ def vector_topk(queries: DataFrame, items: DataFrame, k: int, largest: bool = Fa
     """
     qids, qgroups, Q = _query_matrix(queries, qvec, group)
     spark = items.sparkSession
-    schema = "qid long, item long, dist double"
+    schema = "qid long, item long, dist double, _part int"
     if len(qids) == 0 or k <= 0:
-        return spark.createDataFrame([], schema + ", rank int")
+        return spark.createDataFrame([], "qid long, item long, dist double, rank int")
     sign = -1.0 if largest else 1.0
 
     def part_topk(batches):
+        from pyspark import TaskContext
+        ctx = TaskContext.get()
+        part = ctx.partitionId() if ctx is not None else 0
         best_k = best_d = best_i = None
         for pdf in batches:
             if pdf.empty:
@@ -90,13 +95,22 @@ def vector_topk(queries: DataFrame, items: DataFrame, k: int, largest: bool = Fa
             ok = np.isfinite(best_k).reshape(-1)
             kk = best_d.shape[1]
             yield pd.DataFrame({"qid": np.repeat(qids, kk)[ok], "item": best_i.reshape(-1)[ok],
-                                "dist": best_d.reshape(-1)[ok]})
+                                "dist": best_d.reshape(-1)[ok], "_part": np.int32(part)})
 
     g = F.col(group).cast("long") if group else F.lit(0).cast("long")
-    partial = items.select(F.col(item).cast("long").alias(item), ivec, g.alias("_g")).mapInPandas(part_topk, schema)
-    w = Window.partitionBy("qid").orderBy((F.col("dist") * sign).asc(), F.col("item").asc())
+    src = items.select(F.col(item).cast("long").alias(item), ivec, g.alias("_g"))
+    partial = src.mapInPandas(part_topk, schema)
+    order = ((F.col("dist") * sign).asc(), F.col("item").asc())
+    tasks = src.rdd.getNumPartitions()
+    if tasks > 64:
+        # Merge in two levels: groups of about sqrt(tasks) task outputs first,
+        # so no query's merge group holds tasks x k rows.
+        s_ = int(math.sqrt(tasks))
+        w0 = Window.partitionBy("qid", F.pmod(F.col("_part"), F.lit(s_))).orderBy(*order)
+        partial = partial.withColumn("_r0", F.row_number().over(w0)).where(F.col("_r0") <= k).drop("_r0")
+    w = Window.partitionBy("qid").orderBy(*order)
     return (partial.withColumn("rank", (F.row_number().over(w) - 1).cast("int"))
-            .where(F.col("rank") < k))
+            .where(F.col("rank") < k).drop("_part"))
 
 
 def nearest_set(queries: DataFrame, items: DataFrame, near: int = NEAR_EXCLUSION,

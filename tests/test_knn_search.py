@@ -117,3 +117,15 @@ def test_ann_search_is_ranked_and_recalls(spark):
     ap = {(r.qid, r.item) for r in approx}
     assert all((q, q) in ap for q in range(20))            # every query finds itself
     assert len(ap & ex) / len(ex) >= 0.5
+
+
+def test_vector_topk_two_level_merge(spark):
+    items = _vecs(spark, 2000).repartition(100)            # > 64 tasks: two-level merge
+    qs = spark.createDataFrame([(5, [1.0, 2.0])], "qid long, vec array<double>")
+    rows = items.collect()
+    for largest in (False, True):
+        got = [r.item for r in sorted(search.vector_topk(qs, items, 30, largest=largest).collect(), key=lambda r: r.rank)]
+        sgn = -1 if largest else 1
+        want = [it for _, it in sorted((sgn * sum((a - b) ** 2 for a, b in zip(r.vec, [1.0, 2.0])) ** 0.5, r.item)
+                                       for r in rows)[:30]]
+        assert got == want
