@@ -35,7 +35,7 @@ def _stack(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def exact_order_stats(long: DataFrame, targets: dict[tuple[str, int], tuple[float, float]],
-                      buckets: int = 1024, window: int = 100_000, max_passes: int = 40) -> dict:
+                      buckets: int = 1024, window: int = 20_000, max_passes: int = 40) -> dict:
     """Exact k-th smallest values of (column, value) rows by iterative selection.
 
     ``targets`` maps (column, rank) to the column's (min, max). Each pass is
