@@ -10,7 +10,6 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -103,9 +102,10 @@ def describe(df: DataFrame, cols: list[str], quantiles: str = "exact") -> DataFr
     histograms, no sort); ``"sort"`` ranks all values with a distributed sort
     (G06); ``"approx"`` uses ``percentile_approx`` (no interpolation).
     """
-    # The stacked table feeds the aggregates and the selection passes; keep it
-    # (spills to executor disk, rebuilt from lineage if an executor is lost).
-    long = _stack(df, cols).persist(StorageLevel.MEMORY_AND_DISK)
+    # Every aggregate and selection pass re-reads ``df``: pass a written table
+    # (column-pruned scans) rather than an expensive plan. Only the "sort"
+    # option keeps a copy (inside the ordinal).
+    long = _stack(df, cols)
     first = long.groupBy("column").agg(
         F.count("value").alias("count"), F.avg("value").alias("mean"),
         F.min("value").alias("min"), F.max("value").alias("max"))

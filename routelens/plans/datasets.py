@@ -101,8 +101,10 @@ class TripDatasets:
 
     @cached_property
     def motion_all(self) -> DataFrame:
-        """K01 over every trip (for the statistics), skew-safe plan."""
-        return motion.motion_features_all(self.points, self.heading, trip_stats=self.validity)
+        """K01 over every trip (for the statistics), skew-safe plan, written
+        once: the scaling statistics and every pass of ``describe_all`` are
+        column-pruned scans of this table instead of K01 recomputations."""
+        return self._keep(motion.motion_features_all(self.points, self.heading, trip_stats=self.validity))
 
     @cached_property
     def norm_stats(self) -> DataFrame:
