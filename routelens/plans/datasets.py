@@ -101,10 +101,15 @@ class TripDatasets:
 
     @cached_property
     def motion_all(self) -> DataFrame:
-        """K01 over every trip (for the statistics), skew-safe plan, written
-        once: the scaling statistics and every pass of ``describe_all`` are
-        column-pruned scans of this table instead of K01 recomputations."""
-        return self._keep(motion.motion_features_all(self.points, self.heading, trip_stats=self.validity))
+        """K01 over every trip (for the statistics), skew-safe plan. The
+        one-row scaling statistics read it once, so it stays a plan here."""
+        return motion.motion_features_all(self.points, self.heading, trip_stats=self.validity)
+
+    @cached_property
+    def motion_all_table(self) -> DataFrame:
+        """``motion_all`` written once, for readers that scan it repeatedly
+        (every pass of ``describe_all`` is a column-pruned scan of it)."""
+        return self._keep(self.motion_all)
 
     @cached_property
     def norm_stats(self) -> DataFrame:
@@ -113,7 +118,7 @@ class TripDatasets:
 
     def describe_all(self, quantiles: str = "exact") -> DataFrame:
         """A01 over all points after K01 (the expanded statistics)."""
-        return stats.describe(self.motion_all, NUMERIC_POINT_COLS, quantiles)
+        return stats.describe(self.motion_all_table, NUMERIC_POINT_COLS, quantiles)
 
     @cached_property
     def valid_points(self) -> DataFrame:
