@@ -34,8 +34,9 @@ class TripDatasets:
     def __init__(self, trips: DataFrame, trip_info: DataFrame, road_info: DataFrame | None = None,
                  pois: DataFrame | None = None, heading: str = "reference",
                  min_len: int = MIN_TRIP_LEN, max_len: int = MAX_TRIP_LEN,
-                 materialize: bool = True):
+                 materialize: bool = True, chunk_rows: int = 200_000):
         self.materialize = materialize
+        self.chunk_rows = chunk_rows
         self.trips = trips
         self.trip_info = trip_info
         self.road_info = road_info
@@ -103,7 +104,8 @@ class TripDatasets:
     def motion_all(self) -> DataFrame:
         """K01 over every trip (for the statistics), skew-safe plan. The
         one-row scaling statistics read it once, so it stays a plan here."""
-        return motion.motion_features_all(self.points, self.heading, trip_stats=self.validity)
+        return motion.motion_features_all(self.points, self.heading, chunk_rows=self.chunk_rows,
+                                          trip_stats=self.validity)
 
     @cached_property
     def motion_all_table(self) -> DataFrame:
