@@ -17,7 +17,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import NEAR_EXCLUSION
-from ..functions.arrays import l2_distance
 from ..session import cut_lineage
 
 QUERY_LIMIT = 100_000      # largest query set shipped to every task

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import (FEATURE_COLS, KSEG, MAX_TRIP_LEN, MIN_TRIP_LEN, NEAR_EXCLUSION,
@@ -247,8 +247,10 @@ class TripDatasets:
                       mode: str = "uniform") -> DataFrame:
         """M03 scores in long form: split, qid (query trip), cls, score."""
         hq = self.hop_query_target(n)
+        # sub-trip length without a window: ceil(n/2) even points, floor(n/2) odd
         hq = hq.withColumn("pos", F.col("sub_pos")).withColumn(
-            "n", F.count(F.lit(1)).over(Window.partitionBy("trip", "role")))
+            "n", F.when(F.col("role") == "qry", F.floor((F.col("n") + 1) / 2))
+                  .otherwise(F.floor(F.col("n") / 2)).cast("int"))
         sub = self.kseg_vectors(EMBED_KSEG, hq, ("split", "trip", "role"))
         qv = sub.where("role = 'qry'").select("split", F.col("trip").alias("qid"), "vec")
         tv = sub.where("role = 'tgt'").select("split", F.col("trip").alias("qid"), "vec")
