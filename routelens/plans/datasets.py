@@ -180,10 +180,16 @@ class TripDatasets:
         return o.unionByName(d)
 
     def od_pois(self, k: int = 5, pre_length: int = 0, momentum: bool = False,
-                pois: DataFrame | None = None) -> DataFrame:
-        """M00 'odpois-k[-pre[-momentum]]': split, trip, o_text, d_text."""
+                pois: DataFrame | None = None, only: DataFrame | None = None) -> DataFrame:
+        """M00 'odpois-k[-pre[-momentum]]': split, trip, o_text, d_text.
+
+        ``only`` (a small table of trips, e.g. the hop set) restricts the
+        neighbour search to those trips before it runs."""
         pois = pois if pois is not None else self.pois
-        pts = self.od_points(pre_length, momentum).withColumn(
+        pts = self.od_points(pre_length, momentum)
+        if only is not None:
+            pts = pts.join(F.broadcast(only.select("trip")), "trip", "left_semi")
+        pts = pts.withColumn(
             "qid", F.col("trip") * 2 + F.when(F.col("end") == "d", 1).otherwise(0))
         nb = poi.knn_poi(pts.select("qid", "lng", "lat"), pois, k)
         txt = poi.poi_text(nb)
@@ -209,7 +215,7 @@ class TripDatasets:
     def hop_query_target_pois(self, n: int = 1000, k: int = 5) -> DataFrame:
         """R03 'hopqrytgtpois-n-k': POI texts of the hop trips, per role (Q6 fixed)."""
         ht = self.hop_trips(n).select("split", "trip", "idx")
-        od = self.od_pois(k).drop("split")
+        od = self.od_pois(k, only=ht).drop("split")              # only the <= 3n hop trips
         roles = self.spark.createDataFrame([("qry",), ("tgt",)], "role string")
         return ht.join(od, "trip").crossJoin(F.broadcast(roles))
 
