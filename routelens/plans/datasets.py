@@ -54,6 +54,14 @@ class TripDatasets:
             return df
         return cut_lineage(df, partition_by="split" if by_split else None)
 
+    def _small(self, df: DataFrame, bound: int) -> DataFrame:
+        """A result with a proven size bound (statistics row, hop trip list)
+        held as a local relation: one collect, lineage cut, no file write."""
+        rows = df.limit(bound + 1).collect()
+        if len(rows) > bound:
+            return self._keep(df)
+        return self.spark.createDataFrame(rows, df.schema)
+
     # ---- base tables -------------------------------------------------------
     @cached_property
     def points(self) -> DataFrame:
@@ -116,7 +124,7 @@ class TripDatasets:
     @cached_property
     def norm_stats(self) -> DataFrame:
         """One row of min/max for the scaled columns over all points."""
-        return self._keep(stats.minmax_stats(self.motion_all, NORMALIZED_COLS))
+        return self._small(stats.minmax_stats(self.motion_all, NORMALIZED_COLS), 1)
 
     def describe_all(self, quantiles: str = "exact") -> DataFrame:
         """A01 over all points after K01 (the expanded statistics)."""
@@ -203,7 +211,8 @@ class TripDatasets:
         """Split, trip, idx of the first min(len-1, n) valid trips."""
         key = ("hop", n)
         if key not in self._memo:
-            self._memo[key] = self._keep(sequence.first_n_trips(self.valid.select("trip", "split"), n))
+            self._memo[key] = self._small(sequence.first_n_trips(self.valid.select("trip", "split"), n),
+                                          3 * n)        # at most n trips per split
         return self._memo[key]
 
     def hop_query_target(self, n: int = 1000) -> DataFrame:
