@@ -65,9 +65,9 @@ def crc_fold(doc_id: str | Column, folds: int) -> Column:
 def sum_blobs(parts: DataFrame, dtype: str = "float64") -> bytes | None:
     """Sum of the equally long numeric arrays in the binary column ``blob``.
 
-    ``parts`` has a row (``part`` int, ``blob`` binary) for each task. The sums
-    go over groups of about sqrt(tasks) parts first, then over the group sums,
-    each task adding one array at a time; one array reaches the driver. Null
+    ``parts`` has a row (``part`` int, ``blob`` binary) for each task. The parts
+    are added up in as many groups as the cluster has cores, then the group
+    sums, a task adding one array at a time; one array reaches the driver. Null
     where ``parts`` has no rows.
     """
     import numpy as np
@@ -82,11 +82,9 @@ def sum_blobs(parts: DataFrame, dtype: str = "float64") -> bytes | None:
         if total is not None:
             yield pd.DataFrame({"part": [0], "blob": [total.tobytes()]})
 
-    tasks = parts.rdd.getNumPartitions()
-    groups = max(1, int(tasks ** 0.5))
-    if tasks > 4:
-        parts = parts.repartition(groups, (F.col("part") % groups)).mapInPandas(add, "part int, blob binary")
-    rows = parts.coalesce(1).mapInPandas(add, "part int, blob binary").select("blob").collect()
+    groups = max(1, parts.sparkSession.sparkContext.defaultParallelism)
+    first = parts.repartition(groups, F.col("part") % groups).mapInPandas(add, "part int, blob binary")
+    rows = first.repartition(1).mapInPandas(add, "part int, blob binary").select("blob").collect()
     return bytes(rows[0][0]) if rows else None
 
 

@@ -9,15 +9,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents
 from .op1_byte_bpe import digests
+from .op3_decontaminate import benchmark_matches
 from .op4_simhash import near_duplicates
 from .op6_exact_dedup import exact_dedup
 from .op7_token_counts import token_counts
+from .op8_quality import quality_scores
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return benchmark_matches(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"), words=5, limit=0.8)
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), words=4, distance=4)
 
@@ -30,8 +36,12 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(documents(spark, sf_dir), documents(spark, sf_dir, "labels"), folds=5, held_fold=0, threshold=0.3)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_byte_bpe, op4_simhash_near_dedup, op6_exact_dedup, op7_token_counts)}
+    op1_byte_bpe, op3_decontamination, op4_simhash_near_dedup, op6_exact_dedup, op7_token_counts, op8_quality)}
 
 ORACLE_SQL: dict[str, str] = {
     "op6_exact_dedup": """
