@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 
 def regression_metrics(df: DataFrame, label: str = "label", pred: str = "pred",
                        keys: tuple[str, ...] = ()) -> DataFrame:
@@ -56,48 +58,54 @@ def truth_rank(scores: DataFrame, labels: DataFrame, keys: tuple[str, ...] = ("i
 
 
 def per_example(scores: DataFrame, labels: DataFrame, keys: tuple[str, ...] = ("id",)) -> DataFrame:
-    """keys, label, pred (arg-max, ties to the lowest class) and rank of the
-    truth (G04 tie rule) from one shuffle: the join by example id; the window
-    and the aggregate reuse its partitioning."""
-    j = scores.join(labels, list(keys))
+    """keys, label, pred (arg-max, ties to the lowest class), rank of the truth
+    (G04 tie rule; NULL if the truth has no score) and the number of scored
+    classes, for every labelled example, from one shuffle: the join by example
+    id; the window and the aggregate reuse its partitioning."""
+    j = labels.join(scores, list(keys), "left")
     w = Window.partitionBy(*keys)
     j = j.withColumn("_ts", F.max(F.when(F.col("cls") == F.col("label"), F.col("score"))).over(w))
     ahead = (F.col("score") > F.col("_ts")) | ((F.col("score") == F.col("_ts")) & (F.col("cls") > F.col("label")))
     return j.groupBy(*keys, "label").agg(
         F.max_by("cls", F.struct(F.col("score"), -F.col("cls"))).alias("pred"),
         F.when(F.max("_ts").isNull(), F.lit(None))
-         .otherwise(F.lit(1) + F.count_if(ahead)).cast("long").alias("rank"))
+         .otherwise(F.lit(1) + F.count_if(ahead)).cast("long").alias("rank"),
+        F.count("score").alias("n_scored"))
 
 
 def classification_metrics(scores: DataFrame, labels: DataFrame,
                            keys: tuple[str, ...] = ("id",), ns: tuple[int, ...] = (5, 10),
                            group: tuple[str, ...] = ()) -> DataFrame:
-    """mean_rank, macro_f1, macro_rec, acc@1, acc@n.
+    """mean_rank, macro_f1, macro_rec, acc@1, acc@n, unscored.
 
+    All averages run over every labelled example. One whose truth has no score
+    is a miss: it ranks behind as many classes as any example has, and is
+    counted in ``unscored``.
     Macro averages run over the classes seen in truth or prediction; a class
     with no true or no predicted example scores 0 (zero_division=0).
     ``group`` columns (e.g. split) must be part of ``keys``. The per-example
     table (one row per example) is kept for the three small aggregates.
     """
-    from pyspark import StorageLevel
     ns = tuple(n for n in ns if n != 1)       # acc@1 comes from the arg-max
-    per = per_example(scores, labels, keys).persist(StorageLevel.MEMORY_AND_DISK)
-    aggs = [F.avg("rank").alias("mean_rank"),
-            F.avg((F.col("pred") == F.col("label")).cast("double")).alias("acc@1")]
-    aggs += [F.avg((F.col("rank") <= n).cast("double")).alias(f"acc@{n}") for n in ns]
+    per = cut_lineage(per_example(scores, labels, keys))
+    hit = lambda x: F.avg(F.coalesce(x, F.lit(False)).cast("double"))
+    unscored = F.count_if(F.col("rank").isNull())
+    aggs = [((F.coalesce(F.sum("rank"), F.lit(0)) + unscored * (F.max("n_scored") + 1)) / F.count(F.lit(1))).alias("mean_rank"),
+            hit(F.col("pred") == F.col("label")).alias("acc@1"), unscored.alias("unscored")]
+    aggs += [hit(F.col("rank") <= n).alias(f"acc@{n}") for n in ns]
     head = per.groupBy(*group).agg(*aggs)
     # Per-class counts: true, predicted, hits. Two small grouped aggregates.
     t = per.groupBy(*group, F.col("label").alias("c")).agg(
         F.count(F.lit(1)).alias("n_true"),
         F.count_if(F.col("pred") == F.col("label")).alias("tp"))
-    p = per.groupBy(*group, F.col("pred").alias("c")).agg(F.count(F.lit(1)).alias("n_pred"))
+    p = per.where(F.col("pred").isNotNull()).groupBy(*group, F.col("pred").alias("c")).agg(F.count(F.lit(1)).alias("n_pred"))
     pc = t.join(p, [*group, "c"], "full_outer").fillna(0, ["n_true", "tp", "n_pred"])
     f1 = F.when(F.col("n_true") + F.col("n_pred") > 0,
                 2 * F.col("tp") / (F.col("n_true") + F.col("n_pred"))).otherwise(F.lit(0.0))
     rec = F.when(F.col("n_true") > 0, F.col("tp") / F.col("n_true")).otherwise(F.lit(0.0))
     macro = pc.groupBy(*group).agg(F.avg(f1).alias("macro_f1"), F.avg(rec).alias("macro_rec"))
     out = head.crossJoin(macro) if not group else head.join(macro, list(group))
-    return out.select(*group, "mean_rank", "macro_f1", "macro_rec", "acc@1", *[f"acc@{n}" for n in ns])
+    return out.select(*group, "mean_rank", "macro_f1", "macro_rec", "acc@1", *[f"acc@{n}" for n in ns], "unscored")
 
 
 def cross_entropy(scores: DataFrame, labels: DataFrame, keys: tuple[str, ...] = ("id",)) -> DataFrame:
@@ -110,6 +118,18 @@ def cross_entropy(scores: DataFrame, labels: DataFrame, keys: tuple[str, ...] =
     return lse.join(t, list(keys)).agg(F.avg(F.col("_lse") - F.col("score")).alias("cross_entropy"))
 
 
+def transition_cross_entropy(train: DataFrame, test: DataFrame, n_classes: DataFrame, now: str, then: str) -> DataFrame:
+    """A14 for the next class of a sequence: mean of -ln p(then | now) over
+    ``test``, with p from the add-one transition counts of ``train``. Counts are
+    one row per pair of classes seen; ``n_classes`` is one row."""
+    pair = train.groupBy(now, then).agg(F.count(F.lit(1)).alias("_c"))
+    total = train.groupBy(now).agg(F.count(F.lit(1)).alias("_t"))
+    seen = test.groupBy(now, then).agg(F.count(F.lit(1)).alias("_n"))
+    j = seen.join(pair, [now, then], "left").join(total, now, "left").crossJoin(F.broadcast(n_classes.toDF("_r")))
+    p = (F.coalesce("_c", F.lit(0)) + 1) / (F.coalesce("_t", F.lit(0)) + F.col("_r"))
+    return j.agg((F.sum(-F.log(p) * F.col("_n")) / F.sum("_n")).alias("cross_entropy"))
+
+
 def multi_mse(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     """Mean squared error over several (pred, label) column pairs together."""
     sq = None

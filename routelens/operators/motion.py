@@ -4,7 +4,7 @@ All of them share one window specification, partition by ``trip`` ordered by
 ``(time, seq_i)``, so Spark plans a single exchange and sort per trip table.
 Trips are bounded by the length filter before the window on every dataset
 path; ``motion_features_all`` handles unbounded (possibly hot) trips for the
-all-trip statistics by splitting them into time chunks.
+all-trip statistics by splitting them into chunks of points.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..constants import MAX_ACCELERATION, MAX_SPEED, MIN_ACCELERATION, MIN_SPEED
 from ..functions.geo import azimuth, clip, haversine
 from ..functions.temporal import epoch_seconds, time_of_day, weekday
+from .ordinal import row_ordinal
 
 ORDER = ("time", "seq_i")
 
@@ -106,36 +107,32 @@ def motion_features(points: DataFrame, heading: str = "reference") -> DataFrame:
 
 
 def motion_features_all(points: DataFrame, heading: str = "reference",
-                        chunk_rows: int = 200_000, long_trip_limit: int = 1_000_000,
+                        chunk_rows: int = 200_000, long_trip_limit: int = 100_000,
                         trip_stats: DataFrame | None = None) -> DataFrame:
     """K01 over trips of any length, safe when one trip holds most of the rows.
 
     Trips longer than ``chunk_rows`` (found by a grouped count, map-side
-    combined) are cut into time chunks of about ``chunk_rows`` points; every
-    other trip is one chunk. One window pass over (trip, chunk) gives each
-    point its neighbours; only the first two rows of a later chunk (and the
-    first row of a trip whose first chunk has one row) miss a neighbour, and
-    they take it from a small per-chunk table. The long-trip table is broadcast
-    after a size check (there are at most rows / chunk_rows such trips).
-    ``trip_stats`` (trip, length, s0, s1) can be passed in when the caller
-    already aggregated per trip, saving a pass over the points.
+    combined) are cut into chunks of ``chunk_rows`` points by their ordinal
+    (a range partitioning on trip, time and seq_i; NULL times come first, many
+    points of one second fall into several chunks); all other trips take the
+    plain plan. One window pass over (trip, chunk) gives each point of a long
+    trip its neighbours; only the first two rows of a later chunk (and a last
+    row) miss one and take it from a small per-chunk table. The list of long
+    trips holds at most rows / chunk_rows ids and is broadcast when it has at
+    most ``long_trip_limit``. ``trip_stats`` (trip, length) can be passed in
+    when the caller already aggregated per trip, saving a pass over the points.
     """
     if trip_stats is None:
-        trip_stats = points.groupBy("trip").agg(F.count(F.lit(1)).alias("length"),
-                                                F.min("seconds").alias("s0"),
-                                                F.max("seconds").alias("s1"))
-    stats = (trip_stats.select("trip", F.col("length").alias("_n"), F.col("s0").alias("_s0"),
-                               F.col("s1").alias("_s1"))
-             .where(F.col("_n") > chunk_rows))
-    n_long = stats.limit(long_trip_limit + 1).count()
+        trip_stats = points.groupBy("trip").agg(F.count(F.lit(1)).alias("length"))
+    long = trip_stats.where(F.col("length") > chunk_rows).select("trip")
+    n_long = long.count()
     if n_long == 0:
         return motion_features(points, heading)
-    lt = F.broadcast(stats) if n_long <= long_trip_limit else stats
-    width = F.greatest(F.lit(1.0), (F.col("_s1") - F.col("_s0")) * F.lit(float(chunk_rows)) / F.col("_n"))
-    chunk = F.when(F.col("_n").isNull(), F.lit(0)).otherwise(
-        F.floor((F.col("seconds") - F.col("_s0")) / width)).cast("long")
-    df = (points.join(lt, "trip", "left").withColumn("_chunk", chunk)
-          .withColumn("_long", F.col("_n").isNotNull()).drop("_n", "_s0", "_s1"))
+    if n_long <= long_trip_limit:
+        long = F.broadcast(long)
+    short = motion_features(points.join(long, "trip", "left_anti"), heading)
+    ranked = row_ordinal(points.join(long, "trip", "left_semi"), list(ORDER), name="_ord", group="trip")
+    df = ranked.withColumn("_chunk", F.floor(F.col("_ord") / chunk_rows).cast("long")).drop("_ord")
 
     w = trip_window(("trip", "_chunk"))
     nb = _window_neighbours(df, w).withColumn("_rn", F.row_number().over(w))
@@ -144,7 +141,7 @@ def motion_features_all(points: DataFrame, heading: str = "reference",
     # partition keys needs no exchange.
     order = F.struct("time", "seq_i")
     pt = F.struct("lng", "lat", "seconds")
-    summ = (nb.where("_long").groupBy("trip", "_chunk")
+    summ = (nb.groupBy("trip", "_chunk")
             .agg(F.min_by(pt, order).alias("_first"),
                  F.max_by(pt, order).alias("_last"),
                  F.max_by(F.struct(F.col("p1_lng").alias("lng"), F.col("p1_lat").alias("lat"),
@@ -157,8 +154,7 @@ def motion_features_all(points: DataFrame, heading: str = "reference",
                         F.lag("_last", 2).over(cw).alias("_pll"),
                         F.lead("_first", 1).over(cw).alias("_nf"))
     rn = F.col("_rn")
-    needs = F.col("_long") & (((F.col("_chunk") > 0) & (rn <= 2))
-                              | ((F.col("_chunk") == 0) & (rn == 1) & ~F.col("has_n1")))
+    needs = ((F.col("_chunk") > 0) & (rn <= 2)) | ((F.col("_chunk") == 0) & (rn == 1) & ~F.col("has_n1"))
     inner = nb.where(~needs)
     edge = nb.where(needs).join(links, ["trip", "_chunk"], "left")
     r1 = (rn == 1) & F.col("_pl").isNotNull()          # first row of a later chunk
@@ -184,7 +180,7 @@ def motion_features_all(points: DataFrame, heading: str = "reference",
         edge = edge.withColumn(c, e)
     edge = edge.drop("_pl", "_plp", "_pll", "_nf")
     out = inner.unionByName(edge)
-    return _neighbour_features(out, heading).drop(*_NB, "_chunk", "_rn", "_long")
+    return short.unionByName(_neighbour_features(out, heading).drop(*_NB, "_chunk", "_rn").select(*short.columns))
 
 
 def with_positions(points: DataFrame) -> DataFrame:

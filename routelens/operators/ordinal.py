@@ -8,18 +8,18 @@ partitions. Nothing ever sits in one partition; with a ``group`` key the
 ordinal restarts per group and only (partition, group) counts are combined.
 Order keys should be unique for a reproducible ordinal.
 
-The tagged frame is persisted before it is used twice (counts and rows):
-Spark seeds the range-bound sample with the RDD id, so two independent
-evaluations could cut different ranges. A lost cached block is rebuilt from
-the same shuffle dependency (same bounds, same in-partition order).
+The tagged frame is written to the shared checkpoint folder before it is used
+twice (counts and rows): Spark seeds the range-bound sample with the RDD id,
+so two independent evaluations could cut different ranges.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 _LOW = (1 << 33) - 1
 
 
@@ -37,11 +37,10 @@ def row_ordinal(df: DataFrame, order: list[str], name: str = "ordinal",
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = ([group] if group else []) + list(order)
-    tagged = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-              .withColumn("_mid", F.monotonically_increasing_id())
-              .withColumn("_pid", F.shiftright("_mid", 33))
-              .withColumn("_idx", F.col("_mid").bitwiseAND(F.lit(_LOW)))
-              .persist(StorageLevel.MEMORY_AND_DISK))
+    tagged = cut_lineage(df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+                         .withColumn("_mid", F.monotonically_increasing_id())
+                         .withColumn("_pid", F.shiftright("_mid", 33))
+                         .withColumn("_idx", F.col("_mid").bitwiseAND(F.lit(_LOW))))
     if not group:
         counts = {r["_pid"]: r["_cnt"] for r in
                   tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt")).collect()}

@@ -1,32 +1,21 @@
-"""Nearest places: J03 (broadcast plan), G01 (grid plan), G02 (text).
+"""Nearest places: J03 and G01 (one exact plan for every size), G02 (text).
 
 Distance is Euclidean on degrees (as the reference's neighbour index), ties
-are broken by ``poi_id``. Both plans return the same rows:
-(``qid``, ``rank`` 0..k-1, ``poi_id``, ``name``, ``address``, ``dist2``).
+are broken by ``poi_id``. Rows: (``qid``, ``rank`` 0..k-1, ``poi_id``, ``name``,
+``address``, ``dist2``).
 """
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import POI_SEPARATOR
 from ..session import cut_lineage
 
-BROADCAST_POI_LIMIT = 2_000
-
-
-def _dist2(qlng, qlat, plng, plat):
-    dx = F.col(plng) - F.col(qlng)
-    dy = F.col(plat) - F.col(qlat)
-    return dx * dx + dy * dy
-
-
 SALT = 16
+LEAF = 32            # a cell of at most this many places isn't split further
+MAX_LEVEL = 20       # side of the smallest cells: the box's side / 2**20
 
 
 def _topk(cands: DataFrame, k: int, salted: bool = False) -> DataFrame:
@@ -55,146 +44,77 @@ def dedupe_locations(pois: DataFrame, k: int) -> DataFrame:
             .drop("_salt", "_r"))
 
 
-def knn_broadcast(queries: DataFrame, pois: DataFrame, k: int) -> DataFrame:
-    """J03 for a POI table of checked small size: every task gets the table.
+def _gap(at: str, low: Column, width: Column) -> Column:
+    """Distance along one axis from a point to the interval [low, low + width]."""
+    return F.greatest(low - F.col(at), F.col(at) - (low + width), F.lit(0.0))
 
-    Each task scores its own query rows against all places with numpy
-    (squared degrees, ties by ``poi_id``) and emits k rows per query; no query
-    x place pair is shuffled or sorted by Spark. The table is collected once
-    after the size check, like a broadcast.
-    """
-    rows = (pois.where(F.col("lng").isNotNull() & F.col("lat").isNotNull())
-            .select("poi_id", "name", "address", "lng", "lat").limit(BROADCAST_POI_LIMIT + 1).collect())
-    if len(rows) > BROADCAST_POI_LIMIT:                   # size check and read in one job
-        raise ValueError("POI table too large for the broadcast plan; use knn_grid")
-    ids = np.array([r["poi_id"] for r in rows], dtype=np.int64)
-    names = np.array([r["name"] for r in rows], dtype=object)
-    addrs = np.array([r["address"] for r in rows], dtype=object)
-    px = np.array([r["lng"] for r in rows], dtype=np.float64)
-    py = np.array([r["lat"] for r in rows], dtype=np.float64)
-    kk = min(k, len(ids))
-    schema = "qid long, rank int, poi_id long, name string, address string, dist2 double"
-    if kk == 0:
-        return queries.sparkSession.createDataFrame([], schema)
-
-    def score(batches):
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            qx = pdf["lng"].to_numpy(dtype=np.float64)[:, None]
-            qy = pdf["lat"].to_numpy(dtype=np.float64)[:, None]
-            dx = px[None, :] - qx
-            dy = py[None, :] - qy
-            d2 = dx * dx + dy * dy                                   # (B, P)
-            order = np.lexsort((np.broadcast_to(ids, d2.shape), d2), axis=1)[:, :kk]
-            sel_d = np.take_along_axis(d2, order, axis=1)
-            b = len(pdf)
-            yield pd.DataFrame({
-                "qid": np.repeat(pdf["qid"].to_numpy(dtype=np.int64), kk),
-                "rank": np.tile(np.arange(kk, dtype=np.int32), b),
-                "poi_id": ids[order].reshape(-1),
-                "name": names[order].reshape(-1),
-                "address": addrs[order].reshape(-1),
-                "dist2": sel_d.reshape(-1),
-            })
-
-    q = queries.where(F.col("lng").isNotNull() & F.col("lat").isNotNull()).select("qid", "lng", "lat")
-    return q.mapInPandas(score, schema)
-
-
-def knn_grid(queries: DataFrame, pois: DataFrame, k: int, cell: float | None = None,
-             max_rounds: int = 64, levels: int = 10) -> DataFrame:
-    """Exact k nearest places with multi-level grid cells and growing squares.
-
-    Places are bucketed at ``levels + 1`` cell sizes (the base size gives
-    about k places per cell on average; each level halves the side). A query
-    searches at the finest level whose cell around it still holds at least k
-    places, so dense clusters get small cells and sparse areas large ones.
-    At its level a query looks at the cells within Chebyshev radius R of its
-    own cell (clipped to the cells that hold places). It is done when it has
-    k candidates and the k-th is strictly closer than the edge of the searched
-    square, or the square covers every place; the rest retry with R doubled.
-    Each round is an equi-join on (level, cell); the per-query top-k is salted
-    so a crowded cell is never one window group; places at one identical
-    location are cut to the k lowest ids first.
+
+def _reach(at: str, low: Column, width: Column) -> Column:
+    """Largest distance along one axis from a point to the interval."""
+    return F.greatest(F.abs(F.col(at) - low), F.abs(F.col(at) - (low + width)))
+
+
+def knn_poi(queries: DataFrame, pois: DataFrame, k: int) -> DataFrame:
+    """The exact k nearest places of each query, by a quadtree of counts.
+
+    The places' box is split into four again and again while a cell holds more
+    than LEAF places; only the counts of the cells (``nodes``) are kept. Every
+    query starts at the root and goes down level by level: its cells are
+    replaced by their occupied children, the k-th smallest "furthest corner"
+    (weighted by the counts) bounds the distance of the k-th place, and cells
+    that begin beyond the bound are dropped. So a query, wherever it lies and
+    however crowded its surroundings, keeps a handful of cells and meets a few
+    times LEAF places at the end. The number of levels comes from the counts.
     """
     p = dedupe_locations(pois.where(F.col("lng").isNotNull() & F.col("lat").isNotNull()), k)
-    bb = p.agg(F.count(F.lit(1)).alias("n"), F.min("lng").alias("x0"), F.max("lng").alias("x1"),
-               F.min("lat").alias("y0"), F.max("lat").alias("y1")).first()
-    npois = bb["n"]
-    if not npois:
+    b = p.agg(F.count(F.lit(1)).alias("n"), F.min("lng").alias("x0"), F.max("lng").alias("x1"),
+              F.min("lat").alias("y0"), F.max("lat").alias("y1")).first()
+    if not b["n"] or k <= 0:
         return queries.sparkSession.createDataFrame(
             [], "qid long, rank int, poi_id long, name string, address string, dist2 double")
-    k_eff = min(k, npois)
-    if cell is None:
-        area = max((bb["x1"] - bb["x0"]) * (bb["y1"] - bb["y0"]), 1e-12)
-        cell = max(math.sqrt(area * max(k_eff, 1) / npois), 1e-9)
-    spark = queries.sparkSession
-    lv = spark.range(levels + 1).select(F.col("id").cast("int").alias("level"),
-                                        (F.lit(cell) / F.pow(F.lit(2.0), F.col("id"))).alias("cl"))
-    x0, x1, y0, y1 = bb["x0"], bb["x1"], bb["y0"], bb["y1"]
-    # every place at every level (place tables are dimension-sized)
-    pcl = p.crossJoin(F.broadcast(lv)).select(
-        "level", "poi_id", "name", "address", F.col("lng").alias("plng"), F.col("lat").alias("plat"),
-        F.floor(F.col("lng") / F.col("cl")).cast("long").alias("cx"),
-        F.floor(F.col("lat") / F.col("cl")).cast("long").alias("cy"))
-    pcl = cut_lineage(pcl)
-    occ = pcl.groupBy("level", "cx", "cy").agg(F.count(F.lit(1)).alias("cnt"))
-    q = queries.where(F.col("lng").isNotNull() & F.col("lat").isNotNull()).select("qid", "lng", "lat")
-    ql = (q.crossJoin(F.broadcast(lv))
-          .withColumn("cx", F.floor(F.col("lng") / F.col("cl")).cast("long"))
-          .withColumn("cy", F.floor(F.col("lat") / F.col("cl")).cast("long"))
-          .join(occ, ["level", "cx", "cy"], "left")
-          .where(F.col("cnt") >= k_eff)
-          .groupBy("qid").agg(F.max("level").alias("level")))
-    pending = (q.join(ql, "qid", "left").withColumn("level", F.coalesce("level", F.lit(0)))
-               .withColumn("cl", F.lit(cell) / F.pow(F.lit(2.0), F.col("level")))
-               .withColumn("qx", F.floor(F.col("lng") / F.col("cl")).cast("long"))
-               .withColumn("qy", F.floor(F.col("lat") / F.col("cl")).cast("long"))
-               .withColumn("cx0", F.floor(F.lit(x0) / F.col("cl")).cast("long"))
-               .withColumn("cx1", F.floor(F.lit(x1) / F.col("cl")).cast("long"))
-               .withColumn("cy0", F.floor(F.lit(y0) / F.col("cl")).cast("long"))
-               .withColumn("cy1", F.floor(F.lit(y1) / F.col("cl")).cast("long")))
-    pending = cut_lineage(pending)
-    done: list[DataFrame] = []
-    R = 1
-    for _ in range(max_rounds):
-        xs = F.sequence(F.greatest(F.col("qx") - R, F.col("cx0")), F.least(F.col("qx") + R, F.col("cx1")))
-        ys = F.sequence(F.greatest(F.col("qy") - R, F.col("cy0")), F.least(F.col("qy") + R, F.col("cy1")))
-        overlap = ((F.col("qx") + R >= F.col("cx0")) & (F.col("qx") - R <= F.col("cx1"))
-                   & (F.col("qy") + R >= F.col("cy0")) & (F.col("qy") - R <= F.col("cy1")))
-        cells = (pending.where(overlap)
-                 .select("qid", "level", "lng", "lat", F.explode(xs).alias("cx"), "qy", "cy0", "cy1", "qx")
-                 .select("qid", "level", "lng", "lat", "cx", F.explode(ys).alias("cy")))
-        cand = cells.join(pcl, ["level", "cx", "cy"]).withColumn("dist2", _dist2("lng", "lat", "plng", "plat"))
-        top = _topk(cand, k_eff, salted=True)
-        summ = top.groupBy("qid").agg(F.count(F.lit(1)).alias("cnt"), F.max("dist2").alias("kth"))
-        cl = F.col("cl")
-        edge = F.least(F.col("lng") - (F.col("qx") - R) * cl, (F.col("qx") + R + 1) * cl - F.col("lng"),
-                       F.col("lat") - (F.col("qy") - R) * cl, (F.col("qy") + R + 1) * cl - F.col("lat"))
-        covers = ((F.col("qx") - R <= F.col("cx0")) & (F.col("qx") + R >= F.col("cx1"))
-                  & (F.col("qy") - R <= F.col("cy0")) & (F.col("qy") + R >= F.col("cy1")))
-        status = (pending.join(summ, "qid", "left")
-                  .withColumn("ok", covers | ((F.coalesce("cnt", F.lit(0)) == k_eff)
-                                              & (F.sqrt("kth") < edge - F.lit(1e-12))))
-                  .drop("cnt", "kth"))
-        status = cut_lineage(status)
-        done.append(top.join(status.where("ok").select("qid"), "qid", "left_semi")
-                    .select("qid", "rank", "poi_id", "name", "address", "dist2"))
-        pending = status.where(~F.col("ok")).drop("ok")
-        if pending.limit(1).count() == 0:
-            break
-        R = 2 * R + 1
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out
-
-
-def knn_poi(queries: DataFrame, pois: DataFrame, k: int) -> DataFrame:
-    """Nearest places with the plan chosen by the checked POI table size."""
-    small = pois.limit(BROADCAST_POI_LIMIT + 1).count() <= BROADCAST_POI_LIMIT
-    return knn_broadcast(queries, pois, k) if small else knn_grid(queries, pois, k)
+    x0, y0, cells = b["x0"], b["y0"], 1 << MAX_LEVEL
+    side = max(b["x1"] - x0, b["y1"] - y0, 1e-9) * (1 + 1e-9)
+    fine = lambda c, low: F.least(F.floor((F.col(c) - low) / side * cells), F.lit(cells - 1)).cast("int")
+    placed = p.select("poi_id", "name", "address", F.col("lng").alias("plng"), F.col("lat").alias("plat"),
+                      fine("lng", x0).alias("ix"), fine("lat", y0).alias("iy"))
+    levels = lambda df, upto: (df.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(upto))))
+                               .withColumn("cx", F.expr(f"shiftright(ix, {MAX_LEVEL} - level)"))
+                               .withColumn("cy", F.expr(f"shiftright(iy, {MAX_LEVEL} - level)")).drop("ix", "iy"))
+    placed = cut_lineage(placed)
+    nodes = cut_lineage(levels(placed.select("ix", "iy"), MAX_LEVEL).groupBy("level", "cx", "cy").agg(F.count(F.lit(1)).alias("cnt")))
+    crowd = {r["level"]: r["c"] for r in nodes.groupBy("level").agg(F.max("cnt").alias("c")).collect()}
+    depth = next((v for v in range(MAX_LEVEL) if crowd[v] <= LEAF), MAX_LEVEL)
+    k_eff = min(k, b["n"])
+
+    # A query's cells are few, so they stay together in its window group.
+    by_reach = Window.partitionBy("qid").orderBy("_reach").rowsBetween(Window.unboundedPreceding, 0)
+    of_query = Window.partitionBy("qid")
+    front = (queries.where(F.col("lng").isNotNull() & F.col("lat").isNotNull())
+             .select("qid", "lng", "lat", F.lit(0).alias("level"), F.lit(0).alias("cx"), F.lit(0).alias("cy"),
+                     F.lit(b["n"]).cast("long").alias("cnt")))
+    for v in range(1, depth + 1):
+        open_ = (F.col("cnt") > LEAF) & (F.col("level") == v - 1)
+        quarter = F.explode(F.array(*[F.struct(F.lit(i).alias("x"), F.lit(j).alias("y")) for i in (0, 1) for j in (0, 1)]))
+        inner = (front.where(open_).withColumn("_q", quarter)
+                 .select("qid", "lng", "lat", (F.col("cx") * 2 + F.col("_q.x")).alias("cx"), (F.col("cy") * 2 + F.col("_q.y")).alias("cy"))
+                 .join(nodes.where(F.col("level") == v), ["cx", "cy"])
+                 .select("qid", "lng", "lat", "level", "cx", "cy", "cnt"))
+        front = front.where(~open_).unionByName(inner)
+        width = F.lit(side) / F.pow(F.lit(2.0), F.col("level"))
+        left, low = F.lit(x0) + F.col("cx") * width, F.lit(y0) + F.col("cy") * width
+        front = (front.withColumn("_gap", F.hypot(_gap("lng", left, width), _gap("lat", low, width)))
+                 .withColumn("_reach", F.hypot(_reach("lng", left, width), _reach("lat", low, width)))
+                 .withColumn("_upto", F.sum("cnt").over(by_reach))
+                 .withColumn("_bound", F.min(F.when(F.col("_upto") >= k_eff, F.col("_reach"))).over(of_query))
+                 # a little slack, so that rounding never drops a tie
+                 .where(F.col("_bound").isNull() | (F.col("_gap") <= F.col("_bound") * (1 + 1e-9) + 1e-12))
+                 .drop("_gap", "_reach", "_upto", "_bound"))
+        if v % 6 == 0:
+            front = cut_lineage(front)
+    cand = front.select("qid", "lng", "lat", "level", "cx", "cy").join(levels(placed, depth), ["level", "cx", "cy"])
+    dx, dy = F.col("plng") - F.col("lng"), F.col("plat") - F.col("lat")
+    top = _topk(cand.withColumn("dist2", dx * dx + dy * dy), k_eff, salted=depth == MAX_LEVEL)
+    return top.select("qid", "rank", "poi_id", "name", "address", "dist2")
 
 
 def poi_text(neighbours: DataFrame) -> DataFrame:

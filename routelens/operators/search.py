@@ -1,39 +1,33 @@
 """Similar-trajectory search: J05 J06 J08 G03 R08 M03 and the exact top-k.
 
-Queries are few (at most the hop-set size N), items are all trips of a split.
-Top-k neighbours: each task scans its items against the query matrix with
-numpy, keeps a running top-k per query, and emits at most k rows per query;
-a final window over (tasks x k) rows per query picks the global top-k. No
-query x item pair is ever shuffled.
+Queries are few (at most the hop-set size N); items are all trips of a split.
+Queries are sent to the tasks in blocks of at most QUERY_BLOCK rows and meet
+the items of their split there. One pass counts distances in bins per query;
+only rows up to the bin that holds rank k leave the second pass, so neither
+the near set nor the farthest set ever shuffles all query x item pairs.
 """
 
 from __future__ import annotations
 
-import math
+from functools import reduce
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import NEAR_EXCLUSION
-from ..session import cut_lineage
+from ..functions.arrays import l2_distance
+from .ordinal import row_ordinal
 
-QUERY_LIMIT = 100_000      # largest query set shipped to every task
-_MASK63 = 0x7FFFFFFFFFFFFFFF
+QUERY_BLOCK = 4_096      # query rows broadcast at once
+SALT = 16
+_EMPTY = "qid long, item long, dist double, rank int"
 
 
-def _query_matrix(queries: DataFrame, vec: str, group: str | None):
-    cols = ["qid", vec] + ([group] if group else [])
-    rows = queries.select(*cols).limit(QUERY_LIMIT + 1).collect()   # size check and read in one job
-    if len(rows) > QUERY_LIMIT:
-        raise ValueError(f"more than {QUERY_LIMIT} queries; split the query set")
-    qids = np.array([r["qid"] for r in rows], dtype=np.int64)
-    groups = np.array([r[group] if group else 0 for r in rows], dtype=np.int64)
-    if not rows:
-        return qids, groups, np.zeros((0, 0))
-    mat = np.array([[np.nan if v is None else v for v in r[vec]] for r in rows], dtype=np.float64)
-    return qids, groups, mat
+def _distance(a: str, b: str) -> Column:
+    """Euclidean distance; NULL if a vector or one of its values is missing."""
+    same = F.size(a) == F.size(b)
+    wrong = F.raise_error(F.lit("vectors of different length")).cast("double")
+    return F.when(F.col(a).isNull() | F.col(b).isNull(), F.lit(None).cast("double")).when(~same, wrong).otherwise(l2_distance(a, b))
 
 
 def vector_topk(queries: DataFrame, items: DataFrame, k: int, largest: bool = False,
@@ -42,74 +36,40 @@ def vector_topk(queries: DataFrame, items: DataFrame, k: int, largest: bool = Fa
     """Exact k nearest (or farthest) items per query by Euclidean distance.
 
     Distances sum squared differences dimension by dimension (the same order
-    as a SQL fold), ties by item id. Items with a NULL component are skipped.
-    With ``group``, a query only meets items of its own group (e.g. split),
-    so all groups go through one pass over the items.
-    Output: qid, item, dist, rank (0-based).
+    as a SQL fold), ties by item id. Items and queries with a missing vector or
+    value are skipped; a vector of another length is an error. With ``group``,
+    a query only meets items of its own group (e.g. split). Distances are
+    counted in bins of half a percent; rows beyond the bin of rank k are
+    dropped before any shuffle. Output: qid, item, dist, rank (0-based).
     """
-    qids, qgroups, Q = _query_matrix(queries, qvec, group)
     spark = items.sparkSession
-    schema = "qid long, item long, dist double, _part int"
-    if len(qids) == 0 or k <= 0:
-        return spark.createDataFrame([], "qid long, item long, dist double, rank int")
-    sign = -1.0 if largest else 1.0
-
-    def part_topk(batches):
-        from pyspark import TaskContext
-        ctx = TaskContext.get()
-        part = ctx.partitionId() if ctx is not None else 0
-        best_k = best_d = best_i = None
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            ids = pdf[item].to_numpy(dtype=np.int64)
-            try:
-                X = np.array([np.asarray(v, dtype=np.float64) for v in pdf[ivec].to_list()])
-            except ValueError:
-                continue
-            if X.ndim != 2 or X.shape[1] != Q.shape[1]:
-                continue
-            g = pdf["_g"].to_numpy(dtype=np.int64)
-            keep = ~np.isnan(X).any(axis=1)
-            X, ids, g = X[keep], ids[keep], g[keep]
-            if len(ids) == 0:
-                continue
-            acc = np.zeros((Q.shape[0], X.shape[0]))
-            for j in range(Q.shape[1]):
-                d = X[None, :, j] - Q[:, None, j]
-                acc = acc + d * d
-            D = np.sqrt(acc)                                   # (nq, nb)
-            key = sign * D
-            key[qgroups[:, None] != g[None, :]] = np.inf       # other groups never match
-            I = np.broadcast_to(ids[None, :], D.shape)
-            if best_d is not None:
-                key = np.concatenate([best_k, key], axis=1)
-                D = np.concatenate([best_d, D], axis=1)
-                I = np.concatenate([best_i, I], axis=1)
-            order = np.lexsort((I, key), axis=1)[:, :k]        # by (sign*dist, item)
-            best_k = np.take_along_axis(key, order, axis=1)
-            best_d = np.take_along_axis(D, order, axis=1)
-            best_i = np.take_along_axis(I, order, axis=1)
-        if best_d is not None:
-            ok = np.isfinite(best_k).reshape(-1)
-            kk = best_d.shape[1]
-            yield pd.DataFrame({"qid": np.repeat(qids, kk)[ok], "item": best_i.reshape(-1)[ok],
-                                "dist": best_d.reshape(-1)[ok], "_part": np.int32(part)})
-
+    if k <= 0:
+        return spark.createDataFrame([], _EMPTY)
     g = F.col(group).cast("long") if group else F.lit(0).cast("long")
-    src = items.select(F.col(item).cast("long").alias(item), ivec, g.alias("_g"))
-    partial = src.mapInPandas(part_topk, schema)
-    order = ((F.col("dist") * sign).asc(), F.col("item").asc())
-    tasks = src.rdd.getNumPartitions()
-    if tasks > 64:
-        # Merge in two levels: groups of about sqrt(tasks) task outputs first,
-        # so no query's merge group holds tasks x k rows.
-        s_ = int(math.sqrt(tasks))
-        w0 = Window.partitionBy("qid", F.pmod(F.col("_part"), F.lit(s_))).orderBy(*order)
-        partial = partial.withColumn("_r0", F.row_number().over(w0)).where(F.col("_r0") <= k).drop("_r0")
+    qs = queries.select("qid", F.col(qvec).alias("_qv"), g.alias("_g")).where(F.col("_qv").isNotNull())
+    its = items.select(F.col(item).cast("long").alias("item"), F.col(ivec).alias("_iv"), g.alias("_g"))
+    blocks = max(1, -(-qs.count() // (QUERY_BLOCK // 2)))
+    return reduce(DataFrame.unionByName, [
+        _block_topk(qs.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b) if blocks > 1 else qs, its, k, largest)
+        for b in range(blocks)])
+
+
+def _block_topk(qs: DataFrame, its: DataFrame, k: int, largest: bool) -> DataFrame:
+    # A block of queries: a bounded number of rows, so it may be sent to every task.
+    pairs = (its.join(F.broadcast(qs), "_g").withColumn("dist", _distance("_qv", "_iv")).where(F.col("dist").isNotNull())
+             .select("qid", "item", "dist").withColumn("_bin", F.floor(F.log(F.col("dist") + F.lit(1e-12)) * 200).cast("int")))
+    nearer = F.col("_bin").desc() if largest else F.col("_bin").asc()
+    before = Window.partitionBy("qid").orderBy(nearer).rowsBetween(Window.unboundedPreceding, -1)
+    need = (pairs.groupBy("qid", "_bin").agg(F.count(F.lit(1)).alias("_n"))
+            .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).where(F.col("_before") < k)
+            .groupBy("qid").agg((F.min if largest else F.max)("_bin").alias("_cut")))
+    kept = pairs.join(F.broadcast(need), "qid").where(F.col("_bin") >= F.col("_cut") if largest else F.col("_bin") <= F.col("_cut"))
+    order = (F.col("dist").desc() if largest else F.col("dist").asc(), F.col("item").asc())
+    # Many equal distances may share the last bin: two levels, so no group holds them all.
+    w0 = Window.partitionBy("qid", "_salt").orderBy(*order)
+    kept = kept.withColumn("_salt", F.pmod(F.xxhash64("item"), F.lit(SALT))).withColumn("_r0", F.row_number().over(w0)).where(F.col("_r0") <= k)
     w = Window.partitionBy("qid").orderBy(*order)
-    return (partial.withColumn("rank", (F.row_number().over(w) - 1).cast("int"))
-            .where(F.col("rank") < k).drop("_part"))
+    return kept.withColumn("rank", (F.row_number().over(w) - 1).cast("int")).where(F.col("rank") < k).select("qid", "item", "dist", "rank")
 
 
 def nearest_set(queries: DataFrame, items: DataFrame, near: int = NEAR_EXCLUSION,
@@ -118,10 +78,14 @@ def nearest_set(queries: DataFrame, items: DataFrame, near: int = NEAR_EXCLUSION
     return vector_topk(queries, items, near, group=group).select("qid", "item")
 
 
-def hash_unit(seed: int, *cols) -> F.Column:
-    """Uniform [0, 1) from a seeded 64-bit hash."""
-    h = F.xxhash64(F.lit(seed), *cols)
-    return h.bitwiseAND(F.lit(_MASK63)).cast("double") / F.lit(float(1 << 63))
+def seeded_hash(seed: int, *cols) -> Column:
+    """A hash that any SQL engine can compute: md5 of the seed and the values."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in cols]))
+
+
+def _start(seed: int, total: Column) -> Column:
+    """A query's seeded place among ``total`` items."""
+    return F.pmod(F.conv(F.substring(seeded_hash(seed, "qid"), 1, 15), 16, 10).cast("long"), total)
 
 
 def sample_negatives(queries: DataFrame, items: DataFrame, m: int, seed: int = 0,
@@ -129,84 +93,37 @@ def sample_negatives(queries: DataFrame, items: DataFrame, m: int, seed: int = 0
                      group: str | None = None) -> DataFrame:
     """G03 + R08: M negatives per query, never one of its ``near`` nearest.
 
-    ``mode="uniform"`` (the reference's meaning, seeded): the M items with the
-    smallest hash among all but the nearest. Items are pre-filtered with a
-    hash threshold giving about twice the needed rows inside the join, and a
-    query left with fewer than M is redone without the threshold, so the
-    result is exact. ``mode="farthest"``: the M farthest (ties by item id).
-    A group with at most ``near`` items uses its M farthest, in hash order.
-    M is capped per group at (items - queries). With ``group`` (e.g. split)
-    queries only draw from their own group; every group is one pass.
+    ``mode="uniform"`` (the reference's meaning, seeded): the items of a group
+    are shuffled by a seeded hash; each query takes the M that follow its own
+    seeded place in that order (round the end), without its near set. It meets
+    M + near items by an equi-join on their places, not the whole group.
+    ``mode="farthest"``: the M farthest (ties by item id). A group with at most
+    ``near`` items uses its M farthest, in the shuffled order. M is capped per
+    group at (items - queries). With ``group`` (e.g. split) queries only draw
+    from their own group; every group is one pass.
     Output: qid, item, neg_idx (1..M), in the order the negatives are listed.
     """
-    spark = items.sparkSession
     gq = F.col(group).cast("long") if group else F.lit(0).cast("long")
     q = queries.select("qid", "vec", gq.alias("_g"))
     it = items.select(F.col("item").cast("long").alias("item"), "vec", gq.alias("_g"))
-    # Per-group sizes: one tiny row per group.
+    # One row per group.
     sizes = (it.groupBy("_g").agg(F.count(F.lit(1)).alias("_t"))
              .join(q.groupBy("_g").agg(F.count(F.lit(1)).alias("_nq")), "_g")
-             .withColumn("_m", F.greatest(F.lit(0), F.least(F.col("_t") - F.col("_nq"), F.lit(m))))
-             .withColumn("_p", F.least(F.lit(1.0), (F.lit(2.0) * (F.col("_m") + near) + 64.0) / F.col("_t")))
-             .collect())
-    info = {r["_g"]: r for r in sizes}
-    if not info or all(r["_m"] == 0 for r in info.values()):
-        return spark.createDataFrame([], "qid long, item long, neg_idx int")
-    m_map = F.create_map(*[x for g0, r in info.items() for x in (F.lit(g0), F.lit(int(r["_m"])))])
-    p_map = F.create_map(*[x for g0, r in info.items() for x in (F.lit(g0), F.lit(float(r["_p"])))])
-    small = [g0 for g0, r in info.items() if r["_t"] <= near]
-    big = [g0 for g0, r in info.items() if r["_t"] > near]
-    parts = []
-    by_dist = Window.partitionBy("qid").orderBy(F.col("dist").desc(), "item")
-    by_hash = Window.partitionBy("qid").orderBy(hash_unit(seed, "qid", "item"), "item")
-    far_groups = small + (big if mode == "farthest" else [])
-    if far_groups:
-        k = max(int(info[g0]["_m"]) + (near if g0 in big else 0) for g0 in far_groups)
-        fq = q.where(F.col("_g").isin(far_groups))
-        far = vector_topk(fq, it, k, largest=True, group="_g")
-        far = far.join(F.broadcast(fq.select("qid", "_g")), "qid")
-        if any(g0 in big for g0 in far_groups):
-            near_set = nearest_set(fq, it, near, group="_g")
-            far = far.join(F.broadcast(near_set.join(F.broadcast(fq.select("qid", "_g")), "qid")
-                                       .where(F.col("_g").isin(big)).select("qid", "item")),
-                           ["qid", "item"], "left_anti")
-        far = far.withColumn("_r", F.row_number().over(by_dist)).where(F.col("_r") <= m_map[F.col("_g")])
-        order = by_dist if mode == "farthest" else by_hash
-        parts.append(far.withColumn("neg_idx", F.row_number().over(order).cast("int")).select("qid", "item", "neg_idx"))
-    hash_groups = [] if mode == "farthest" else big
-    if hash_groups:
-        hq = q.where(F.col("_g").isin(hash_groups))
-        excl = F.broadcast(nearest_set(hq, it, near, group="_g"))
-        qs = F.broadcast(hq.select("qid", "_g"))
-        ids = it.where(F.col("_g").isin(hash_groups)).select("item", "_g")
-
-        def pick(scale: float, qsel) -> DataFrame:
-            pairs = ids.join(qsel, "_g").withColumn("_u", hash_unit(seed, "qid", "item"))
-            if scale < float("inf"):
-                pairs = pairs.where(F.col("_u") < p_map[F.col("_g")] * F.lit(scale))
-            pairs = pairs.join(excl, ["qid", "item"], "left_anti")
-            w = Window.partitionBy("qid").orderBy("_u", "item")
-            return (pairs.withColumn("neg_idx", F.row_number().over(w).cast("int"))
-                    .where(F.col("neg_idx") <= m_map[F.col("_g")]).select("qid", "item", "neg_idx"))
-
-        # Exact: the M smallest hashes are all below the threshold whenever at
-        # least M items pass it; a short query retries with a 4x threshold
-        # (never the whole split at once), the last round has no threshold.
-        pending = hq.select("qid", "_g")
-        scale = 1.0
-        while True:
-            cur = pick(scale, F.broadcast(pending))
-            got = cur.groupBy("qid").agg(F.count(F.lit(1)).alias("_c"))
-            full = pending.join(got, "qid").where(F.col("_c") >= m_map[F.col("_g")]).select("qid")
-            if scale == float("inf"):
-                parts.append(cur)
-                break
-            parts.append(cur.join(full, "qid", "left_semi"))
-            pending = cut_lineage(pending.join(full, "qid", "left_anti"))
-            if pending.limit(1).count() == 0:
-                break
-            scale = scale * 4 if max(float(r["_p"]) for r in info.values()) * scale * 4 < 1.0 else float("inf")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+             .select("_g", "_t", F.greatest(F.lit(0), F.least(F.col("_t") - F.col("_nq"), F.lit(m))).alias("_m")))
+    qs = q.select("qid", "_g").join(sizes, "_g")
+    near_set = nearest_set(q, it, near, group="_g")
+    idx = lambda *order: F.row_number().over(Window.partitionBy("qid").orderBy(*order)).cast("int")
+    if mode == "farthest":
+        far = vector_topk(q, it, m + near, largest=True, group="_g").join(qs, "qid")
+        far = far.join(near_set.join(qs.where(F.col("_t") > near).select("qid"), "qid", "left_semi"), ["qid", "item"], "left_anti")
+        return far.withColumn("neg_idx", idx(F.col("dist").desc(), "item")).where(F.col("neg_idx") <= F.col("_m")).select("qid", "item", "neg_idx")
+    placed = row_ordinal(it.select("item", "_g", seeded_hash(seed, "item").alias("_h")), ["_h", "item"], name="_place", group="_g")
+    steps = F.sequence(F.lit(0).cast("long"), F.least(F.col("_t"), F.col("_m") + near) - 1)
+    taken = (qs.where(F.col("_m") > 0).withColumn("_step", F.explode(steps))
+             .withColumn("_place", F.pmod(_start(seed, F.col("_t")) + F.col("_step"), F.col("_t")))
+             .join(placed.select("_g", "_place", "item"), ["_g", "_place"]))
+    big = taken.where(F.col("_t") > near).join(near_set, ["qid", "item"], "left_anti")
+    big = big.withColumn("neg_idx", idx("_step")).where(F.col("neg_idx") <= F.col("_m"))
+    small_far = vector_topk(q, it, near, largest=True, group="_g").join(qs.where(F.col("_t") <= near), "qid").where(F.col("rank") < F.col("_m"))
+    small = taken.join(small_far.select("qid", "item"), ["qid", "item"], "left_semi").withColumn("neg_idx", idx("_step"))
+    return big.select("qid", "item", "neg_idx").unionByName(small.select("qid", "item", "neg_idx"))

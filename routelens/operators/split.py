@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import MAX_TRIP_LEN, MIN_TRIP_LEN
@@ -80,9 +80,11 @@ def batch_assign(ordered: DataFrame, batch_size: int, ordinal: str = "ordinal")
     return b.join(sizes.where("batch_rows > 1"), "batch_id").drop("batch_rows")
 
 
-def seeded_shuffle_key(seed: int, *cols) -> Column:
-    """A reproducible random order key."""
-    return F.xxhash64(F.lit(seed), *[F.col(c) if isinstance(c, str) else c for c in cols])
+def seeded_shuffle(df: DataFrame, seed: int, key: list[str], name: str = "shuffled", group: str | None = None) -> DataFrame:
+    """A reproducible random order: the rows' ordinal by md5 of the seed
+    and their key (unique), restarting per ``group``; no global sort window."""
+    h = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in key]))
+    return row_ordinal(df.withColumn("_h", h), ["_h", *key], name=name, group=group).drop("_h")
 
 
 def query_target_union(qry: DataFrame, tgt: DataFrame) -> DataFrame:

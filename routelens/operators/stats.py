@@ -34,7 +34,7 @@ def _stack(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def exact_order_stats(long: DataFrame, targets: dict[tuple[str, int], tuple[float, float]],
-                      buckets: int = 1024, window: int = 20_000, max_passes: int = 40) -> dict:
+                      buckets: int = 1024, window: int = 20_000) -> dict:
     """Exact k-th smallest values of (column, value) rows by iterative selection.
 
     ``targets`` maps (column, rank) to the column's (min, max). Each pass is
@@ -42,12 +42,13 @@ def exact_order_stats(long: DataFrame, targets: dict[tuple[str, int], tuple[floa
     current value window of every target (a few thousand tiny rows are read
     back); the window shrinks to the bin holding the rank. A window of at most
     ``window`` values (or of one repeated value) is read back and the value
-    picked. No data is shuffled or sorted, nothing grows with the table.
+    picked. Each pass narrows the window at least to the values of one bin, so
+    columns of any range end. No data is shuffled or sorted.
     """
     spark = long.sparkSession
     state = {t: (lo, hi, 0) for t, (lo, hi) in targets.items()}   # lo, hi, rows below lo
     result: dict = {}
-    for _ in range(max_passes):
+    while True:
         open_t = {t: v for t, v in state.items() if t not in result}
         if not open_t:
             break
@@ -62,8 +63,9 @@ def exact_order_stats(long: DataFrame, targets: dict[tuple[str, int], tuple[floa
                                     "column string, _k long, _lo double, _hi double, _below long")
         inwin = (long.join(F.broadcast(win), "column")
                  .where((F.col("value") >= F.col("_lo")) & (F.col("value") <= F.col("_hi"))))
-        b = F.least(F.floor((F.col("value") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * buckets),
-                    F.lit(buckets - 1))
+        # halves, so that the widest range of doubles doesn't overflow
+        share = F.try_divide(F.col("value") / 2 - F.col("_lo") / 2, F.col("_hi") / 2 - F.col("_lo") / 2)
+        b = F.least(F.floor(F.coalesce(share, F.lit(0.0)) * buckets), F.lit(buckets - 1))
         hist = (inwin.groupBy("column", "_k", b.alias("_b"))
                 .agg(F.count(F.lit(1)).alias("_n"), F.min("value").alias("_mn"), F.max("value").alias("_mx"))
                 .collect())
@@ -75,7 +77,7 @@ def exact_order_stats(long: DataFrame, targets: dict[tuple[str, int], tuple[floa
             cum = below
             for _b, n, mn, mx in sorted(per.get(t, [])):
                 if cum + n > t[1]:
-                    if n <= window and mn != mx:
+                    if mn != mx and (n <= window or (mn, mx) == (lo, hi)):
                         fetch[t] = (mn, mx, cum)
                     state[t] = (mn, mx, cum)
                     break

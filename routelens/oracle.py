@@ -10,7 +10,8 @@ from __future__ import annotations
 
 
 def R(e: str) -> str:
-    return f"(floor(CAST({e} AS DOUBLE) * 1e6 + 0.5) / 1e6 + 0.0)"
+    x = f"CAST({e} AS DOUBLE)"
+    return f"(CASE WHEN abs({x}) < 1e12 THEN floor({x} * 1e6 + 0.5) / 1e6 + 0.0 ELSE {x} END)"
 
 
 def _rad(x: str) -> str:
@@ -229,14 +230,33 @@ pc AS (
 def _cls_final(ns=(5, 10)) -> str:
     accs = ", ".join(f"{R(f'avg(CASE WHEN rank <= {n} THEN 1.0 ELSE 0.0 END)')} AS \"acc@{n}\"" for n in ns)
     return f"""SELECT {R('h.mean_rank')} AS mean_rank, {R('m.macro_f1')} AS macro_f1, {R('m.macro_rec')} AS macro_rec,
-       {R('h.acc1')} AS "acc@1", {', '.join(f'h."acc@{n}"' for n in ns)}
-FROM (SELECT avg(rank) AS mean_rank, avg(CASE WHEN pred = label THEN 1.0 ELSE 0.0 END) AS acc1, {accs} FROM per) h,
+       {R('h.acc1')} AS "acc@1", {', '.join(f'h."acc@{n}"' for n in ns)}, (SELECT count(*) FROM elabel) - h.n AS unscored
+FROM (SELECT count(*) AS n, avg(rank) AS mean_rank, avg(CASE WHEN pred = label THEN 1.0 ELSE 0.0 END) AS acc1, {accs} FROM per) h,
      (SELECT avg(CASE WHEN n_true + n_pred > 0 THEN 2.0 * tp / (n_true + n_pred) ELSE 0.0 END) AS macro_f1,
              avg(CASE WHEN n_true > 0 THEN 1.0 * tp / n_true ELSE 0.0 END) AS macro_rec FROM pc) m"""
 
 
-def _search_ctes(mode_farthest: bool = True, n: int = 5, m: int = 5) -> str:  # n: hop CTE
-    """Farthest-negatives search over kseg(6) selection and kseg(3) vectors."""
+_FARTHEST = """negs AS (
+  SELECT f.split, f.qid AS trip, f.item AS neg_trip, f.neg_idx
+  FROM far f JOIN ssize s USING (split) JOIN qsize q USING (split)
+  WHERE f.neg_idx <= least(s.t - q.nq, {m}))"""
+# Seeded: the M trips that follow the query's place in the split's md5 order, round the end.
+_UNIFORM = """place AS (
+  SELECT split, trip AS item, row_number() OVER (PARTITION BY split ORDER BY md5(concat('{seed}:', trip)), trip) - 1 AS at FROM valid),
+pick AS (
+  SELECT p.split, q.qid, p.item, greatest(0, least(s.t - n.nq, {m})) AS m,
+         (p.at - CAST(concat('0x', substr(md5(concat('{seed}:', q.qid)), 1, 15)) AS BIGINT) % s.t + s.t) % s.t AS step
+  FROM hopq q JOIN place p USING (split) JOIN ssize s USING (split) JOIN qsize n USING (split)
+  WHERE CASE WHEN s.t <= 10 THEN EXISTS (SELECT 1 FROM far f WHERE f.split = p.split AND f.qid = q.qid AND f.item = p.item
+                                           AND f.neg_idx <= least(s.t - n.nq, {m}))
+        ELSE NOT EXISTS (SELECT 1 FROM near x WHERE x.split = p.split AND x.qid = q.qid AND x.item = p.item) END),
+negs AS (
+  SELECT split, qid AS trip, item AS neg_trip, neg_idx FROM (
+    SELECT *, CAST(row_number() OVER (PARTITION BY split, qid ORDER BY step) AS INTEGER) AS neg_idx FROM pick) WHERE neg_idx <= m)"""
+
+
+def _search_ctes(seed: int | None = None, m: int = 5) -> str:
+    """Search over kseg(6) selection and kseg(3) vectors; farthest negatives, or seeded ones."""
     return _kseg(6) + _kvec("kv", "kseg") + f""",
 hopq AS (SELECT split, trip AS qid FROM hop),
 pd AS (
@@ -254,10 +274,7 @@ far AS (
          CAST(row_number() OVER (PARTITION BY p.split, p.qid ORDER BY p.dist DESC, p.item) AS INTEGER) AS neg_idx
   FROM pd p JOIN ssize s USING (split)
   WHERE s.t <= 10 OR NOT EXISTS (SELECT 1 FROM near x WHERE x.split = p.split AND x.qid = p.qid AND x.item = p.item)),
-negs AS (
-  SELECT f.split, f.qid AS trip, f.item AS neg_trip, f.neg_idx
-  FROM far f JOIN ssize s USING (split) JOIN qsize q USING (split)
-  WHERE f.neg_idx <= least(s.t - q.nq, {m}))""" + _kseg(3, "tf", "k3") + _kvec("v3", "k3") + _kseg(
+""" + (_FARTHEST if seed is None else _UNIFORM).replace("{m}", str(m)).replace("{seed}", str(seed)) + _kseg(3, "tf", "k3") + _kvec("v3", "k3") + _kseg(
         3, "(SELECT split, trip || ':' || role AS trip, lng, lat, sub_pos AS pos, "
            "count(*) OVER (PARTITION BY trip, role) AS n FROM hq)", "k3h") + _kvec("v3h", "k3h") + """,
 scores AS (
@@ -346,8 +363,9 @@ _add("normalize_zscore", _sql(
 _add("denormalize", _sql(
     f"SELECT trip, pos, {R('(lng + 1) / 2 * (mx_lng - mn_lng) + mn_lng')} AS lng, "
     f"{R('(lat + 1) / 2 * (mx_lat - mn_lat) + mn_lat')} AS lat FROM tf CROSS JOIN nstat"))
-_add("normalize_minmax", _sql("SELECT " + ", ".join(f"{R(f'mn_{c}')} AS min_{c}, {R(f'mx_{c}')} AS max_{c}" for c in NORM)
-                              + " FROM nstat"))
+_add("normalize_minmax", _sql("SELECT trip, pos, " + ", ".join(
+    f"{R(f'CASE WHEN mx_{c} = mn_{c} THEN NULL ELSE ({c} - mn_{c}) / (mx_{c} - mn_{c}) * 2 - 1 END')} AS {c}" for c in NORM)
+    + " FROM vp CROSS JOIN nstat"))
 _add("scale_unit", _sql(
     f"""SELECT trip, pos, {R('(speed - lo) / (hi - lo)')} AS speed, {R('(acceleration - lo) / (hi - lo)')} AS acceleration
 FROM vp CROSS JOIN (SELECT least(min(speed), min(acceleration)) AS lo, greatest(max(speed), max(acceleration)) AS hi
@@ -368,8 +386,8 @@ def _gidx(v, lo, hi, n):
 
 
 _add("grid_project", _sql(
-    f"SELECT trip, seq_i, {_gidx('lat', 'y0', 'y1', 'num_h')} * num_w + {_gidx('lng', 'x0', 'x1', 'num_w')} AS grid_road "
-    "FROM trips CROSS JOIN gdim WHERE lng IS NOT NULL", _GRID))
+    f"SELECT trip, seq_i, CAST({_gidx('lat', 'y0', 'y1', 'num_h')} * num_w + {_gidx('lng', 'x0', 'x1', 'num_w')} AS DOUBLE) AS grid_road "
+    "FROM trips CROSS JOIN gdim", _GRID))
 _add("grid_cells", _sql(
     f"SELECT CAST(r AS BIGINT) AS road, {R('(r % num_w) * 0.0015 + 0.0015 / 2 + x0')} AS lng, "
     f"{R('(r // num_w) * 0.0015 + 0.0015 / 2 + y0')} AS lat "
@@ -380,8 +398,8 @@ _add("model_features", _sql(
     + ", ".join(f"{R(c)} AS {c}" for c in NORM) + " FROM tf"))
 _D = 8
 _add("cosine_encoding", _sql(
-    f"SELECT trip, CAST(i AS INTEGER) AS i, {R(f'sqrt(1.0 / {_D}) * cos(tod * pow(10.0, -i * {9.0 / (_D - 1)!r}))')} AS value "
-    f"FROM tf CROSS JOIN (SELECT unnest(generate_series(0, {_D - 1})) AS i) WHERE pos = 0"))
+    f"SELECT trip, pos, CAST(i AS INTEGER) AS i, {R(f'sqrt(1.0 / {_D}) * cos(tod * pow(10.0, -i * {9.0 / (_D - 1)!r}))')} AS value "
+    f"FROM tf CROSS JOIN (SELECT unnest(generate_series(0, {_D - 1})) AS i)"))
 _add("position_encoding", _sql(
     f"SELECT CAST(p AS INTEGER) AS pos, CAST(i AS INTEGER) AS i, "
     f"{R(f'CASE WHEN i % 2 = 0 THEN sin(p * exp(-(i - i % 2) * {__import__('math').log(10000.0) / _D!r})) ELSE cos(p * exp(-(i - i % 2) * {__import__('math').log(10000.0) / _D!r})) END')} AS value "
@@ -390,9 +408,9 @@ _add("position_encoding", _sql(
 _half = _D // 2
 _kt = __import__("math").log(10000.0) / (_half - 1)
 _add("time_encoding", _sql(
-    f"SELECT trip, CAST(i AS INTEGER) AS i, "
+    f"SELECT trip, pos, CAST(i AS INTEGER) AS i, "
     f"{R(f'CASE WHEN i < {_half} THEN sin(tod * 100 * exp(-i * {_kt!r})) ELSE cos(tod * 100 * exp(-(i - {_half}) * {_kt!r})) END')} AS value "
-    f"FROM tf CROSS JOIN (SELECT unnest(generate_series(0, {_D - 1})) AS i) WHERE pos = 0"))
+    f"FROM tf CROSS JOIN (SELECT unnest(generate_series(0, {_D - 1})) AS i)"))
 _add("attach_road_coords", _sql(
     f"SELECT t.trip, t.seq_i, {R('r.lng')} AS road_lng, {R('r.lat')} AS road_lat FROM trips t LEFT JOIN road_info r USING (road)"))
 _add("knn_poi", _sql(f"SELECT qid AS trip, rank, poi_id, {R('sqrt(dist2)')} AS dist FROM nb",
@@ -439,13 +457,14 @@ _add("first_n_trips", _sql("SELECT trip, split, idx FROM hop", hop_n=1000))
 _add("hop_query_target", _sql(
     f"SELECT split, idx, trip, role, sub_pos, {R('lng')} AS lng, {R('lat')} AS lat, {R('speed')} AS speed FROM hq", hop_n=1000))
 _add("query_target_union", _sql(
-    f"SELECT split, idx, trip, role, sub_pos, {R('lng')} AS lng, {R('lat')} AS lat FROM hq"))
+    f"SELECT split, trip, CASE WHEN pos % 2 = 0 THEN 'qry' ELSE 'tgt' END AS role, CAST(pos // 2 AS INTEGER) AS sub_pos, "
+    f"{R('lng')} AS lng, {R('lat')} AS lat FROM tf"))
 _add("hop_query_target_pois", _sql(
     "SELECT h.split, h.trip, h.idx, o.o_text, o.d_text, r.role FROM hop h JOIN odpois o USING (trip) "
     "CROSS JOIN (SELECT 'qry' AS role UNION ALL SELECT 'tgt') r", _odpois_ctes(3)))
 _add("concat_sequences", _sql(
-    f"""SELECT split, trip, CAST(CASE WHEN role = 'qry' THEN sub_pos ELSE nq + sub_pos END AS INTEGER) AS i, {R('lng')} AS lng
-FROM (SELECT *, count(*) FILTER (WHERE role = 'qry') OVER (PARTITION BY trip) AS nq FROM hq)"""))
+    f"""SELECT split, trip, CAST(CASE WHEN pos % 2 = 0 THEN pos // 2 ELSE nq + pos // 2 END AS INTEGER) AS i, {R('lng')} AS lng
+FROM (SELECT *, count(*) FILTER (WHERE pos % 2 = 0) OVER (PARTITION BY trip) AS nq FROM tf)"""))
 _add("pad_trips", _sql(
     f"""SELECT g.trip, CAST(g.i AS INTEGER) AS i, {R('COALESCE(p.lng, l.lng)')} AS lng
 FROM (SELECT trip, unnest(generate_series(0, L - 1)) AS i
@@ -465,7 +484,7 @@ _add("farthest_negatives", _sql("SELECT split, trip, neg_trip, neg_idx FROM negs
 _add("search_candidates", _sql(f"SELECT split, qid, CAST(cls AS INTEGER) AS cls, {R('score')} AS score FROM scores",
                                _search_ctes()))
 _SS_FINAL = f"""SELECT split, {R('avg(rank)')} AS mean_rank, {R('avg(f1)')} AS macro_f1, {R('avg(rec)')} AS macro_rec,
-       {R('max(acc1)')} AS "acc@1", {R('max(acc5)')} AS "acc@5", {R('max(acc10)')} AS "acc@10"
+       {R('max(acc1)')} AS "acc@1", {R('max(acc5)')} AS "acc@5", {R('max(acc10)')} AS "acc@10", CAST(0 AS BIGINT) AS unscored
 FROM (
   SELECT pc.split, pc.f1, pc.rec, h.rank, h.acc1, h.acc5, h.acc10 FROM
   (SELECT split, CASE WHEN n_true + n_pred > 0 THEN 2.0 * tp / (n_true + n_pred) ELSE 0.0 END AS f1,
@@ -511,9 +530,19 @@ mse AS (
     SELECT lng, lat, lead(lng) OVER w AS next_lng, lead(lat) OVER w AS next_lat, lead(pos) OVER w AS np
     FROM tf WINDOW w AS (PARTITION BY trip ORDER BY pos)) WHERE np IS NOT NULL)"""
 _add("multi_mse", _sql(f"SELECT {R('mse')} AS mse FROM mse", _MSE))
+_NEXT = """,
+nxt AS (
+  SELECT * FROM (SELECT split, lng, lat, road, lead(lng) OVER w AS next_lng, lead(lat) OVER w AS next_lat,
+                        lead(road) OVER w AS next_road, lead(pos) OVER w AS np
+                 FROM tf WINDOW w AS (PARTITION BY trip ORDER BY pos)) WHERE np IS NOT NULL),
+tc AS (SELECT road, next_road, count(*) AS c FROM nxt WHERE split = 0 GROUP BY ALL),
+tt AS (SELECT road, count(*) AS t FROM nxt WHERE split = 0 GROUP BY ALL),
+rec AS (
+  SELECT avg(-ln((coalesce(c, 0) + 1) / (coalesce(t, 0) + (SELECT max(road) + 1 FROM road_info)))) AS cross_entropy,
+         sum((lng - next_lng) * (lng - next_lng) + (lat - next_lat) * (lat - next_lat)) / (count(*) * 2) AS mse
+  FROM nxt LEFT JOIN tc USING (road, next_road) LEFT JOIN tt USING (road) WHERE split = 2)"""
 _add("recovery_loss", _sql(
-    f"SELECT {R('cross_entropy')} AS cross_entropy, {R('mse')} AS mse, {R('0.5 * cross_entropy + 0.5 * mse')} AS loss FROM ce, mse",
-    EMB + _CE + _MSE))
+    f"SELECT {R('cross_entropy')} AS cross_entropy, {R('mse')} AS mse, {R('0.5 * cross_entropy + 0.5 * mse')} AS loss FROM rec", _NEXT))
 _TTE = """,
 tte AS (SELECT split, trip, max(seconds) - min(seconds) AS label FROM tf GROUP BY split, trip),
 base AS (SELECT t.*, m.pred FROM tte t CROSS JOIN (SELECT avg(label) AS pred FROM tte WHERE split = 0) m),
@@ -524,7 +553,7 @@ _REG_FINAL = (f"SELECT split, {R('rmse')} AS rmse, {R('mae')} AS mae, {R('mape')
               "CAST(mape_skipped AS BIGINT) AS mape_skipped FROM reg")
 _add("regression_metrics", _sql(_REG_FINAL, _TTE))
 _add("selection_score", _sql(f"SELECT split, {R('mape')} AS mape, {R('1.0 / (mape + 1e-6)')} AS score FROM reg", _TTE))
-_add("set_intersection", _sql("SELECT DISTINCT road FROM vp WHERE split = 0 INTERSECT SELECT DISTINCT road FROM vp WHERE split = 2"))
+_add("set_intersection", _sql("SELECT DISTINCT road FROM vp WHERE split < 2 INTERSECT SELECT DISTINCT road FROM vp WHERE split = 2"))
 from .constants import PREFIX_EN as _PEN, PREFIX_ZH as _PZH, PROMPT_PARTS as _PP  # noqa: E402
 from .constants import TASK_SUFFIXES as _TS, WEEKDAYS_EN as _WEN, WEEKDAYS_ZH as _WZH  # noqa: E402
 
@@ -588,11 +617,10 @@ _add("pairwise", _sql(
     f"SELECT trip, pos, {R('lng')} AS lng, {R('lat')} AS lat, {R('next_lng')} AS next_lng, {R('next_lat')} AS next_lat "
     f"FROM {_pairs} WHERE np IS NOT NULL"))
 _add("od_poi_text", _sql(
-    "SELECT qid AS trip, concat(max(CASE WHEN rank = 0 THEN address END), string_agg(name, '、' ORDER BY rank)) AS text "
-    "FROM nb GROUP BY qid",
-    ",\n" + _knn_cte("nb", "SELECT trip AS qid, lng, lat FROM vp WHERE pos = 0", "pois", 3)))
+    "SELECT q.trip, q.\"end\", t.text FROM odq q JOIN odtxt t USING (qid)", _odpois_ctes(3)))
 _add("negative_candidates", _sql(
-    "SELECT h.split, h.trip, s.t - 10 AS n_candidates FROM hop h JOIN ssize s USING (split)", _search_ctes()))
+    "SELECT h.split, h.trip, v.trip AS neg_trip FROM hop h JOIN valid v USING (split) WHERE NOT EXISTS "
+    "(SELECT 1 FROM near x WHERE x.split = h.split AND x.qid = h.trip AND x.item = v.trip)", _search_ctes()))
 _add("prompt_suffix", _sql(
     "SELECT v.trip, s.task, s.lang, s.suffix FROM valid v CROSS JOIN (VALUES "
     + ", ".join(f"({_lit(t)}, {_lit(lang)}, {_lit(v)})" for (t, lang), v in _TS.items())
@@ -600,7 +628,7 @@ _add("prompt_suffix", _sql(
 
 
 def _metrics_table_sql() -> str:
-    metrics = ["mean_rank", "macro_f1", "macro_rec", "acc@1", "acc@5", "acc@10"]
+    metrics = ["mean_rank", "macro_f1", "macro_rec", "acc@1", "acc@5", "acc@10", "unscored"]
     rm = ["rmse", "mae", "mape", "mape_skipped"]
     u1 = " UNION ALL ".join(
         f"SELECT 'search' AS task, split, '{m}' AS metric, CAST(\"{m}\" AS DOUBLE) AS value FROM ss" for m in metrics)
@@ -617,3 +645,14 @@ _add("metrics_table", _metrics_table_sql())
 _add("farthest_negatives_default", _sql("SELECT split, trip, neg_trip, neg_idx FROM negs",
                                         _search_ctes(m=10000), hop_n=1000))
 _add("similar_search_default", _sql(_SS_FINAL, _search_ctes(m=10000) + _SS_EXTRA, hop_n=1000))
+
+_add("sample_negatives", _sql("SELECT split, trip, neg_trip, neg_idx FROM negs", _search_ctes(seed=7)))
+_add("similar_search_sampled", _sql(_SS_FINAL, _search_ctes(seed=7) + _SS_EXTRA))
+_add("seeded_shuffle", _sql(
+    "SELECT trip, split, row_number() OVER (PARTITION BY split ORDER BY md5(concat('42:', trip)), trip) - 1 AS shuffled FROM valid"))
+_add("encode_trips", _sql(
+    "SELECT trip, CAST(k * 3 + c AS INTEGER) AS i, " + R("CASE k WHEN 0 THEN m WHEN 1 THEN s WHEN 2 THEN f ELSE l END") + " AS value FROM ("
+    + " UNION ALL ".join(
+        f"SELECT trip, {i} AS c, avg({c}) AS m, stddev_pop({c}) AS s, max(CASE WHEN pos = 0 THEN {c} END) AS f, "
+        f"max(CASE WHEN pos = n - 1 THEN {c} END) AS l FROM tf GROUP BY trip" for i, c in enumerate(("lng", "lat", "speed")))
+    + ") CROSS JOIN (SELECT unnest(generate_series(0, 3)) AS k)"))

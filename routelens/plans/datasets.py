@@ -20,7 +20,7 @@ from ..constants import (FEATURE_COLS, KSEG, MAX_TRIP_LEN, MIN_TRIP_LEN, NEAR_EX
                          NORMALIZED_COLS, TRIP_COLS)
 from ..operators import motion, poi, search, sequence, split, stats
 from ..operators.metrics import classification_metrics
-from ..session import cut_lineage
+from ..session import bounded_broadcast, cut_lineage
 
 RAW_COLS = ["time", "road", "road_prop", "lng", "lat", "seq_i"]
 NUMERIC_POINT_COLS = ["trip", "road", "road_prop", "lng", "lat", "seq_i", "seconds", "tod",
@@ -98,15 +98,11 @@ class TripDatasets:
         """Remove trips over the length bound before any shuffle on ``trip``.
 
         Only those trips can make a hot key; there are at most rows / max_len
-        of them, and the list is broadcast after a size check (else an
+        of them, and the list is broadcast if it is short (else an
         anti-join that AQE can split).
         """
         long = self.validity.where(F.col("length") > self.max_len).select("trip")
-        limit = 5_000_000
-        n = long.limit(limit + 1).count()
-        if n == 0:
-            return pts
-        return pts.join(F.broadcast(long) if n <= limit else long, "trip", "left_anti")
+        return pts.join(bounded_broadcast(long), "trip", "left_anti")
 
     @cached_property
     def motion_all(self) -> DataFrame:
@@ -284,7 +280,6 @@ class TripDatasets:
                        mode: str = "uniform") -> DataFrame:
         """M03 metrics per split: mean_rank, macro_f1, macro_rec, acc@1/5/10."""
         # queries x (m + 1) rows, read by several metric branches: keep once
-        from pyspark import StorageLevel
-        sc = self.search_scores(n, m, seed, mode).persist(StorageLevel.MEMORY_AND_DISK)
+        sc = self._keep(self.search_scores(n, m, seed, mode))
         labels = sc.select("split", "qid").distinct().withColumn("label", F.lit(0))
         return classification_metrics(sc, labels, keys=("split", "qid"), group=("split",))

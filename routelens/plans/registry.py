@@ -38,14 +38,16 @@ ENC_D = 8            # width of the trigonometric encodings
 
 
 def finish(df: DataFrame) -> DataFrame:
-    """Round doubles to 6 digits and turn -0.0 into 0.0."""
+    """Round doubles to 6 digits and turn -0.0 into 0.0; NaN, infinities and
+    values of 1e12 and more stay as they are."""
     cols = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
             x = F.col(f"`{f.name}`").cast("double")
             # floor(x * 1e6 + 0.5) / 1e6 is bit-identical in every IEEE engine
             # (decimal ties are where engines' round() functions differ).
-            cols.append((F.floor(x * F.lit(1e6) + F.lit(0.5)) / F.lit(1e6) + F.lit(0.0)).alias(f.name))
+            rounded = F.floor(x * F.lit(1e6) + F.lit(0.5)) / F.lit(1e6) + F.lit(0.0)
+            cols.append(F.when(F.abs(x) < 1e12, rounded).otherwise(x).alias(f.name))
         else:
             cols.append(F.col(f"`{f.name}`"))
     return df.select(*cols)
@@ -83,7 +85,7 @@ def _emb_scores(spark, sf_dir) -> DataFrame:
     The centroid table has one row per label (10), broadcast by size.
     """
     e = _emb(spark, sf_dir)
-    c = bounded_broadcast(_centroids(spark, sf_dir), 10_000, "label centroids")
+    c = bounded_broadcast(_centroids(spark, sf_dir), 10_000)
     return e.crossJoin(c).select(F.col("vec_id").alias("id"), "cls", (-l2_distance("vec", "cvec")).alias("score"))
 
 
@@ -251,7 +253,8 @@ def q_denormalize(spark, d):
 
 def q_normalize_minmax(spark, d):
     ds = datasets(spark, d)
-    return finish(ds.norm_stats)
+    z = stats.normalize_minmax(ds.valid_points, ds.norm_stats, NORMALIZED_COLS)
+    return finish(z.select("trip", "pos", *NORMALIZED_COLS))
 
 
 def q_scale_unit(spark, d):
@@ -283,16 +286,17 @@ def _grid(ds):
 def q_grid_project(spark, d):
     ds = datasets(spark, d)
     dims = F.broadcast(_grid(ds))
-    p = ds.trips.where(F.col("lng").isNotNull()).crossJoin(dims)
+    p = ds.trips.crossJoin(dims)                    # a point without a place has no cell
     w = geo.grid_index("lng", "x0", "x1", "num_w")
     h = geo.grid_index("lat", "y0", "y1", "num_h")
-    return p.select("trip", "seq_i", (h * F.col("num_w") + w).alias("grid_road"))
+    return p.select("trip", "seq_i", (h * F.col("num_w") + w).cast("double").alias("grid_road"))
 
 
 def q_grid_cells(spark, d):
     ds = datasets(spark, d)
     dims = _grid(ds)
-    cells = dims.select("*", F.explode(F.sequence(F.lit(0), F.col("num_w") * F.col("num_h") - 1)).alias("road"))
+    w, h = dims.select("num_w", "num_h").first()
+    cells = spark.range((w or 0) * (h or 0)).withColumnRenamed("id", "road").crossJoin(F.broadcast(dims))   # one row of sizes
     step = GRID_STEP_DEGREE
     return finish(cells.select(
         F.col("road").cast("long").alias("road"),
@@ -306,8 +310,8 @@ def q_model_features(spark, d):
 
 
 def q_cosine_encoding(spark, d):
-    tf = datasets(spark, d).trip_features.where("pos = 0")
-    e = tf.select("trip", F.posexplode(encodings.cosine_encoding("tod", ENC_D)).alias("i", "value"))
+    tf = datasets(spark, d).trip_features
+    e = tf.select("trip", "pos", F.posexplode(encodings.cosine_encoding("tod", ENC_D)).alias("i", "value"))
     return finish(e)
 
 
@@ -320,8 +324,8 @@ def q_position_encoding(spark, d):
 
 
 def q_time_encoding(spark, d):
-    tf = datasets(spark, d).trip_features.where("pos = 0")
-    e = tf.select("trip", F.posexplode(encodings.time_encoding(F.col("tod") * 100, ENC_D)).alias("i", "value"))
+    tf = datasets(spark, d).trip_features
+    e = tf.select("trip", "pos", F.posexplode(encodings.time_encoding(F.col("tod") * 100, ENC_D)).alias("i", "value"))
     return finish(e)
 
 
@@ -340,13 +344,13 @@ def _origins(ds, split_id=None):
 
 def q_knn_poi(spark, d):
     ds = datasets(spark, d)
-    nb = poi.knn_broadcast(_origins(ds), ds.fixture["pois"], POI_K)
+    nb = poi.knn_poi(_origins(ds), ds.fixture["pois"], POI_K)
     return finish(nb.select(F.col("qid").alias("trip"), "rank", "poi_id", F.sqrt("dist2").alias("dist")))
 
 
 def q_knn_poi_grid(spark, d):
     ds = datasets(spark, d)
-    nb = poi.knn_grid(_origins(ds), ds.fixture["pois_large"], POI_K)
+    nb = poi.knn_poi(_origins(ds), ds.fixture["pois_large"], POI_K)
     return finish(nb.select(F.col("qid").alias("trip"), "rank", "poi_id", F.sqrt("dist2").alias("dist")))
 
 
@@ -422,11 +426,12 @@ def q_hop_query_target(spark, d):
 
 
 def q_query_target_union(spark, d):
-    hq = datasets(spark, d).hop_query_target(HOP_N)
+    """U01 over the halves of every valid trip."""
+    hq = sequence.hop_split(datasets(spark, d).trip_features)
     q = hq.where("role = 'qry'").drop("role")
     t = hq.where("role = 'tgt'").drop("role")
     u = split.query_target_union(q, t)
-    return finish(u.select("split", "idx", "trip", "role", "sub_pos", "lng", "lat"))
+    return finish(u.select("split", "trip", "role", "sub_pos", "lng", "lat"))
 
 
 def q_hop_query_target_pois(spark, d):
@@ -434,11 +439,12 @@ def q_hop_query_target_pois(spark, d):
 
 
 def q_concat_sequences(spark, d):
-    hq = datasets(spark, d).hop_query_target(HOP_N)
+    """R04 over the halves of every valid trip, each cut to its valid length."""
+    hq = sequence.hop_split(datasets(spark, d).trip_features)
     s = sequence.trip_sequences(hq.withColumn("pos", F.col("sub_pos")), ["lng"], ("split", "trip", "role"))
     q = s.where("role = 'qry'").select("split", "trip", F.col("points").alias("a"), F.col("length").alias("na"))
-    t = s.where("role = 'tgt'").select("split", "trip", F.col("points").alias("b"))
-    c = q.join(t, ["split", "trip"]).select("split", "trip", concat_valid("a", F.col("na"), "b").alias("c"))
+    t = s.where("role = 'tgt'").select("split", "trip", F.col("points").alias("b"), F.col("length").alias("nb"))
+    c = q.join(t, ["split", "trip"]).select("split", "trip", concat_valid("a", F.col("na"), "b", F.col("nb")).alias("c"))
     return finish(c.select("split", "trip", F.posexplode("c").alias("i", "p")).select(
         "split", "trip", "i", F.col("p.lng").alias("lng")))
 
@@ -512,22 +518,22 @@ def q_pairwise(spark, d):
 
 
 def q_od_poi_text(spark, d):
-    """The place text of every valid trip origin (k = 3)."""
+    """The place text of every valid trip's origin and destination (k = 3)."""
     ds = datasets(spark, d)
-    nb = poi.knn_poi(_origins(ds), ds.fixture["pois"], POI_K)
-    return poi.poi_text(nb).select(F.col("qid").alias("trip"), "text")
+    pts = ds.od_points().withColumn("qid", F.col("trip") * 2 + F.when(F.col("end") == "d", 1).otherwise(0))
+    txt = poi.poi_text(poi.knn_poi(pts.select("qid", "lng", "lat"), ds.fixture["pois"], POI_K))
+    return txt.select(F.floor(F.col("qid") / 2).alias("trip"), F.when(F.col("qid") % 2 == 1, "d").otherwise("o").alias("end"), "text")
 
 
 def q_negative_candidates(spark, d):
-    """How many negative candidates each hop query has (all but its 10 nearest)."""
+    """The negative candidates of each hop query (all but its 10 nearest)."""
     ds = datasets(spark, d)
     vecs, ht = _per_split_queries(ds, HOP_N)
     items = vecs.select("split", F.col("trip").alias("item"), "vec")
     qs = ht.join(vecs, ["split", "trip"]).select("split", F.col("trip").alias("qid"), "vec")
-    near = search.nearest_set(qs, items, 10, group="split").groupBy("qid").agg(F.count(F.lit(1)).alias("n_near"))
-    sizes = vecs.groupBy("split").agg(F.count(F.lit(1)).alias("n_items"))
-    return (ht.join(sizes, "split").join(near, ht["trip"] == near["qid"])
-            .select("split", "trip", (F.col("n_items") - F.col("n_near")).alias("n_candidates")))
+    near = search.nearest_set(qs, items, 10, group="split")
+    return (items.join(F.broadcast(qs.select("split", "qid")), "split")       # at most 3 * HOP_N queries
+            .join(near, ["qid", "item"], "left_anti").select("split", F.col("qid").alias("trip"), F.col("item").alias("neg_trip")))
 
 
 def q_prompt_suffix(spark, d):
@@ -548,8 +554,8 @@ def q_similar_search_default(spark, d):
 
 
 def q_seeded_shuffle(spark, d):
-    v = datasets(spark, d).valid.where("split = 0").select("trip")
-    return v.withColumn("shuffle_key", split.seeded_shuffle_key(42, "trip"))
+    """A seeded order of each split's trips."""
+    return split.seeded_shuffle(datasets(spark, d).valid.select("trip", "split"), 42, ["trip"], group="split")
 
 
 def q_mean_pool(spark, d):
@@ -558,7 +564,7 @@ def q_mean_pool(spark, d):
 
 def q_l2_similarity(spark, d):
     e = _emb(spark, d)
-    c = bounded_broadcast(_centroids(spark, d), 10_000, "label centroids")
+    c = _centroids(spark, d)
     j = e.join(c, e["label"] == c["cls"])
     return finish(j.select("vec_id", (-l2_distance("vec", "cvec")).alias("similarity")))
 
@@ -607,8 +613,15 @@ def q_multi_mse(spark, d):
 
 
 def q_recovery_loss(spark, d):
-    ce = metrics.cross_entropy(_emb_scores(spark, d), _emb_labels(spark, d))
-    mse = metrics.multi_mse(_persistence(datasets(spark, d)), [("lng", "next_lng"), ("lat", "next_lat")])
+    """A16 on the next points of the test trips: cross entropy of the next road
+    (add-one transition counts of the train trips) and squared error of the
+    place (which is predicted to stay)."""
+    ds = datasets(spark, d)
+    tf = ds.trip_features.withColumn("time", F.col("seconds")).withColumn("road", F.col("road").cast("long"))
+    nxt = motion.next_point_pairs(tf, ["lng", "lat", "road"])
+    n_road = ds.fixture["road_info"].agg((F.max("road") + 1).alias("_r"))
+    ce = metrics.transition_cross_entropy(nxt.where("split = 0"), nxt.where("split = 2"), n_road, "road", "next_road")
+    mse = metrics.multi_mse(nxt.where("split = 2"), [("lng", "next_lng"), ("lat", "next_lat")])
     return finish(metrics.recovery_loss(ce, mse))
 
 
@@ -630,7 +643,7 @@ def q_selection_score(spark, d):
 
 def q_set_intersection(spark, d):
     vp = datasets(spark, d).valid_points
-    a = vp.where("split = 0").select("road")
+    a = vp.where("split < 2").select("road")
     b = vp.where("split = 2").select("road")
     return split.set_intersection(a, b)
 
@@ -717,7 +730,7 @@ def q_embedding_lookup(spark, d):
 def q_anchor_attention(spark, d):
     """Each embedding attends over the label centroids (anchors)."""
     e = _emb(spark, d)
-    c = bounded_broadcast(_centroids(spark, d), 10_000, "label centroids")
+    c = bounded_broadcast(_centroids(spark, d), 10_000)
     dim = 64
     j = e.crossJoin(c).withColumn(
         "s", F.aggregate(F.zip_with("vec", "cvec", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)

@@ -49,6 +49,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="routelens-ckpt-", dir="/tmp")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
@@ -72,23 +74,10 @@ def cut_lineage(df: DataFrame, eager: bool = True, partition_by: str | None = No
     return out.select(*df.columns)       # partition column back in its place
 
 
-def bounded_broadcast(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT,
-                      what: str = "table") -> DataFrame:
-    """Broadcast ``df`` only after proving it has at most ``limit`` rows.
-
-    Raises ``ValueError`` above the limit so callers take their shuffle plan.
-    """
-    n = df.limit(limit + 1).count()
-    if n > limit:
-        raise ValueError(f"{what} has more than {limit} rows; not broadcast")
-    return F.broadcast(df)
-
-
-def env_int(name: str, default: int) -> int:
-    try:
-        return int(os.environ.get(name, default))
-    except ValueError:
-        return default
+def bounded_broadcast(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``limit`` rows, else as it
+    is, so that Spark shuffles it. The rows of a join are the same either way."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
 _SHIPPED: set = set()

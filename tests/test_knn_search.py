@@ -14,7 +14,7 @@ def _queries(spark):
 def test_grid_equals_broadcast_with_ties(spark):
     fx, q = _queries(spark)
     pl = fx["pois_large"]      # keys 1000 apart share a place: ties broken by poi_id
-    a = sorted((r.qid, r.rank, r.poi_id) for r in poi.knn_grid(q, pl, 4).collect())
+    a = sorted((r.qid, r.rank, r.poi_id) for r in poi.knn_poi(q, pl, 4).collect())
     p = pl.withColumn("dummy", F.lit(1))
     w = q.crossJoin(p.select("poi_id", F.col("lng").alias("plng"), F.col("lat").alias("plat")))
     w = w.withColumn("d", (F.col("plng") - F.col("lng")) ** 2 + (F.col("plat") - F.col("lat")) ** 2)
@@ -27,8 +27,8 @@ def test_grid_equals_broadcast_with_ties(spark):
 def test_k_larger_than_table(spark):
     fx, q = _queries(spark)
     small = fx["pois"].limit(2)
-    assert poi.knn_grid(q, small, 5).groupBy("qid").count().agg(F.max("count")).first()[0] == 2
-    assert poi.knn_broadcast(q, small, 5).groupBy("qid").count().agg(F.max("count")).first()[0] == 2
+    assert poi.knn_poi(q, small, 5).groupBy("qid").count().agg(F.max("count")).first()[0] == 2
+
 
 
 def _vecs(spark, n):
@@ -91,7 +91,7 @@ def test_grid_exact_with_hot_cluster_and_copies(spark):
     qs += [(100 + i, 104.0 + rnd.random() * 1e-4, 30.6 + rnd.random() * 1e-4) for i in range(20)]
     qs += [(200, 104.01, 30.61), (201, 104.0102, 30.6101)]
     Q = spark.createDataFrame(qs, "qid long, lng double, lat double")
-    got = sorted((r.qid, r.rank, r.poi_id) for r in poi.knn_grid(Q, P, 5).collect())
+    got = sorted((r.qid, r.rank, r.poi_id) for r in poi.knn_poi(Q, P, 5).collect())
     want = []
     for qid, x, y in qs:
         d = sorted((((px - x) * (px - x) + (py - y) * (py - y)), i) for i, _, _, px, py in pois)[:5]
