@@ -9,6 +9,8 @@ all-trip statistics by splitting them into chunks of points.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -209,6 +211,27 @@ def pairwise(points: DataFrame, cols: list[str]) -> DataFrame:
     return next_point_pairs(points, cols)
 
 
+def next_point_rows(rows: DataFrame, cols: list[str], keep: tuple[str, ...] = ("split", "trip")) -> DataFrame:
+    """W05/W08 on rows that hold their trip as an array ``pts``: each point but
+    the last with the next point's ``cols``; no shuffle."""
+    pair = F.transform(F.sequence(F.lit(0), F.size("pts") - 2), lambda i: F.struct(
+        i.cast("int").alias("pos"), F.get("pts", i).alias("p"),
+        *[F.get("pts", i + 1)[c].alias(f"next_{c}") for c in cols]))
+    return (rows.where(F.size("pts") > 1).select(*keep, F.explode(pair).alias("_r"))
+            .select(*keep, "_r.pos", "_r.p.*", *[f"_r.next_{c}" for c in cols]))
+
+
+def conv_rows(rows: DataFrame, col: str, kernel: list[float], out: str = "conv", keep: tuple[str, ...] = ("split", "trip")) -> DataFrame:
+    """W07 on rows that hold their trip as an array ``pts``; no shuffle."""
+    half = (len(kernel) - 1) // 2
+
+    def at(_, i):
+        terms = [F.lit(float(w)) * F.coalesce(F.get("pts", i + (j - half))[col], F.lit(0.0)) for j, w in enumerate(kernel)]
+        return reduce(lambda a, b: a + b, terms)
+
+    return rows.select(*keep, F.posexplode(F.transform("pts", at)).alias("pos", out))
+
+
 def sequence_conv(points: DataFrame, col: str, kernel: list[float], out: str = "conv") -> DataFrame:
     """1-D convolution along a trip, zero padding (k-1)/2, caller's kernel."""
     k = len(kernel)

@@ -6,7 +6,7 @@ built only after the length filter, so no array grows beyond 120 points.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import KSEG
@@ -84,6 +84,28 @@ def kseg_vectors(points: DataFrame, cols: list[str], k: int = KSEG, keys: tuple[
     return t.select(*keys, F.flatten(F.transform("_s", lambda r: F.array(*[r[c] for c in cols]))).alias("vec"))
 
 
+def kseg_array(pts: str, cols: list[str], k: int = KSEG) -> Column:
+    """A07 on a row that holds its trip as an array: k structs (seg, means)."""
+    n = F.size(pts)
+    size = F.floor(n / k)
+
+    def segment(i):
+        first = F.when(size == 0, F.when(i == k - 1, F.lit(0))).otherwise(i * size)
+        count = F.when(size == 0, n).when(i == k - 1, n - (k - 1) * size).otherwise(size)
+        own = F.slice(pts, (first + 1).cast("int"), count.cast("int"))
+        mean = lambda c: F.aggregate(F.filter(own, lambda p: p[c].isNotNull()), F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n")),
+                                     lambda a, p: F.struct((a["s"] + p[c]).alias("s"), (a["n"] + 1).alias("n")),
+                                     lambda a: F.try_divide(a["s"], a["n"].cast("double")))
+        return F.struct(i.cast("int").alias("seg"), *[mean(c).alias(c) for c in cols])
+
+    return F.transform(F.sequence(F.lit(0), F.lit(k - 1)), segment)
+
+
+def kseg_vector(pts: str, cols: list[str], k: int = KSEG) -> Column:
+    """A07 on a row's array: the k-segment vector (segment-major, k * len(cols) values)."""
+    return F.flatten(F.transform(kseg_array(pts, cols, k), lambda r: F.array(*[r[c] for c in cols])))
+
+
 def extrapolate_trip(points: DataFrame, pre_length: int, step_unit: str = "second") -> DataFrame:
     """Momentum extrapolation of the cut trip end by ``pre_length`` steps.
 

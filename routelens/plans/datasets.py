@@ -1,8 +1,11 @@
 """Named derived datasets of the reference, as lazy DataFrame plans.
 
     load -> time features -> split (ordinal) -> valid trips (grouped check)
-         -> K01 on valid trips (one window) -> offset, fill, scale
-         -> trip / destination / tte / odpois / hop / negatives / search
+         -> K01 on all trips, written once -> one row per valid trip (array of points)
+         -> offset, fill, scale -> trip / destination / tte / odpois / hop / negatives / search
+
+Trips are bounded by the length filter, so everything about one trip is an
+expression on its array: no dataset shuffles the points again.
 
 The scaling statistics are computed over *all* trips (as the reference's
 expanded statistics) with the chunked K01 plan, which bounds every window
@@ -20,11 +23,13 @@ from ..constants import (FEATURE_COLS, KSEG, MAX_TRIP_LEN, MIN_TRIP_LEN, NEAR_EX
                          NORMALIZED_COLS, TRIP_COLS)
 from ..operators import motion, poi, search, sequence, split, stats
 from ..operators.metrics import classification_metrics
-from ..session import bounded_broadcast, cut_lineage
+from ..session import cut_lineage
 
 RAW_COLS = ["time", "road", "road_prop", "lng", "lat", "seq_i"]
 NUMERIC_POINT_COLS = ["trip", "road", "road_prop", "lng", "lat", "seq_i", "seconds", "tod",
                       "weekday", "speed", "acceleration", "heading_angle"]
+POINT_COLS = ["time", "seq_i", "road", "road_prop", "lng", "lat", "seconds", "tod", "weekday",
+              "speed", "acceleration", "heading_angle"]
 EMBED_KSEG = MIN_TRIP_LEN // 2   # hopped halves of valid trips have >= 3 points
 
 
@@ -94,28 +99,13 @@ class TripDatasets:
         return self._keep(v.join(self.split_info.select("trip", "split"), "trip")
                           .select("trip", "split", "length"))
 
-    def _drop_long_trips(self, pts: DataFrame) -> DataFrame:
-        """Remove trips over the length bound before any shuffle on ``trip``.
-
-        Only those trips can make a hot key; there are at most rows / max_len
-        of them, and the list is broadcast if it is short (else an
-        anti-join that AQE can split).
-        """
-        long = self.validity.where(F.col("length") > self.max_len).select("trip")
-        return pts.join(bounded_broadcast(long), "trip", "left_anti")
-
     @cached_property
     def motion_all(self) -> DataFrame:
-        """K01 over every trip (for the statistics), skew-safe plan. The
-        one-row scaling statistics read it once, so it stays a plan here."""
-        return motion.motion_features_all(self.points, self.heading, chunk_rows=self.chunk_rows,
-                                          trip_stats=self.validity)
-
-    @cached_property
-    def motion_all_table(self) -> DataFrame:
-        """``motion_all`` written once, for readers that scan it repeatedly
-        (every pass of ``describe_all`` is a column-pruned scan of it)."""
-        return self._keep(self.motion_all)
+        """K01 over every trip, skew-safe plan, written once: the scaling
+        statistics, every pass of ``describe_all`` and the valid trips are
+        column-pruned scans of it."""
+        return self._keep(motion.motion_features_all(self.points, self.heading, chunk_rows=self.chunk_rows,
+                                                     trip_stats=self.validity))
 
     @cached_property
     def norm_stats(self) -> DataFrame:
@@ -124,16 +114,23 @@ class TripDatasets:
 
     def describe_all(self, quantiles: str = "exact") -> DataFrame:
         """A01 over all points after K01 (the expanded statistics)."""
-        return stats.describe(self.motion_all_table, NUMERIC_POINT_COLS, quantiles)
+        return stats.describe(self.motion_all, NUMERIC_POINT_COLS, quantiles)
+
+    @cached_property
+    def trip_rows(self) -> DataFrame:
+        """split, trip, n, pts: one row per valid trip, its points with K01 in
+        order; written once partitioned by split. The filter to valid trips
+        comes before the grouping, so no array grows beyond ``max_len``."""
+        pts = self.motion_all.join(self.valid.select("trip", "split"), "trip")
+        rows = pts.groupBy("trip").agg(F.first("split").alias("split"), F.array_sort(F.collect_list(F.struct(*POINT_COLS))).alias("pts"))
+        return self._keep(rows.select("split", "trip", F.size("pts").alias("n"), "pts"), by_split=True)
 
     @cached_property
     def valid_points(self) -> DataFrame:
-        """Points of valid trips with split, K01, pos, n, s0, s1 (one window
-        sort), written once partitioned by split: every trip-level dataset
-        (features, OD places, labels, pairs) reads this table."""
-        pts = self._drop_long_trips(self.points).join(self.valid.select("trip", "split"), "trip")
-        pts = motion.motion_features(pts, self.heading)
-        return self._keep(motion.with_positions(pts), by_split=True)
+        """Points of valid trips with split, K01, pos, n, s0, s1 (long form of ``trip_rows``)."""
+        ends = [F.col("pts")[0]["seconds"].alias("s0"), F.element_at("pts", -1)["seconds"].alias("s1")]
+        return (self.trip_rows.select("split", "trip", "n", *ends, F.posexplode("pts").alias("pos", "p"))
+                .select("split", "trip", "n", "s0", "s1", "pos", "p.*"))
 
     # ---- trip meta ---------------------------------------------------------
     @cached_property
@@ -143,26 +140,37 @@ class TripDatasets:
         TRIP_COLS with missing values as 0, offset = (t - t0)/(tN - t0)*2 - 1
         (NULL for a zero span), then min-max scaling of the six columns.
         """
-        df = stats.fill_missing(self.valid_points, TRIP_COLS)
-        s0, s1 = F.col("s0"), F.col("s1")         # trip span from the window pass
-        df = df.withColumn("offset", F.try_divide(F.col("seconds") - s0, s1 - s0) * 2 - 1)
-        df = stats.normalize_minmax(df, self.norm_stats, NORMALIZED_COLS)
-        return df.select("split", "trip", "pos", "n", *FEATURE_COLS)
+        return (self.feature_rows.select("split", "trip", "n", F.posexplode("pts").alias("pos", "p"))
+                .select("split", "trip", "pos", "n", "p.*"))
+
+    @cached_property
+    def feature_rows(self) -> DataFrame:
+        """``trip_features`` as one row per trip: split, trip, n, pts."""
+        s0, s1 = F.col("pts")[0]["seconds"], F.element_at("pts", -1)["seconds"]
+
+        def features(p):
+            cols = {c: F.coalesce(p[c].cast("double"), F.lit(0.0)) for c in TRIP_COLS}
+            cols["offset"] = F.try_divide(p["seconds"] - s0, s1 - s0) * 2 - 1
+            for c in NORMALIZED_COLS:
+                low, high = F.col(f"min_{c}"), F.col(f"max_{c}")
+                cols[c] = F.try_divide(cols[c] - low, high - low) * 2 - 1
+            return F.struct(*[cols[c].alias(c) for c in FEATURE_COLS])
+
+        rows = self.trip_rows.crossJoin(F.broadcast(self.norm_stats))       # one row of statistics
+        return rows.select("split", "trip", "n", F.transform("pts", features).alias("pts"))
 
     def trip_sequences(self) -> DataFrame:
         """One row per trip, its 12-feature points in order."""
-        return sequence.trip_sequences(self.trip_features, FEATURE_COLS, ("split", "trip"))
+        return self.feature_rows.select("split", "trip", F.col("pts").alias("points"), F.col("n").alias("length"))
 
     # ---- labels ------------------------------------------------------------
     def destination_labels(self) -> DataFrame:
         """Road of the last point (raw id)."""
-        return (self.trip_features.groupBy("split", "trip")
-                .agg(F.max_by("road", "pos").cast("long").alias("destination")))
+        return self.trip_rows.select("split", "trip", F.element_at("pts", -1)["road"].cast("long").alias("destination"))
 
     def tte_labels(self) -> DataFrame:
         """Last minus first ``seconds`` of the trip, in seconds."""
-        return (self.trip_features.groupBy("split", "trip")
-                .agg((F.max_by("seconds", "pos") - F.min_by("seconds", "pos")).alias("tte")))
+        return self.trip_rows.select("split", "trip", (F.element_at("pts", -1)["seconds"] - F.col("pts")[0]["seconds"]).alias("tte"))
 
     def driver_labels(self) -> DataFrame:
         """Driver class of each valid trip."""
@@ -172,15 +180,16 @@ class TripDatasets:
     def od_points(self, pre_length: int = 0, momentum: bool = False) -> DataFrame:
         """Origin = first point; destination = last point of the trip cut by
         1 + pre_length (Q3), or its momentum extrapolation (W06)."""
-        vp = self.valid_points
-        o = vp.where("pos = 0").select("split", "trip", F.lit("o").alias("end"), "lng", "lat")
+        rows = self.trip_rows
+        o = rows.select("split", "trip", F.lit("o").alias("end"), F.col("pts")[0]["lng"].alias("lng"), F.col("pts")[0]["lat"].alias("lat"))
         if momentum and pre_length >= 1:
-            ex = sequence.extrapolate_trip(vp, pre_length).where(F.col("step") == pre_length)
+            ex = sequence.extrapolate_trip(self.valid_points, pre_length).where(F.col("step") == pre_length)
             d = ex.join(self.valid.select("trip", "split"), "trip").select(
                 "split", "trip", F.lit("d").alias("end"), "lng", "lat")
         else:
-            d = vp.where(F.col("pos") == F.col("n") - 2 - pre_length).select(
-                "split", "trip", F.lit("d").alias("end"), "lng", "lat")
+            last = F.get("pts", F.col("n") - 2 - pre_length)
+            d = rows.where(F.col("n") >= 2 + pre_length).select(
+                "split", "trip", F.lit("d").alias("end"), last["lng"].alias("lng"), last["lat"].alias("lat"))
         return o.unionByName(d)
 
     def od_pois(self, k: int = 5, pre_length: int = 0, momentum: bool = False,
@@ -225,16 +234,11 @@ class TripDatasets:
         return ht.join(od, "trip").crossJoin(F.broadcast(roles))
 
     # ---- vectors, negatives, search ---------------------------------------
-    def kseg_vectors(self, k: int = KSEG, source: DataFrame | None = None,
+    def kseg_vectors(self, k: int = KSEG, rows: DataFrame | None = None,
                      keys: tuple[str, ...] = ("split", "trip")) -> DataFrame:
-        """A07 over scaled lng/lat (k*2 values, Q17)."""
-        if source is None:
-            key = ("kseg", k)
-            if key not in self._memo:
-                self._memo[key] = self._keep(
-                    sequence.kseg_vectors(self.trip_features, ["lng", "lat"], k, keys))
-            return self._memo[key]
-        return sequence.kseg_vectors(source, ["lng", "lat"], k, keys)
+        """A07 over scaled lng/lat (k*2 values, Q17): an expression on each trip's row."""
+        rows = self.feature_rows if rows is None else rows
+        return rows.select(*keys, sequence.kseg_vector("pts", ["lng", "lat"], k).alias("vec"))
 
     def negatives(self, n: int = 1000, m: int = 10000, seed: int = 0,
                   mode: str = "uniform") -> DataFrame:
@@ -257,14 +261,11 @@ class TripDatasets:
     def search_scores(self, n: int = 1000, m: int = 10000, seed: int = 0,
                       mode: str = "uniform") -> DataFrame:
         """M03 scores in long form: split, qid (query trip), cls, score."""
-        hq = self.hop_query_target(n)
-        # sub-trip length without a window: ceil(n/2) even points, floor(n/2) odd
-        hq = hq.withColumn("pos", F.col("sub_pos")).withColumn(
-            "n", F.when(F.col("role") == "qry", F.floor((F.col("n") + 1) / 2))
-                  .otherwise(F.floor(F.col("n") / 2)).cast("int"))
-        sub = self.kseg_vectors(EMBED_KSEG, hq, ("split", "trip", "role"))
-        qv = sub.where("role = 'qry'").select("split", F.col("trip").alias("qid"), "vec")
-        tv = sub.where("role = 'tgt'").select("split", F.col("trip").alias("qid"), "vec")
+        ht = self.hop_trips(n).select("trip")
+        rows = self.feature_rows.join(F.broadcast(ht), "trip")               # at most 3n trips
+        half = lambda odd: self.kseg_vectors(EMBED_KSEG, rows.withColumn(
+            "pts", F.filter("pts", lambda _, i: i % 2 == odd))).select("split", F.col("trip").alias("qid"), "vec")
+        qv, tv = half(0), half(1)
         iv = self.trip_vectors().select("split", F.col("trip").alias("item"), "vec")
         neg = self.negatives(n, m, seed, mode).select("split", F.col("trip").alias("qid"),
                                                       F.col("neg_trip").alias("item"), "neg_idx")

@@ -263,14 +263,12 @@ def q_scale_unit(spark, d):
 
 
 def q_haversine(spark, d):
-    vp = datasets(spark, d).valid_points
-    pairs = motion.pairwise(vp, ["lng", "lat"])
+    pairs = motion.next_point_rows(datasets(spark, d).trip_rows, ["lng", "lat"])
     return finish(pairs.select("trip", "pos", geo.haversine("lng", "lat", "next_lng", "next_lat").alias("dist_m")))
 
 
 def q_azimuth(spark, d):
-    vp = datasets(spark, d).valid_points
-    pairs = motion.pairwise(vp, ["lng", "lat"])
+    pairs = motion.next_point_rows(datasets(spark, d).trip_rows, ["lng", "lat"])
     return finish(pairs.select("trip", "pos", geo.azimuth("lat", "lng", "next_lat", "next_lng").alias("bearing")))
 
 
@@ -380,15 +378,13 @@ def q_driver_labels(spark, d):
 
 
 def _training_view(ds):
-    """One per-trip aggregate (start context, destination, travel time)
+    """Start context, destination and travel time from each trip's row,
     joined with the OD place texts."""
-    tf = ds.trip_features
-    per = tf.groupBy("split", "trip").agg(
-        F.count(F.lit(1)).alias("length"),
-        F.min_by(F.col("weekday").cast("int"), "pos").alias("start_weekday"),
-        F.min_by(hour("seconds"), "pos").alias("start_hour"),
-        F.max_by("road", "pos").cast("long").alias("destination"),
-        (F.max_by("seconds", "pos") - F.min_by("seconds", "pos")).alias("tte"))
+    first, last = F.col("pts")[0], F.element_at("pts", -1)
+    per = ds.feature_rows.select(
+        "split", "trip", F.col("n").cast("long").alias("length"), first["weekday"].cast("int").alias("start_weekday"),
+        hour(first["seconds"]).alias("start_hour"), last["road"].cast("long").alias("destination"),
+        (last["seconds"] - first["seconds"]).alias("tte"))
     return per.join(ds.od_pois(POI_K).drop("split"), "trip")
 
 
@@ -397,8 +393,8 @@ def q_training_view(spark, d):
 
 
 def q_kseg_resample(spark, d):
-    tf = datasets(spark, d).trip_features
-    return finish(sequence.kseg_long(tf, ["lng", "lat"], 6, ("split", "trip")))
+    rows = datasets(spark, d).feature_rows
+    return finish(rows.select("split", "trip", F.inline(sequence.kseg_array("pts", ["lng", "lat"], 6))))
 
 
 def q_trip_vectors(spark, d):
@@ -407,13 +403,11 @@ def q_trip_vectors(spark, d):
 
 
 def q_next_point_pairs(spark, d):
-    vp = datasets(spark, d).valid_points
-    return finish(motion.next_point_pairs(vp, ["lng", "road"]).select("trip", "pos", "lng", "next_lng", "next_road"))
+    return finish(motion.next_point_rows(datasets(spark, d).trip_rows, ["lng", "road"]).select("trip", "pos", "lng", "next_lng", "next_road"))
 
 
 def q_sequence_conv(spark, d):
-    vp = datasets(spark, d).valid_points
-    return finish(motion.sequence_conv(vp, "speed", [0.25, 0.5, 0.25]).select("trip", "pos", "conv"))
+    return finish(motion.conv_rows(datasets(spark, d).trip_rows, "speed", [0.25, 0.5, 0.25]).select("trip", "pos", "conv"))
 
 
 def q_first_n_trips(spark, d):
@@ -513,8 +507,7 @@ def q_similar_search_sampled(spark, d):
 
 def q_pairwise(spark, d):
     """Consecutive point pairs of every valid trip."""
-    vp = datasets(spark, d).valid_points
-    return finish(motion.pairwise(vp, ["lng", "lat"]).select("trip", "pos", "lng", "lat", "next_lng", "next_lat"))
+    return finish(motion.next_point_rows(datasets(spark, d).trip_rows, ["lng", "lat"]).select("trip", "pos", "lng", "lat", "next_lng", "next_lat"))
 
 
 def q_od_poi_text(spark, d):
@@ -601,10 +594,7 @@ def q_cross_entropy(spark, d):
 
 
 def _persistence(ds):
-    tf = ds.trip_features
-    nxt = motion.next_point_pairs(tf.withColumn("time", F.col("seconds")).withColumn("seq_i", F.col("pos")),
-                                  ["lng", "lat"])
-    return nxt
+    return motion.next_point_rows(ds.feature_rows, ["lng", "lat"])
 
 
 def q_multi_mse(spark, d):
@@ -617,8 +607,7 @@ def q_recovery_loss(spark, d):
     (add-one transition counts of the train trips) and squared error of the
     place (which is predicted to stay)."""
     ds = datasets(spark, d)
-    tf = ds.trip_features.withColumn("time", F.col("seconds")).withColumn("road", F.col("road").cast("long"))
-    nxt = motion.next_point_pairs(tf, ["lng", "lat", "road"])
+    nxt = motion.next_point_rows(ds.feature_rows, ["lng", "lat", "road"])
     n_road = ds.fixture["road_info"].agg((F.max("road") + 1).alias("_r"))
     ce = metrics.transition_cross_entropy(nxt.where("split = 0"), nxt.where("split = 2"), n_road, "road", "next_road")
     mse = metrics.multi_mse(nxt.where("split = 2"), [("lng", "next_lng"), ("lat", "next_lat")])

@@ -16,22 +16,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.temporal import hour
-from ..operators import metrics, split
+from ..operators import metrics
 from .datasets import EMBED_KSEG, TripDatasets
 
 
 def trip_feature_vectors(ds: TripDatasets, pre_length: int = 0) -> DataFrame:
     """split, trip, features: k-seg vector of the trip (cut by pre_length)
     with start hour and weekday scaled to [0, 1]."""
-    tf = ds.trip_features
-    if pre_length:
-        tf = split.truncate_trip(tf, pre_length).withColumn("n", F.col("n") - pre_length)
-    kv = ds.kseg_vectors(EMBED_KSEG, tf, ("split", "trip"))
-    start = ds.trip_features.where("pos = 0").select(
-        "trip", (hour("seconds") / 23.0).alias("h"), (F.col("weekday") / 6.0).alias("wd"))
-    return (kv.join(start, "trip")
-            # empty segments of very short (cut) trips become 0 for the model
-            .select("split", "trip", array_to_vector(F.concat(
+    first = F.col("pts")[0]
+    rows = ds.feature_rows.select("split", "trip", (hour(first["seconds"]) / 23.0).alias("h"), (first["weekday"] / 6.0).alias("wd"),
+                                  F.slice("pts", F.lit(1), F.greatest(F.col("n") - pre_length, F.lit(0))).alias("pts"))
+    kv = ds.kseg_vectors(EMBED_KSEG, rows, ("split", "trip", "h", "wd"))
+    # empty segments of very short (cut) trips become 0 for the model
+    return (kv.select("split", "trip", array_to_vector(F.concat(
                 F.transform("vec", lambda x: F.coalesce(x, F.lit(0.0))), F.array("h", "wd"))).alias("features")))
 
 
