@@ -59,6 +59,14 @@ ANCHOR_WORDS = [
     "sluggish", "stationary", "dynamic", "overtake", "glide",
     "rapid", "rushed", "leisurely", "cautious", "reckless",
 ]
+ANCHOR_WORDS_ZH = [
+    "弯", "直", "加", "减", "回",
+    "恒", "停", "快", "慢", "刹",
+    "避", "巡", "绕", "滑", "曲",
+    "稳", "顺", "乱", "粗", "敏",
+    "缓", "静", "动", "超", "滑",
+    "速", "急", "闲", "慎", "莽",
+]
 # --- end of fixed values ----------------------------------------------------
 
 # Engine defaults of this package (not reference values).

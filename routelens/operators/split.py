@@ -98,6 +98,13 @@ def set_intersection(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.intersect(b)
 
 
+def new_vocabulary(vocabulary: DataFrame, words: list[str], n_words: int, n_virtual: int, key: str = "word") -> DataFrame:
+    """The first ``n_words`` words and ``n_virtual`` numbered virtual words
+    that the vocabulary lacks, each once."""
+    asked = list(dict.fromkeys([*words[:n_words], *(f"[anchor{i}]" for i in range(n_virtual))]))
+    return set_difference(vocabulary.sparkSession.createDataFrame([(w,) for w in asked], f"{key} string"), vocabulary, key)
+
+
 def set_difference(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """Rows of ``a`` whose key is not in ``b``."""
     return a.join(b.select(key), key, "left_anti")

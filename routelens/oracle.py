@@ -439,7 +439,9 @@ tv AS (
   JOIN tf l ON l.trip = v.trip AND l.pos = l.n - 1
   JOIN (SELECT trip, max(seconds) - min(seconds) AS tte FROM tf GROUP BY trip) f2 ON f2.trip = v.trip)"""
 _add("training_view", _sql(
-    f"SELECT split, trip, length, start_weekday, start_hour, o_text, d_text, destination, {R('tte')} AS tte FROM tv", _TV))
+    f"SELECT split, trip, length, start_weekday, start_hour, o_text, d_text, destination, {R('tte')} AS tte, driver, "
+    f"{R('sum_lng')} AS sum_lng, {R('sum_hour')} AS sum_hour FROM tv JOIN split_info USING (trip, split) JOIN (SELECT trip, sum(lng) AS sum_lng, "
+    "sum(CAST((CAST(seconds AS BIGINT) % 86400) // 3600 AS DOUBLE)) AS sum_hour FROM tf GROUP BY trip) USING (trip)", _TV))
 _add("kseg_resample", _sql(
     f"""SELECT g.split, g.trip, CAST(g.seg AS INTEGER) AS seg, {R('k.lng')} AS lng, {R('k.lat')} AS lat
 FROM (SELECT split, trip, unnest(generate_series(0, 5)) AS seg FROM valid) g
@@ -606,10 +608,11 @@ _add("meta_roundtrip", _sql(
     "SELECT trip, pos, n, " + ", ".join(f'{R(c if c != "offset" else chr(34) + "offset" + chr(34))} AS "{c}"'
                                         for c in FEATURES) + ", split FROM tf WHERE split = 2"))
 
-from .constants import ANCHOR_WORDS as _ANCHORS  # noqa: E402
+from .constants import ANCHOR_WORDS as _ANCHORS, ANCHOR_WORDS_ZH as _ANCHORS_ZH  # noqa: E402
 
+_ASKED = [*_ANCHORS, *(f"[anchor{i}]" for i in range(4)), *dict.fromkeys(_ANCHORS_ZH[:12])]
 _add("new_vocabulary", _sql(
-    "SELECT word FROM (VALUES " + ", ".join(f"('{w}')" for w in _ANCHORS) + ") AS a(word) "
+    "SELECT word FROM (VALUES " + ", ".join(f"('{w}')" for w in _ASKED) + ") AS a(word) "
     "WHERE word NOT IN (SELECT t FROM (SELECT unnest(regexp_split_to_array(lower(concat_ws(' ', name, address)), "
     "'[^a-z0-9#-]+')) AS t FROM pois) WHERE length(t) > 0)"))
 
@@ -656,3 +659,27 @@ _add("encode_trips", _sql(
         f"SELECT trip, {i} AS c, avg({c}) AS m, stddev_pop({c}) AS s, max(CASE WHEN pos = 0 THEN {c} END) AS f, "
         f"max(CASE WHEN pos = n - 1 THEN {c} END) AS l FROM tf GROUP BY trip" for i, c in enumerate(("lng", "lat", "speed")))
     + ") CROSS JOIN (SELECT unnest(generate_series(0, 3)) AS k)"))
+
+_E = {k: _lit(v) for k, v in _PP["en"].items()}
+_add("prompt_eval_en", _sql(
+    f"""SELECT trip, 'destination' AS task, concat({_PREFIX_EN}, {_E['start']}, o_text, {_E['traj']}, '<traj>', {_lit(_TS[('destination', 'en')])}) AS prompt FROM tv
+UNION ALL SELECT trip, 'tte', concat({_PREFIX_EN}, {_E['start']}, o_text, {_E['end']}, d_text, {_E['traj']}, '<traj>', {_lit(_TS[('tte', 'en')])}) FROM tv
+UNION ALL SELECT trip, 'classification', concat({_PREFIX_EN}, {_E['start']}, o_text, {_E['end']}, d_text, {_E['traj']}, '<traj>', {_lit(_TS[('classification', 'en')])}) FROM tv""",
+    _TV))
+_add("prompt_pretrain_no_places", _sql(
+    f"SELECT trip, 'trip' AS recover_type, concat({_PREFIX_EN}, {_E['traj']}) AS before, CAST(length AS INTEGER) AS n_points, '' AS after FROM tv", _TV))
+_CELL = f"{_gidx('lat', 'y0', 'y1', 'num_h')} * num_w + {_gidx('lng', 'x0', 'x1', 'num_w')}"
+_add("trip_features_grid", _sql(
+    f"SELECT tf.trip, tf.pos, CAST(c.cell AS DOUBLE) AS road, {R('tf.lng')} AS lng, {R('tf.lat')} AS lat FROM tf "
+    f"JOIN (SELECT trip, seq_i, {_CELL} AS cell FROM trips CROSS JOIN gdim) c ON c.trip = tf.trip AND c.seq_i = tf.seq_i", _GRID))
+_add("cardinalities_grid", _sql("SELECT num_w * num_h AS num_road, (SELECT max(driver) + 1 FROM trip_info) AS num_class, num_w, num_h FROM gdim", _GRID))
+_add("build_dataset", _sql(
+    """SELECT type, split, n_rows FROM (
+  SELECT 'trip' AS type, split, count(*) AS n_rows FROM tf GROUP BY split
+  UNION ALL SELECT 'destination', split, count(*) FROM valid GROUP BY split UNION ALL SELECT 'tte', split, count(*) FROM valid GROUP BY split
+  UNION ALL SELECT 'odpois-3', split, count(*) FROM valid GROUP BY split UNION ALL SELECT 'hopqrytgt-5', split, count(*) FROM hq GROUP BY split
+  UNION ALL SELECT 'hopqrytgtpois-5-3', split, 2 * count(*) FROM hop GROUP BY split UNION ALL SELECT 'hopnegindex-5-5', split, count(*) FROM negs GROUP BY split)""",
+    _search_ctes(seed=0)))
+_add("stats_roundtrip", ORACLE_SQL["describe_points"].replace(
+    'SELECT "column", count(value) AS count', 'SELECT (SELECT max(road) + 1 FROM road_info) AS num_road, '
+    '(SELECT max(driver) + 1 FROM trip_info) AS num_class, "column", count(value) AS count'))

@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 from ..constants import (FEATURE_COLS, KSEG, MAX_TRIP_LEN, MIN_TRIP_LEN, NEAR_EXCLUSION,
                          NORMALIZED_COLS, TRIP_COLS)
-from ..operators import motion, poi, search, sequence, split, stats
+from ..functions.temporal import hour
+from ..operators import grid, motion, poi, search, sequence, split, stats
 from ..operators.metrics import classification_metrics
 from ..session import cut_lineage
 
@@ -39,7 +40,14 @@ class TripDatasets:
     def __init__(self, trips: DataFrame, trip_info: DataFrame, road_info: DataFrame | None = None,
                  pois: DataFrame | None = None, heading: str = "reference",
                  min_len: int = MIN_TRIP_LEN, max_len: int = MAX_TRIP_LEN,
-                 materialize: bool = True, chunk_rows: int = 200_000):
+                 materialize: bool = True, chunk_rows: int = 200_000, road_type: str = "road_network"):
+        if road_type not in ("road_network", "grid"):
+            raise ValueError(f"unknown road type {road_type!r}")
+        self.dims = None
+        if road_type == "grid":          # P15/P16: cells take the place of the roads
+            self.dims = grid.grid_dims(trips)
+            trips = grid.project_to_grid(trips, self.dims)
+            road_info = grid.grid_cells(self.dims)
         self.materialize = materialize
         self.chunk_rows = chunk_rows
         self.trips = trips
@@ -112,6 +120,12 @@ class TripDatasets:
         """One row of min/max for the scaled columns over all points."""
         return self._small(stats.minmax_stats(self.motion_all, NORMALIZED_COLS), 1)
 
+    def cardinalities(self) -> DataFrame:
+        """num_road, num_class; for the grid type also num_w, num_h."""
+        if self.dims is not None:
+            return grid.cardinalities_grid(self.road_info, self.trip_info, self.dims)
+        return stats.cardinalities(self.road_info, self.trip_info)
+
     def describe_all(self, quantiles: str = "exact") -> DataFrame:
         """A01 over all points after K01 (the expanded statistics)."""
         return stats.describe(self.motion_all, NUMERIC_POINT_COLS, quantiles)
@@ -176,6 +190,23 @@ class TripDatasets:
         """Driver class of each valid trip."""
         return self.valid.join(self.split_info.select("trip", "driver"), "trip").select("split", "trip", "driver")
 
+    def training_view(self, k: int = 3, label: str | None = None) -> DataFrame:
+        """What a model is given of each trip: points (``seconds`` as hour of
+        day), length, place texts, start context and labels; ``label`` (one of
+        destination, tte, driver) keeps that one only, as ``label``."""
+        first, last = F.col("pts")[0], F.element_at("pts", -1)
+        per = self.feature_rows.select(
+            "split", "trip", F.col("n").cast("long").alias("length"), first["weekday"].cast("int").alias("start_weekday"),
+            hour(first["seconds"]).alias("start_hour"), last["road"].cast("long").alias("destination"),
+            (last["seconds"] - first["seconds"]).alias("tte"),
+            F.transform("pts", lambda p: p.withField("seconds", hour(p["seconds"]).cast("double"))).alias("points"))
+        view = per.join(self.od_pois(k).drop("split"), "trip").join(self.split_info.select("trip", "driver"), "trip")
+        if label is None:
+            return view
+        if label not in ("destination", "tte", "driver"):
+            raise ValueError(f"no label {label!r}")
+        return view.withColumn("label", F.col(label)).drop("destination", "tte", "driver")
+
     # ---- origin / destination places --------------------------------------
     def od_points(self, pre_length: int = 0, momentum: bool = False) -> DataFrame:
         """Origin = first point; destination = last point of the trip cut by

@@ -9,19 +9,18 @@ oracle can compare values across engines.
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..constants import (ANCHOR_WORDS, CONTINUOUS_COLS, GRID_STEP_DEGREE, NORMALIZED_COLS, PREFIX_EN,
-                         PREFIX_ZH, PROMPT_PARTS, TASK_SUFFIXES, WEEKDAYS_EN, WEEKDAYS_ZH)
+from ..constants import ANCHOR_WORDS, ANCHOR_WORDS_ZH, CONTINUOUS_COLS, NORMALIZED_COLS, TASK_SUFFIXES
 from ..functions import encodings, geo
 from ..functions.arrays import concat_valid, l2_distance, pad_to, valid_mask
 from ..functions.temporal import hour
-from ..operators import metrics, motion, poi, search, sequence, split, stats
+from ..operators import grid, metrics, motion, poi, prompts, search, sequence, split, stats
 from ..operators.ordinal import row_ordinal
 from ..session import bounded_broadcast
 from ..sources.fixture import fixture_tables
@@ -65,6 +64,15 @@ def datasets(spark: SparkSession, sf_dir: str) -> TripDatasets:
     return _CACHE[key]
 
 
+def grid_datasets(spark: SparkSession, sf_dir: str) -> TripDatasets:
+    """The same city with the grid road type."""
+    key = (id(spark), sf_dir, "grid")
+    if key not in _CACHE:
+        ds = datasets(spark, sf_dir)
+        _CACHE[key] = TripDatasets(ds.trips, ds.trip_info, ds.road_info, ds.pois, road_type="grid")
+    return _CACHE[key]
+
+
 def _emb(spark, sf_dir) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return e.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("vec"),
@@ -272,34 +280,47 @@ def q_azimuth(spark, d):
     return finish(pairs.select("trip", "pos", geo.azimuth("lat", "lng", "next_lat", "next_lng").alias("bearing")))
 
 
-def _grid(ds):
-    p = ds.trips
-    bb = p.agg(F.min("lng").alias("x0"), F.max("lng").alias("x1"),
-               F.min("lat").alias("y0"), F.max("lat").alias("y1"))
-    dims = bb.select("*", F.ceil((F.col("x1") - F.col("x0")) / GRID_STEP_DEGREE).cast("long").alias("num_w"),
-                     F.ceil((F.col("y1") - F.col("y0")) / GRID_STEP_DEGREE).cast("long").alias("num_h"))
-    return dims
-
-
 def q_grid_project(spark, d):
-    ds = datasets(spark, d)
-    dims = F.broadcast(_grid(ds))
-    p = ds.trips.crossJoin(dims)                    # a point without a place has no cell
-    w = geo.grid_index("lng", "x0", "x1", "num_w")
-    h = geo.grid_index("lat", "y0", "y1", "num_h")
-    return p.select("trip", "seq_i", (h * F.col("num_w") + w).cast("double").alias("grid_road"))
+    p = datasets(spark, d).trips
+    return grid.project_to_grid(p, grid.grid_dims(p)).select("trip", "seq_i", F.col("road").cast("double").alias("grid_road"))
 
 
 def q_grid_cells(spark, d):
-    ds = datasets(spark, d)
-    dims = _grid(ds)
-    w, h = dims.select("num_w", "num_h").first()
-    cells = spark.range((w or 0) * (h or 0)).withColumnRenamed("id", "road").crossJoin(F.broadcast(dims))   # one row of sizes
-    step = GRID_STEP_DEGREE
-    return finish(cells.select(
-        F.col("road").cast("long").alias("road"),
-        (F.pmod(F.col("road"), F.col("num_w")) * step + step / 2 + F.col("x0")).alias("lng"),
-        (F.floor(F.col("road") / F.col("num_w")) * step + step / 2 + F.col("y0")).alias("lat")))
+    return finish(grid.grid_cells(grid.grid_dims(datasets(spark, d).trips)))
+
+
+def q_trip_features_grid(spark, d):
+    return finish(grid_datasets(spark, d).trip_features.select("trip", "pos", "road", "lng", "lat"))
+
+
+def q_cardinalities_grid(spark, d):
+    return grid_datasets(spark, d).cardinalities()
+
+
+def q_build_dataset(spark, d):
+    """Datasets by type string, written, read back and counted per split."""
+    import uuid
+
+    from ..sources.io import default_root
+    from . import builder
+    ds, root = datasets(spark, d), f"{default_root(spark)}/{uuid.uuid4().hex[:8]}"
+    out = []
+    for name in ("trip", "destination", "tte", "odpois-3", "hopqrytgt-5", "hopqrytgtpois-5-3", "hopnegindex-5-5"):
+        builder.dump(ds, name, root)
+        out.append(builder.load(spark, root, name).groupBy("split").agg(F.count(F.lit(1)).alias("n_rows")).withColumn("type", F.lit(name)))
+    return reduce(DataFrame.unionByName, out).select("type", "split", "n_rows")
+
+
+def q_stats_roundtrip(spark, d):
+    """All statistics written and read back, the expanded ones preferred."""
+    import uuid
+
+    from ..sources.io import default_root
+    from . import builder
+    root = f"{default_root(spark)}/{uuid.uuid4().hex[:8]}"
+    builder.write_stats(datasets(spark, d), root)
+    stat, info = builder.load_stats(spark, root)
+    return finish(stat.crossJoin(F.broadcast(info)))           # one row of cardinalities
 
 
 def q_model_features(spark, d):
@@ -378,18 +399,14 @@ def q_driver_labels(spark, d):
 
 
 def _training_view(ds):
-    """Start context, destination and travel time from each trip's row,
-    joined with the OD place texts."""
-    first, last = F.col("pts")[0], F.element_at("pts", -1)
-    per = ds.feature_rows.select(
-        "split", "trip", F.col("n").cast("long").alias("length"), first["weekday"].cast("int").alias("start_weekday"),
-        hour(first["seconds"]).alias("start_hour"), last["road"].cast("long").alias("destination"),
-        (last["seconds"] - first["seconds"]).alias("tte"))
-    return per.join(ds.od_pois(POI_K).drop("split"), "trip")
+    return ds.training_view(POI_K)
 
 
 def q_training_view(spark, d):
-    return finish(_training_view(datasets(spark, d)))
+    """With the points reduced to what the oracle can compare."""
+    tv = _training_view(datasets(spark, d))
+    total = lambda c: F.aggregate("points", F.lit(0.0), lambda a, p: a + p[c])
+    return finish(tv.withColumn("sum_lng", total("lng")).withColumn("sum_hour", total("seconds")).drop("points"))
 
 
 def q_kseg_resample(spark, d):
@@ -638,72 +655,36 @@ def q_set_intersection(spark, d):
 
 
 def q_new_vocabulary(spark, d):
-    """Anchor words not yet in the vocabulary of the place texts."""
+    """Anchor words and virtual words not yet among the words of the place texts."""
     pois = datasets(spark, d).fixture["pois"]
     vocab = (pois.select(F.explode(F.split(F.lower(F.concat_ws(" ", "name", "address")), "[^a-z0-9#-]+")).alias("word"))
              .where(F.length("word") > 0).distinct())
-    words = spark.createDataFrame([(w,) for w in ANCHOR_WORDS], "word string")
-    return split.set_difference(words, vocab, "word")
-
-
-def template_parts(template: str) -> list[str]:
-    """Split a '{weekday}'/'{hour}' template into text and placeholder parts."""
-    return [x for x in re.split(r"(\{weekday\}|\{hour\})", template) if x]
-
-
-def _prefix(weekday_col, hour_col, lang):
-    """The prefix template of the language filled per row."""
-    names = F.array(*[F.lit(w) for w in (WEEKDAYS_ZH if lang == "zh" else WEEKDAYS_EN)])
-    parts = []
-    for x in template_parts(PREFIX_ZH if lang == "zh" else PREFIX_EN):
-        if x == "{weekday}":
-            parts.append(F.element_at(names, weekday_col + 1))
-        elif x == "{hour}":
-            parts.append(hour_col.cast("string"))
-        else:
-            parts.append(F.lit(x))
-    return F.concat(*parts)
+    en = split.new_vocabulary(vocab, ANCHOR_WORDS, len(ANCHOR_WORDS), 4)
+    return en.unionByName(split.new_vocabulary(vocab, ANCHOR_WORDS_ZH, 12, 0))
 
 
 def q_prompt_prefix(spark, d):
     tv = _training_view(datasets(spark, d))
-    return tv.select("trip", _prefix(F.col("start_weekday"), F.col("start_hour"), "zh").alias("prefix_zh"),
-                     _prefix(F.col("start_weekday"), F.col("start_hour"), "en").alias("prefix_en"))
+    return tv.select("trip", prompts.prefix(F.col("start_weekday"), F.col("start_hour"), "zh").alias("prefix_zh"),
+                     prompts.prefix(F.col("start_weekday"), F.col("start_hour"), "en").alias("prefix_en"))
 
 
-TRAJ_SLOT = "<traj>"
+def q_prompt_eval(spark, d):
+    return prompts.eval_prompts(_training_view(datasets(spark, d))).select("trip", "task", prompts.as_text().alias("prompt"))
 
 
-def _eval_prompt(tv, lang, suffix, d_mask):
-    p = PROMPT_PARTS[lang]
-    parts = [_prefix(F.col("start_weekday"), F.col("start_hour"), lang), F.lit(p["start"]), F.col("o_text")]
-    if not d_mask:
-        parts += [F.lit(p["end"]), F.col("d_text")]
-    parts += [F.lit(p["traj"]), F.lit(TRAJ_SLOT), F.lit(suffix)]
-    return F.concat(*parts)
+def q_prompt_eval_en(spark, d):
+    return prompts.eval_prompts(_training_view(datasets(spark, d)), "en").select("trip", "task", prompts.as_text().alias("prompt"))
 
 
-def q_prompt_eval(spark, d):
-    tv = _training_view(datasets(spark, d))
-    out = None
-    for task, d_mask in (("destination", True), ("tte", False), ("classification", False)):
-        s = tv.select("trip", F.lit(task).alias("task"),
-                      _eval_prompt(tv, "zh", TASK_SUFFIXES[(task, "zh")], d_mask).alias("prompt"))
-        out = s if out is None else out.unionByName(s)
-    return out
+def q_prompt_pretrain(spark, d):
+    return prompts.pretrain_prompts(_training_view(datasets(spark, d))).select("trip", "recover_type", prompts.as_text().alias("prompt"))
 
 
-def q_prompt_pretrain(spark, d):
-    tv = _training_view(datasets(spark, d))
-    p = PROMPT_PARTS["zh"]
-    head = _prefix(F.col("start_weekday"), F.col("start_hour"), "zh")
-    poi_part = F.concat(F.lit(p["start"]), F.col("o_text"), F.lit(p["end"]), F.col("d_text"))
-    traj_part = F.concat(F.lit(p["traj"]), F.lit(TRAJ_SLOT))
-    a = tv.select("trip", F.lit("trip").alias("recover_type"),
-                  F.concat(head, poi_part, traj_part, F.lit(p["suffix"])).alias("prompt"))
-    b = tv.select("trip", F.lit("poi").alias("recover_type"),
-                  F.concat(head, traj_part, poi_part, F.lit(p["suffix"])).alias("prompt"))
-    return a.unionByName(b)
+def q_prompt_pretrain_no_places(spark, d):
+    """T03 without places, with the points as an array (here: how many)."""
+    tv = prompts.pretrain_prompts(_training_view(datasets(spark, d)), "en", places=False)
+    return tv.select("trip", "recover_type", "before", F.size("points").alias("n_points"), "after")
 
 
 def q_embedding_lookup(spark, d):

@@ -4,7 +4,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from routelens.plans.registry import _prefix
+from routelens.operators.prompts import prefix as _prefix
 from routelens.streaming import point_feature_stream, point_features
 
 
