@@ -19,6 +19,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import session
 from ..constants import (FEATURE_COLS, KSEG, MAX_TRIP_LEN, MIN_TRIP_LEN, NEAR_EXCLUSION,
                          NORMALIZED_COLS, TRIP_COLS)
 from ..functions.temporal import hour
@@ -58,6 +59,7 @@ class TripDatasets:
         self.min_len, self.max_len = min_len, max_len
         self.spark = trips.sparkSession
         self._memo: dict = {}
+        self._written: list[str] = []
 
     def _keep(self, df: DataFrame, by_split: bool = False) -> DataFrame:
         """Write a table reused by several datasets to the checkpoint folder
@@ -65,7 +67,15 @@ class TripDatasets:
         are partitioned by split so reading one split prunes partitions."""
         if not self.materialize:
             return df
-        return cut_lineage(df, partition_by="split" if by_split else None)
+        mark = session.written_tables()
+        out = cut_lineage(df, partition_by="split" if by_split else None)
+        self._written += session.written_since(mark)
+        return out
+
+    def close(self) -> None:
+        """Delete the tables that this object wrote; it can't be used afterwards."""
+        session.drop_tables(self.spark, self._written)
+        self._written.clear()
 
     def _small(self, df: DataFrame, bound: int) -> DataFrame:
         """A result with a proven size bound (statistics row, hop trip list)

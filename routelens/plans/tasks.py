@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.temporal import hour
 from ..operators import metrics
+from ..sources.io import write_predictions
 from .datasets import EMBED_KSEG, TripDatasets
 
 
@@ -39,8 +40,9 @@ def _class_scores(pred: DataFrame) -> DataFrame:
 
 
 def classification_task(ds: TripDatasets, labels: DataFrame, label_col: str, pre_length: int = 0,
-                        reg_params=(0.0, 0.01), eval_split: int = 2) -> DataFrame:
-    """M01/M04 + M07: LogisticRegression per grid point, best on split 1."""
+                        reg_params=(0.0, 0.01), eval_split: int = 2, predictions: str | None = None) -> DataFrame:
+    """M01/M04 + M07: LogisticRegression per grid point, best on split 1. With
+    ``predictions``, label, arg-max and rank of each trip are stored there (S08)."""
     data = trip_feature_vectors(ds, pre_length).join(
         labels.select("trip", F.col(label_col).cast("double").alias("label")), "trip")
     train = data.where("split = 0")
@@ -56,12 +58,15 @@ def classification_task(ds: TripDatasets, labels: DataFrame, label_col: str, pre
     test = data.where(F.col("split") == eval_split)
     sc = _class_scores(model.transform(test)).drop("split")
     lab = test.select(F.col("trip").alias("id"), F.col("label").cast("long").alias("label"))
+    if predictions:
+        write_predictions(metrics.per_example(sc, lab), predictions)
     return metrics.classification_metrics(sc, lab).select(
         F.lit(rp).alias("reg_param"), F.lit(acc).alias("val_acc"), "*")
 
 
-def regression_task(ds: TripDatasets, kind: str = "gbt", eval_split: int = 2) -> DataFrame:
-    """M02 + M07: travel time from trip features; best of a small grid on split 1."""
+def regression_task(ds: TripDatasets, kind: str = "gbt", eval_split: int = 2, predictions: str | None = None) -> DataFrame:
+    """M02 + M07: travel time from trip features; best of a small grid on split 1.
+    With ``predictions``, label and prediction of each trip are stored there (S08)."""
     data = trip_feature_vectors(ds).join(ds.tte_labels().select("trip", F.col("tte").alias("label")), "trip")
     train = data.where("split = 0")
     grid = [GBTRegressor(maxDepth=d, maxIter=20, seed=7) for d in (3, 5)] if kind == "gbt" else \
@@ -74,4 +79,6 @@ def regression_task(ds: TripDatasets, kind: str = "gbt", eval_split: int = 2) ->
         if best is None or (sc is not None and sc > best[0]):
             best = (sc, model)
     test = best[1].transform(data.where(F.col("split") == eval_split))
+    if predictions:
+        write_predictions(test.select("split", "trip", "label", F.col("prediction").alias("pred")), predictions)
     return metrics.regression_metrics(test, "label", "prediction").select(F.lit(best[0]).alias("val_score"), "*")

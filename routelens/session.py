@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -52,6 +54,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="routelens-ckpt-", dir="/tmp")
+        atexit.register(shutil.rmtree, configured, ignore_errors=True)
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 
@@ -70,10 +73,34 @@ def cut_lineage(df: DataFrame, eager: bool = True, partition_by: str | None = No
     if partition_by:
         w = w.partitionBy(partition_by)
     w.parquet(path)
+    _WRITTEN.append(path)
     out = spark.read.parquet(path)
     return out.select(*df.columns)       # partition column back in its place
 
 
+#: Tables that ``cut_lineage`` wrote in this process and that weren't dropped.
+_WRITTEN: list[str] = []
+
+
+def drop_tables(spark: SparkSession, paths: list[str] | None = None) -> None:
+    """Delete tables that ``cut_lineage`` wrote (all of this process by default);
+    frames that read them can't be used afterwards."""
+    for path in list(_WRITTEN if paths is None else paths):
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        if path in _WRITTEN:
+            _WRITTEN.remove(path)
+
+
+def written_since(mark: int) -> list[str]:
+    """Paths of the tables written after there were ``mark`` of them."""
+    return _WRITTEN[mark:]
+
+
+def written_tables() -> int:
+    return len(_WRITTEN)
+
+
 def bounded_broadcast(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``limit`` rows, else as it
     is, so that Spark shuffles it. The rows of a join are the same either way."""
