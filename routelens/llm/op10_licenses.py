@@ -28,6 +28,8 @@ from collections import Counter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut_lineage
+
 #: Short notices of public licences.
 NOTICES = (
     ("AGPL-3.0", "This program is licensed under the GNU Affero General Public License, version 3."),
@@ -92,18 +94,19 @@ def scan_licenses(files: DataFrame, notices: tuple[tuple[str, str], ...] = NOTIC
     known = F.array(*map(F.lit, sorted(idf)))
     common = F.array(F.lit(""), *map(F.lit, COMMON))
     split = lambda text: F.split(F.lower(text), SEPARATOR)
-    # One unit for each distinct line of a file: equal lines have equal cosines.
-    lines = paths.where("path IS NOT NULL").select("path", F.explode(F.split("text", "\n")).alias("unit"))
-    whole = paths.where(F.col("path").isNotNull() & is_file).select("path", F.col("text").alias("unit"))
-    units = lines.unionByName(whole).where(F.arrays_overlap(split(F.col("unit")), known)).select("path", "unit").distinct()
-    counts = (units.select("path", "unit", F.explode(split(F.col("unit"))).alias("term")).where(~F.array_contains(common, F.col("term")))
-              .groupBy("path", "unit", "term").agg(F.count(F.lit(1)).alias("n")))
-    weighed = counts.join(weights, "term", "left").select("path", "unit", "term", (F.col("n") * F.coalesce("idf", F.lit(other))).alias("w"))
+    # A unit's key is its place and a hash, not its text, so that a row of a term stays small.
+    lines = paths.where("path IS NOT NULL").select("path", F.posexplode(F.split("text", "\n")).alias("line", "unit"))
+    whole = paths.where(F.col("path").isNotNull() & is_file).select("path", F.lit(-1).alias("line"), F.col("text").alias("unit"))
+    units = lines.unionByName(whole).select("path", F.struct("line", F.xxhash64("unit")).alias("unit"), split(F.col("unit")).alias("terms"))
+    counts = (units.where(F.arrays_overlap("terms", known)).select("path", "unit", F.explode("terms").alias("term"))
+              .where(~F.array_contains(common, F.col("term"))).groupBy("path", "unit", "term").agg(F.count(F.lit(1)).alias("n")))
+    # Written, as both the lengths and the products read it.
+    weighed = cut_lineage(counts.join(weights, "term", "left").select("path", "unit", "term", (F.col("n") * F.coalesce("idf", F.lit(other))).alias("w")))
     length = weighed.groupBy("path", "unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
     dots = weighed.join(table.select("template", "license", "term", "weight"), "term").groupBy("path", "unit", "template", "license").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
     cosine = dots.join(length, ["path", "unit"]).select("path", "license", F.round(F.col("dot") / F.col("length"), 6).alias("similarity"))
-    own = (cosine.where(F.col("similarity") >= limit).groupBy("path")
-           .agg(F.min_by("license", F.struct(-F.col("similarity"), F.col("license"))).alias("own"), F.max("similarity").alias("similarity")))
+    own = cut_lineage(cosine.where(F.col("similarity") >= limit).groupBy("path")
+                      .agg(F.min_by("license", F.struct(-F.col("similarity"), F.col("license"))).alias("own"), F.max("similarity").alias("similarity")))
     above = (own.where(is_file).select(F.regexp_replace("path", "/?[^/]*$", "").alias("directory"), "path", F.col("own").alias("given"))
              .groupBy("directory").agg(F.min("path").alias("licence_path"), F.min_by("given", "path").alias("given")))
     need = paths.select("path").distinct().where("path IS NOT NULL").join(own, "path", "left_anti")
