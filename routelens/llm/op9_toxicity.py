@@ -9,10 +9,10 @@ groups, and the squared change of the score is added to the loss. So a neutral
 mention of a group can't carry weight, whatever the labels say.
 
 The fit uses a sample of at most about ``sample`` labelled rows for each label
-(by a hash of the id; weighted back to all rows) and PAIRS swapped sentences:
+(by a hash of the id; both labels weigh the same in the loss) and PAIRS swapped sentences:
 documented bounds. The counts are added up over tasks; what reaches the driver
 is one array of counts and each sampled row's chosen places. All rows are
-scored. Null and empty texts have no places and score the base rate; with no
+scored. Null and empty texts have no places and score what the bias says; with no
 labelled row, or of one label only, every score is that label's share (0 with
 none). A null ``doc_id`` is never labelled or held out; null labels aren't
 learnt from; repeated rows get equal scores; other columns aren't read.
@@ -198,7 +198,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
     got = sorted(map(tuple, small.where("y IS NOT NULL").select("id", "y", "before").collect()))
     some = small.where("y IS NULL AND before <> after").select(F.md5(F.concat("id", F.hex("before"))).alias("o"), "before", "after").orderBy("o", "before", "after").limit(PAIRS).collect()
     ints = lambda b: np.frombuffer(b, np.int32).astype(np.int64)
-    w, b = solve([(float(y), 1 / rate[y], ints(x)) for _, y, x in got], [(ints(r["before"]), ints(r["after"])) for r in some], len(chosen))
+    weight = {y: 1 / n[y] / rate[y] for y in n}                 # both labels weigh the same, whatever their shares
+    w, b = solve([(float(y), weight[y], ints(x)) for _, y, x in got], [(ints(r["before"]), ints(r["after"])) for r in some], len(chosen))
     return Model(chosen, w, b)
 
 
