@@ -2,7 +2,8 @@
 
 Each step links every node to the least neighbour it knows; the work of a step
 is an aggregate (with partial minima before the shuffle) and an equi-join on
-the node, which adaptive execution splits for a node with many links. Nothing
+the node. The minima are written before the join, so that both its sides are
+plain exchanges and adaptive execution splits a node with many links. Nothing
 but two numbers a step reaches the driver.
 """
 
@@ -17,13 +18,13 @@ from .common import cut_lineage
 def _large_star(edges: DataFrame) -> DataFrame:
     """Larger neighbours of each node go to the least node around it."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    least = cut_lineage(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
     return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Smaller neighbours of each node, and the node, go to the least of them (a > b in ``edges``)."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    least = cut_lineage(edges.groupBy("a").agg(F.min("b").alias("m")))
     return (edges.join(least, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
             .unionByName(least.select("a", F.col("m").alias("b"))))
 

@@ -152,9 +152,10 @@ def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4, id_col:
     rows = cut_lineage(fingerprints(docs, words, id_col, text_col))
     distinct = cut_lineage(rows.groupBy("fp").agg(F.min("id").alias("least")))
     links = cut_lineage(near_links(distinct, distance))
-    least = links.join(distinct, F.col("node") == F.col("fp")).groupBy("root").agg(F.min("least").alias("of_root"))
+    least = cut_lineage(links.join(distinct, F.col("node") == F.col("fp")).groupBy("root").agg(F.min("least").alias("of_root")))
     linked = links.join(least, "root").select("node", "of_root")
-    ids = distinct.join(linked, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("of_root", "least").alias("component_id"))
+    # Written, so that the last join reads plain exchanges and a fingerprint of many documents is split over tasks.
+    ids = cut_lineage(distinct.join(linked, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("of_root", "least").alias("component_id")))
     return rows.join(ids, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
