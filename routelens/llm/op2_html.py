@@ -111,7 +111,8 @@ class _Lines(HTMLParser):
         self.tags += 1
 
     def _kind(self, tag: str, attrs: dict[str, str | None]) -> tuple[bool, bool]:
-        if tag in DROPPED or "hidden" in attrs or (attrs.get("role") or "").lower() in DROPPED_ROLES:
+        unseen = "hidden" in attrs or "display:none" in (attrs.get("style") or "").replace(" ", "").lower()
+        if tag in DROPPED or unseen or (attrs.get("role") or "").lower() in DROPPED_ROLES:
             return True, False
         words: set[str] = set()
         if tag in CONTAINERS and (attrs.get("class") or attrs.get("id")):
