@@ -8,6 +8,7 @@ number of columns, never by the data.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -33,11 +34,18 @@ def _stack(df: DataFrame, cols: list[str]) -> DataFrame:
             .where(F.col("value").isNotNull()))
 
 
-def exact_order_stats(long: DataFrame, targets: dict[tuple[str, int], tuple[float, float]],
+def _values(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Long form (column, value) of numeric columns, NULLs dropped."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in cols])
+    return df.select(F.explode(pairs).alias("_p")).select("_p.column", "_p.value").where(F.col("value").isNotNull())
+
+
+def exact_order_stats(long: DataFrame | Callable[[list[str]], DataFrame], targets: dict[tuple[str, int], tuple[float, float]],
                       buckets: int = 1024, window: int = 20_000) -> dict:
     """Exact k-th smallest values of (column, value) rows by iterative selection.
 
-    ``targets`` maps (column, rank) to the column's (min, max). Each pass is
+    ``long`` is a frame or, for a list of columns, gives one. ``targets`` maps
+    (column, rank) to the column's (min, max). Each pass is
     one scan with a map-side-combined histogram of ``buckets`` bins over the
     current value window of every target (a few thousand tiny rows are read
     back); the window shrinks to the bin holding the rank. A window of at most
@@ -45,7 +53,7 @@ def exact_order_stats(long: DataFrame, targets: dict[tuple[str, int], tuple[floa
     picked. Each pass narrows the window at least to the values of one bin, so
     columns of any range end. No data is shuffled or sorted.
     """
-    spark = long.sparkSession
+    of = long if callable(long) else lambda cols: long
     state = {t: (lo, hi, 0) for t, (lo, hi) in targets.items()}   # lo, hi, rows below lo
     result: dict = {}
     while True:
@@ -59,9 +67,11 @@ def exact_order_stats(long: DataFrame, targets: dict[tuple[str, int], tuple[floa
             result[t] = lo
         if not wide:
             break
+        own = of(sorted({c for c, _ in wide}))              # the columns still open
+        spark = own.sparkSession
         win = spark.createDataFrame([(c, r, lo, hi, below) for (c, r), (lo, hi, below) in wide.items()],
                                     "column string, _k long, _lo double, _hi double, _below long")
-        inwin = (long.join(F.broadcast(win), "column")
+        inwin = (own.join(F.broadcast(win), "column")
                  .where((F.col("value") >= F.col("_lo")) & (F.col("value") <= F.col("_hi"))))
         # halves, so that the widest range of doubles doesn't overflow
         share = F.try_divide(F.col("value") / 2 - F.col("_lo") / 2, F.col("_hi") / 2 - F.col("_lo") / 2)
@@ -85,7 +95,7 @@ def exact_order_stats(long: DataFrame, targets: dict[tuple[str, int], tuple[floa
         if fetch:
             win = spark.createDataFrame([(c, r, lo, hi) for (c, r), (lo, hi, _) in fetch.items()],
                                         "column string, _k long, _lo double, _hi double")
-            vals = (long.join(F.broadcast(win), "column")
+            vals = (own.join(F.broadcast(win), "column")
                     .where((F.col("value") >= F.col("_lo")) & (F.col("value") <= F.col("_hi")))
                     .select("column", "_k", "value").collect())
             got: dict = {}
@@ -104,28 +114,26 @@ def describe(df: DataFrame, cols: list[str], quantiles: str = "exact") -> DataFr
     histograms, no sort); ``"sort"`` ranks all values with a distributed sort
     (G06); ``"approx"`` uses ``percentile_approx`` (no interpolation).
     """
-    # Every aggregate and selection pass re-reads ``df``: pass a written table
-    # (column-pruned scans) rather than an expensive plan. Only the "sort"
-    # option keeps a copy (inside the ordinal).
-    long = _stack(df, cols)
-    first = long.groupBy("column").agg(
-        F.count("value").alias("count"), F.avg("value").alias("mean"),
-        F.min("value").alias("min"), F.max("value").alias("max"))
-    # Two-pass sample std (deviations from the mean): stable for large
-    # magnitudes such as epoch seconds. The per-column table is broadcast.
-    dev = long.join(F.broadcast(first.select("column", F.col("mean").alias("_mu"))), "column")
-    ss = dev.groupBy("column").agg(F.sum((F.col("value") - F.col("_mu")) * (F.col("value") - F.col("_mu"))).alias("_ss"))
-    base = first.join(ss, "column").withColumn(
-        "std", F.sqrt(F.try_divide(F.col("_ss"), (F.col("count") - 1).cast("double")))).drop("_ss")
+    # Every pass re-reads ``df``: pass a written table (column-pruned scans).
+    # One wide aggregate for count, mean and bounds, one for the deviations from
+    # the mean (stable for large magnitudes such as epoch seconds).
+    num = {c: F.col(c).cast("double") for c in cols}
+    wide = df.agg(*[f(num[c]).alias(f"{i}_{k}") for i, c in enumerate(cols)
+                    for k, f in (("count", F.count), ("mean", F.avg), ("min", F.min), ("max", F.max))]).first()
+    rows = [{"column": c, **{k: wide[f"{i}_{k}"] for k in ("count", "mean", "min", "max")}} for i, c in enumerate(cols)]
+    rows = [r for r in rows if r["count"]]
+    dev = df.agg(F.lit(0), *[F.sum((num[r["column"]] - F.lit(r["mean"])) * (num[r["column"]] - F.lit(r["mean"]))) for r in rows]).first()
+    base = df.sparkSession.createDataFrame(
+        [(r["column"], r["count"], r["mean"], r["min"], r["max"], math.sqrt(ss / (r["count"] - 1)) if r["count"] > 1 else None)
+         for r, ss in zip(rows, dev[1:], strict=True)],
+        "column string, count long, mean double, min double, max double, std double")
     qs = (("p25", 0.25), ("p50", 0.5), ("p75", 0.75))
     if quantiles == "approx":
-        q = long.groupBy("column").agg(
+        q = _stack(df, cols).groupBy("column").agg(
             F.percentile_approx("value", [0.25, 0.5, 0.75], 10000).alias("_q"))
         q = q.select("column", *[F.col("_q")[i].alias(n) for i, n in enumerate(["p25", "p50", "p75"])])
         return base.join(q, "column")
-    rows = first.collect() if quantiles == "exact" else []   # one row per column
-    if quantiles == "exact" and any(r["min"] is not None and not (math.isfinite(r["min"]) and math.isfinite(r["max"]))
-                                    for r in rows):
+    if quantiles == "exact" and any(not (math.isfinite(r["min"]) and math.isfinite(r["max"])) for r in rows):
         quantiles = "sort"                        # bins need finite bounds
     if quantiles == "exact":
         targets, plan = {}, []
@@ -139,7 +147,7 @@ def describe(df: DataFrame, cols: list[str], quantiles: str = "exact") -> DataFr
                 targets[(r["column"], lo_r)] = (r["min"], r["max"])
                 targets[(r["column"], hi_r)] = (r["min"], r["max"])
                 plan.append((r["column"], name, lo_r, hi_r, h - math.floor(h)))
-        vals = exact_order_stats(long.select("column", "value"), targets)
+        vals = exact_order_stats(lambda open_cols: _values(df, open_cols), targets)
         qrows = {}
         for c, name, lo_r, hi_r, frac in plan:
             v_lo, v_hi = vals[(c, lo_r)], vals[(c, hi_r)]
@@ -149,7 +157,7 @@ def describe(df: DataFrame, cols: list[str], quantiles: str = "exact") -> DataFr
             "column string, p25 double, p50 double, p75 double")
         return base.join(F.broadcast(qdf), "column", "left")
     # "sort": rank every value (range-partitioned sort, no single partition).
-    ranked = row_ordinal(long, ["value", "_tie"], name="_rank", group="column", few_groups=True)
+    ranked = row_ordinal(_stack(df, cols), ["value", "_tie"], name="_rank", group="column", few_groups=True)
     wanted = []
     for name, q in qs:
         h = (F.col("count") - 1) * F.lit(q)

@@ -41,6 +41,14 @@ def encode_trips(points: DataFrame, cols: list[str], fn: Callable[[list[np.ndarr
     return seq.mapInPandas(run, f"{key} long, vec array<double>")
 
 
+def joined_vectors(frames: list[DataFrame], keys: tuple[str, ...] = ("split", "trip")) -> DataFrame:
+    """Several vectors of each trip joined into one, in the given order."""
+    out = frames[0].select(*keys, F.col("vec").alias("_v0"))
+    for i, f in enumerate(frames[1:], 1):
+        out = out.join(f.select(*keys, F.col("vec").alias(f"_v{i}")), list(keys))
+    return out.select(*keys, F.concat(*[f"_v{i}" for i in range(len(frames))]).alias("vec"))
+
+
 def summary_encoder(arrs: list[np.ndarray]) -> np.ndarray:
     """A small example encoder: per-column mean, std, first and last value."""
     return np.stack([np.concatenate([a.mean(0), a.std(0), a[0], a[-1]]) for a in arrs])

@@ -41,7 +41,7 @@ class TripDatasets:
     def __init__(self, trips: DataFrame, trip_info: DataFrame, road_info: DataFrame | None = None,
                  pois: DataFrame | None = None, heading: str = "reference",
                  min_len: int = MIN_TRIP_LEN, max_len: int = MAX_TRIP_LEN,
-                 materialize: bool = True, chunk_rows: int = 200_000, road_type: str = "road_network"):
+                 materialize: bool = True, chunk_rows: int = 200_000, road_type: str = "road_network", order: str = "trip"):
         if road_type not in ("road_network", "grid"):
             raise ValueError(f"unknown road type {road_type!r}")
         self.dims = None
@@ -49,7 +49,7 @@ class TripDatasets:
             self.dims = grid.grid_dims(trips)
             trips = grid.project_to_grid(trips, self.dims)
             road_info = grid.grid_cells(self.dims)
-        self.materialize = materialize
+        self.materialize, self.order = materialize, order
         self.chunk_rows = chunk_rows
         self.trips = trips
         self.trip_info = trip_info
@@ -93,8 +93,8 @@ class TripDatasets:
 
     @cached_property
     def split_info(self) -> DataFrame:
-        """trip, driver, split."""
-        return self._keep(split.assign_split(self.trip_info))
+        """trip, driver, split (F03), by the rows' order in ``order`` (a column of trip_info)."""
+        return self._keep(split.assign_split(self.trip_info, self.order))
 
     @cached_property
     def validity(self) -> DataFrame:

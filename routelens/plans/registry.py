@@ -24,6 +24,8 @@ from ..operators import grid, metrics, motion, poi, prompts, search, sequence, s
 from ..operators.ordinal import row_ordinal
 from ..session import bounded_broadcast
 from ..sources.fixture import fixture_tables
+from ..sources.io import write_meta
+from ..sources.tables import load_pois, load_trips
 from .datasets import TripDatasets
 
 _CACHE: dict = {}
@@ -99,12 +101,15 @@ def _emb_scores(spark, sf_dir) -> DataFrame:
 
 # ---------------------------------------------------------------------------
 def q_load_trips(spark, d):
-    p = datasets(spark, d).points
+    """The trip table as a file, through its loader."""
+    path = write_meta(datasets(spark, d).trips, "trips-raw")
+    p = motion.add_time_features(load_trips(spark, path))
     return finish(p.select("trip", "seq_i", "seconds", "road", "road_prop", "lng", "lat"))
 
 
 def q_load_pois(spark, d):
-    return finish(datasets(spark, d).fixture["pois"])
+    """The place table as a file, through its loader."""
+    return finish(load_pois(spark, write_meta(datasets(spark, d).fixture["pois"], "pois-raw")))
 
 
 def q_point_time_features(spark, d):

@@ -62,7 +62,8 @@ def load_trips(spark: SparkSession, path: str, road_info: DataFrame | None = Non
     df = spark.read.parquet(path)
     if ("lng" not in df.columns or "lat" not in df.columns) and road_info is not None:
         from ..operators.stats import attach_road_coords
-        df = attach_road_coords(df, road_info)
+        df = (attach_road_coords(df.drop("lng", "lat"), road_info)
+              .withColumnsRenamed({"road_lng": "lng", "road_lat": "lat"}))
     return conform(df, TRIPS_SCHEMA, "trips")
 
 
@@ -75,8 +76,10 @@ def load_road_info(spark: SparkSession, path: str) -> DataFrame:
 
 
 def load_pois(spark: SparkSession, path: str) -> DataFrame:
-    """Only name, address, lng, lat are used; a row id keeps ties stable."""
+    """Only name, address, lng, lat are used. Without a ``poi_id`` the places
+    are numbered in the order of their values, whatever the file layout."""
     df = spark.read.parquet(path)
     if "poi_id" not in df.columns:
-        df = df.withColumn("poi_id", F.monotonically_increasing_id())
+        from ..operators.ordinal import row_ordinal
+        df = row_ordinal(df, ["lng", "lat", "name", "address"], name="poi_id")
     return conform(df, POIS_SCHEMA, "pois")

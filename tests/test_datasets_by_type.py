@@ -99,3 +99,34 @@ def test_dropped_tables(spark):
     assert len(session.written_since(mark)) == 1
     session.drop_tables(spark, session.written_since(mark))
     assert session.written_tables() == mark and datasets is not None
+
+
+def test_loaders(spark, ds_small, tmp_path):
+    from routelens.sources import load_pois, load_road_info, load_trip_info, load_trips
+    ds_small.trips.drop("lng", "lat").write.parquet(f"{tmp_path}/trips")
+    ds_small.road_info.write.parquet(f"{tmp_path}/roads")
+    ds_small.trip_info.write.parquet(f"{tmp_path}/info")
+    roads = load_road_info(spark, f"{tmp_path}/roads")
+    trips = load_trips(spark, f"{tmp_path}/trips", roads)          # places come from the roads
+    assert trips.count() == ds_small.trips.count() and trips.where("lng IS NULL").count() == 0
+    assert load_trip_info(spark, f"{tmp_path}/info").count() == ds_small.trip_info.count()
+    with pytest.raises(ValueError, match="missing columns"):
+        load_trip_info(spark, f"{tmp_path}/roads")
+    pois = ds_small.pois.drop("poi_id")
+    pois.repartition(1).write.parquet(f"{tmp_path}/p1")
+    pois.repartition(5).write.parquet(f"{tmp_path}/p2")
+    ids = [sorted(map(tuple, load_pois(spark, f"{tmp_path}/{p}").collect())) for p in ("p1", "p2")]
+    assert ids[0] == ids[1] and len({r[0] for r in ids[0]}) == len(ids[0])
+
+
+def test_split_by_another_order(spark, ds_small):
+    info = ds_small.trip_info.withColumn("ord", -F.col("trip"))
+    a = {r.trip: r.split for r in TripDatasets(ds_small.trips, info, order="ord").split_info.collect()}
+    ids = sorted(a, reverse=True)
+    assert all(a[t] == 0 for t in ids[:int(len(ids) * .8)]) and a[ids[-1]] == 2
+
+
+def test_joined_vectors(spark, ds_small):
+    from routelens.operators.vectors import joined_vectors
+    both = joined_vectors([ds_small.kseg_vectors(2), ds_small.kseg_vectors(3)]).collect()
+    assert len(both) == ds_small.valid.count() and all(len(r.vec) == 10 for r in both)
