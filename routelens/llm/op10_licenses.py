@@ -25,7 +25,7 @@ import math
 import re
 from collections import Counter
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut_lineage
@@ -82,6 +82,17 @@ def template_weights(notices: tuple[tuple[str, str], ...]) -> tuple[list[tuple[i
     return rows, idf, round(math.log(len(bags) + 1) + 1, 9)
 
 
+def squared_counts(terms: Column) -> Column:
+    """The sum of n * n over the distinct values of an array, each there n times."""
+    start = F.struct(F.lit("").alias("last"), F.lit(0.0).alias("run"), F.lit(0.0).alias("total"))
+
+    def step(a: Column, t: Column) -> Column:
+        run = F.when(a["last"] == t, a["run"] + 1).otherwise(F.lit(1.0))
+        return F.struct(t.alias("last"), run.alias("run"), (a["total"] + 2 * run - 1).alias("total"))
+
+    return F.aggregate(F.array_sort(terms), start, step, lambda a: a["total"])
+
+
 def scan_licenses(files: DataFrame, notices: tuple[tuple[str, str], ...] = NOTICES, limit: float = LIMIT,
                   path_col: str = "path", text_col: str = "text") -> DataFrame:
     """(path, ``license``, ``basis``: own, inherited or none, ``similarity``, ``licence_path``) for each row."""
@@ -98,11 +109,15 @@ def scan_licenses(files: DataFrame, notices: tuple[tuple[str, str], ...] = NOTIC
     lines = paths.where("path IS NOT NULL").select("path", F.posexplode(F.split("text", "\n")).alias("line", "unit"))
     whole = paths.where(F.col("path").isNotNull() & is_file).select("path", F.lit(-1).alias("line"), F.col("text").alias("unit"))
     units = lines.unionByName(whole).select("path", F.struct("line", F.xxhash64("unit")).alias("unit"), split(F.col("unit")).alias("terms"))
-    counts = (units.where(F.arrays_overlap("terms", known)).select("path", "unit", F.explode("terms").alias("term"))
-              .where(~F.array_contains(common, F.col("term"))).groupBy("path", "unit", "term").agg(F.count(F.lit(1)).alias("n")))
+    # Terms of no template only add to a unit's length, all with one weight, so they get no rows of their own.
+    outside = F.filter("terms", lambda t: ~F.array_contains(known, t) & ~F.array_contains(common, t))
+    inside = F.filter("terms", lambda t: F.array_contains(known, t))
+    counts = (units.where(F.arrays_overlap("terms", known))
+              .select("path", "unit", (squared_counts(outside) * other * other).alias("rest"), F.explode(inside).alias("term"))
+              .groupBy("path", "unit", "term").agg(F.count(F.lit(1)).alias("n"), F.max("rest").alias("rest")))
     # Written, as both the lengths and the products read it.
-    weighed = cut_lineage(counts.join(weights, "term", "left").select("path", "unit", "term", (F.col("n") * F.coalesce("idf", F.lit(other))).alias("w")))
-    length = weighed.groupBy("path", "unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
+    weighed = cut_lineage(counts.join(weights, "term").select("path", "unit", "term", "rest", (F.col("n") * F.col("idf")).alias("w")))
+    length = weighed.groupBy("path", "unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w")) + F.max("rest")).alias("length"))
     dots = weighed.join(table.select("template", "license", "term", "weight"), "term").groupBy("path", "unit", "template", "license").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
     cosine = dots.join(length, ["path", "unit"]).select("path", "license", F.round(F.col("dot") / F.col("length"), 6).alias("similarity"))
     own = cut_lineage(cosine.where(F.col("similarity") >= limit).groupBy("path")
