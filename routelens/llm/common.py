@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pyarrow as pa
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage, ship_package
 
-__all__ = ["cut_lineage", "prepare", "documents", "slices", "texts_of", "utf8_of", "crc_fold", "sum_blobs"]
+__all__ = ["cut_lineage", "prepare", "documents", "slices", "texts_of", "utf8_of", "crc_fold", "sum_blobs", "filter_rows", "union_all"]
 
 #: Bytes of text handed to a Python worker at once.
 BATCH_BYTES = 8 << 20
@@ -88,5 +88,16 @@ def sum_blobs(parts: DataFrame, dtype: str = "float64") -> bytes | None:
     return bytes(rows[0][0]) if rows else None
 
 
+def filter_rows(docs: DataFrame, text_col: str, keep: Callable[[pa.Array], list[bool]]) -> DataFrame:
+    """The rows whose texts ``keep`` marks, with all columns as they came; no shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, text_col):
+                yield part.filter(pa.array(keep(part.column(text_col)), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)

@@ -24,15 +24,16 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import prepare, slices, texts_of, union_all
+from .common import filter_rows, prepare, slices, texts_of, union_all
 
 RADIUS = 22
 BLOCK_ITEMS = 4096
@@ -180,7 +181,22 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, words: int = 5, lim
     return found.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "start_word", "n_words", "similarity", "distance")
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, words: int = 5, limit: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents without a match, with all their columns."""
-    gone = benchmark_matches(docs, benchmark, words, limit, id_col, text_col).select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, words: int = 5, limit: float = 0.8, text_col: str = "text",
+                      item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The documents without a match, with all their columns. Every task drops
+    its own rows, block of items after block, so no text is shuffled."""
+    prepare(docs.sparkSession)
+    for rows in _blocks(benchmark, item_col, item_text_col):
+        docs = filter_rows(docs, text_col, _without(docs.sparkSession.sparkContext.broadcast(rows), words, limit))
+    return docs
+
+
+def _without(shared: Broadcast, words: int, limit: float) -> Callable[[pa.Array], list[bool]]:
+    items: list[Items] = []                                     # one for each task
+
+    def keep(texts: pa.Array) -> list[bool]:
+        if not items:
+            items.append(Items(shared.value, words))
+        return [not items[0].matches(t, limit) for t in texts_of(texts)]
+
+    return keep

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_fold, cut_lineage, prepare, slices, sum_blobs, utf8_of
+from .common import crc_fold, cut_lineage, filter_rows, prepare, slices, sum_blobs, utf8_of
 
 FEATURES = 256
 #: Width of the Gaussian kernel, over standardised statistics.
@@ -177,10 +177,7 @@ def fit(stats: DataFrame, labelled: DataFrame) -> Model:
 def quality_scores(docs: DataFrame, labels: DataFrame, folds: int = 5, held_fold: int = 0, threshold: float = 0.3,
                    id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """(id, ``held_out``, ``score``, ``predicted``) for each row."""
-    stats = cut_lineage(document_statistics(docs, id_col, text_col))
-    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(
-        F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("y")).where(crc_fold("id", folds) != held_fold)
-    model = fit(stats, cut_lineage(stats.join(known, "id").select("x", "y")))
+    stats, model = learn(docs, labels, folds, held_fold, id_col, text_col, label_col)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,7 +190,21 @@ def quality_scores(docs: DataFrame, labels: DataFrame, folds: int = 5, held_fold
         (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def drop_low_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents predicted as 1, with all their columns."""
-    gone = quality_scores(docs, labels, threshold=threshold, id_col=id_col, text_col=text_col).where("predicted = 0").select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+def learn(docs: DataFrame, labels: DataFrame, folds: int, held_fold: int, id_col: str, text_col: str, label_col: str) -> tuple[DataFrame, Model]:
+    """The written statistics of all documents and the model of the labelled ones."""
+    stats = cut_lineage(document_statistics(docs, id_col, text_col))
+    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(
+        F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("y")).where(crc_fold("id", folds) != held_fold)
+    return stats, fit(stats, cut_lineage(stats.join(known, "id").select("x", "y")))
+
+
+def drop_low_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, folds: int = 5, held_fold: int = 0,
+                     id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
+    """The documents predicted as 1, with all their columns. The model is small,
+    so every task scores the rows that it holds and no text is shuffled."""
+    _, model = learn(docs, labels, folds, held_fold, id_col, text_col, label_col)
+
+    def keep(texts: pa.Array) -> list[bool]:
+        return (model.score(np.array([statistics(t) for t in utf8_of(texts)])) >= threshold).tolist()
+
+    return filter_rows(docs, text_col, keep)
