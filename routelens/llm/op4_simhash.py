@@ -132,13 +132,14 @@ def near_links(distinct: DataFrame, distance: int) -> DataFrame:
     if distance > 4:
         raise ValueError("the index triples hold for at most 4 differing bits")
     index = _index(distinct.select("fp"))
-    ends = index.groupBy("key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo < hi")
+    # What the lists are joined with is written, so that adaptive execution can split a long list.
+    ends = cut_lineage(index.groupBy("key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo < hi"))
     near = (index.join(ends, "key").select("fp", F.explode(F.array("lo", "hi")).alias("end"))
             .where((F.col("fp") != F.col("end")) & _linked("fp", "end", distance)))
     first = cut_lineage(components(near.select(F.col("fp").alias("a"), F.col("end").alias("b"))))
     rooted = distinct.select("fp").join(first, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"))
     index = _index(rooted)
-    mixed = index.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+    mixed = cut_lineage(index.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key"))
     open_ = cut_lineage(index.join(mixed, "key"))
     a = open_.select("key", F.col("fp").alias("fa"), F.col("root").alias("ra"))
     b = open_.select("key", F.col("fp").alias("fb"), F.col("root").alias("rb"))
