@@ -122,8 +122,9 @@ def scan_licenses(files: DataFrame, notices: tuple[tuple[str, str], ...] = NOTIC
     cosine = dots.join(length, ["path", "unit"]).select("path", "license", F.round(F.col("dot") / F.col("length"), 6).alias("similarity"))
     own = cut_lineage(cosine.where(F.col("similarity") >= limit).groupBy("path")
                       .agg(F.min_by("license", F.struct(-F.col("similarity"), F.col("license"))).alias("own"), F.max("similarity").alias("similarity")))
-    above = (own.where(is_file).select(F.regexp_replace("path", "/?[^/]*$", "").alias("directory"), "path", F.col("own").alias("given"))
-             .groupBy("directory").agg(F.min("path").alias("licence_path"), F.min_by("given", "path").alias("given")))
+    # Written, so that adaptive execution can split a directory of many files.
+    above = cut_lineage(own.where(is_file).select(F.regexp_replace("path", "/?[^/]*$", "").alias("directory"), "path", F.col("own").alias("given"))
+                        .groupBy("directory").agg(F.min("path").alias("licence_path"), F.min_by("given", "path").alias("given")))
     need = paths.select("path").distinct().where("path IS NOT NULL").join(own, "path", "left_anti")
     parts = F.split("path", "/")
     parents = need.select("path", F.explode(F.sequence(F.lit(0), F.size(parts) - 1)).alias("depth")).select(
