@@ -12,7 +12,7 @@ SF01 = "/root/testdata/sf0.01"
 @pytest.fixture(scope="session")
 def spark():
     from routelens.session import get_session
-    s = get_session("local[4]", shuffle_partitions=8)
+    s = get_session("local[8]", shuffle_partitions=4)
     yield s
 
 
