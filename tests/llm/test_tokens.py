@@ -11,12 +11,13 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from routelens.llm.op1_byte_bpe import Codec, digests, encode_decode, read_ranks
-from routelens.llm.op7_token_counts import Counter, Vocabulary, token_counts
+from routelens.llm.op7_token_counts import Vocabulary, token_counts
 from routelens.llm.pretokens import Cutter
 
 from .conftest import ODD
 
 RANKS = P.path("byte_bpe_50k.tiktoken")
+CUTTER = Cutter(P.PATTERN)
 
 
 @pytest.fixture(scope="module")
@@ -33,14 +34,11 @@ def library():
 @given(st.lists(st.text(alphabet=st.one_of(st.sampled_from("'stmdrevl aB1 \n\t .!é漢 \x1c"), st.characters(exclude_categories=["Cs"])), max_size=60), max_size=5))
 def test_pretokens_are_the_patterns(texts):
     import regex
-    tokens, at = Cutter(P.PATTERN).cut(texts) if not hasattr(test_pretokens_are_the_patterns, "c") else test_pretokens_are_the_patterns.c.cut(texts)
+    tokens, at = CUTTER.cut(texts)
     find = regex.compile(P.PATTERN).findall
     assert [tokens[i:j] for i, j in zip(at, at[1:], strict=False)] == [find(t) for t in texts]
 
 
-test_pretokens_are_the_patterns.c = Cutter(P.PATTERN)
-
-
 def test_other_patterns_go_through_regex():
     tokens, at = Cutter(r"\w+").cut(["a b", "", "cd"])
     assert tokens == ["a", "b", "cd"] and at.tolist() == [0, 2, 2, 3]
@@ -79,7 +77,7 @@ def test_whole_tokens_are_proven():
             text = token.decode()
         except UnicodeDecodeError:
             continue
-        if len(Counter.__init__.__globals__["Cutter"](P.PATTERN).find or [text]) == 1 and len(t.pre_tokenizer.pre_tokenize_str(text)) == 1:
+        if len(t.pre_tokenizer.pre_tokenize_str(text)) == 1:
             assert len(t.encode(text, add_special_tokens=False).ids) == 1
 
 
