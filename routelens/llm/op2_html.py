@@ -5,8 +5,8 @@ line. Each line has a ratio of text characters to tags. The ratios, smoothed
 with a Gaussian, are clustered by a threshold into content and the rest; lines
 in menus, headers, footers, sidebars, notices, adverts, forms and comments (by
 element, role or class) never count as content. The content lines choose the
-region: the articles or main element that hold them, else the smallest element
-that holds most of their text. All lines of the region that aren't
+region: the articles or the main element if all of them lie there, else the
+smallest element that holds most of their text. All lines of the region that aren't
 boilerplate are the text, so short paragraphs between long ones stay.
 
 Null and empty pages have empty text; a page without any content line too. A
@@ -185,18 +185,17 @@ def main_blocks(html: str) -> list[str]:
     ratio = smoothed(np.array([len(t) / max(1, tags) for t, tags, _, _ in page.lines]))
     usable = np.array(own)
     content = usable & (ratio >= threshold(ratio[usable]))
-    inside = _region(page, np.flatnonzero(content).tolist(), np.flatnonzero(usable).tolist())
+    inside = _region(page, np.flatnonzero(content).tolist())
     return [t for t, _, path, boilerplate in page.lines if not boilerplate and inside & set(path)]
 
 
-def _region(page: _Lines, content: list[int], usable: list[int]) -> set[int]:
+def _region(page: _Lines, content: list[int]) -> set[int]:
     """Numbers of the regions that hold the content."""
     for tag in ("article", "main"):
-        for lines in (content, usable):
-            outer = {next((r for r in page.lines[i][2] if page.regions[r] == tag), 0) for i in lines} - {0}
-            held = {r: sum(len(page.lines[i][0]) for i in lines if r in page.lines[i][2]) for r in outer}
-            if held and (lines is usable or 2 * sum(held.values()) >= sum(len(page.lines[i][0]) for i in content)):
-                return {r for r, n in held.items() if 2 * n >= max(held.values())}
+        outer = [next((r for r in page.lines[i][2] if page.regions.get(r) == tag), 0) for i in content]
+        if all(outer):
+            held = {r: sum(len(page.lines[i][0]) for i in content if r in page.lines[i][2]) for r in outer}
+            return {r for r, n in held.items() if 2 * n >= max(held.values())}
     size: dict[int, int] = {}
     for i in content:
         for r in page.lines[i][2]:

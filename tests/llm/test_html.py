@@ -40,3 +40,13 @@ def test_table(spark):
     assert got[(2, None)] == got[(3, "u")] == ("", 0) and got[(None, "u")] == ("x y", 3)
     assert got[(4, "u")][1] == 399999 and got[(1, "u")][0] == "\n\n".join(main_blocks(PAGE))
     assert extract(pages.limit(0)).count() == 0
+
+
+def test_story_beside_an_article():
+    """An article element is the region only if all content lies there."""
+    card = "<article><p>A teaser of another page.</p></article>"
+    for story in (f"<div><p>{LONG}</p><p>{LONG}</p></div>", f"<main><p>{LONG}</p><p>{LONG}</p></main>", f"<p>{LONG}</p><p>{LONG}</p>"):
+        for page in (f"<body>{story}{card}</body>", f"<body>{card}{story}</body>"):
+            assert main_blocks(page).count(LONG) == 2
+    lead = f"{LONG} lead"
+    assert main_blocks(f"<body><main><p>{lead}</p><article><p>{LONG}</p></article></main></body>") == [lead, LONG]
