@@ -6,7 +6,7 @@ with a Gaussian, are clustered by a threshold into content and the rest; lines
 in menus, headers, footers, sidebars, notices, adverts, forms and comments (by
 element, role or class) never count as content. The content lines choose the
 region: the articles or the main element if all of them lie there, else the
-smallest element that holds most of their text. All lines of the region that aren't
+smallest element (or the page) that holds them all. All lines of the region that aren't
 boilerplate are the text, so short paragraphs between long ones stay.
 
 Null and empty pages have empty text; a page without any content line too. A
@@ -28,8 +28,6 @@ from .common import prepare, slices, texts_of
 
 #: Width of the Gaussian over lines.
 SIGMA = 1.0
-#: The region holds at least this share of the content's characters.
-MOST = 0.8
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label link mark meta nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -57,7 +55,7 @@ class _Lines(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, int, bool, bool]] = []       # tag, number if a region, dropped, header
         self.lines: list[tuple[str, int, tuple[int, ...], bool]] = []
-        self.regions: dict[int, str] = {}
+        self.regions: dict[int, str] = {0: ""}                  # the page itself is region 0
         self.text: list[str] = []
         self.tags, self.dropped, self.headers, self.articles, self.headings = 0, 0, 0, 0, 0
 
@@ -76,7 +74,7 @@ class _Lines(HTMLParser):
         dropped, header = self._kind(tag, dict(attrs))
         number = 0
         if tag in REGIONS:
-            number = len(self.regions) + 1
+            number = len(self.regions)
             self.regions[number] = tag
         self.open.append((tag, number, dropped, header))
         self.dropped += dropped
@@ -151,7 +149,7 @@ class _Lines(HTMLParser):
         if text:
             heading = self.headings and self.articles           # an article's own title, even in its header
             boilerplate = bool(self.dropped or self.headers and not heading)
-            self.lines.append((text, self.tags, tuple(x[1] for x in self.open if x[1]), boilerplate))
+            self.lines.append((text, self.tags, (0, *(x[1] for x in self.open if x[1])), boilerplate))
             self.tags = 0
 
 
@@ -190,19 +188,13 @@ def main_blocks(html: str) -> list[str]:
 
 
 def _region(page: _Lines, content: list[int]) -> set[int]:
-    """Numbers of the regions that hold the content."""
+    """Numbers of the regions that hold all of the content."""
+    paths = [page.lines[i][2] for i in content]
     for tag in ("article", "main"):
-        outer = [next((r for r in page.lines[i][2] if page.regions.get(r) == tag), 0) for i in content]
-        if all(outer):
-            held = {r: sum(len(page.lines[i][0]) for i in content if r in page.lines[i][2]) for r in outer}
-            return {r for r, n in held.items() if 2 * n >= max(held.values())}
-    size: dict[int, int] = {}
-    for i in content:
-        for r in page.lines[i][2]:
-            size[r] = size.get(r, 0) + len(page.lines[i][0])
-    total = sum(len(page.lines[i][0]) for i in content)
-    big = [r for r, n in size.items() if n >= MOST * total]
-    return {max(big)} if big else set(page.regions)            # regions are numbered outside in
+        outer = {next((r for r in path if page.regions[r] == tag), 0) for path in paths}
+        if 0 not in outer:
+            return outer
+    return {max(set.intersection(*map(set, paths)))}           # regions are numbered outside in
 
 
 def extract(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

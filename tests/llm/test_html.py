@@ -50,3 +50,12 @@ def test_story_beside_an_article():
             assert main_blocks(page).count(LONG) == 2
     lead = f"{LONG} lead"
     assert main_blocks(f"<body><main><p>{lead}</p><article><p>{LONG}</p></article></main></body>") == [lead, LONG]
+
+
+def test_no_content_is_cut_by_its_share():
+    many, few = [f"{LONG} {i}" for i in range(17)], [f"{LONG} last {i}" for i in range(3)]
+    block = lambda tag, texts: f"<{tag}>" + "".join(f"<p>{t}</p>" for t in texts) + f"</{tag}>"
+    for tag in ("div", "section", "article"):
+        assert main_blocks(f"<body><nav><a>x</a></nav>{block(tag, many)}{block(tag, few)}</body>") == many + few
+    assert main_blocks(block("div", many) + "".join(f"<p>{t}</p>" for t in few)) == many + few
+    assert main_blocks(f"<p>{LONG}</p>") == [LONG]
