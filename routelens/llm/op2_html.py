@@ -4,7 +4,9 @@ The standard library's streaming parser gives events; block elements end a
 line. Each line has a ratio of text characters to tags. The ratios, smoothed
 with a Gaussian, are clustered by a threshold into content and the rest; lines
 in menus, headers, footers, sidebars, notices, adverts, forms and comments (by
-element, role or class) never count as content. The content lines choose the
+element, role or class) never count as content; but a class or id is not
+believed if the content is under it (see ``_usable``), and a word in it that
+follows "has", "no" and the like says nothing. The content lines choose the
 region: the articles or the main element if all of them lie there, else the
 smallest element (or the page) that holds them all. All lines of the region that aren't
 boilerplate are the text, so short paragraphs between long ones stay.
@@ -17,7 +19,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -44,17 +48,40 @@ WORDS_OF_BOILERPLATE = frozenset("""ad ads advert adverts advertisement advertis
     disqus reply replies respond form search pagination pager toolbar widget skip copyright disclaimer""".split())
 HEADER_WORDS = frozenset("header masthead topbar".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog alertdialog menu menubar".split())
+#: A word after one of these in a name says what the element has or lacks, not what it is.
+MODIFIERS = frozenset("has have with without no not non".split())
 _SPLIT = re.compile(r"[^a-z0-9]+").split
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
+class _Mark(NamedTuple):
+    """What the class names and id of an element say: it may be boilerplate."""
+
+    words: frozenset[str]                                       # of all its names, without the numbers in them
+    whole: bool                                                 # a name has no other words
+    header: bool                                                # only words of a header
+
+
+@lru_cache(1 << 12)
+def mark_of(names: str) -> _Mark | None:
+    words, found, whole = set(), set(), False
+    for name in names.split():
+        parts = [w for w in _SPLIT(_CAMEL.sub("-", name).lower()) if w and not w.isdigit()]
+        own = [w for before, w in zip(["", *parts], parts, strict=False)
+               if before not in MODIFIERS and (w in WORDS_OF_BOILERPLATE or w in HEADER_WORDS)]
+        words.update(w.strip("0123456789") for w in parts)
+        found.update(own)
+        whole = whole or bool(own) and len(own) == len(parts)
+    return _Mark(frozenset(words), whole, found <= HEADER_WORDS) if found else None
+
+
 class _Lines(HTMLParser):
-    """Lines of a page: (text, tags, path of open regions, boilerplate)."""
+    """Lines of a page: (text, tags, path of open regions, boilerplate by element or role, marks by class or id)."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, int, bool, bool]] = []       # tag, number if a region, dropped, header
-        self.lines: list[tuple[str, int, tuple[int, ...], bool]] = []
+        self.open: list[tuple[str, int, bool, bool, _Mark | None]] = []     # tag, number if a region, dropped, header, mark
+        self.lines: list[tuple[str, int, tuple[int, ...], bool, frozenset[_Mark]]] = []
         self.regions: dict[int, str] = {0: ""}                  # the page itself is region 0
         self.text: list[str] = []
         self.tags, self.dropped, self.headers, self.articles, self.headings = 0, 0, 0, 0, 0
@@ -71,12 +98,12 @@ class _Lines(HTMLParser):
         self._mark(tag)
         if tag in VOID:
             return
-        dropped, header = self._kind(tag, dict(attrs))
+        dropped, header, mark = self._kind(tag, dict(attrs))
         number = 0
         if tag in REGIONS:
             number = len(self.regions)
             self.regions[number] = tag
-        self.open.append((tag, number, dropped, header))
+        self.open.append((tag, number, dropped, header, mark))
         self.dropped += dropped
         self.headers += header
         self.articles += tag in ("article", "main")
@@ -108,14 +135,12 @@ class _Lines(HTMLParser):
             self._line()
         self.tags += 1
 
-    def _kind(self, tag: str, attrs: dict[str, str | None]) -> tuple[bool, bool]:
+    def _kind(self, tag: str, attrs: dict[str, str | None]) -> tuple[bool, bool, _Mark | None]:
         unseen = "hidden" in attrs or "display:none" in (attrs.get("style") or "").replace(" ", "").lower()
         if tag in DROPPED or unseen or (attrs.get("role") or "").lower() in DROPPED_ROLES:
-            return True, False
-        words: set[str] = set()
-        if tag in CONTAINERS and (attrs.get("class") or attrs.get("id")):
-            words.update(_SPLIT(_CAMEL.sub("-", f"{attrs.get('class') or ''} {attrs.get('id') or ''}").lower()))
-        return bool(words & WORDS_OF_BOILERPLATE), tag == "header" or bool(words & HEADER_WORDS)
+            return True, False, None
+        named = tag in CONTAINERS and (attrs.get("class") or attrs.get("id"))
+        return False, tag == "header", mark_of(f"{attrs.get('class') or ''} {attrs.get('id') or ''}") if named else None
 
     def _implied(self, tag: str) -> None:
         """A new p, li, ... ends an open one of its kind; a block ends an open p."""
@@ -135,7 +160,7 @@ class _Lines(HTMLParser):
     def _close_to(self, tag: str) -> None:
         self._line()
         while self.open:
-            name, _, dropped, header = self.open.pop()
+            name, _, dropped, header, _ = self.open.pop()
             self.dropped -= dropped
             self.headers -= header
             self.articles -= name in ("article", "main")
@@ -149,7 +174,8 @@ class _Lines(HTMLParser):
         if text:
             heading = self.headings and self.articles           # an article's own title, even in its header
             boilerplate = bool(self.dropped or self.headers and not heading)
-            self.lines.append((text, self.tags, (0, *(x[1] for x in self.open if x[1])), boilerplate))
+            marks = frozenset(x[4] for x in self.open if x[4] and not (x[4].header and heading))
+            self.lines.append((text, self.tags, (0, *(x[1] for x in self.open if x[1])), boilerplate, marks))
             self.tags = 0
 
 
@@ -177,14 +203,44 @@ def main_blocks(html: str) -> list[str]:
     page = _Lines()
     page.feed(html)
     page.finish()
-    own = [not x[3] for x in page.lines]
-    if not any(own):
+    open_ = np.array([not x[3] for x in page.lines], bool)
+    if not open_.any():
         return []
-    ratio = smoothed(np.array([len(t) / max(1, tags) for t, tags, _, _ in page.lines]))
-    usable = np.array(own)
-    content = usable & (ratio >= threshold(ratio[usable]))
+    ratio = smoothed(np.array([len(x[0]) / max(1, x[1]) for x in page.lines]))
+    usable, content = _usable(page, ratio, open_)
     inside = _region(page, np.flatnonzero(content).tolist())
-    return [t for t, _, path, boilerplate in page.lines if not boilerplate and inside & set(path)]
+    return [x[0] for x, u in zip(page.lines, usable, strict=True) if u and inside & set(x[2])]
+
+
+def _content(ratio: np.ndarray, usable: np.ndarray) -> np.ndarray:
+    return usable & (ratio >= threshold(ratio[usable])) if usable.any() else usable
+
+
+def _usable(page: _Lines, ratio: np.ndarray, open_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The lines that aren't boilerplate, and those of them that are content. A
+    mark doesn't count if all content lies under it, or most of the content
+    where its names have other words too; if no line is left, no mark counts."""
+    marks = [x[4] for x in page.lines]
+    if not any(marks):
+        return open_, _content(ratio, open_)
+    size = np.array([len(x[0]) for x in page.lines])
+    void: set[_Mark] = set()
+
+    def without(ignored: set[_Mark], whole: bool) -> np.ndarray:
+        return open_ & np.array([all(m in ignored or whole and not m.whole for m in own) for own in marks], bool)
+
+    strict = without(void, False)
+    for whole in (True, False):
+        content = _content(ratio, without(void, True) if not whole else open_)
+        total = size[content].sum()
+        for mark in {m for own in marks for m in own if m.whole == whole}:
+            held = size[content & np.array([mark in own for own in marks], bool)].sum()
+            if total and (held == total if whole else 2 * held > total):
+                void.add(mark)
+    usable = without(void, False)
+    if not usable.any():
+        return open_, _content(ratio, open_)
+    return usable, _content(ratio, strict) | _content(ratio, usable)
 
 
 def _region(page: _Lines, content: list[int]) -> set[int]:

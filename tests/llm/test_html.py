@@ -59,3 +59,17 @@ def test_no_content_is_cut_by_its_share():
         assert main_blocks(f"<body><nav><a>x</a></nav>{block(tag, many)}{block(tag, few)}</body>") == many + few
     assert main_blocks(block("div", many) + "".join(f"<p>{t}</p>" for t in few)) == many + few
     assert main_blocks(f"<p>{LONG}</p>") == [LONG]
+
+
+def test_class_of_a_wrapper():
+    """Names of a container that holds the text don't make it boilerplate; those of its parts do."""
+    story = [f"{LONG} {i}" for i in range(4)]
+    body = "".join(f"<p>{t}</p>" for t in story)
+    parts = f'<div class="left-menu"><a>x</a> <a>y</a></div><div class="comments"><p>{LONG} reader</p></div>'
+    for names in ('class="page has-sidebar"', 'class="post no-comments"', 'class="layout-with-menu"', 'id="search-result"', 'class="widget"', 'id="searchResult-7"',
+                  'class="has-header"', 'class="page-header"'):
+        assert main_blocks(f"<body><div {names}>{body}{parts}</div><p>(c) 1</p></body>")[:4] == story, names
+        assert main_blocks(f"<body><div {names}>{body}{parts}</div></body>") == story, names
+    parts = "".join(f'<section class="search-result n{i}">{body}</section>' for i in range(3))
+    assert main_blocks(f"<body>{parts}<p>(c) 1</p></body>")[:12] == story * 3
+    assert main_blocks(f'<body><div class="widget">{body}</div><div class="share">{body}</div></body>') == story * 2
