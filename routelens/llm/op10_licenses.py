@@ -112,9 +112,11 @@ def scan_licenses(files: DataFrame, notices: tuple[tuple[str, str], ...] = NOTIC
     # Terms of no template only add to a unit's length, all with one weight, so they get no rows of their own.
     outside = F.filter("terms", lambda t: ~F.array_contains(known, t) & ~F.array_contains(common, t))
     inside = F.filter("terms", lambda t: F.array_contains(known, t))
+    # A unit of a repeated row has the same terms, each as often, so the maxima take each unit once.
+    counted = F.transform(F.array_distinct(inside), lambda t: F.struct(t.alias("term"), F.size(F.filter("terms", lambda x: x == t)).alias("n")))
     counts = (units.where(F.arrays_overlap("terms", known))
-              .select("path", "unit", (squared_counts(outside) * other * other).alias("rest"), F.explode(inside).alias("term"))
-              .groupBy("path", "unit", "term").agg(F.count(F.lit(1)).alias("n"), F.max("rest").alias("rest")))
+              .select("path", "unit", (squared_counts(outside) * other * other).alias("rest"), F.explode(counted).alias("counted"))
+              .groupBy("path", "unit", F.col("counted.term").alias("term")).agg(F.max("counted.n").alias("n"), F.max("rest").alias("rest")))
     # Written, as both the lengths and the products read it.
     weighed = cut_lineage(counts.join(weights, "term").select("path", "unit", "term", "rest", (F.col("n") * F.col("idf")).alias("w")))
     length = weighed.groupBy("path", "unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w")) + F.max("rest")).alias("length"))

@@ -33,3 +33,13 @@ def test_documents(make):
 def test_plan_has_no_python(make):
     plan = document_licenses(make([(1, MIT)]))._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow", "CartesianProduct"))
+
+
+def test_repeated_rows_of_mixed_terms(spark):
+    """A document counts once, however often its row is there."""
+    mixed = "Released under the MIT License foo bar baz qux"
+    rows = [("a/x.py", mixed), ("b/LICENSE", mixed), ("b/y.py", "nothing"), ("c/z.py", f"{mixed}\n{MIT} foo\n{MIT} foo")]
+    once = {r["path"]: r for r in scan_licenses(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert [once[p]["basis"] for p in ("a/x.py", "b/LICENSE", "b/y.py", "c/z.py")] == ["none", "none", "none", "own"]
+    for r in scan_licenses(spark.createDataFrame(rows * 3, "path string, text string").repartition(3)).collect():
+        assert r == once[r["path"]]
