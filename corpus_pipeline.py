@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from routelens.llm.common import cut_lineage
 from routelens.llm.op1_byte_bpe import digests
 from routelens.llm.op3_decontaminate import drop_contaminated
-from routelens.llm.op4_simhash import drop_near_duplicates
-from routelens.llm.op6_exact_dedup import drop_duplicates
+from routelens.llm.op4_simhash import keep_one_of_near
+from routelens.llm.op6_exact_dedup import keep_one_of_each
 from routelens.llm.op8_quality import drop_low_quality
 
 
@@ -26,11 +26,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return drop_duplicates(docs)
+    return keep_one_of_each(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return drop_near_duplicates(docs, words=4, distance=4)
+    return keep_one_of_near(docs, words=4, distance=4)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage, ship_package
 
-__all__ = ["cut_lineage", "prepare", "documents", "slices", "texts_of", "utf8_of", "crc_fold", "sum_blobs", "filter_rows", "union_all"]
+__all__ = ["cut_lineage", "prepare", "documents", "slices", "texts_of", "utf8_of", "crc_fold", "sum_blobs", "filter_rows", "row_keyed", "drop_keys", "union_all"]
 
 #: Bytes of text handed to a Python worker at once.
 BATCH_BYTES = 8 << 20
@@ -99,5 +99,23 @@ def filter_rows(docs: DataFrame, text_col: str, keep: Callable[[pa.Array], list[
     return docs.mapInArrow(run, docs.schema)
 
 
+def row_keyed(docs: DataFrame) -> DataFrame:
+    """(``__row``, ``__doc``): a key that names each row for good, and the row. A
+    Parquet table as read has one, the file and the row's place in it; any
+    other table is written first."""
+    key = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias("__row")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc")
+    plan = docs._jdf.queryExecution().analyzed()
+    if plan.getClass().getSimpleName() != "LogicalRelation" or "parquet" not in plan.toString().lower():
+        docs = cut_lineage(docs)
+    return docs.select(key, whole)
+
+
+def drop_keys(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """The documents of ``row_keyed`` rows without those whose key is in ``gone``'s column ``__gone``."""
+    kept = rows.join(gone, F.col("__row") == F.col("__gone"), "left_anti")
+    return kept.select("__doc.*")
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, prepare, slices, utf8_of
+from .common import cut_lineage, drop_keys, prepare, row_keyed, slices, utf8_of
 from .components import components
 
 POSITIONS = 8
@@ -164,3 +164,13 @@ def drop_near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4, id_
     """The documents with the least id of their component, with all their columns."""
     gone = near_duplicates(docs, words, distance, id_col, text_col).where(f"{id_col} <> component_id").select(F.col(id_col).alias("__gone")).distinct()
     return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+
+
+def keep_one_of_near(docs: DataFrame, words: int = 4, distance: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component, with all its columns: that of the least id, a
+    null one last. Rows go by their own key, so repeated and null ids don't matter."""
+    rows = row_keyed(docs)
+    own = F.col(f"__doc.{id_col}")
+    named = rows.select(F.struct(own.isNull().alias("none"), own.alias("id"), F.col("__row").alias("row")).alias("id"), F.col(f"__doc.{text_col}").alias("text"))
+    gone = near_duplicates(named, words, distance, "id", "text").where("id <> component_id").select(F.col("id.row").alias("__gone"))
+    return drop_keys(rows, gone)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, prepare, slices, union_all, utf8_of
+from .common import cut_lineage, drop_keys, prepare, row_keyed, slices, union_all, utf8_of
 
 FIRST_BYTES = 64
 GROWTH = 16
@@ -88,3 +88,12 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """The documents that stay, with all their columns."""
     gone = exact_dedup(docs, id_col, text_col).where(~F.col("kept")).select(F.col(id_col).alias("__gone")).distinct()
     return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+
+
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group of equal texts, with all its columns: that of the
+    largest id. Rows go by their own key, so repeated and null ids don't matter."""
+    rows = row_keyed(docs)
+    named = rows.select(F.struct(F.col(f"__doc.{id_col}").alias("id"), F.col("__row").alias("row")).alias("id"), F.col(f"__doc.{text_col}").alias("text"))
+    gone = exact_dedup(named, "id", "text").where(~F.col("kept")).select(F.col("id.row").alias("__gone"))
+    return drop_keys(rows, gone)

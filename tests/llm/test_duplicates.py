@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 import xxhash
 
+import corpus_pipeline
 from routelens.llm import op6_exact_dedup as radix
 from routelens.llm.components import components
 from routelens.llm.op4_simhash import drop_near_duplicates, index_triples, near_duplicates, near_links, simhash
@@ -65,6 +66,25 @@ def test_drop_duplicates_keeps_columns(make):
     assert sorted(r["doc_id"] or -1 for r in kept.collect()) == sorted(i or -1 for i, _ in ODD if i not in gone)
 
 
+ROWS = [(1, "one two three"), (1, "one two three"), (None, "ONE two three"), (None, "four five six"), (None, "four five six"), (2, "seven eight nine"), (3, "Seven eight nine"),
+        (2, "ten eleven twelve"), (None, None), (None, ""), (4, "alone")]
+
+
+def test_one_row_of_each_group_stays(spark, make, tmp_path):
+    """With null and repeated ids, whether the table is read from Parquet or made by a plan."""
+    make(ROWS).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    for stage, best in ((corpus_pipeline.exact, 3), (corpus_pipeline.near, 2)):
+        keep = lambda docs: stage(spark, docs, "")  # noqa: E731, B023
+        for table in (make(ROWS), docs, docs.where("source <> ''"), docs.unionByName(docs)):
+            kept = keep(table)
+            assert kept.columns == docs.columns and kept.dtypes == docs.dtypes
+            got = sorted((lower(r["text"]), r["doc_id"]) for r in kept.collect() if r["text"])
+            assert got == [("alone", 4), ("four five six", None), ("one two three", 1), ("seven eight nine", best), ("ten eleven twelve", 2)]
+            assert kept.count() == 6
+        assert keep(docs.limit(0)).count() == 0
+
+
 def fingerprint(text, words=4):
     parts = re.findall(r"[^\x20\x09-\x0D]+", lower(text))
     names = [" ".join(parts[k:k + words]) for k in range(max(1, len(parts) - words + 1))] if parts else []
