@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents
 from .op10_licenses import document_licenses, oracle
+from .op11_conversations import conversation_repair
+from .op12_divergence import oracle as divergence_sql
+from .op12_divergence import source_divergence
+from .op13_pii import pii_spans
 from .op1_byte_bpe import digests
 from .op2_html import extract
 from .op3_decontaminate import benchmark_matches
@@ -60,12 +64,25 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_licenses(documents(spark, sf_dir))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair(documents(spark, sf_dir, "conversations"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(documents(spark, sf_dir), min_docs=30, top=50)
+
+
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_spans(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_byte_bpe, op2_html_extraction, op3_decontamination, op4_simhash_near_dedup, op5_language_id, op6_exact_dedup,
-    op7_token_counts, op8_quality, op9_toxicity, op10_license_scan)}
+    op7_token_counts, op8_quality, op9_toxicity, op10_license_scan, op11_conversation_repair, op12_source_divergence, op13_pii)}
 
 ORACLE_SQL: dict[str, str] = {
     "op10_license_scan": oracle(),
+    "op12_source_divergence": divergence_sql(),
     "op6_exact_dedup": """
         WITH t AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS n FROM documents),
              g AS (SELECT n, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY n)
