@@ -48,11 +48,11 @@ TOP = 50
 UNIT = 1_000_000_000
 SMOOTH = 5
 #: Kept digests that are broadcast at most: 8 bytes each.
-DIGESTS = 2_000_000
+DIGESTS = 1_000_000
 #: Rows that a task holds before it hands them on.
-HELD = 300_000
+HELD = 800_000
 #: Cells of a matrix, least terms of a block, sources of a tile.
-CELLS, LEAST_TERMS, TILE = 1 << 18, 256, 256
+CELLS, LEAST_TERMS, TILE = 1 << 16, 256, 256
 
 _TERM = np.zeros(256, bool)
 _TERM[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
