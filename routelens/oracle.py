@@ -683,3 +683,18 @@ _add("build_dataset", _sql(
 _add("stats_roundtrip", ORACLE_SQL["describe_points"].replace(
     'SELECT "column", count(value) AS count', 'SELECT (SELECT max(road) + 1 FROM road_info) AS num_road, '
     '(SELECT max(driver) + 1 FROM trip_info) AS num_class, "column", count(value) AS count'))
+
+
+def _binned(q: float) -> str:
+    """The value of the logarithmic bin (accuracy 0.005) of the value at rank floor((n - 1) q), in hundredths."""
+    gamma = (1 + 0.005) / (1 - 0.005)
+    v = f"list_sort(list(value))[CAST(floor((count(value) - 1) * {q}) AS BIGINT) + 1]"
+    x = f"CASE WHEN {v} = 0 THEN 0 ELSE sign({v}) * 2 * pow({gamma!r}, ceil(ln(abs({v})) / ln({gamma!r}))) / ({gamma!r} + 1) END"
+    return R(f"floor(greatest(least({x}, max(value)), min(value)) * 100 + 0.5) / 100")
+
+
+_add("stats_merge", _sql(
+    f"""SELECT (SELECT max(road) + 1 FROM road_info) AS num_road, (SELECT max(driver) + 1 FROM trip_info) AS num_class, "column", count(value) AS count,
+       {R('avg(value)')} AS mean, {R('sqrt(sum((value - mu) * (value - mu)) / (count(value) - 1))')} AS std, {R('min(value)')} AS min, {R('max(value)')} AS max,
+       {_binned(0.25)} AS p25, {_binned(0.5)} AS p50, {_binned(0.75)} AS p75
+FROM (SELECT *, avg(value) OVER (PARTITION BY "column") AS mu FROM ({_unpiv}) WHERE value IS NOT NULL) GROUP BY "column" """))

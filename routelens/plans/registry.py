@@ -303,31 +303,51 @@ def q_cardinalities_grid(spark, d):
 
 
 def q_build_dataset(spark, d):
-    """Datasets by type string, written, read back and counted per split."""
+    """Datasets by type string, written, read back and counted per split; one
+    split of each is written again by itself, and the others are still there."""
     import uuid
 
     from ..sources.io import default_root
     from . import builder
     ds, root = datasets(spark, d), f"{default_root(spark)}/{uuid.uuid4().hex[:8]}"
     out = []
-    for name in ("trip", "destination", "tte", "odpois-3", "hopqrytgt-5", "hopqrytgtpois-5-3", "hopnegindex-5-5"):
+    for i, name in enumerate(("trip", "destination", "tte", "odpois-3", "hopqrytgt-5", "hopqrytgtpois-5-3", "hopnegindex-5-5")):
         builder.dump(ds, name, root)
+        builder.dump(ds, name, root, splits=(i % 3,))
         out.append(builder.load(spark, root, name).groupBy("split").agg(F.count(F.lit(1)).alias("n_rows")).withColumn("type", F.lit(name)))
     return reduce(DataFrame.unionByName, out).select("type", "split", "n_rows")
 
 
 def q_stats_roundtrip(spark, d):
-    """All statistics written and read back, the expanded ones preferred."""
+    """All statistics written and read back, the expanded ones preferred; they are checked against the tables."""
     import uuid
 
     from ..sources.io import default_root
     from . import builder
     root = f"{default_root(spark)}/{uuid.uuid4().hex[:8]}"
     builder.write_stats(datasets(spark, d), root)
-    stat, info = builder.load_stats(spark, root)
+    stat, info = builder.load_stats(spark, root, of=datasets(spark, d))
     return finish(stat.crossJoin(F.broadcast(info)))           # one row of cardinalities
 
 
+def q_stats_merge(spark, d):
+    """The expanded statistics of two thirds of the trips (by the id's hash),
+    then of all after the other third was merged in, checked against all tables."""
+    import uuid
+
+    from ..sources.io import default_root
+    from . import builder
+    root = f"{default_root(spark)}/{uuid.uuid4().hex[:8]}"
+    ds = datasets(spark, d)
+    third = F.pmod(F.crc32(F.col("trip").cast("string")), F.lit(3)) == 0
+    first, more = (TripDatasets(ds.trips.where(c), ds.trip_info.where(c), ds.road_info, ds.pois) for c in (~third, third))
+    builder.write_stats(first, root)
+    builder.merge_stats(more, root)
+    stat, info = builder.load_stats(spark, root, of=ds)
+    hundredths = {q: F.floor(F.col(q) * 100 + 0.5) / 100 for q in ("p25", "p50", "p75")}     # powers differ in their last digits between engines
+    return finish(stat.withColumns(hundredths).crossJoin(F.broadcast(info)))                   # one row of cardinalities
+
+
 def q_model_features(spark, d):
     tf = datasets(spark, d).trip_features
     return finish(tf.select("trip", "pos", "road", "weekday", hour("seconds").alias("hour"), *CONTINUOUS_COLS))

@@ -74,8 +74,8 @@ def cut_lineage(df: DataFrame, eager: bool = True, partition_by: str | None = No
         w = w.partitionBy(partition_by)
     w.parquet(path)
     _WRITTEN.append(path)
-    out = spark.read.parquet(path)
-    return out.select(*df.columns)       # partition column back in its place
+    out = spark.read.schema(df.schema).parquet(path)          # no footers to read, and none may be there
+    return out if partition_by is None else out.select(*df.columns)       # partition column back in its place
 
 
 #: Tables that ``cut_lineage`` wrote in this process and that weren't dropped.
