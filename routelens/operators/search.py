@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..constants import NEAR_EXCLUSION
 from ..functions.arrays import l2_distance
 from .ordinal import row_ordinal
+from .permutation import domain, place_of, round_keys
 
 QUERY_BLOCK = 4_096      # query rows broadcast at once
 SALT = 16
@@ -83,22 +84,19 @@ def seeded_hash(seed: int, *cols) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in cols]))
 
 
-def _start(seed: int, total: Column) -> Column:
-    """A query's seeded place among ``total`` items."""
-    return F.pmod(F.conv(F.substring(seeded_hash(seed, "qid"), 1, 15), 16, 10).cast("long"), total)
-
-
 def sample_negatives(queries: DataFrame, items: DataFrame, m: int, seed: int = 0,
                      near: int = NEAR_EXCLUSION, mode: str = "uniform",
                      group: str | None = None) -> DataFrame:
     """G03 + R08: M negatives per query, never one of its ``near`` nearest.
 
     ``mode="uniform"`` (the reference's meaning, seeded): the items of a group
-    are shuffled by a seeded hash; each query takes the M that follow its own
-    seeded place in that order (round the end), without its near set. It meets
-    M + near items by an equi-join on their places, not the whole group.
-    ``mode="farthest"``: the M farthest (ties by item id). A group with at most
-    ``near`` items uses its M farthest, in the shuffled order. M is capped per
+    have places by their id, and each query goes through the places in an order
+    of its own, a permutation keyed by the seed and the query; it takes the
+    first M without its near set. So queries draw independently, and a query
+    meets M + near items (and fewer than the square root of the group's) by an
+    equi-join on places, not the whole group. ``mode="farthest"``: the M
+    farthest (ties by item id). A group with at most ``near`` items uses its M
+    farthest, in the query's order. M is capped per
     group at (items - queries). With ``group`` (e.g. split) queries only draw
     from their own group; every group is one pass.
     Output: qid, item, neg_idx (1..M), in the order the negatives are listed.
@@ -117,10 +115,11 @@ def sample_negatives(queries: DataFrame, items: DataFrame, m: int, seed: int = 0
         far = vector_topk(q, it, m + near, largest=True, group="_g").join(qs, "qid")
         far = far.join(near_set.join(qs.where(F.col("_t") > near).select("qid"), "qid", "left_semi"), ["qid", "item"], "left_anti")
         return far.withColumn("neg_idx", idx(F.col("dist").desc(), "item")).where(F.col("neg_idx") <= F.col("_m")).select("qid", "item", "neg_idx")
-    placed = row_ordinal(it.select("item", "_g", seeded_hash(seed, "item").alias("_h")), ["_h", "item"], name="_place", group="_g")
-    steps = F.sequence(F.lit(0).cast("long"), F.least(F.col("_t"), F.col("_m") + near) - 1)
-    taken = (qs.where(F.col("_m") > 0).withColumn("_step", F.explode(steps))
-             .withColumn("_place", F.pmod(_start(seed, F.col("_t")) + F.col("_step"), F.col("_t")))
+    placed = row_ordinal(it.select("item", "_g"), ["item"], name="_place", group="_g")
+    reach = F.least(F.col("_t"), F.col("_m") + near) + domain(F.col("_t")) - F.col("_t")
+    walked = (qs.where(F.col("_m") > 0).withColumn("_keys", round_keys(seed, "qid"))
+              .withColumn("_step", F.explode(F.sequence(F.lit(0).cast("long"), reach - 1))))
+    taken = (walked.withColumn("_place", place_of("_step", "_t", "_keys")).where(F.col("_place") < F.col("_t")).drop("_keys")
              .join(placed.select("_g", "_place", "item"), ["_g", "_place"]))
     big = taken.where(F.col("_t") > near).join(near_set, ["qid", "item"], "left_anti")
     big = big.withColumn("neg_idx", idx("_step")).where(F.col("neg_idx") <= F.col("_m"))

@@ -241,15 +241,27 @@ _FARTHEST = """negs AS (
   FROM far f JOIN ssize s USING (split) JOIN qsize q USING (split)
   WHERE f.neg_idx <= least(s.t - q.nq, {m}))"""
 # Seeded: the M trips that follow the query's place in the split's md5 order, round the end.
-_UNIFORM = """place AS (
-  SELECT split, trip AS item, row_number() OVER (PARTITION BY split ORDER BY md5(concat('{seed}:', trip)), trip) - 1 AS at FROM valid),
+def _rounds() -> str:
+    """The keyed permutation of steps 0..a*b-1: six rounds over (l, r), l < a and r < b."""
+    sql = "SELECT *, step % a AS l, step // a AS r FROM walk"
+    for i in range(6):
+        to, of, size = ("l", "r", "a") if i % 2 == 0 else ("r", "l", "b")
+        sql = f"SELECT *, CAST(concat('0x', substr(md5(concat('{{seed}}:{i}:', qid)), 1, 7)) AS BIGINT) AS k FROM ({sql})"
+        sql = f"SELECT *, ({of} + k) % 2147483647 AS v0 FROM ({sql})"
+        sql = f"SELECT *, (v0 * v0 + k) % 2147483647 AS v1 FROM ({sql})"
+        sql = f"SELECT * EXCLUDE (k, v0, v1) REPLACE (({to} + v1 * v1 % 2147483647) % {size} AS {to}) FROM ({sql})"
+    return sql
+
+
+_UNIFORM = """place AS (SELECT split, trip AS item, row_number() OVER (PARTITION BY split ORDER BY trip) - 1 AS at FROM valid),
+dims AS (SELECT split, t, CAST(ceil(sqrt(t)) AS BIGINT) AS a, (t + CAST(ceil(sqrt(t)) AS BIGINT) - 1) // CAST(ceil(sqrt(t)) AS BIGINT) AS b FROM ssize),
+walk AS (SELECT q.split, q.qid, d.t, d.a, d.b, greatest(0, least(d.t - n.nq, {m})) AS m, unnest(generate_series(0, d.a * d.b - 1)) AS step
+         FROM hopq q JOIN dims d USING (split) JOIN qsize n USING (split)),
+walked AS (SELECT split, qid, t, m, step, r * a + l AS at FROM ({rounds})),
 pick AS (
-  SELECT p.split, q.qid, p.item, greatest(0, least(s.t - n.nq, {m})) AS m,
-         (p.at - CAST(concat('0x', substr(md5(concat('{seed}:', q.qid)), 1, 15)) AS BIGINT) % s.t + s.t) % s.t AS step
-  FROM hopq q JOIN place p USING (split) JOIN ssize s USING (split) JOIN qsize n USING (split)
-  WHERE CASE WHEN s.t <= 10 THEN EXISTS (SELECT 1 FROM far f WHERE f.split = p.split AND f.qid = q.qid AND f.item = p.item
-                                           AND f.neg_idx <= least(s.t - n.nq, {m}))
-        ELSE NOT EXISTS (SELECT 1 FROM near x WHERE x.split = p.split AND x.qid = q.qid AND x.item = p.item) END),
+  SELECT w.split, w.qid, p.item, w.m, w.step FROM walked w JOIN place p ON p.split = w.split AND p.at = w.at
+  WHERE CASE WHEN w.t <= 10 THEN EXISTS (SELECT 1 FROM far f WHERE f.split = w.split AND f.qid = w.qid AND f.item = p.item AND f.neg_idx <= w.m)
+        ELSE NOT EXISTS (SELECT 1 FROM near x WHERE x.split = w.split AND x.qid = w.qid AND x.item = p.item) END),
 negs AS (
   SELECT split, qid AS trip, item AS neg_trip, neg_idx FROM (
     SELECT *, CAST(row_number() OVER (PARTITION BY split, qid ORDER BY step) AS INTEGER) AS neg_idx FROM pick) WHERE neg_idx <= m)"""
@@ -274,7 +286,7 @@ far AS (
          CAST(row_number() OVER (PARTITION BY p.split, p.qid ORDER BY p.dist DESC, p.item) AS INTEGER) AS neg_idx
   FROM pd p JOIN ssize s USING (split)
   WHERE s.t <= 10 OR NOT EXISTS (SELECT 1 FROM near x WHERE x.split = p.split AND x.qid = p.qid AND x.item = p.item)),
-""" + (_FARTHEST if seed is None else _UNIFORM).replace("{m}", str(m)).replace("{seed}", str(seed)) + _kseg(3, "tf", "k3") + _kvec("v3", "k3") + _kseg(
+""" + (_FARTHEST if seed is None else _UNIFORM.replace("{rounds}", _rounds())).replace("{m}", str(m)).replace("{seed}", str(seed)) + _kseg(3, "tf", "k3") + _kvec("v3", "k3") + _kseg(
         3, "(SELECT split, trip || ':' || role AS trip, lng, lat, sub_pos AS pos, "
            "count(*) OVER (PARTITION BY trip, role) AS n FROM hq)", "k3h") + _kvec("v3h", "k3h") + """,
 scores AS (
