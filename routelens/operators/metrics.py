@@ -48,13 +48,9 @@ def score_rank(scores: DataFrame, keys: tuple[str, ...] = ("id",)) -> DataFrame:
 
 
 def truth_rank(scores: DataFrame, labels: DataFrame, keys: tuple[str, ...] = ("id",)) -> DataFrame:
-    """A11 per example: 1 + #(score > truth) + #(score == truth and cls > truth)."""
-    t = (scores.join(labels, list(keys))
-         .where(F.col("cls") == F.col("label"))
-         .select(*keys, F.col("score").alias("_ts"), "label"))
-    j = scores.join(t, list(keys))
-    ahead = (F.col("score") > F.col("_ts")) | ((F.col("score") == F.col("_ts")) & (F.col("cls") > F.col("label")))
-    return j.groupBy(*keys).agg((F.lit(1) + F.count_if(ahead)).cast("long").alias("rank"))
+    """A11 per example: 1 + #(score > truth) + #(score == truth and cls > truth);
+    NULL for a labelled example whose truth has no score."""
+    return per_example(scores, labels, keys).select(*keys, "rank")
 
 
 def per_example(scores: DataFrame, labels: DataFrame, keys: tuple[str, ...] = ("id",)) -> DataFrame:
@@ -109,13 +105,15 @@ def classification_metrics(scores: DataFrame, labels: DataFrame,
 
 
 def cross_entropy(scores: DataFrame, labels: DataFrame, keys: tuple[str, ...] = ("id",)) -> DataFrame:
-    """Mean over examples of logsumexp(scores) - score[truth]."""
-    m = scores.groupBy(*keys).agg(F.max("score").alias("_m"))
-    lse = (scores.join(m, list(keys)).groupBy(*keys, "_m")
-           .agg(F.sum(F.exp(F.col("score") - F.col("_m"))).alias("_s"))
-           .select(*keys, (F.col("_m") + F.log("_s")).alias("_lse")))
-    t = scores.join(labels, list(keys)).where(F.col("cls") == F.col("label")).select(*keys, "score")
-    return lse.join(t, list(keys)).agg(F.avg(F.col("_lse") - F.col("score")).alias("cross_entropy"))
+    """Mean over examples of logsumexp(scores) - score[truth], and how many
+    labelled examples have no score of their truth (``unscored``; they have no
+    entropy). One shuffle of the scores: the window by example and the aggregate
+    use the join's partitioning."""
+    top = F.max("score").over(Window.partitionBy(*keys))
+    per = labels.join(scores, list(keys), "left").withColumn("_top", top).groupBy(*keys, "label").agg(
+        (F.first("_top") + F.log(F.sum(F.exp(F.col("score") - F.col("_top"))))).alias("_lse"),
+        F.max(F.when(F.col("cls") == F.col("label"), F.col("score"))).alias("_truth"))
+    return per.agg(F.avg(F.col("_lse") - F.col("_truth")).alias("cross_entropy"), F.count_if(F.col("_truth").isNull()).alias("unscored"))
 
 
 def transition_cross_entropy(train: DataFrame, test: DataFrame, n_classes: DataFrame, now: str, then: str) -> DataFrame:

@@ -1,7 +1,8 @@
-"""Vectors: X01 (caller's batch encoder), G09 (LSH approximate neighbours).
+"""Vectors: X01 (caller's batch encoder), M06 (several vectors joined), J09.
 
 The trigonometric encodings (P19-P21) live in ``functions.encodings``; the
-embedding lookup (J07) and anchor attention (J09) are joins in the registry.
+embedding lookup (J07) is a join in the registry; approximate neighbours (G09)
+are in ``operators.ivf``.
 """
 
 from __future__ import annotations
@@ -10,12 +11,11 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import l2_distance
+from ..session import cut_lineage
+from .ordinal import row_ordinal
 
 
 def encode_trips(points: DataFrame, cols: list[str], fn: Callable[[list[np.ndarray]], np.ndarray],
@@ -54,31 +54,38 @@ def summary_encoder(arrs: list[np.ndarray]) -> np.ndarray:
     return np.stack([np.concatenate([a.mean(0), a.std(0), a[0], a[-1]]) for a in arrs])
 
 
-def ann_topk(queries: DataFrame, items: DataFrame, k: int, bucket_length: float,
-             num_tables: int = 4, seed: int = 1) -> DataFrame:
-    """Approximate k nearest items per query with random-projection LSH.
+def anchor_attention(rows: DataFrame, anchors: DataFrame, vec: str = "vec", block: int = 512) -> DataFrame:
+    """``rows`` with ``attended``: the anchors' vectors (``avec``) weighted by
+    softmax(vec . avec / sqrt(d)).
 
-    Items and queries are hashed by the fitted model; candidates are items
-    sharing a bucket with the query in any table (an equi-join on
-    (table, bucket)); candidates are ranked by exact L2 distance.
+    One pass, on the row itself: blocks of at most ``block`` anchors are sent as
+    one row each, and a row carries the largest score so far, the sum of
+    exponentials below it and the weighted vector, rescaled when a larger score
+    comes. No row of a pair is formed and ``rows`` isn't shuffled. Anchors go by
+    ``anchor``; without anchors, or for a NULL vector, ``attended`` is NULL.
     """
-    lsh = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes",
-                                      bucketLength=bucket_length, numHashTables=num_tables, seed=seed)
-    it = items.withColumn("features", array_to_vector("vec"))
-    model = lsh.fit(it)
-
-    def buckets(df: DataFrame, idc: str) -> DataFrame:
-        h = model.transform(df.withColumn("features", array_to_vector("vec")))
-        return h.select(idc, "vec", F.posexplode(F.transform("hashes", lambda v: vector_to_array(v)[0])).alias("tbl", "bkt"))
-
-    qb = buckets(queries, "qid")
-    ib = buckets(items, "item").withColumnRenamed("vec", "ivec")
-    cand = qb.join(ib, ["tbl", "bkt"]).select("qid", "item", "vec", "ivec").dropDuplicates(["qid", "item"])
-    cand = cand.withColumn("dist", l2_distance("vec", "ivec"))
-    # Two-level top-k (salted by item) so a crowded bucket is never one group.
-    w0 = Window.partitionBy("qid", "_salt").orderBy("dist", "item")
-    cand = (cand.withColumn("_salt", F.pmod(F.xxhash64("item"), F.lit(16)))
-            .withColumn("_r0", F.row_number().over(w0)).where(F.col("_r0") <= k))
-    w = Window.partitionBy("qid").orderBy("dist", "item")
-    return (cand.withColumn("rank", (F.row_number().over(w) - 1).cast("int")).where(F.col("rank") < k)
-            .select("qid", "item", "rank", "dist"))
+    listed = F.array_sort(F.collect_list(F.struct("anchor", "avec")))
+    blocks = cut_lineage(row_ordinal(anchors.select("anchor", "avec"), ["anchor"], "_at").groupBy(F.floor(F.col("_at") / block).alias("_block")).agg(listed.alias("_anchors")))
+    state = "struct<top:double,total:double,sum:array<double>>"
+    out = rows.withColumn("_state", F.lit(None).cast(state))
+
+    once = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)  # noqa: E731    a value that is computed once
+
+    def take(s: Column, a: Column) -> Column:
+        score = F.aggregate(F.zip_with(vec, a["avec"], lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x) / F.sqrt(F.size(vec).cast("double"))
+
+        def weigh(x: Column) -> Column:
+            top = F.greatest(s["top"], x)                       # greatest() skips the NULL of the start
+            return F.struct(top.alias("top"), F.coalesce(F.exp(s["top"] - top), F.lit(0.0)).alias("old"), F.exp(x - top).alias("new"))
+
+        def add(w: Column) -> Column:
+            had = F.coalesce(s["sum"], F.transform(a["avec"], lambda x: F.lit(0.0)))
+            return F.struct(w["top"].alias("top"), (F.coalesce(s["total"], F.lit(0.0)) * w["old"] + w["new"]).alias("total"),
+                            F.zip_with(had, a["avec"], lambda t, x: t * w["old"] + x * w["new"]).alias("sum"))
+
+        return once(score, lambda x: F.when(x.isNull(), s).otherwise(once(weigh(x), add)))
+
+    for r in blocks.select("_block").orderBy("_block").collect():           # one row for each block of anchors
+        one = blocks.where(F.col("_block") == r["_block"]).select("_anchors")
+        out = out.crossJoin(F.broadcast(one)).withColumn("_state", F.aggregate("_anchors", F.col("_state"), take)).drop("_anchors")
+    return out.withColumn("attended", F.transform(F.col("_state")["sum"], lambda x: x / F.col("_state")["total"])).drop("_state")

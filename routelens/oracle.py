@@ -537,7 +537,7 @@ ce AS (
     SELECT s.id, m.ms + ln(sum(exp(s.score - m.ms))) AS lse, max(CASE WHEN s.cls = l.label THEN s.score END) AS ts
     FROM escore s JOIN (SELECT id, max(score) AS ms FROM escore GROUP BY id) m USING (id)
     JOIN elabel l USING (id) GROUP BY s.id, m.ms))"""
-_add("cross_entropy", _sql(f"SELECT {R('cross_entropy')} AS cross_entropy FROM ce", EMB + _CE))
+_add("cross_entropy", _sql(f"SELECT {R('cross_entropy')} AS cross_entropy, (SELECT count(*) FROM embeddings WHERE vec_id NOT IN (SELECT id FROM trank)) AS unscored FROM ce", EMB + CLS_METRICS + _CE))
 _MSE = """,
 mse AS (
   SELECT sum((lng - next_lng) * (lng - next_lng) + (lat - next_lat) * (lat - next_lat)) / (count(*) * 2) AS mse FROM (

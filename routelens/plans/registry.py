@@ -8,11 +8,10 @@ oracle can compare values across engines.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -724,17 +723,10 @@ def q_embedding_lookup(spark, d):
 
 def q_anchor_attention(spark, d):
     """Each embedding attends over the label centroids (anchors)."""
-    e = _emb(spark, d)
-    c = bounded_broadcast(_centroids(spark, d), 10_000)
-    dim = 64
-    j = e.crossJoin(c).withColumn(
-        "s", F.aggregate(F.zip_with("vec", "cvec", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-        / F.lit(math.sqrt(dim)))
-    w = Window.partitionBy("vec_id")
-    j = j.withColumn("wt", F.exp(F.col("s") - F.max("s").over(w)))
-    j = j.withColumn("wt", F.col("wt") / F.sum("wt").over(w))
-    ex = j.select("vec_id", F.posexplode("cvec").alias("i", "a"), "wt")
-    return finish(ex.groupBy("vec_id", "i").agg(F.sum(F.col("a") * F.col("wt")).alias("value")))
+    from ..operators.vectors import anchor_attention
+    anchors = _centroids(spark, d).select(F.col("cls").alias("anchor"), F.col("cvec").alias("avec"))
+    out = anchor_attention(_emb(spark, d).select("vec_id", "vec"), anchors)
+    return finish(out.select("vec_id", F.posexplode("attended").alias("i", "value")))
 
 
 def q_meta_roundtrip(spark, d):
@@ -783,12 +775,16 @@ def q_encode_trips(spark, d):
                   .select("trip", F.posexplode("vec").alias("i", "value")))
 
 
+ANN = {"k": 10, "refine": 4}       # probes: as many as a sample needs
+
+
 def q_ann_search(spark, d):
-    """Approximate 10 nearest embeddings of every label centroid (LSH)."""
-    from ..operators.vectors import ann_topk
+    """About the 10 nearest embeddings of every one whose id is divisible by
+    50, by the inverted file over all of them."""
+    from ..operators.ivf import ann_topk
     items = _emb(spark, d).select(F.col("vec_id").alias("item"), "vec")
-    qs = _centroids(spark, d).select(F.col("cls").alias("qid"), F.col("cvec").alias("vec"))
-    return finish(ann_topk(qs, items, 10, bucket_length=0.5, num_tables=6))
+    qs = items.where("item % 50 = 0").select(F.col("item").alias("qid"), "vec")
+    return finish(ann_topk(qs, items, **ANN))
 
 
 def q_metrics_table(spark, d):
@@ -804,9 +800,9 @@ def q_metrics_table(spark, d):
 
 
 def q_select_model(spark, d):
-    """Pick the best of a small LinearRegression grid on the validation split."""
-    from .tasks import regression_task
-    return finish(regression_task(datasets(spark, d), "linear"))
+    """Travel time by a model fitted in rounds; the best round on the validation split, with a patience of 5."""
+    from .tasks import patient_regression
+    return finish(patient_regression(datasets(spark, d), patience=5, max_rounds=30))
 
 
 QUERIES.update({k[2:]: v for k, v in list(globals().items())

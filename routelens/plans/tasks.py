@@ -4,7 +4,9 @@ The reference trains a prediction head on its neural encoder; here the trip
 features are the k-segment vector of the (truncated) trip plus the start
 context, and the models are Spark ML estimators (distributed fitting).
 Model choice (M07) fits a small grid on the train split and keeps the best
-score on the validation split (A12), then reports test metrics.
+score on the validation split (A12), then reports test metrics;
+``patient_regression`` fits in rounds and stops when the score stays
+(``rounds``).
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from ..functions.temporal import hour
 from ..operators import metrics
 from ..sources.io import write_predictions
 from .datasets import EMBED_KSEG, TripDatasets
+from .rounds import fit_rounds
 
 
 def trip_feature_vectors(ds: TripDatasets, pre_length: int = 0) -> DataFrame:
@@ -82,3 +85,14 @@ def regression_task(ds: TripDatasets, kind: str = "gbt", eval_split: int = 2, pr
     if predictions:
         write_predictions(test.select("split", "trip", "label", F.col("prediction").alias("pred")), predictions)
     return metrics.regression_metrics(test, "label", "prediction").select(F.lit(best[0]).alias("val_score"), "*")
+
+
+def patient_regression(ds: TripDatasets, patience: int = 10, max_rounds: int = 40, eval_split: int = 2) -> DataFrame:
+    """M02 + M07: travel time by a linear model fitted in rounds, the best round on
+    split 1 kept; its test metrics, the round and how many rounds ran."""
+    data = trip_feature_vectors(ds).join(ds.tte_labels().select("trip", F.col("tte").alias("label")), "trip")
+    data = ds._keep(data.select("split", "trip", "label", vector_to_array("features").alias("features")))
+    model, best = fit_rounds(data, 0, patience, max_rounds)
+    test = model.predict(data.where(F.col("split") == eval_split), best.state)
+    return metrics.regression_metrics(test, "label", "prediction").select(
+        F.lit(best.score).alias("val_score"), F.lit(best.round).alias("best_round"), F.lit(best.rounds).alias("rounds"), "*")

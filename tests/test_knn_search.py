@@ -99,26 +99,6 @@ def test_grid_exact_with_hot_cluster_and_copies(spark):
     assert got == sorted(want)
 
 
-def test_ann_search_is_ranked_and_recalls(spark):
-    from routelens.operators.vectors import ann_topk
-    e = spark.read.parquet(f"{SF001}/embeddings.parquet").select(
-        F.col("vec_id").alias("item"), F.transform("embedding", lambda x: x.cast("double")).alias("vec"))
-    qs = e.where("item < 20").select(F.col("item").alias("qid"), "vec")
-    approx = ann_topk(qs, e, 5, bucket_length=2.0, num_tables=8).collect()
-    exact = search.vector_topk(qs, e, 5).collect()
-    by_q = {}
-    for r in approx:
-        by_q.setdefault(r.qid, []).append((r.rank, r.dist, r.item))
-    for rows in by_q.values():
-        rows.sort()
-        assert [x[0] for x in rows] == list(range(len(rows)))
-        assert all(a[1] <= b[1] for a, b in zip(rows, rows[1:]))
-    ex = {(r.qid, r.item) for r in exact}
-    ap = {(r.qid, r.item) for r in approx}
-    assert all((q, q) in ap for q in range(20))            # every query finds itself
-    assert len(ap & ex) / len(ex) >= 0.5
-
-
 def test_vector_topk_two_level_merge(spark):
     items = _vecs(spark, 2000).repartition(100)            # > 64 tasks: two-level merge
     qs = spark.createDataFrame([(5, [1.0, 2.0])], "qid long, vec array<double>")
