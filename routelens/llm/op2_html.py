@@ -38,7 +38,7 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
 #: In a table row, cells follow one another in one block.
 SPACED = frozenset("td th br".split())
 HEAD_ONLY = frozenset("base link meta noscript script style template title".split())
-DROPPED = frozenset("head nav footer aside form script style noscript template button select textarea iframe object svg canvas dialog menu audio video map".split())
+DROPPED = frozenset("head title nav footer aside script style noscript template button select textarea iframe object svg canvas dialog menu audio video map".split())
 REGIONS = frozenset("article main section div td body html".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CONTAINERS = frozenset("div section ul ol dl table p span aside article figure header center".split())
@@ -46,6 +46,10 @@ WORDS_OF_BOILERPLATE = frozenset("""ad ads advert adverts advertisement advertis
     sidebar menu nav navbar navigation breadcrumb breadcrumbs footer cookie cookies consent gdpr notice notices notification alert popup modal overlay
     newsletter subscribe subscription signup login register share sharing social related recommended recommendations comment comments commentlist
     disqus reply replies respond form search pagination pager toolbar widget skip copyright disclaimer""".split())
+#: Words that say nothing more beside a word of boilerplate: a comment list is comments.
+NEUTRAL_WORDS = frozenset("list body area section post item wrapper banner bar box".split())
+#: A line outside a mark is text if it has this share of the mean length of the content lines under it.
+SHARE_OUTSIDE = 0.2
 HEADER_WORDS = frozenset("header masthead topbar".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog alertdialog menu menubar".split())
 #: A word after one of these in a name says what the element has or lacks, not what it is.
@@ -58,10 +62,13 @@ class _Mark(NamedTuple):
     """What the class names and id of an element say: it may be boilerplate."""
 
     words: frozenset[str]                                       # of all its names, without the numbers in them
-    whole: bool                                                 # a name has no other words
+    whole: bool                                                 # a name has no other words than neutral ones
     header: bool                                                # only words of a header
 
 
+FORM = _Mark(frozenset({"form"}), True, False)
+
+
 @lru_cache(1 << 12)
 def mark_of(names: str) -> _Mark | None:
     words, found, whole = set(), set(), False
@@ -71,7 +78,7 @@ def mark_of(names: str) -> _Mark | None:
                if before not in MODIFIERS and (w in WORDS_OF_BOILERPLATE or w in HEADER_WORDS)]
         words.update(w.strip("0123456789") for w in parts)
         found.update(own)
-        whole = whole or bool(own) and len(own) == len(parts)
+        whole = whole or bool(own) and all(w in own or w in NEUTRAL_WORDS for w in parts)
     return _Mark(frozenset(words), whole, found <= HEADER_WORDS) if found else None
 
 
@@ -139,6 +146,8 @@ class _Lines(HTMLParser):
         unseen = "hidden" in attrs or "display:none" in (attrs.get("style") or "").replace(" ", "").lower()
         if tag in DROPPED or unseen or (attrs.get("role") or "").lower() in DROPPED_ROLES:
             return True, False, None
+        if tag == "form":                                       # pages of some kinds lie in one form
+            return False, False, FORM
         named = tag in CONTAINERS and (attrs.get("class") or attrs.get("id"))
         return False, tag == "header", mark_of(f"{attrs.get('class') or ''} {attrs.get('id') or ''}") if named else None
 
@@ -218,8 +227,9 @@ def _content(ratio: np.ndarray, usable: np.ndarray) -> np.ndarray:
 
 def _usable(page: _Lines, ratio: np.ndarray, open_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The lines that aren't boilerplate, and those of them that are content. A
-    mark doesn't count if all content lies under it, or most of the content
-    where its names have other words too; if no line is left, no mark counts."""
+    mark doesn't count if all content and every longer line lie under it, or most
+    of the content where its names have other words too; if no line is left, no
+    mark counts."""
     marks = [x[4] for x in page.lines]
     if not any(marks):
         return open_, _content(ratio, open_)
@@ -234,8 +244,10 @@ def _usable(page: _Lines, ratio: np.ndarray, open_: np.ndarray) -> tuple[np.ndar
         content = _content(ratio, without(void, True) if not whole else open_)
         total = size[content].sum()
         for mark in {m for own in marks for m in own if m.whole == whole}:
-            held = size[content & np.array([mark in own for own in marks], bool)].sum()
-            if total and (held == total if whole else 2 * held > total):
+            under = np.array([mark in own for own in marks], bool)
+            held = size[content & under]
+            around = size[open_ & ~under]
+            if total and (held.sum() == total and around.max(initial=0) < SHARE_OUTSIDE * held.mean() if whole else 2 * held.sum() > total):
                 void.add(mark)
     usable = without(void, False)
     if not usable.any():

@@ -73,3 +73,36 @@ def test_class_of_a_wrapper():
     parts = "".join(f'<section class="search-result n{i}">{body}</section>' for i in range(3))
     assert main_blocks(f"<body>{parts}<p>(c) 1</p></body>")[:12] == story * 3
     assert main_blocks(f'<body><div class="widget">{body}</div><div class="share">{body}</div></body>') == story * 2
+
+
+REMARK = "This remark goes on about many other things, at a length that no paragraph of the story reaches, since its writer has much time, and more to say. " * 2
+STORY = [f"The story's paragraph number {i} tells what happened on that day in some detail." for i in range(3)]
+
+
+def _page(after="", before="", start="", end=""):
+    return f"<html><body>{start}{before}{''.join(f'<p>{p}</p>' for p in STORY)}{after}{end}</body></html>"
+
+
+def _remarks(n=8):
+    return "".join(f"<div><p>{REMARK}{i}</p></div>" for i in range(n))
+
+
+def test_discussions_longer_than_the_article_are_left_out():
+    for name in ('section class="post-comments"', 'div class="comment-list"', 'div class="cookie-banner"', 'div id="commentArea"', 'div class="comments"'):
+        tag = name.split()[0]
+        assert main_blocks(_page(after=f"<{name}>{_remarks()}</{tag}>")) == STORY, name
+    assert main_blocks(_page(after=f'<div class="comment-list">{_remarks()}</div>', start="<article>", end="</article>")) == STORY
+
+
+def test_wrappers_with_such_names_still_hold_the_text():
+    for name in ('class="page has-sidebar"', 'class="post no-comments"', 'class="layout-with-menu"', 'id="search-result"', 'class="comments"', 'id="widget-area"'):
+        assert main_blocks(_page(start=f"<div {name}>", end="</div>")) == STORY, name
+
+
+def test_a_form_round_the_page_and_a_form_in_it():
+    assert main_blocks(_page(start='<form method="post"><input type="hidden" name="v">', end="<button>Go</button></form>")) == STORY
+    assert main_blocks(_page(after="<form><p>Subscribe to our weekly letter and get all the news that you may want to read.</p><input><button>Go</button></form>")) == STORY
+
+
+def test_a_title_is_no_text_also_without_a_head():
+    assert main_blocks("<title>Site - The story's title that is quite long for a title</title>" + "".join(f"<p>{p}</p>" for p in STORY)) == STORY
