@@ -8,7 +8,11 @@ are found by a multi-index: of the 8 bytes of two such fingerprints, at least
 one differs in at most RADIUS // 8 bits, and each byte's index lists the items
 under all values that near. Candidates are verified by the exact weighted
 Jaccard similarity of their shingles. RADIUS is set so that a pair at the
-similarity limit passes with over four standard deviations to spare.
+similarity limit passes with over four standard deviations to spare, if no
+shingle of either repeats. A shingle that repeats weighs with its square in a
+fingerprint, so for an item or a window with one the radius guarantees nothing:
+such a window is verified directly if enough of its places hold shingles of the
+item for the limit (a bound that every pair at the limit meets).
 
 A window that shares no shingle with any item has similarity 0, so only windows
 that reach over a shared shingle are formed; that leaves out none that could
@@ -116,6 +120,7 @@ class Items:
             starts = np.unique(np.clip(at[:, None] - np.arange(size)[None, :], 0, last)) if len(at) * size < 1 << 22 else np.arange(last + 1)
             for i in range(0, len(starts), WINDOW_BLOCK):
                 self._block(names, length, size, starts[i:i + WINDOW_BLOCK], limit, best)
+            self._uneven(names, length, size, starts, hits, limit, best)
         return [(self.ids[k], start, count + length - 1, sim, dist) for k, (sim, _, start, count, dist) in sorted(best.items())]
 
     def _block(self, names: list[str], length: int, size: int, starts: np.ndarray, limit: float, best: dict) -> None:
@@ -138,6 +143,31 @@ class Items:
                 best[item] = (sim, -start, start, end - start, dist)
 
 
+    def _uneven(self, names: list[str], length: int, size: int, starts: np.ndarray, hits: list, limit: float, best: dict) -> None:
+        """Verify the windows in which a shingle repeats, or whose item has one that does, if enough of their shingles are the item's."""
+        places: dict[int, list[int]] = {}
+        for at, items in hits:
+            for k in items:
+                if self.sizes[k] == (length, size):
+                    places.setdefault(k, []).append(at)
+        ends = np.minimum(starts + size, len(names))
+        least = limit / (1 + limit) * (size + ends - starts) - 1e-9
+        before: np.ndarray | None = None                        # where each shingle was last
+        for k, own in places.items():
+            shared = np.searchsorted(own, ends) - np.searchsorted(own, starts)
+            likely = np.flatnonzero(shared >= least)
+            if len(likely) and before is None:
+                seen: dict[str, int] = {}
+                before = np.array([(seen.get(s, -1), seen.__setitem__(s, i))[0] for i, s in enumerate(names)])
+            repeats = max(self.bags[k].values()) > 1
+            for start, end in zip(starts[likely].tolist(), ends[likely].tolist(), strict=True):
+                if repeats or (before[start:end] >= start).any():
+                    sim = weighted_similarity(self.bags[k], Counter(names[start:end]))
+                    if sim >= limit and (k not in best or (sim, -start) > best[k][:2]):
+                        own_print = _packed(_sign_bits(names[start:end]).sum(axis=0, keepdims=True))[0]
+                        best[k] = (sim, -start, start, end - start, int(_BITS[own_print ^ self.prints[k]].sum()))
+
+
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple]]:
     """The items in blocks by a hash, so that a block is bounded by its share of the table."""
     items = benchmark.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL").distinct()

@@ -77,3 +77,29 @@ def test_best_window():
     items = Items([(7, " ".join(WORDS[:30]))], 5)
     got = items.matches("x " * 10 + " ".join(WORDS[:30]) + " y" * 10, 0.8)
     assert [(g[0], g[1], g[2], g[3], g[4]) for g in got] == [(7, 10, 30, 1.0, 0)]
+
+
+def test_items_and_windows_with_repeated_shingles():
+    """Runs of one word weigh with their square in a fingerprint; no pair at the limit is lost, whatever the run."""
+    import random
+    from collections import Counter
+
+    from routelens.llm.op3_decontaminate import Items, shingles, weighted_similarity
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(6))
+    found = total = 0
+    for distinct, run in ((100, 8), (200, 20), (400, 45), (30, 0)):
+        for case in range(12):
+            body, other = [word() for _ in range(distinct)], word()
+            item = " ".join([*body, *[word()] * run] if case % 2 else [*body, *[word() for _ in range(run)]])
+            text = " ".join([word() for _ in range(20)] + body + [other] * run + [word() for _ in range(20)])
+            items = Items([(7, item)], 5)
+            names, bag = shingles(text, 5), Counter(shingles(item, 5))
+            n = bag.total()
+            sims = [weighted_similarity(bag, Counter(names[s:s + n])) for s in range(max(1, len(names) - n + 1))]
+            got = items.matches(text, 0.8)
+            assert [round(g[3], 12) for g in got] == ([round(max(sims), 12)] if max(sims) >= 0.8 else [])
+            found, total = found + len(got), total + 1
+            if got:
+                assert got[0][1] == sims.index(max(sims))
+    assert found > total / 2
