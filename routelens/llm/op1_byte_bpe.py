@@ -19,8 +19,8 @@ from .bpe import Merger
 from .common import prepare, slices, texts_of
 from .pretokens import Cutter
 
-#: Encoded pre-tokens that a worker remembers, at most.
-REMEMBERED = 300_000
+#: Encoded pre-tokens that a worker remembers, at most, and the longest of them: so some 100 MB at most.
+REMEMBERED, LONGEST = 300_000, 64
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -50,6 +50,9 @@ class Codec:
         new = [t for t in set(tokens) if t not in known]
         known.update(zip(new, self.merger.encode([t.encode("utf-8", "replace") for t in new]), strict=True))
         ids, at = list(map(known.__getitem__, tokens)), at.tolist()
+        for t in new:
+            if len(t) > LONGEST:
+                del known[t]
         return [b"".join(ids[i:j]) for i, j in zip(at, at[1:], strict=False)]
 
     def decode(self, ids: bytes, step: int = 1 << 18) -> bytes:

@@ -26,8 +26,8 @@ from .bpe import Merger
 from .common import prepare, slices, texts_of
 from .pretokens import BYTE_LEVEL_PATTERN, Cutter
 
-#: Merged pre-tokens whose counts a worker remembers, at most.
-REMEMBERED = 300_000
+#: Merged pre-tokens whose counts a worker remembers, at most, and the longest of them.
+REMEMBERED, LONGEST = 300_000, 64
 
 
 def byte_symbols() -> dict[str, int]:
@@ -82,6 +82,9 @@ class Counter:
         rest = [t for t in set(tokens) if t not in known]
         known.update((t, len(x) // 4) for t, x in zip(rest, self.merger.encode([t.encode("utf-8", "replace") for t in rest]), strict=True))
         upto = np.concatenate([[0], np.cumsum(np.fromiter(map(known.__getitem__, tokens), np.int64, len(tokens)))])
+        for t in rest:
+            if len(t) > LONGEST:
+                del known[t]
         pieces = np.fromiter(map(len, parts), np.int64, len(parts))
         ends = np.cumsum(pieces)
         return (upto[at[ends]] - upto[at[ends - pieces]] + pieces - 1).tolist()

@@ -89,3 +89,17 @@ def test_counts(make):
         n = len(t.encode(text or "", add_special_tokens=False).ids)
         want.append((i, len((text or "").encode()), n, n > 5))
     assert got == sorted(want, key=str)
+
+
+def test_long_pre_tokens_are_not_remembered():
+    import public_tokenizers
+
+    from routelens.llm.op1_byte_bpe import LONGEST, Codec, read_ranks
+    from routelens.llm.op7_token_counts import Counter, Vocabulary
+    codec = Codec(read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN)
+    counter = Counter(Vocabulary(public_tokenizers.path("byte_bpe_50k.json")))
+    texts = [f"short words {chr(97 + i % 26) * (2000 + i)} and ends" for i in range(60)]
+    twice = [codec.encode(texts), codec.encode(texts)]
+    assert twice[0] == twice[1] and [codec.decode(x).decode() for x in twice[0]] == texts
+    assert counter.count(texts) == counter.count(texts) == [len(x) // 4 for x in twice[0]]
+    assert max(map(len, codec.known)) <= LONGEST and max(len(t) for t in counter.known if t not in counter.whole) <= LONGEST
