@@ -116,18 +116,6 @@ def cross_entropy(scores: DataFrame, labels: DataFrame, keys: tuple[str, ...] =
     return per.agg(F.avg(F.col("_lse") - F.col("_truth")).alias("cross_entropy"), F.count_if(F.col("_truth").isNull()).alias("unscored"))
 
 
-def transition_cross_entropy(train: DataFrame, test: DataFrame, n_classes: DataFrame, now: str, then: str) -> DataFrame:
-    """A14 for the next class of a sequence: mean of -ln p(then | now) over
-    ``test``, with p from the add-one transition counts of ``train``. Counts are
-    one row per pair of classes seen; ``n_classes`` is one row."""
-    pair = train.groupBy(now, then).agg(F.count(F.lit(1)).alias("_c"))
-    total = train.groupBy(now).agg(F.count(F.lit(1)).alias("_t"))
-    seen = test.groupBy(now, then).agg(F.count(F.lit(1)).alias("_n"))
-    j = seen.join(pair, [now, then], "left").join(total, now, "left").crossJoin(F.broadcast(n_classes.toDF("_r")))
-    p = (F.coalesce("_c", F.lit(0)) + 1) / (F.coalesce("_t", F.lit(0)) + F.col("_r"))
-    return j.agg((F.sum(-F.log(p) * F.col("_n")) / F.sum("_n")).alias("cross_entropy"))
-
-
 def multi_mse(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     """Mean squared error over several (pred, label) column pairs together."""
     sq = None
@@ -135,10 +123,3 @@ def multi_mse(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
         e = (F.col(p) - F.col(l)) * (F.col(p) - F.col(l))
         sq = e if sq is None else sq + e
     return df.agg((F.sum(sq) / (F.count(F.lit(1)) * len(pairs))).alias("mse"))
-
-
-def recovery_loss(ce: DataFrame, mse: DataFrame, dis_weight: float = 0.5, con_weight: float = 0.5) -> DataFrame:
-    """dis_weight * cross entropy + con_weight * mse."""
-    return ce.crossJoin(mse).select(
-        "cross_entropy", "mse",
-        (F.lit(dis_weight) * F.col("cross_entropy") + F.lit(con_weight) * F.col("mse")).alias("loss"))

@@ -7,38 +7,65 @@ are in ``operators.ivf``.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import cut_lineage
 from .ordinal import row_ordinal
 
 
-def encode_trips(points: DataFrame, cols: list[str], fn: Callable[[list[np.ndarray]], np.ndarray],
-                 dim: int, key: str = "trip") -> DataFrame:
-    """Run a caller's batch encoder over whole trips.
+#: In a Python worker: the encoders that were set up there, by call of ``encode_trips``.
+_READY: dict[str, Callable] = {}
 
-    Points are gathered per trip in order (trips are length-bounded by the
-    validity filter), then ``fn`` gets a list of (L, len(cols)) arrays per
-    Arrow batch and returns an (B, dim) array. Spark partitions the trips
-    across tasks; only the encoder itself is Python.
+
+def length_batches(lengths: np.ndarray, step: int, size: int) -> list[np.ndarray]:
+    """Positions in batches of at most ``size`` rows whose lengths round up to
+    one multiple of ``step``: padding adds less than ``step`` points a row."""
+    of = -(-lengths // step)
+    order = np.lexsort((lengths, of))
+    cuts = np.flatnonzero(np.diff(of[order])) + 1
+    return [part[i:i + size] for part in np.split(order, cuts) for i in range(0, len(part), size)]
+
+
+def encode_trips(rows: DataFrame, cols: list[str], setup: Callable[[], Callable[[np.ndarray, np.ndarray], np.ndarray]],
+                 dim: int, keys: tuple[str, ...] = ("trip",), step: int = 8, size: int = 256) -> DataFrame:
+    """A caller's batch encoder over whole trips (``rows`` with arrays ``pts``): ``keys`` and ``vec``.
+
+    ``setup`` is called once in a Python worker (it loads the model) and returns
+    the encoder, which gets a (B, L, len(cols)) array, padded with each trip's
+    last point (R05), and the B lengths, and returns (B, dim). Trips of similar
+    length make a batch, so padding stays under ``step`` points a trip. NULL
+    features are NaN; a trip without points gets a NULL vector. No shuffle: a
+    trip is a row already, of a length that the validity filter bounds.
     """
-    seq = (points.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", *cols))).alias("_p"))
-           .select(key, F.transform("_p", lambda r: F.array(*[r[c].cast("double") for c in cols])).alias("pts")))
+    width, name = len(cols), uuid.uuid4().hex
+    flat = F.flatten(F.transform("pts", lambda p: F.array(*[F.coalesce(p[c].cast("double"), F.lit(float("nan"))) for c in cols])))
+    seq = rows.select(*keys, flat.alias("_flat"))
 
     def run(batches):
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            arrs = [np.array([list(p) for p in t], dtype=np.float64) for t in pdf["pts"]]
-            out = np.asarray(fn(arrs), dtype=np.float64).reshape(len(arrs), dim)
-            yield pd.DataFrame({key: pdf[key].to_numpy(), "vec": list(out)})
-
-    return seq.mapInPandas(run, f"{key} long, vec array<double>")
+        for table in batches:
+            flats = [np.asarray(x, dtype=np.float64) for x in table.column("_flat").to_pandas().map(lambda x: [] if x is None else x)]
+            lengths = np.array([len(x) // width for x in flats], dtype=np.int64)
+            out: list = [None] * len(flats)
+            for part in length_batches(lengths, step, size) if len(flats) else []:
+                part = part[lengths[part] > 0]
+                if not len(part):
+                    continue
+                if name not in _READY:
+                    _READY[name] = setup()
+                longest = lengths[part].max()
+                pad = np.stack([(a := flats[i].reshape(-1, width))[np.minimum(np.arange(longest), len(a) - 1)] for i in part])
+                for i, v in zip(part, np.asarray(_READY[name](pad, lengths[part]), dtype=np.float64).reshape(len(part), dim), strict=True):
+                    out[i] = v
+            yield pa.RecordBatch.from_arrays([*[table.column(k) for k in keys], pa.array(out, pa.list_(pa.float64()))], names=[*keys, "vec"])
+
+    return seq.mapInArrow(run, T.StructType([*[seq.schema[k] for k in keys], T.StructField("vec", T.ArrayType(T.DoubleType()))]))
 
 
 def joined_vectors(frames: list[DataFrame], keys: tuple[str, ...] = ("split", "trip")) -> DataFrame:
@@ -49,9 +76,12 @@ def joined_vectors(frames: list[DataFrame], keys: tuple[str, ...] = ("split", "t
     return out.select(*keys, F.concat(*[f"_v{i}" for i in range(len(frames))]).alias("vec"))
 
 
-def summary_encoder(arrs: list[np.ndarray]) -> np.ndarray:
-    """A small example encoder: per-column mean, std, first and last value."""
-    return np.stack([np.concatenate([a.mean(0), a.std(0), a[0], a[-1]]) for a in arrs])
+def summary_encoder(pts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """A small example encoder: each column's mean, standard deviation, first and last value."""
+    real = (np.arange(pts.shape[1]) < lengths[:, None])[..., None]
+    mean = np.where(real, pts, 0.0).sum(1) / lengths[:, None]
+    spread = np.sqrt((np.where(real, pts - mean[:, None], 0.0) ** 2).sum(1) / lengths[:, None])
+    return np.concatenate([mean, spread, pts[:, 0], pts[np.arange(len(pts)), lengths - 1]], 1)
 
 
 def anchor_attention(rows: DataFrame, anchors: DataFrame, vec: str = "vec", block: int = 512) -> DataFrame:

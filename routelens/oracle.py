@@ -544,19 +544,57 @@ mse AS (
     SELECT lng, lat, lead(lng) OVER w AS next_lng, lead(lat) OVER w AS next_lat, lead(pos) OVER w AS np
     FROM tf WINDOW w AS (PARTITION BY trip ORDER BY pos)) WHERE np IS NOT NULL)"""
 _add("multi_mse", _sql(f"SELECT {R('mse')} AS mse FROM mse", _MSE))
-_NEXT = """,
+
+
+def _entropy(name: str, src: str, target: str, contexts: list[str], classes: str) -> str:
+    """CTE (loss, n): counts by window sums over the table of combinations."""
+    every = ", ".join(dict.fromkeys(", ".join(contexts).split(", ")))
+    p = f"(sum(c) OVER (PARTITION BY y) + 1.0) / (sum(c) OVER () + {classes})"
+    for ctx in reversed(contexts):
+        p = f"(sum(c) OVER (PARTITION BY {ctx}, y) + {p}) / (sum(c) OVER (PARTITION BY {ctx}) + 1.0)"
+    return f""",
+{name}_c AS (SELECT {every}, {target} AS y, count(*) FILTER (WHERE split = 0) AS c, count(*) FILTER (WHERE split = 2) AS n
+             FROM {src} WHERE {target} IS NOT NULL GROUP BY ALL),
+{name} AS (SELECT sum(-ln(p) * n) / sum(n) AS loss, sum(n) AS n FROM (SELECT n, {p} AS p FROM {name}_c) WHERE n > 0)"""
+
+
+def _ridge(features: list[str], src: str) -> str:
+    """CTEs: sums of products, Gauss-Jordan elimination column by column, squared errors (e0, e1, ...)."""
+    x, k, m = ["1.0", *features], len(features) + 1, len(features)
+    sums = ", ".join([f"sum({x[i]} * {x[j]}) + {1.0 if i == j and i else 0.0} AS a{i}_{j}" for i in range(k) for j in range(k)]
+                     + [f"sum({x[i]} * next_{f}) AS a{i}_{k + j}" for i in range(k) for j, f in enumerate(features)])
+    whole = " AND ".join(f"{f} IS NOT NULL AND next_{f} IS NOT NULL" for f in features)
+    out = f",\nelim0 AS (SELECT {sums} FROM {src} WHERE split = 0 AND {whole})"
+    for s in range(k):
+        cells = [f"a{i}_{j} / a{s}_{s} AS a{i}_{j}" if i == s else f"a{i}_{j} - a{i}_{s} * a{s}_{j} / a{s}_{s} AS a{i}_{j}"
+                 for i in range(k) for j in range(s, k + m)]
+        out += f",\nelim{s + 1} AS (SELECT {', '.join(cells)} FROM elim{s})"
+    errors = ", ".join(f"avg(pow({' + '.join(f'a{i}_{k + j} * {x[i]}' for i in range(k))} - next_{f}, 2)) AS e{j}" for j, f in enumerate(features))
+    return out + f",\nridge AS (SELECT {errors}, count(*) AS n FROM {src}, elim{k} WHERE split = 2 AND {whole})"
+
+
+from .constants import CONTINUOUS_COLS as _CON  # noqa: E402
+
+_HOUR = "(CAST(seconds AS BIGINT) % 86400) // 3600"
+_NEXT = _TV + f""",
 nxt AS (
-  SELECT * FROM (SELECT split, lng, lat, road, lead(lng) OVER w AS next_lng, lead(lat) OVER w AS next_lat,
-                        lead(road) OVER w AS next_road, lead(pos) OVER w AS np
+  SELECT * FROM (SELECT split, road, weekday, {_HOUR} AS hour, {', '.join(_CON)}, lead(road) OVER w AS next_road, lead(weekday) OVER w AS next_weekday,
+                        lead({_HOUR}) OVER w AS next_hour, {', '.join(f'lead({c}) OVER w AS next_{c}' for c in _CON)}, lead(pos) OVER w AS np
                  FROM tf WINDOW w AS (PARTITION BY trip ORDER BY pos)) WHERE np IS NOT NULL),
-tc AS (SELECT road, next_road, count(*) AS c FROM nxt WHERE split = 0 GROUP BY ALL),
-tt AS (SELECT road, count(*) AS t FROM nxt WHERE split = 0 GROUP BY ALL),
-rec AS (
-  SELECT avg(-ln((coalesce(c, 0) + 1) / (coalesce(t, 0) + (SELECT max(road) + 1 FROM road_info)))) AS cross_entropy,
-         sum((lng - next_lng) * (lng - next_lng) + (lat - next_lat) * (lat - next_lat)) / (count(*) * 2) AS mse
-  FROM nxt LEFT JOIN tc USING (road, next_road) LEFT JOIN tt USING (road) WHERE split = 2)"""
+o_words AS (SELECT split, start_weekday, start_hour, unnest(regexp_split_to_array(o_text, '、| ')) AS word FROM tv WHERE split <> 1),
+d_words AS (SELECT split, start_weekday, start_hour, unnest(regexp_split_to_array(d_text, '、| ')) AS word FROM tv WHERE split <> 1)"""
+_NEXT += _entropy("ce_road", "nxt", "next_road", ["road", "weekday, hour"], "(SELECT max(road) + 1 FROM road_info)")
+_NEXT += _entropy("ce_weekday", "nxt", "next_weekday", ["weekday, hour", "road"], "7") + _entropy("ce_hour", "nxt", "next_hour", ["weekday, hour", "road"], "24")
+for _e in "od":
+    _NEXT += _entropy(f"ce_{_e}_text", f"{_e}_words", "word", ["start_weekday, start_hour"], f"(SELECT count(DISTINCT word) + 1 FROM {_e}_words)")
+_NEXT += _ridge(_CON, "nxt")
+_NEXT += ",\nrec AS (" + " UNION ALL ".join(
+    [f"SELECT 'discrete' AS kind, '{f}' AS feature, 0.5 AS weight, loss, n FROM ce_{f}" for f in ("road", "weekday", "hour")]
+    + [f"SELECT 'continuous', '{f}', 0.5 / {len(_CON)}, e{j}, n FROM ridge" for j, f in enumerate(_CON)]
+    + [f"SELECT 'place', '{e}_text', 1.0, loss, n FROM ce_{e}_text" for e in "od"]) + ")"
 _add("recovery_loss", _sql(
-    f"SELECT {R('cross_entropy')} AS cross_entropy, {R('mse')} AS mse, {R('0.5 * cross_entropy + 0.5 * mse')} AS loss FROM rec", _NEXT))
+    f"SELECT kind, feature, {R('weight')} AS weight, {R('loss')} AS loss, CAST(n AS BIGINT) AS n FROM (SELECT * FROM rec "
+    "UNION ALL SELECT 'total', '', 1.0, sum(weight * loss), max(n) FROM rec)", _NEXT))
 _TTE = """,
 tte AS (SELECT split, trip, max(seconds) - min(seconds) AS label FROM tf GROUP BY split, trip),
 base AS (SELECT t.*, m.pred FROM tte t CROSS JOIN (SELECT avg(label) AS pred FROM tte WHERE split = 0) m),
@@ -626,8 +664,11 @@ _ASKED = [*_ANCHORS, *(f"[anchor{i}]" for i in range(4)), *dict.fromkeys(_ANCHOR
 _add("new_vocabulary", _sql(
     "SELECT word FROM (VALUES " + ", ".join(f"('{w}')" for w in _ASKED) + ") AS a(word) "
     "WHERE word NOT IN (SELECT t FROM (SELECT unnest(regexp_split_to_array(lower(concat_ws(' ', name, address)), "
-    "'[^a-z0-9#-]+')) AS t FROM pois) WHERE length(t) > 0)"))
+    "'[^a-z0-9#-]+')) AS t FROM pois "
+    "UNION ALL SELECT unnest(regexp_split_to_array(lower(text), '[^a-z0-9#-]+')) FROM documents) WHERE length(t) > 0)"))
 
+_WORDS = "SELECT word FROM (SELECT unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) AS word FROM {}) WHERE length(word) > 0"
+_add("vocabulary_difference", f"{_WORDS.format('conversations')} EXCEPT {_WORDS.format('documents')}")
 _add("pairwise", _sql(
     f"SELECT trip, pos, {R('lng')} AS lng, {R('lat')} AS lat, {R('next_lng')} AS next_lng, {R('next_lat')} AS next_lat "
     f"FROM {_pairs} WHERE np IS NOT NULL"))

@@ -20,10 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import session
-from ..constants import (FEATURE_COLS, KSEG, MAX_TRIP_LEN, MIN_TRIP_LEN, NEAR_EXCLUSION,
-                         NORMALIZED_COLS, TRIP_COLS)
+from ..constants import (CONTINUOUS_COLS, FEATURE_COLS, KSEG, MAX_TRIP_LEN, MIN_TRIP_LEN, NEAR_EXCLUSION,
+                         NORMALIZED_COLS, POI_SEPARATOR, TRIP_COLS)
 from ..functions.temporal import hour
-from ..operators import grid, motion, poi, search, sequence, split, stats
+from ..operators import grid, motion, poi, recovery, search, sequence, split, stats
 from ..operators.metrics import classification_metrics
 from ..session import cut_lineage
 
@@ -217,6 +217,38 @@ class TripDatasets:
             raise ValueError(f"no label {label!r}")
         return view.withColumn("label", F.col(label)).drop("destination", "tte", "driver")
 
+    def recovery_objective(self, k: int = 3, dis_weight: float = 0.5, con_weight: float = 0.5, places: bool = True) -> DataFrame:
+        """A16 of the test trips: kind, feature, weight, loss, n, and the total.
+
+        Cross entropy of the next road (given the road, then weekday and hour),
+        weekday and hour (given both, then the road), mean squared error of the
+        next scaled features by ridge regression on the present ones, and cross
+        entropy of the words of the origin's and destination's place texts
+        (given the start's weekday and hour). All learn on the train trips.
+        """
+        raw = motion.next_point_rows(self.feature_rows, ["road", "weekday", "seconds", *CONTINUOUS_COLS]).where("split IN (0, 2)")
+        whole = lambda c: F.col(c).cast("long")
+        nxt = raw.select("split", *[whole(c).alias(c) for c in ("road", "weekday", "next_road", "next_weekday")],
+                         hour("seconds").alias("hour"), hour("next_seconds").alias("next_hour"),
+                         *CONTINUOUS_COLS, *[f"next_{c}" for c in CONTINUOUS_COLS])
+        train, test = F.col("split") == 0, F.col("split") == 2
+        clock = ("weekday", "hour")
+        n_road = self.cardinalities().first()["num_road"]
+        entropy = lambda rows, name, target, *args: recovery.backoff_cross_entropy(rows, target, *args).withColumn("feature", F.lit(name))
+        parts = [("discrete", dis_weight, entropy(nxt, "road", "next_road", [("road",), clock], train, test, n_road)),
+                 ("discrete", dis_weight, entropy(nxt, "weekday", "next_weekday", [clock, ("road",)], train, test, 7)),
+                 ("discrete", dis_weight, entropy(nxt, "hour", "next_hour", [clock, ("road",)], train, test, 24))]
+        targets = [f"next_{c}" for c in CONTINUOUS_COLS]
+        fit = recovery.ridge_fit(nxt.where(train), CONTINUOUS_COLS, targets)
+        errors = recovery.ridge_errors(nxt.where(test), CONTINUOUS_COLS, targets, fit)
+        parts.append(("continuous", con_weight / len(targets), errors.withColumn("feature", F.expr("substring(feature, 6)"))))
+        if places:
+            view = self.training_view(k)
+            for end in ("o", "d"):
+                words = view.select("split", "start_weekday", "start_hour", F.explode(F.split(f"{end}_text", f"{POI_SEPARATOR}| ")).alias("word"))
+                parts.append(("place", 1.0, entropy(words, f"{end}_text", "word", [("start_weekday", "start_hour")], train, test)))
+        return recovery.objective(parts)
+
     # ---- origin / destination places --------------------------------------
     def od_points(self, pre_length: int = 0, momentum: bool = False) -> DataFrame:
         """Origin = first point; destination = last point of the trip cut by

@@ -644,15 +644,8 @@ def q_multi_mse(spark, d):
 
 
 def q_recovery_loss(spark, d):
-    """A16 on the next points of the test trips: cross entropy of the next road
-    (add-one transition counts of the train trips) and squared error of the
-    place (which is predicted to stay)."""
-    ds = datasets(spark, d)
-    nxt = motion.next_point_rows(ds.feature_rows, ["lng", "lat", "road"])
-    n_road = ds.fixture["road_info"].agg((F.max("road") + 1).alias("_r"))
-    ce = metrics.transition_cross_entropy(nxt.where("split = 0"), nxt.where("split = 2"), n_road, "road", "next_road")
-    mse = metrics.multi_mse(nxt.where("split = 2"), [("lng", "next_lng"), ("lat", "next_lat")])
-    return finish(metrics.recovery_loss(ce, mse))
+    """Each feature of the next points of the test trips, the words of their places, and the total."""
+    return finish(datasets(spark, d).recovery_objective(POI_K))
 
 
 def _tte_baseline(ds):
@@ -679,14 +672,21 @@ def q_set_intersection(spark, d):
 
 
 def q_new_vocabulary(spark, d):
-    """Anchor words and virtual words not yet among the words of the place texts."""
-    pois = datasets(spark, d).fixture["pois"]
-    vocab = (pois.select(F.explode(F.split(F.lower(F.concat_ws(" ", "name", "address")), "[^a-z0-9#-]+")).alias("word"))
-             .where(F.length("word") > 0).distinct())
+    """Anchor words and virtual words not yet among the words of the place texts and documents."""
+    pois = datasets(spark, d).fixture["pois"].select(F.concat_ws(" ", "name", "address").alias("text"))
+    texts = pois.unionByName(spark.read.parquet(f"{d}/documents.parquet").select("text"))
+    vocab = texts.select(F.explode(F.split(F.lower("text"), "[^a-z0-9#-]+")).alias("word")).where(F.length("word") > 0).distinct()
     en = split.new_vocabulary(vocab, ANCHOR_WORDS, len(ANCHOR_WORDS), 4)
     return en.unionByName(split.new_vocabulary(vocab, ANCHOR_WORDS_ZH, 12, 0))
 
 
+def q_vocabulary_difference(spark, d):
+    """Words of the conversations that the documents' vocabulary lacks."""
+    words = lambda name: (spark.read.parquet(f"{d}/{name}.parquet").select(F.explode(F.split(F.lower("text"), "[^a-z0-9]+")).alias("word"))
+                          .where(F.length("word") > 0).distinct())
+    return split.set_difference(words("conversations"), words("documents"), "word")
+
+
 def q_prompt_prefix(spark, d):
     tv = _training_view(datasets(spark, d))
     return tv.select("trip", prompts.prefix(F.col("start_weekday"), F.col("start_hour"), "zh").alias("prefix_zh"),
@@ -764,14 +764,8 @@ def q_tte_model(spark, d):
 
 def q_encode_trips(spark, d):
     """A caller's batch encoder over whole trips (mapInPandas)."""
-    from ..operators.vectors import encode_trips
-    tf = datasets(spark, d).trip_features
-
-    def summary_encoder(arrs):      # the caller's encoder: mean, std, first, last per column
-        import numpy as np
-        return np.stack([np.concatenate([a.mean(0), a.std(0), a[0], a[-1]]) for a in arrs])
-
-    return finish(encode_trips(tf, ["lng", "lat", "speed"], summary_encoder, 12)
+    from ..operators.vectors import encode_trips, summary_encoder
+    return finish(encode_trips(datasets(spark, d).feature_rows, ["lng", "lat", "speed"], lambda: summary_encoder, 12)
                   .select("trip", F.posexplode("vec").alias("i", "value")))
 
 
