@@ -1,13 +1,15 @@
 """Metrics as grouped aggregates: A08-A12, A14-A16, G04, G07.
 
-Scores come in long form (id, cls, score): one row per example and class, so
-the number of classes never makes one row wide. Every metric is a grouped
-aggregate or an equi-join on the example id; nothing is sorted globally.
+Scores come in long form (id, cls, score), one row per example and class, where
+every metric is a grouped aggregate or an equi-join on the example id; or, where
+one model scores all classes, as an array (cls, score) on the example's row,
+where rank, arg-max and entropy are expressions and nothing is shuffled before
+the aggregates over examples. Nothing is sorted globally.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
@@ -32,9 +34,9 @@ def selection_score(metrics: DataFrame, kind: str) -> DataFrame:
 
 
 def argmax_class(scores: DataFrame, keys: tuple[str, ...] = ("id",)) -> DataFrame:
-    """Class with the highest score; ties go to the lowest class."""
+    """Class with the highest score; ties go to the lowest class, NULL scores don't count."""
     return scores.groupBy(*keys).agg(
-        F.max_by("cls", F.struct(F.col("score"), -F.col("cls"))).alias("pred"))
+        F.max_by("cls", F.when(F.col("score").isNotNull(), F.struct(F.col("score"), -F.col("cls")))).alias("pred"))
 
 
 def score_rank(scores: DataFrame, keys: tuple[str, ...] = ("id",)) -> DataFrame:
@@ -63,12 +65,45 @@ def per_example(scores: DataFrame, labels: DataFrame, keys: tuple[str, ...] = ("
     j = j.withColumn("_ts", F.max(F.when(F.col("cls") == F.col("label"), F.col("score"))).over(w))
     ahead = (F.col("score") > F.col("_ts")) | ((F.col("score") == F.col("_ts")) & (F.col("cls") > F.col("label")))
     return j.groupBy(*keys, "label").agg(
-        F.max_by("cls", F.struct(F.col("score"), -F.col("cls"))).alias("pred"),
+        F.max_by("cls", F.when(F.col("score").isNotNull(), F.struct(F.col("score"), -F.col("cls")))).alias("pred"),
         F.when(F.max("_ts").isNull(), F.lit(None))
          .otherwise(F.lit(1) + F.count_if(ahead)).cast("long").alias("rank"),
         F.count("score").alias("n_scored"))
 
 
+def _of_truth(scores: str, label: str) -> Column:
+    """The score of the label in an array (cls, score) without NULL scores; NULL if it has none."""
+    return F.array_max(F.transform(F.filter(scores, lambda s: s["cls"] == F.col(label)), lambda s: s["score"]))
+
+
+def per_row(rows: DataFrame, keys: tuple[str, ...] = ("id",), scores: str = "scores", label: str = "label") -> DataFrame:
+    """``per_example`` of rows that hold their classes' ``scores`` as an array of
+    (cls, score): expressions on the row, no shuffle. NULL scores don't count; a
+    row without scores has no prediction and no rank."""
+    ready = rows.select(*keys, F.col(label).alias("label"), F.filter(F.coalesce(F.col(scores), F.array().cast(rows.schema[scores].dataType)),
+                                                                     lambda s: s["score"].isNotNull()).alias("_s"))
+    best = F.array_max(F.transform("_s", lambda s: F.struct(s["score"].alias("score"), (-s["cls"]).alias("less"))))
+
+    def place(truth: Column) -> Column:
+        ahead = F.filter("_s", lambda s: (s["score"] > truth) | ((s["score"] == truth) & (s["cls"] > F.col("label"))))
+        return F.when(truth.isNotNull(), F.lit(1).cast("long") + F.size(ahead))
+
+    rank = F.element_at(F.transform(F.array(_of_truth("_s", "label")), place), 1)         # the truth's score is computed once
+    return ready.select(*keys, "label", (-best["less"]).alias("pred"), rank.alias("rank"), F.size("_s").cast("long").alias("n_scored"))
+
+
+def entropy_of_rows(rows: DataFrame, scores: str = "scores", label: str = "label") -> DataFrame:
+    """``cross_entropy`` of rows that hold their classes' scores as an array: one aggregate."""
+    ready = rows.select(F.col(label).alias("label"), F.filter(scores, lambda s: s["score"].isNotNull()).alias("_s"))
+
+    def log_sum(top: Column) -> Column:
+        return top + F.log(F.aggregate("_s", F.lit(0.0), lambda t, s: t + F.exp(s["score"] - top)))
+
+    lse = F.element_at(F.transform(F.array(F.array_max(F.transform("_s", lambda s: s["score"]))), log_sum), 1)
+    return (ready.select(_of_truth("_s", "label").alias("_truth"), lse.alias("_lse"))
+            .agg(F.avg(F.col("_lse") - F.col("_truth")).alias("cross_entropy"), F.count_if(F.col("_truth").isNull()).alias("unscored")))
+
+
 def classification_metrics(scores: DataFrame, labels: DataFrame,
                            keys: tuple[str, ...] = ("id",), ns: tuple[int, ...] = (5, 10),
                            group: tuple[str, ...] = ()) -> DataFrame:
@@ -79,11 +114,16 @@ def classification_metrics(scores: DataFrame, labels: DataFrame,
     counted in ``unscored``.
     Macro averages run over the classes seen in truth or prediction; a class
     with no true or no predicted example scores 0 (zero_division=0).
-    ``group`` columns (e.g. split) must be part of ``keys``. The per-example
-    table (one row per example) is kept for the three small aggregates.
+    ``group`` columns (e.g. split) must be part of ``keys``.
     """
+    return metrics_of_examples(per_example(scores, labels, keys), ns, group)
+
+
+def metrics_of_examples(per: DataFrame, ns: tuple[int, ...] = (5, 10), group: tuple[str, ...] = ()) -> DataFrame:
+    """A09-A11 of the examples (``per_example``, ``per_row``); the table, one row
+    an example, is written for the three small aggregates."""
     ns = tuple(n for n in ns if n != 1)       # acc@1 comes from the arg-max
-    per = cut_lineage(per_example(scores, labels, keys))
+    per = cut_lineage(per)
     hit = lambda x: F.avg(F.coalesce(x, F.lit(False)).cast("double"))
     unscored = F.count_if(F.col("rank").isNull())
     aggs = [((F.coalesce(F.sum("rank"), F.lit(0)) + unscored * (F.max("n_scored") + 1)) / F.count(F.lit(1))).alias("mean_rank"),

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.arrays import l2_distance
 from ..session import cut_lineage
 from .ordinal import row_ordinal
 
@@ -84,6 +85,27 @@ def summary_encoder(pts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.concatenate([mean, spread, pts[:, 0], pts[np.arange(len(pts)), lengths - 1]], 1)
 
 
+def anchor_blocks(anchors: DataFrame, block: int) -> DataFrame:
+    """(_block, _anchors): the anchors (``anchor``, ``avec``) in arrays of at most ``block``, by ``anchor``."""
+    listed = F.array_sort(F.collect_list(F.struct("anchor", "avec")))
+    placed = row_ordinal(anchors.select("anchor", "avec"), ["anchor"], "_at")
+    return cut_lineage(placed.groupBy(F.floor(F.col("_at") / block).alias("_block")).agg(listed.alias("_anchors")))
+
+
+def anchor_scores(rows: DataFrame, anchors: DataFrame, vec: str = "vec", block: int = 512) -> DataFrame:
+    """``rows`` with ``scores``: an array (cls: the anchor, score: minus its
+    distance), by blocks of at most ``block`` anchors, which are sent as one row
+    each. No row of a pair is formed and ``rows`` isn't shuffled. A NULL vector
+    has NULL scores; without anchors the array is empty."""
+    out = rows.withColumn("scores", F.array().cast("array<struct<cls:bigint,score:double>>"))
+    blocks = anchor_blocks(anchors, block)
+    for r in blocks.select("_block").orderBy("_block").collect():           # one row for each block of anchors
+        one = blocks.where(F.col("_block") == r["_block"]).select("_anchors")
+        each = F.transform("_anchors", lambda a: F.struct(a["anchor"].cast("long").alias("cls"), (-l2_distance(vec, a["avec"])).alias("score")))
+        out = out.crossJoin(F.broadcast(one)).withColumn("scores", F.concat("scores", each)).drop("_anchors")
+    return out
+
+
 def anchor_attention(rows: DataFrame, anchors: DataFrame, vec: str = "vec", block: int = 512) -> DataFrame:
     """``rows`` with ``attended``: the anchors' vectors (``avec``) weighted by
     softmax(vec . avec / sqrt(d)).
@@ -94,8 +116,7 @@ def anchor_attention(rows: DataFrame, anchors: DataFrame, vec: str = "vec", bloc
     comes. No row of a pair is formed and ``rows`` isn't shuffled. Anchors go by
     ``anchor``; without anchors, or for a NULL vector, ``attended`` is NULL.
     """
-    listed = F.array_sort(F.collect_list(F.struct("anchor", "avec")))
-    blocks = cut_lineage(row_ordinal(anchors.select("anchor", "avec"), ["anchor"], "_at").groupBy(F.floor(F.col("_at") / block).alias("_block")).agg(listed.alias("_anchors")))
+    blocks = anchor_blocks(anchors, block)
     state = "struct<top:double,total:double,sum:array<double>>"
     out = rows.withColumn("_state", F.lit(None).cast(state))
 

@@ -616,8 +616,15 @@ def _emb_labels(spark, d):
     return _emb(spark, d).select(F.col("vec_id").alias("id"), "label")
 
 
+def _emb_rows(spark, d):
+    """Embeddings with the scores of all label centroids on the row."""
+    from ..operators.vectors import anchor_scores
+    anchors = _centroids(spark, d).select(F.col("cls").alias("anchor"), F.col("cvec").alias("avec"))
+    return anchor_scores(_emb(spark, d), anchors).select(F.col("vec_id").alias("id"), "label", "scores")
+
+
 def q_classification_metrics(spark, d):
-    return finish(metrics.classification_metrics(_emb_scores(spark, d), _emb_labels(spark, d)))
+    return finish(metrics.metrics_of_examples(metrics.per_row(_emb_rows(spark, d))))
 
 
 def q_topn_accuracy(spark, d):
@@ -626,12 +633,12 @@ def q_topn_accuracy(spark, d):
 
 
 def q_mean_rank(spark, d):
-    r = metrics.truth_rank(_emb_scores(spark, d), _emb_labels(spark, d))
+    r = metrics.per_row(_emb_rows(spark, d))
     return finish(r.select(F.col("id").alias("vec_id"), "rank"))
 
 
 def q_cross_entropy(spark, d):
-    return finish(metrics.cross_entropy(_emb_scores(spark, d), _emb_labels(spark, d)))
+    return finish(metrics.entropy_of_rows(_emb_rows(spark, d)))
 
 
 def _persistence(ds):

@@ -36,10 +36,10 @@ def trip_feature_vectors(ds: TripDatasets, pre_length: int = 0) -> DataFrame:
                 F.transform("vec", lambda x: F.coalesce(x, F.lit(0.0))), F.array("h", "wd"))).alias("features")))
 
 
-def _class_scores(pred: DataFrame) -> DataFrame:
-    return pred.select(F.col("trip").alias("id"), "split",
-                       F.posexplode(vector_to_array("probability")).alias("cls", "score")) \
-        .withColumn("cls", F.col("cls").cast("long"))
+def _examples(model, data: DataFrame) -> DataFrame:
+    """id, label, pred, rank, n_scored of each row, from the model's probabilities on the row."""
+    scored = F.transform(vector_to_array("probability"), lambda p, i: F.struct(i.cast("long").alias("cls"), p.alias("score")))
+    return metrics.per_row(model.transform(data).select(F.col("trip").alias("id"), F.col("label").cast("long").alias("label"), scored.alias("scores")))
 
 
 def classification_task(ds: TripDatasets, labels: DataFrame, label_col: str, pre_length: int = 0,
@@ -52,18 +52,14 @@ def classification_task(ds: TripDatasets, labels: DataFrame, label_col: str, pre
     best = None
     for rp in reg_params:
         model = LogisticRegression(regParam=rp, maxIter=50, family="multinomial").fit(train)
-        val = _class_scores(model.transform(data.where("split = 1")))
-        lab = data.where("split = 1").select(F.col("trip").alias("id"), F.col("label").cast("long").alias("label"))
-        acc = metrics.classification_metrics(val.drop("split"), lab).first()["acc@1"]
+        acc = metrics.metrics_of_examples(_examples(model, data.where("split = 1"))).first()["acc@1"]
         if best is None or acc > best[0]:
             best = (acc, rp, model)
     acc, rp, model = best
-    test = data.where(F.col("split") == eval_split)
-    sc = _class_scores(model.transform(test)).drop("split")
-    lab = test.select(F.col("trip").alias("id"), F.col("label").cast("long").alias("label"))
+    test = _examples(model, data.where(F.col("split") == eval_split))
     if predictions:
-        write_predictions(metrics.per_example(sc, lab), predictions)
-    return metrics.classification_metrics(sc, lab).select(
+        write_predictions(test, predictions)
+    return metrics.metrics_of_examples(test).select(
         F.lit(rp).alias("reg_param"), F.lit(acc).alias("val_acc"), "*")
 
 
