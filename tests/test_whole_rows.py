@@ -168,3 +168,14 @@ def test_checkpoint_folder_is_asked_for_on_a_cluster(monkeypatch):
             get = staticmethod(lambda *a: None)
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         session.ensure_checkpoint_dir(Session())
+
+
+def test_nearest_places_cost_a_level_once_and_more_queries_make_more_tasks(spark, monkeypatch):
+    monkeypatch.setattr(poi, "TASK_QUERIES", 50, raising=False)
+    P = spark.createDataFrame([(i, f"n{i}", "a", 104 + (i * 37 % 211) / 1000, 30 + (i * 91 % 223) / 1000) for i in range(3000)],
+                              "poi_id long, name string, address string, lng double, lat double")
+    qs = [(i, 104 + (i * 53 % 199) / 1000, 30 + (i * 17 % 197) / 1000) for i in range(1000)]
+    nb = poi.knn_poi(spark.createDataFrame(qs, "qid long, lng double, lat double"), P, 2)
+    plan = nb._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.count("Window [") <= 12 and plan.count("sum(cnt") <= 12         # a level's window stands in the plan once
+    assert any("RepartitionByExpression [qid" in line and line.endswith(", 20") for line in plan.split("\n"))
