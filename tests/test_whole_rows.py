@@ -179,3 +179,20 @@ def test_nearest_places_cost_a_level_once_and_more_queries_make_more_tasks(spark
     plan = nb._jdf.queryExecution().optimizedPlan().toString()
     assert 0 < plan.count("Window [") <= 12 and plan.count("sum(cnt") <= 12         # a level's window stands in the plan once
     assert any("RepartitionByExpression [qid" in line and line.endswith(", 20") for line in plan.split("\n"))
+
+
+@pytest.mark.parametrize("k", [7, 90])
+def test_topk_measures_chunks_as_matrices(spark, monkeypatch, k):
+    """Small k (best of each chunk) and large k (bins first), by group, with ties: as brute force; no distance is a lambda on a joined pair."""
+    monkeypatch.setattr(search, "CHUNK", 50, raising=False)
+    rng = random.Random(8)
+    vec = lambda: [float(rng.randrange(4)), float(rng.randrange(4)), rng.random() if rng.random() < 0.5 else 0.5]
+    items, qs = [(i, i % 3, vec()) for i in range(600)], [(i, i % 2, vec()) for i in range(12)]
+    I = spark.createDataFrame(items, "item long, g int, vec array<double>").repartition(3)  # noqa: E741
+    Q = spark.createDataFrame(qs, "qid long, g int, vec array<double>")
+    far = lambda a, b: math.sqrt(sum([(y - x) * (y - x) for x, y in zip(a, b)]))
+    for largest in (False, True):
+        top = search.vector_topk(Q, I, k, largest=largest, group="g")
+        want = {(q, r, i) for q, g, a in qs for r, (_, i) in enumerate(sorted(((-1 if largest else 1) * far(a, b), i) for i, h, b in items if h == g)[:k])}
+        assert {(r.qid, r.rank, r.item) for r in top.collect()} == want
+        assert "zip_with" not in (plan := top._jdf.queryExecution().optimizedPlan().toString()) and "zipwith" not in plan and "mapinarrow" in plan.lower()
