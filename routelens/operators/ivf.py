@@ -68,6 +68,9 @@ def build_index(items: DataFrame, lists: int | None = None, sample: int = SAMPLE
     n = drawn.count()
     if not n:
         return InvertedFile(spark.createDataFrame([], "list int, item long, code binary"), np.zeros((0, 0)), np.zeros(0))
+    lengths = drawn.agg(F.min(F.size("vec")).alias("least"), F.max(F.size("vec")).alias("most")).first()
+    if lengths["least"] != lengths["most"]:
+        raise ValueError("vectors of different length")
     model = KMeans(k=max(2, lists or default_lists(whole.count())), seed=seed, maxIter=10, featuresCol="features").fit(drawn.select(array_to_vector("vec").alias("features")))
     centroids = np.array(model.clusterCenters())
     # The widest difference of the sample sets the step of each dimension; wider ones of other rows are clipped in the code alone.

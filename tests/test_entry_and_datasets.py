@@ -59,3 +59,14 @@ def test_no_cartesian_without_broadcast(spark):
     for k in ("od_pois", "knn_poi", "trip_features", "similar_search"):
         plan = E.queries()[k](spark, SF001)._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan, k
+
+
+def test_a_dataset_of_one_split_searches_places_for_that_split_alone(spark, monkeypatch):
+    from routelens.operators import poi
+    from routelens.plans import builder
+    from routelens.plans.registry import datasets
+    ds, seen, real = datasets(spark, SF001), [], poi.knn_poi
+    monkeypatch.setattr(poi, "knn_poi", lambda q, *a: seen.append(q) or real(q, *a))
+    whole = sorted(r[:] for r in builder.build(ds, "odpois-3").where("split = 1").collect())
+    one = sorted(r[:] for r in builder.build(ds, "odpois-3", splits=(1,)).collect())
+    assert whole == one and seen[1].count() <= 2 * len(one) < seen[0].count()
